@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.rules import js_trim
 from clickloom.plans.chains import greedy_intervals
 from clickloom.plans.skew import lookup_join
-from clickloom.plans.timeline import asof_total, open_counts, stab
+from clickloom.plans.timeline import count_open, open_counts, stab
 
 # Texts sent to the connection.
 BAD_USERNAME_FRAME = "Invalid username format."
@@ -20,13 +22,27 @@ BAD_FRAME = "Invalid message format."
 NAME_SLICE_SECONDS = 3600
 
 
+# How a JSON text can begin.
+JSON_START = r"\A[ \t\r\n]*(?:[\[{\"\-0-9]|true|false|null)"
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value worked out once per row, wherever a filter moves it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _parsed(frame: Column) -> Column:
+    """Frame as a variant, NULL for bad JSON; texts that cannot be JSON are not tried."""
+    return F.when(frame.rlike(JSON_START), F.try_parse_json(frame))
+
+
 def _field(document: Column, name: str) -> Column:
     return F.try_variant_get(document, f"$.{name}", "variant")
 
 
-def _type_of(value: Column) -> Column:
-    """JSON type of a variant; NULL for a missing key."""
-    return F.schema_of_variant(value)
+def _text(value: Column) -> Column:
+    """Text of a variant that is a JSON string, NULL for any other type or a missing key."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
 def _unreadable(document: Column) -> Column:
@@ -34,24 +50,38 @@ def _unreadable(document: Column) -> Column:
     return document.isNull() | F.is_variant_null(document)
 
 
-def join_rules(frame: Column) -> tuple[Column, Column]:
+def join_rules(frame: Column) -> Column:
     """Trimmed user name and error text of a first frame; one of them is NULL."""
-    document = F.try_parse_json(frame)
-    field = _field(document, "username")
-    text = F.when(_type_of(field) == "STRING", F.try_variant_get(document, "$.username", "string"))
-    name = js_trim(text)
-    error = (
-        F.when(_unreadable(document), BAD_USERNAME_FRAME)
-        .when(F.coalesce(text, F.lit("")) == "", NO_USERNAME)
-        .when(name == "", EMPTY_USERNAME)
-    )
-    return F.when(error.isNull(), name), error
+
+    def judge(document: Column) -> Column:
+        text = _text(_field(document, "username"))
+        return F.when(
+            _unreadable(document), F.struct(F.lit(None).cast("string"), F.lit(BAD_USERNAME_FRAME))
+        ).otherwise(
+            _bound(
+                text,
+                lambda t: F.when(
+                    F.coalesce(t, F.lit("")) == "",
+                    F.struct(F.lit(None).cast("string"), F.lit(NO_USERNAME)),
+                ).otherwise(
+                    _bound(
+                        js_trim(t),
+                        lambda name: F.struct(
+                            F.when(name != "", name), F.when(name == "", F.lit(EMPTY_USERNAME))
+                        ),
+                    )
+                ),
+            )
+        )
+
+    return _bound(_parsed(frame), judge).cast("struct<username:string,error:string>")
 
 
 def check_join(conns: DataFrame) -> DataFrame:
     """Add `username` and `error` from the first frame of each connection."""
-    name, error = join_rules(F.col("first_frame"))
-    return conns.select("*", name.alias("username"), error.alias("error"))
+    return conns.select("*", join_rules(F.col("first_frame")).alias("_j")).select(
+        *conns.columns, "_j.username", "_j.error"
+    )
 
 
 def admit(
@@ -134,41 +164,49 @@ def online_counts(admissions: DataFrame) -> DataFrame:
     return counts.select("ts", F.col("total").alias("online"))
 
 
-def frame_rules(frame: Column) -> tuple[Column, Column]:
+def frame_rules(frame: Column) -> Column:
     """Status (accepted, ignored, error) and message of a later frame.
 
     The message is accepted whatever its JSON type, if it counts as true:
     not missing, null, false, 0 or empty. Text is given as it is, other types
     as JSON.
     """
-    document = F.try_parse_json(frame)
-    kind, message = _field(document, "type"), _field(document, "message")
-    message_type = _type_of(message)
-    text = F.try_variant_get(document, "$.message", "string")
-    is_message = (_type_of(kind) == "STRING") & (
-        F.try_variant_get(document, "$.type", "string") == "message"
-    )
-    composite = message_type.startswith("OBJECT") | message_type.startswith("ARRAY")
-    truthy = (
-        F.when(message_type.isNull() | (message_type == "VOID"), False)
-        .when(message_type == "STRING", text != "")
-        .when(message_type == "BOOLEAN", F.try_variant_get(document, "$.message", "boolean"))
-        .when(composite, True)
-        .otherwise(F.try_variant_get(document, "$.message", "double") != 0)
-    )
-    status = (
-        F.when(_unreadable(document), "error")
-        .when(F.coalesce(is_message & truthy, F.lit(False)), "accepted")
-        .otherwise("ignored")
-    )
-    shown = F.when(message_type == "STRING", text).otherwise(F.to_json(message))
-    return status, F.when(status == "error", BAD_FRAME).when(status == "accepted", shown)
+
+    def truthy(message: Column) -> Column:
+        kind = F.schema_of_variant(message)
+        return (
+            F.when(message.isNull() | (kind == "VOID"), False)
+            .when(kind == "STRING", F.try_variant_get(message, "$", "string") != "")
+            .when(kind == "BOOLEAN", F.try_variant_get(message, "$", "boolean"))
+            .when(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")), True)
+            .otherwise(F.try_variant_get(message, "$", "double") != 0)
+        )
+
+    def outcome(status: str, message: Column) -> Column:
+        return F.struct(F.lit(status), message.cast("string"))
+
+    def judge(document: Column) -> Column:
+        is_message = _text(_field(document, "type")) == "message"
+        accepted = _bound(
+            _field(document, "message"),
+            lambda m: F.when(
+                truthy(m), outcome("accepted", F.coalesce(_text(m), F.to_json(m)))
+            ).otherwise(outcome("ignored", F.lit(None))),
+        )
+        return (
+            F.when(_unreadable(document), outcome("error", F.lit(BAD_FRAME)))
+            .when(is_message, accepted)
+            .otherwise(outcome("ignored", F.lit(None)))
+        )
+
+    return _bound(_parsed(frame), judge).cast("struct<status:string,message:string>")
 
 
 def check_frame(frames: DataFrame) -> DataFrame:
     """Add `status` and `message` to each later frame."""
-    status, message = frame_rules(F.col("frame"))
-    return frames.select("*", status.alias("status"), message.alias("message"))
+    return frames.select("*", frame_rules(F.col("frame")).alias("_f")).select(
+        *frames.columns, "_f.status", "_f.message"
+    )
 
 
 def sent_messages(frames: DataFrame, admissions: DataFrame, **heavy_options) -> DataFrame:
@@ -202,7 +240,6 @@ def fan_out(
 def delivery_counts(frames: DataFrame, admissions: DataFrame, **heavy_options) -> DataFrame:
     """Number of recipients per message, without making the pairs."""
     sent = sent_messages(frames, admissions, **heavy_options).select("frame_id", "ts")
-    totals = open_counts(_holders(admissions), "open_ts", "close_ts")
-    return asof_total(sent, "ts", totals, "recipients", **heavy_options).select(
-        "frame_id", "recipients"
-    )
+    return count_open(
+        sent, "ts", _holders(admissions), "open_ts", "close_ts", "recipients", **heavy_options
+    ).select("frame_id", "recipients")

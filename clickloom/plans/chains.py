@@ -135,8 +135,8 @@ def greedy_intervals(
     end: str,
     order: str,
     slice_seconds: int,
-    heavy_rows: int = HEAVY_ROWS,
-    heavy_top: int = HEAVY_KEYS,
+    top: int = HEAVY_KEYS,
+    min_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """The `order` ids of the chosen intervals, as a one-column DataFrame.
 
@@ -150,7 +150,7 @@ def greedy_intervals(
         F.col(order).cast("long").alias("id"),
         F.lit(True).alias("real"),
     )
-    heavy = heavy_keys(rows, ["grp"], heavy_top, heavy_rows)
+    heavy = heavy_keys(rows, ["grp"], top=top, min_rows=min_rows)
     rows = mark_heavy(rows, heavy, ["grp"]).withColumn(
         "slice",
         F.when(F.col("_heavy"), F.floor(F.col("start") / F.lit(slice_seconds * 1_000_000)))

@@ -26,18 +26,22 @@ _HEAVY = "_heavy"
 
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether Spark's own size estimate puts `df` below the broadcast threshold."""
-    spark = df.sparkSession
-    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    try:
-        limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(threshold)
-        estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()
-    except Exception:  # e.g. a remote session without access to the plan
+    threshold = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b")
+    plan = getattr(df, "_jdf", None)
+    if plan is None:  # a remote session does not show the plan
         return False
-    return 0 <= int(estimate) <= limit
+    jvm = df.sparkSession.sparkContext._jvm
+    limit = jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(threshold)
+    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
 
 
-def heavy_keys(
-    df: DataFrame, keys: list[str], top: int = HEAVY_KEYS, min_rows: int = HEAVY_ROWS
+def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows per key without NULL, counted before the shuffle: (*keys, _rows)."""
+    return df.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def heaviest(
+    counts: DataFrame, keys: list[str], top: int = HEAVY_KEYS, min_rows: int = HEAVY_ROWS
 ) -> DataFrame:
     """The at most `top` keys that hold the most rows, each with at least `min_rows`.
 
@@ -45,7 +49,6 @@ def heavy_keys(
     key left out holds less than 1/top of the rows. Ties are cut by key order so
     that every evaluation picks the same keys.
     """
-    counts = df.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     return (
         counts.filter(F.col("_rows") >= min_rows)
         .orderBy(F.desc("_rows"), *keys)
@@ -54,8 +57,12 @@ def heavy_keys(
     )
 
 
+def heavy_keys(df: DataFrame, keys: list[str], **heavy_options) -> DataFrame:
+    return heaviest(key_counts(df, keys), keys, **heavy_options)
+
+
 def mark_heavy(df: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
-    """Add a boolean `_heavy`; `heavy` has a proven row bound (see `heavy_keys`)."""
+    """Add a boolean `_heavy`; `heavy` has a proven row bound (see `heaviest`)."""
     marked = df.join(F.broadcast(heavy), keys, "left")
     return marked.withColumn(_HEAVY, F.coalesce(F.col(_HEAVY), F.lit(False)))
 
@@ -112,7 +119,7 @@ def lookup_join(
         raise ValueError(f"columns on both sides: {sorted(clash)}")
     salted = not fact.isStreaming and not fits_broadcast(lookup)
     if salted:
-        heavy = heavy_keys(fact, keys, top, min_rows)
+        heavy = heavy_keys(fact, keys, top=top, min_rows=min_rows)
         left, right = salt_rows(fact, heavy, keys, salts), repeat_rows(lookup, heavy, keys, salts)
         on = [*keys, _SALT]
     else:

@@ -6,8 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-_STAGED: dict[tuple[str, str], str] = {}
+_STAGED: dict[tuple[str, str], tuple[str, StructType]] = {}
+_LOCAL: list[str] = []
 
 
 def work_folder(spark: SparkSession) -> str | None:
@@ -25,9 +27,9 @@ def work_folder(spark: SparkSession) -> str | None:
 
 
 def _local_folder() -> str:
-    if ("", "") not in _STAGED:
-        _STAGED["", ""] = tempfile.mkdtemp(prefix="clickloom-")
-    return _STAGED["", ""]
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="clickloom-"))
+    return _LOCAL[0]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -52,5 +54,6 @@ def stage(df_of, spark: SparkSession, key: str, name: str) -> DataFrame:
         path = new_folder(spark, name)
         built = df_of()
         built.write.parquet(path)
-        _STAGED[slot] = path
-    return spark.read.parquet(_STAGED[slot])
+        _STAGED[slot] = path, built.schema
+    path, schema = _STAGED[slot]
+    return spark.read.schema(schema).parquet(path)
