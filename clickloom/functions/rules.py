@@ -105,6 +105,17 @@ def micros(c: Column) -> Column:
     return (seconds * 1_000_000).cast("long")
 
 
+def from_micros(c: Column) -> Column:
+    """Zone-free timestamp of microseconds since 1970."""
+    seconds = (c.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    return F.expr(EPOCH) + F.make_dt_interval(secs=seconds)
+
+
+def instant(c: Column) -> Column:
+    """A zone-free UTC timestamp as an instant, which event time needs."""
+    return F.timestamp_micros(micros(c))
+
+
 def generate_code(owner_id: Column, request_id: Column, salt: str = "") -> Column:
     """Owner id and four hex digits.
 

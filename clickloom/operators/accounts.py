@@ -13,6 +13,8 @@ MISMATCH = "Passwords do not match"
 UNFILLED = "Please fill out all fields"
 WHITESPACE_IN_PASSWORD = "Password must not contain any whitespace"
 
+REQUIRED = ["firstname", "lastname", "username", "password"]
+
 
 def _any_blank(names: list[str]):
     blank = F.lit(False)
@@ -24,7 +26,7 @@ def _any_blank(names: list[str]):
 def check_signup_form(requests: DataFrame) -> DataFrame:
     """Add `problem`, the first form rule that fails; NULL when the form may be sent."""
     first, again = (F.coalesce(c, F.lit("")) for c in ("password", "password_again"))
-    fields = ["firstname", "lastname", "username", "password", "password_again"]
+    fields = [*REQUIRED, "password_again"]
     return requests.withColumn(
         "problem",
         F.when(first != again, MISMATCH)
@@ -33,6 +35,11 @@ def check_signup_form(requests: DataFrame) -> DataFrame:
     )
 
 
+def complete_requests(requests: DataFrame) -> DataFrame:
+    """Registrations that leave no required field out."""
+    return requests.filter(~_any_blank(REQUIRED))
+
+
 def first_requests(requests: DataFrame, key: str) -> DataFrame:
     """The lowest `request_id` per key; combined before the shuffle."""
     return requests.groupBy(key).agg(F.min("request_id").alias("request_id"))
@@ -46,13 +53,12 @@ def register(
     The earliest request for a free name wins. Names are compared as a
     pre-aggregated set; the winner comes back by the unique `request_id`.
     """
-    filled = requests.filter(~_any_blank(["firstname", "lastname", "username", "password"]))
-    winners = first_requests(filled, "username").join(
+    winners = first_requests(complete_requests(requests), "username").join(
         users.select("username"), "username", "left_anti"
     )
     won = winners.select("request_id", F.lit(True).alias("_won"))
     judged = requests.join(won, "request_id", "left")
-    missing = _any_blank(["firstname", "lastname", "username", "password"])
+    missing = _any_blank(REQUIRED)
     outcomes = judged.select(
         "request_id",
         F.when(F.col("_won"), 200).otherwise(400).alias("status"),

@@ -127,25 +127,19 @@ def _holders(admissions: DataFrame) -> DataFrame:
     )
 
 
-def presence(admissions: DataFrame, bucket_seconds: int = 3600, **heavy_options) -> DataFrame:
-    """User list, in connection order, and its size after each change.
+def user_lists(
+    changes: DataFrame, holders: DataFrame, bucket_seconds: int = 3600, **heavy_options
+) -> DataFrame:
+    """User list, in connection order, and its size at each change.
 
-    The list of a change is put together in the task that pairs it with the
-    open connections; what leaves that task is one row per change.
+    A holder counts from `seen_from` until `seen_to`. The list of a change is
+    put together in the task that pairs it with the holders; what leaves that
+    task is one row per change.
     """
     pairs = stab(
-        presence_changes(admissions),
-        _holders(admissions),
-        "ts",
-        "open_ts",
-        "close_ts",
-        "left",
-        bucket_seconds,
-        **heavy_options,
-    )
-    member = F.when(
-        F.col("username").isNotNull(), F.struct("open_ts", "user_conn", "username")
+        changes, holders, "ts", "seen_from", "seen_to", "left", bucket_seconds, **heavy_options
     )
+    member = F.when(F.col("username").isNotNull(), F.struct("open_ts", "user_conn", "username"))
     lists = pairs.groupBy("_bucket", "_salt", "conn_id", "kind", "ts").agg(
         F.sort_array(F.collect_list(member)).alias("_members")
     )
@@ -158,6 +152,18 @@ def presence(admissions: DataFrame, bucket_seconds: int = 3600, **heavy_options)
     )
 
 
+def presence(admissions: DataFrame, bucket_seconds: int = 3600, **heavy_options) -> DataFrame:
+    """User list and its size after each admission and each close."""
+    holders = _holders(admissions).select(
+        "user_conn",
+        "username",
+        "open_ts",
+        F.col("open_ts").alias("seen_from"),
+        F.col("close_ts").alias("seen_to"),
+    )
+    return user_lists(presence_changes(admissions), holders, bucket_seconds, **heavy_options)
+
+
 def online_counts(admissions: DataFrame) -> DataFrame:
     """Number of users online from each instant at which it may change."""
     counts = open_counts(_holders(admissions), "open_ts", "close_ts")

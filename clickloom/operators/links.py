@@ -69,22 +69,16 @@ def _flag_by_substrings(df: DataFrame, column: str, lowered: DataFrame, flag: st
     return marked.withColumn(flag, F.when(F.col(column).isNotNull(), known))
 
 
-def add_links(
+def judge_adds(
     requests: DataFrame,
     users: DataFrame,
-    links: DataFrame,
     words: DataFrame,
     filter_on: bool = True,
     code_salt: str = "",
-) -> tuple[DataFrame, DataFrame]:
-    """Outcome of each add request and the links to append (without their ids).
-
-    The first rule that fails gives the status. Among requests for the same free
-    custom code in one batch the lowest `request_id` wins. The winner is found
-    by a pre-aggregated minimum per code and comes back by the unique
-    `request_id`, so a code that everybody asks for never fills one task.
-    """
-    custom = present(F.col("customshorturlcode"))
+) -> DataFrame:
+    """Add requests with `_failed`, the status of the first rule that fails before
+    the code is compared with others, their `_code`, and whether it is `_custom`."""
+    custom = present(F.coalesce("customshorturlcode", F.lit("")))
     early = F.when(~present(F.coalesce("token", F.lit(""))), 400).when(
         ~present(F.coalesce("redirecturl", F.lit(""))), 402
     )
@@ -96,8 +90,8 @@ def add_links(
     judged = lookup_join(asked, owners.withColumnRenamed("token", "_token"), ["_token"])
     judged = flag_filtered(judged, "customshorturlcode", words, "_filtered")
     profane = F.col("_filtered") if filter_on else F.lit(False)
-    judged = judged.select(
-        "*",
+    return judged.select(
+        *requests.columns,
         F.coalesce(
             F.col("_early"),
             F.when(F.col("owner_id").isNull(), 401)
@@ -109,6 +103,24 @@ def add_links(
         .alias("_code"),
         custom.alias("_custom"),
     )
+
+
+def add_links(
+    requests: DataFrame,
+    users: DataFrame,
+    links: DataFrame,
+    words: DataFrame,
+    filter_on: bool = True,
+    code_salt: str = "",
+) -> tuple[DataFrame, DataFrame]:
+    """Outcome of each add request and the links to append (without their ids).
+
+    The first rule that fails gives the status. Among requests for the same free
+    custom code in one batch the lowest `request_id` wins. The winner is found
+    by a pre-aggregated minimum per code and comes back by the unique
+    `request_id`, so a code that everybody asks for never fills one task.
+    """
+    judged = judge_adds(requests, users, words, filter_on, code_salt)
     winners = (
         judged.filter(F.col("_failed").isNull() & F.col("_custom"))
         .groupBy(F.col("_code").alias("shorturl"))

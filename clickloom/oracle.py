@@ -192,6 +192,19 @@ SELECT payload_id, type, CASE type WHEN 'text' THEN 'text='||payload WHEN 'url'
  FROM (SELECT *, {_TYPE} AS type FROM qr_payloads)""",
 }
 
+CHECKS |= {
+    "stream_clicks": CHECKS["build_clicks"],
+    "stream_click_totals": "SELECT shorturl, count(*) AS clicks FROM clicks GROUP BY shorturl",
+    "stream_rate_limit": CHECKS["rate_limit_windows"],
+    "stream_rate_limit_anchored": CHECKS["rate_limit_anchored"],
+    "stream_unlocks": CHECKS["apply_unlocks"],
+    "stream_admissions": "SELECT conn_id, username, admitted FROM chat_admissions WHERE username IS NOT NULL",
+    "stream_presence": CHECKS["presence"],
+    "stream_fan_out": CHECKS["fan_out"],
+    "stream_first_username": "SELECT username, request_id FROM signup_results WHERE NOT missing AND NOT taken AND place = 1",
+    "stream_first_code": "SELECT request_id, code AS shorturl FROM add_outcomes WHERE status = 200 AND custom",
+}
+
 
 def oracle_texts() -> dict[str, str]:
     return {name: with_views(text, CHECK_VIEWS) for name, text in CHECKS.items()}

@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from clickloom import schemas
 from clickloom.fixtures import VIEWS, base_table, direct_views, reads, run, view
 from clickloom.functions import rules
 from clickloom.operators import accounts, chat, clicks, links, payloads, traffic
 from clickloom.sources import tables, text
-from clickloom.storage import stage
+from clickloom.storage import new_folder, stage, staged
+from clickloom.streaming import chat as live_chat
+from clickloom.streaming import clicks as live_clicks
+from clickloom.streaming import runner
+from clickloom.streaming import traffic as live_traffic
 
 HOST = "links.example"
 CODE_SALT = "salt"
@@ -40,7 +45,23 @@ class _Views:
         return {v: getattr(self, v) for v in direct_views(name)}
 
     def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        return stage(build, self.spark, self.sf_dir, name)
+        return stage(self.spark, self.sf_dir, name, build)
+
+    def stream(self, name: str) -> DataFrame:
+        """The files of a stored view as a stream."""
+        build = (
+            (lambda: chat.admit(self.chat_conns))
+            if name == "admissions"
+            else (lambda: view(self.spark, self.sf_dir, name, self._inputs(name)))
+        )
+        path, schema = staged(self.spark, self.sf_dir, name, build)
+        return runner.read_stream(self.spark, path, schema)
+
+    def run_stream(self, name: str, start: Callable[[str, str], StreamingQuery]) -> DataFrame:
+        """Run a stream over all that is there and read what it wrote."""
+        folder = new_folder(self.spark, name)
+        runner.finish(start(f"{folder}/out", f"{folder}/checkpoint"))
+        return self.spark.read.parquet(f"{folder}/out")
 
     def base(self, name: str) -> DataFrame:
         return base_table(self.spark, self.sf_dir, name)
@@ -480,3 +501,123 @@ def payload_fields(v):
     return found.select(
         "payload_id", "type", F.array_join(F.array_sort(pairs), "|").alias("fields")
     )
+
+
+# Streams
+
+
+@query
+def stream_clicks(v):
+    return v.run_stream(
+        "clicks-stream",
+        lambda out, state: live_clicks.stream_clicks(
+            v.stream("link_hits"), v.shorturls, v.geo, out, state
+        ),
+    )
+
+
+@query
+def stream_click_totals(v):
+    written = v.run_stream(
+        "totals-stream",
+        lambda out, state: live_clicks.stream_click_totals(v.stream("clicks"), out, state),
+    )
+    return live_clicks.latest_totals(written)
+
+
+@query
+def stream_rate_limit(v):
+    written = v.run_stream(
+        "limit-stream",
+        lambda out, state: live_traffic.stream_rate_limit(
+            v.stream("http_requests"), out, state, delay="2 days", **LIMIT
+        ),
+    )
+    return live_traffic.latest_windows(written)
+
+
+@query
+def stream_rate_limit_anchored(v):
+    written = v.run_stream(
+        "anchored-stream",
+        lambda out, state: live_traffic.stream_rate_limit_anchored(
+            v.stream("http_requests"), out, state, **LIMIT
+        ),
+    )
+    return written.select("request_id", "ip", "limited")
+
+
+@query
+def stream_unlocks(v):
+    outcomes = v.run_stream(
+        "unlock-stream",
+        lambda out, state: live_clicks.stream_unlocks(
+            v.stream("unlock_attempts"), v.shorturls, v.clicks, out, state
+        ),
+    )
+    return live_clicks.current_clicks(v.clicks, outcomes)
+
+
+@query
+def stream_admissions(v):
+    written = v.run_stream(
+        "admission-stream",
+        lambda out, state: live_chat.stream_admissions(
+            live_chat.connection_events(v.stream("chat_conns")), out, state
+        ),
+    )
+    return written.filter("kind = 'open'").select("conn_id", "username", "admitted")
+
+
+@query
+def stream_presence(v):
+    state = new_folder(v.spark, "presence-state")
+    lists = v.run_stream(
+        "presence-stream",
+        lambda out, checkpoint: live_chat.stream_presence(
+            live_chat.connection_events(v.stream("chat_conns")), out, state, checkpoint
+        ),
+    )
+    return lists.drop("batch").withColumn("users", F.array_join("users", ","))
+
+
+@query
+def stream_fan_out(v):
+    bounds = {"delay": "40 days", "longest": "'1' DAY"}
+    return v.run_stream(
+        "fan-out-stream",
+        lambda out, state: live_chat.stream_fan_out(
+            live_chat.stream_messages(v.stream("chat_frames"), v.stream("admissions"), **bounds),
+            v.stream("admissions"),
+            out,
+            state,
+            **bounds,
+        ),
+    )
+
+
+@query
+def stream_first_username(v):
+    requests = accounts.complete_requests(v.stream("signup_requests"))
+    written = v.run_stream(
+        "username-stream",
+        lambda out, state: live_traffic.stream_first_writer(
+            requests, "username", v.users, out, state
+        ),
+    )
+    return live_traffic.first_writers(written, "username")
+
+
+@query
+def stream_first_code(v):
+    judged = links.judge_adds(v.stream("add_requests"), v.users, v.words, code_salt=CODE_SALT)
+    asked = judged.filter("_failed IS NULL AND _custom").select(
+        "request_id", F.col("_code").alias("shorturl")
+    )
+    written = v.run_stream(
+        "code-stream",
+        lambda out, state: live_traffic.stream_first_writer(
+            asked, "shorturl", v.shorturls, out, state
+        ),
+    )
+    return live_traffic.first_writers(written, "shorturl")

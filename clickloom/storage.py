@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -40,20 +41,28 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/clickloom/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df_of, spark: SparkSession, key: str, name: str) -> DataFrame:
-    """Write a derived table once per session and read it back.
-
-    Readers then start from a stored table, as they would in the service, with a
-    known size and a short lineage. `df_of` builds the table when it is not there
-    yet. Without a work folder the table stays a plan.
-    """
-    if work_folder(spark) is None:
-        return df_of()
+def staged(
+    spark: SparkSession, key: str, name: str, build: Callable[[], DataFrame]
+) -> tuple[str, StructType]:
+    """Folder and layout of a derived table, written once per session."""
     slot = (spark.sparkContext.applicationId, f"{key}/{name}")
     if slot not in _STAGED:
         path = new_folder(spark, name)
-        built = df_of()
+        built = build()
         built.write.parquet(path)
         _STAGED[slot] = path, built.schema
-    path, schema = _STAGED[slot]
+    return _STAGED[slot]
+
+
+def stage(
+    spark: SparkSession, key: str, name: str, build: Callable[[], DataFrame]
+) -> DataFrame:
+    """A derived table, read back from where it is staged.
+
+    Readers then start from a stored table, as they would in the service, with a
+    known size and a short lineage. Without a work folder the table stays a plan.
+    """
+    if work_folder(spark) is None:
+        return build()
+    path, schema = staged(spark, key, name, build)
     return spark.read.schema(schema).parquet(path)
