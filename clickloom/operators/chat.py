@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.functions.rules import js_trim
+from clickloom.functions.rules import js_trim, micros
 from clickloom.plans.chains import greedy_intervals
 from clickloom.plans.skew import lookup_join
 from clickloom.plans.timeline import count_open, open_counts, stab
@@ -85,7 +85,7 @@ def check_join(conns: DataFrame) -> DataFrame:
 
 
 def admit(
-    conns: DataFrame, slice_seconds: int = NAME_SLICE_SECONDS, **heavy_options
+    conns: DataFrame, slice_seconds: int = NAME_SLICE_SECONDS
 ) -> DataFrame:
     """Add `username`, `admitted` and `error`.
 
@@ -96,8 +96,13 @@ def admit(
     checked = check_join(conns)
     valid = checked.filter(F.col("error").isNull())
     chosen = greedy_intervals(
-        valid, "username", "open_ts", "close_ts", "conn_id", slice_seconds, **heavy_options
-    ).withColumn("_in", F.lit(True))
+        valid,
+        F.col("username"),
+        micros(F.col("open_ts")),
+        micros(F.col("close_ts")),
+        F.col("conn_id"),
+        slice_seconds,
+    ).select(F.col("id").alias("conn_id"), F.lit(True).alias("_in"))
     admitted = F.coalesce("_in", F.lit(False))
     return (
         checked.join(chosen, "conn_id", "left")
@@ -128,7 +133,7 @@ def _holders(admissions: DataFrame) -> DataFrame:
 
 
 def user_lists(
-    changes: DataFrame, holders: DataFrame, bucket_seconds: int = 3600, **heavy_options
+    changes: DataFrame, holders: DataFrame, bucket_seconds: int = 3600
 ) -> DataFrame:
     """User list, in connection order, and its size at each change.
 
@@ -137,7 +142,7 @@ def user_lists(
     task is one row per change.
     """
     pairs = stab(
-        changes, holders, "ts", "seen_from", "seen_to", "left", bucket_seconds, **heavy_options
+        changes, holders, "ts", "seen_from", "seen_to", "left", bucket_seconds
     )
     member = F.when(F.col("username").isNotNull(), F.struct("open_ts", "user_conn", "username"))
     lists = pairs.groupBy("_bucket", "_salt", "conn_id", "kind", "ts").agg(
@@ -152,7 +157,7 @@ def user_lists(
     )
 
 
-def presence(admissions: DataFrame, bucket_seconds: int = 3600, **heavy_options) -> DataFrame:
+def presence(admissions: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     """User list and its size after each admission and each close."""
     holders = _holders(admissions).select(
         "user_conn",
@@ -161,7 +166,7 @@ def presence(admissions: DataFrame, bucket_seconds: int = 3600, **heavy_options)
         F.col("open_ts").alias("seen_from"),
         F.col("close_ts").alias("seen_to"),
     )
-    return user_lists(presence_changes(admissions), holders, bucket_seconds, **heavy_options)
+    return user_lists(presence_changes(admissions), holders, bucket_seconds)
 
 
 def online_counts(admissions: DataFrame) -> DataFrame:
@@ -215,7 +220,7 @@ def check_frame(frames: DataFrame) -> DataFrame:
     )
 
 
-def sent_messages(frames: DataFrame, admissions: DataFrame, **heavy_options) -> DataFrame:
+def sent_messages(frames: DataFrame, admissions: DataFrame) -> DataFrame:
     """Accepted frames sent by an admitted connection while it is open."""
     senders = admissions.filter("admitted").select("conn_id", "username", "open_ts", "close_ts")
     accepted = check_frame(frames).filter("status = 'accepted'")
@@ -225,27 +230,26 @@ def sent_messages(frames: DataFrame, admissions: DataFrame, **heavy_options) ->
         ["conn_id"],
         "inner",
         where="d.open_ts <= f.ts AND f.ts < d.close_ts",
-        **heavy_options,
     ).select("frame_id", "conn_id", "ts", "username", "message", "frame")
 
 
 def fan_out(
-    frames: DataFrame, admissions: DataFrame, bucket_seconds: int = 3600, **heavy_options
+    frames: DataFrame, admissions: DataFrame, bucket_seconds: int = 3600
 ) -> DataFrame:
     """One row per message and connection that gets it (the sender's too)."""
     recipients = _holders(admissions).select(
         F.col("user_conn").alias("recipient_conn"), "open_ts", "close_ts"
     )
-    sent = sent_messages(frames, admissions, **heavy_options).select("frame_id", "ts")
+    sent = sent_messages(frames, admissions).select("frame_id", "ts")
     pairs = stab(
-        sent, recipients, "ts", "open_ts", "close_ts", "inner", bucket_seconds, **heavy_options
+        sent, recipients, "ts", "open_ts", "close_ts", "inner", bucket_seconds
     )
     return pairs.select("frame_id", "recipient_conn")
 
 
-def delivery_counts(frames: DataFrame, admissions: DataFrame, **heavy_options) -> DataFrame:
+def delivery_counts(frames: DataFrame, admissions: DataFrame) -> DataFrame:
     """Number of recipients per message, without making the pairs."""
-    sent = sent_messages(frames, admissions, **heavy_options).select("frame_id", "ts")
+    sent = sent_messages(frames, admissions).select("frame_id", "ts")
     return count_open(
-        sent, "ts", _holders(admissions), "open_ts", "close_ts", "recipients", **heavy_options
+        sent, "ts", _holders(admissions), "open_ts", "close_ts", "recipients"
     ).select("frame_id", "recipients")

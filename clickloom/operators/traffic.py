@@ -85,31 +85,35 @@ def rate_limit_anchored(
     window_seconds: int = WINDOW_SECONDS,
     max_hits: int = MAX_HITS,
     slice_seconds: int | None = None,
-    **heavy_options,
 ) -> DataFrame:
     """Add `limited` under windows that open at a key's first hit after the last one ended."""
     width = window_seconds * 1_000_000
     hits = requests.select(
-        F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), ts, order
+        F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"),
+        micros(F.col(ts)).alias("_at"),
+        ts,
+        order,
     )
-    ends = F.col("_ts") + F.expr(f"INTERVAL '{int(window_seconds)}' SECOND")
     # Hits at one instant open the same window: one row per instant will do.
-    instants = (
-        hits.groupBy("_key", F.col(ts).alias("_ts"))
-        .agg(F.min(order).alias("_id"))
-        .withColumn("_end", ends)
-    )
+    instants = hits.groupBy("_key", "_at").agg(F.min(order).alias("_id"))
     chosen = greedy_intervals(
-        instants, "_key", "_ts", "_end", "_id", slice_seconds or 32 * window_seconds, **heavy_options
+        instants,
+        F.col("_key"),
+        F.col("_at"),
+        F.col("_at") + width,
+        F.col("_id"),
+        slice_seconds or 32 * window_seconds,
     )
-    opened = instants.join(chosen, "_id", "left_semi")
     # A window touches two buckets of its own width, a hit is in one.
-    bucket = F.floor(micros(F.col("_ts")) / F.lit(width))
-    windows = opened.select(
-        "_key", F.col("_ts").alias("_start"), "_end", F.explode(F.array(bucket, bucket + 1)).alias("_bucket")
+    bucket = F.floor(F.col("start") / F.lit(width))
+    windows = chosen.select(
+        F.col("grp").alias("_key"),
+        F.col("start").alias("_start"),
+        F.col("end").alias("_end"),
+        F.explode(F.array(bucket, bucket + 1)).alias("_bucket"),
     )
-    placed = hits.withColumn("_bucket", F.floor(micros(F.col(ts)) / F.lit(width)))
-    inside = f"d._start <= f.{ts} AND f.{ts} < d._end"
+    placed = hits.withColumn("_bucket", F.floor(F.col("_at") / F.lit(width)))
+    inside = "d._start <= f._at AND f._at < d._end"
     assigned = lookup_join(placed, windows, ["_key", "_bucket"], "inner", where=inside)
     return _flag_beyond(requests, assigned, ["_key", "_start"], ts, order, max_hits)
 

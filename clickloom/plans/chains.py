@@ -22,17 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.functions.rules import micros
-from clickloom.plans.skew import HEAVY_KEYS, HEAVY_ROWS, heavy_keys, mark_heavy
+from clickloom.plans.skew import heavy_keys, mark_heavy
 
 ALWAYS_FREE = -(2**62)
 
 _TABLE = "grp string, slice long, upto long, free long"
 _ENTRY = "grp string, slice long, free long"
-_TAKEN = "grp string, slice long, id long"
+_TAKEN = "grp string, start long, end long, id long"
 
 
 def _runs(pdf: pd.DataFrame) -> Iterator[tuple[tuple, int, int]]:
@@ -125,32 +124,25 @@ def _choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 free = ends[at]
                 at = bisect_left(starts, free, at + 1, last)
         chosen = pdf.iloc[taken]
-        yield chosen[chosen["real"]][["grp", "slice", "id"]]
+        yield chosen[chosen["real"]][["grp", "start", "end", "id"]]
 
 
 def greedy_intervals(
-    df: DataFrame,
-    key: str,
-    start: str,
-    end: str,
-    order: str,
-    slice_seconds: int,
-    top: int = HEAVY_KEYS,
-    min_rows: int = HEAVY_ROWS,
+    df: DataFrame, key: Column, start: Column, end: Column, order: Column, slice_seconds: int
 ) -> DataFrame:
-    """The `order` ids of the chosen intervals, as a one-column DataFrame.
+    """The chosen intervals as (grp, start, end, id), times in microseconds.
 
     `order` is a unique integer that breaks ties of `start`; `start` and `end`
-    are zone-free timestamps and not NULL; an empty key counts as a key.
+    are microseconds and not NULL; a missing key counts as an empty one.
     """
     rows = df.select(
-        F.coalesce(F.col(key).cast("string"), F.lit("")).alias("grp"),
-        micros(F.col(start)).alias("start"),
-        micros(F.col(end)).alias("end"),
-        F.col(order).cast("long").alias("id"),
+        F.coalesce(key.cast("string"), F.lit("")).alias("grp"),
+        start.alias("start"),
+        end.alias("end"),
+        order.cast("long").alias("id"),
         F.lit(True).alias("real"),
     )
-    heavy = heavy_keys(rows, ["grp"], top=top, min_rows=min_rows)
+    heavy = heavy_keys(rows, ["grp"])
     rows = mark_heavy(rows, heavy, ["grp"]).withColumn(
         "slice",
         F.when(F.col("_heavy"), F.floor(F.col("start") / F.lit(slice_seconds * 1_000_000)))
@@ -184,5 +176,4 @@ def greedy_intervals(
         .repartition("grp", "slice")
         .sortWithinPartitions("grp", "slice", "start", F.col("id").asc_nulls_first())
         .mapInPandas(_choose, _TAKEN)
-        .select(F.col("id").alias(order))
     )

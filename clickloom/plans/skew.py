@@ -12,27 +12,34 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HEAVY_KEYS = 1000
-HEAVY_ROWS = 1_000_000
-SALTS = 64
+# Defaults of the session settings that tune this: how many keys may count as
+# heavy, from how many rows on, and over how many salts their rows are spread.
+SETTINGS = {
+    "clickloom.heavyKeys": 1000,
+    "clickloom.heavyRows": 1_000_000,
+    "clickloom.salts": 64,
+}
 
 _UNHASHABLE = re.compile(r"map<|variant")
 _SALT = "_salt"
 _HEAVY = "_heavy"
 
 
+def setting(spark: SparkSession, name: str) -> int:
+    return int(spark.conf.get(name, str(SETTINGS[name])))
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether Spark's own size estimate puts `df` below the broadcast threshold."""
-    threshold = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b")
     plan = getattr(df, "_jdf", None)
     if plan is None:  # a remote session does not show the plan
         return False
-    jvm = df.sparkSession.sparkContext._jvm
-    limit = jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(threshold)
-    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+    limit = plan.sparkSession().sessionState().conf().autoBroadcastJoinThreshold()
+    estimate = plan.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(estimate)) <= int(limit)
 
 
 def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,25 +47,24 @@ def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
 
 
-def heaviest(
-    counts: DataFrame, keys: list[str], top: int = HEAVY_KEYS, min_rows: int = HEAVY_ROWS
-) -> DataFrame:
-    """The at most `top` keys that hold the most rows, each with at least `min_rows`.
+def heaviest(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """The at most `clickloom.heavyKeys` keys that hold the most rows.
 
-    At most `top` rows come back, so the result may always be broadcast, and any
-    key left out holds less than 1/top of the rows. Ties are cut by key order so
-    that every evaluation picks the same keys.
+    So few rows come back that the result may always be broadcast, and of n heavy
+    keys any key left out holds less than 1/n of the rows. Ties are cut by key
+    order so that every evaluation picks the same keys.
     """
+    spark = counts.sparkSession
     return (
-        counts.filter(F.col("_rows") >= min_rows)
+        counts.filter(F.col("_rows") >= setting(spark, "clickloom.heavyRows"))
         .orderBy(F.desc("_rows"), *keys)
-        .limit(top)
+        .limit(setting(spark, "clickloom.heavyKeys"))
         .select(*keys, F.lit(True).alias(_HEAVY))
     )
 
 
-def heavy_keys(df: DataFrame, keys: list[str], **heavy_options) -> DataFrame:
-    return heaviest(key_counts(df, keys), keys, **heavy_options)
+def heavy_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    return heaviest(key_counts(df, keys), keys)
 
 
 def mark_heavy(df: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,12 +73,13 @@ def mark_heavy(df: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
     return marked.withColumn(_HEAVY, F.coalesce(F.col(_HEAVY), F.lit(False)))
 
 
-def salt_rows(df: DataFrame, heavy: DataFrame, keys: list[str], salts: int = SALTS) -> DataFrame:
-    """Give rows of heavy or NULL keys one of `salts` values, all others 0.
+def salt_rows(df: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
+    """Give rows of heavy or NULL keys one of the salts, all others 0.
 
     The salt hashes the whole row plus the task's partition number: identical
     copies spread too, and a task that runs again gives every row the same salt.
     """
+    salts = setting(df.sparkSession, "clickloom.salts")
     hashed = [f.name for f in df.schema.fields if not _UNHASHABLE.search(f.dataType.simpleString())]
     spread = F.pmod(F.xxhash64(*hashed) + F.spark_partition_id(), F.lit(salts)).cast("int")
     no_key = F.lit(False)
@@ -85,8 +92,9 @@ def salt_rows(df: DataFrame, heavy: DataFrame, keys: list[str], salts: int = SAL
     ).drop(_HEAVY)
 
 
-def repeat_rows(df: DataFrame, heavy: DataFrame, keys: list[str], salts: int = SALTS) -> DataFrame:
+def repeat_rows(df: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
     """Repeat the rows of heavy keys once per salt, all others once with salt 0."""
+    salts = setting(df.sparkSession, "clickloom.salts")
     marked = mark_heavy(df, heavy, keys)
     values = F.when(F.col(_HEAVY), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
         F.array(F.lit(0))
@@ -101,9 +109,7 @@ def lookup_join(
     how: str = "left",
     where: str | None = None,
     keep_salt: bool = False,
-    top: int = HEAVY_KEYS,
-    min_rows: int = HEAVY_ROWS,
-    salts: int = SALTS,
+    weights: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join `fact` with `lookup` on `keys`; `how` is inner, left, left_semi or left_anti.
 
@@ -111,7 +117,8 @@ def lookup_join(
     The sides must share no other column names. The result has the fact columns
     and, except for semi and anti joins, the further lookup columns. With
     `keep_salt` the salt stays, so a grouping by (keys, _salt, ...) needs no
-    second shuffle.
+    second shuffle. Heavy keys are those with the most fact rows, or, given
+    `weights`, the ones with the largest `_rows` there.
     """
     extra = [c for c in lookup.columns if c not in keys]
     clash = set(extra) & set(fact.columns)
@@ -119,8 +126,8 @@ def lookup_join(
         raise ValueError(f"columns on both sides: {sorted(clash)}")
     salted = not fact.isStreaming and not fits_broadcast(lookup)
     if salted:
-        heavy = heavy_keys(fact, keys, top=top, min_rows=min_rows)
-        left, right = salt_rows(fact, heavy, keys, salts), repeat_rows(lookup, heavy, keys, salts)
+        heavy = heaviest(key_counts(fact, keys) if weights is None else weights, keys)
+        left, right = salt_rows(fact, heavy, keys), repeat_rows(lookup, heavy, keys)
         on = [*keys, _SALT]
     else:
         left, right, on = fact, lookup, keys
