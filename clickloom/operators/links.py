@@ -51,17 +51,12 @@ def flag_filtered(df: DataFrame, column: str, words: DataFrame, flag: str = "fil
 def _flag_by_substrings(df: DataFrame, column: str, lowered: DataFrame, flag: str) -> DataFrame:
     lengths = lowered.select(F.length("word").alias("n")).agg(F.collect_set("n")).scalar()
     texts = df.select(column).dropna().distinct()
-    low, size = F.lower(F.col(column)), F.length(F.lower(F.col(column)))
-    pieces = texts.select(
-        column, F.explode(F.filter(lengths, lambda n: n <= size)).alias("_n"), low.alias("_low")
-    ).select(
-        column,
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.length("_low") - F.col("_n") + 1),
-                lambda at: F.col("_low").substr(at, F.col("_n")),
-            )
-        ).alias("word"),
+    sized = texts.select(
+        column, F.lower(F.col(column)).alias("_low"), F.explode(lengths).alias("_n")
+    ).filter(F.col("_n") <= F.length("_low"))
+    starts = F.sequence(F.lit(1), F.length("_low") - F.col("_n") + 1)
+    pieces = sized.select(
+        column, F.explode(F.transform(starts, lambda at: F.col("_low").substr(at, F.col("_n")))).alias("word")
     )
     bad = lookup_join(pieces.distinct(), lowered, ["word"], "left_semi").select(column).distinct()
     marked = lookup_join(df, bad.withColumn(flag, F.lit(True)), [column])

@@ -442,7 +442,7 @@ def extract_code(v):
 
 @query
 def js_trim(v):
-    padded = F.concat(F.lit(" \t"), F.col("p_name"), F.lit("　﻿\n"))
+    padded = F.concat(F.lit("\u00a0\t"), F.col("p_name"), F.lit("\u3000\ufeff\n"))
     return v.base("part").select("p_partkey", rules.js_trim(padded).alias("trimmed"))
 
 
@@ -621,3 +621,10 @@ def stream_first_code(v):
         ),
     )
     return live_traffic.first_writers(written, "shorturl")
+
+
+def stored_views(spark: SparkSession, sf_dir: str, names: list[str]) -> None:
+    """Store fixture views ahead of the queries that read them."""
+    views = _Views(spark, sf_dir)
+    for name in names:
+        getattr(views, name)
