@@ -141,9 +141,7 @@ def user_lists(
     put together in the task that pairs it with the holders; what leaves that
     task is one row per change.
     """
-    pairs = stab(
-        changes, holders, "ts", "seen_from", "seen_to", "left", bucket_seconds
-    )
+    pairs = stab(changes, holders, "ts", "seen_from", "seen_to", "left", bucket_seconds)
     member = F.when(F.col("username").isNotNull(), F.struct("open_ts", "user_conn", "username"))
     lists = pairs.groupBy("_bucket", "_salt", "conn_id", "kind", "ts").agg(
         F.sort_array(F.collect_list(member)).alias("_members")
@@ -242,7 +240,7 @@ def fan_out(
     )
     sent = sent_messages(frames, admissions).select("frame_id", "ts")
     pairs = stab(
-        sent, recipients, "ts", "open_ts", "close_ts", "inner", bucket_seconds
+        sent, recipients, "ts", "open_ts", "close_ts", "inner", bucket_seconds, times=frames
     )
     return pairs.select("frame_id", "recipient_conn")
 
@@ -251,5 +249,5 @@ def delivery_counts(frames: DataFrame, admissions: DataFrame) -> DataFrame:
     """Number of recipients per message, without making the pairs."""
     sent = sent_messages(frames, admissions).select("frame_id", "ts")
     return count_open(
-        sent, "ts", _holders(admissions), "open_ts", "close_ts", "recipients"
+        sent, "ts", _holders(admissions), "open_ts", "close_ts", "recipients", times=frames
     ).select("frame_id", "recipients")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.rules import first_present, normalize_url, present, utc_second
-from clickloom.plans.skew import first_per_key, lookup_join
+from clickloom.plans.skew import first_per_key, key_counts, lookup_join
 
 
 def _targets(links: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def _targets(links: DataFrame) -> DataFrame:
     )
 
 
-def _protected() :
+def _protected() -> Column:
     return present(F.coalesce("_password", F.lit("")))
 
 
@@ -38,24 +38,31 @@ def resolve_hits(hits: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def enrich_geo(hits: DataFrame, geo: DataFrame, how: str = "left") -> DataFrame:
+def enrich_geo(
+    hits: DataFrame, geo: DataFrame, how: str = "left", weights: DataFrame | None = None
+) -> DataFrame:
     """Add isp, city, region and country by `ip`; `how="inner"` drops failed lookups."""
-    return lookup_join(hits, geo.select("ip", "isp", "city", "region", "country"), ["ip"], how)
+    places = geo.select("ip", "isp", "city", "region", "country")
+    return lookup_join(hits, places, ["ip"], how, weights=weights)
 
 
 def build_clicks(hits: DataFrame, links: DataFrame, geo: DataFrame, how: str = "left") -> DataFrame:
     """Click rows of the hits on known codes, in the stored column layout."""
-    known = lookup_join(hits, _targets(links), ["shorturl"], "inner")
-    seen = known.select(
+    seen = hits.select(
         "id",
         "shorturl",
         utc_second(F.col("ts")).alias("timestamp"),
         first_present(F.col("xff"), F.col("remote_addr")).alias("ip"),
         "useragent",
+    )
+    known = lookup_join(seen, _targets(links), ["shorturl"], "inner").select(
+        *seen.columns,
         F.col("_target").alias("referrer"),
         F.when(_protected(), "No").otherwise("N/A").alias("password_status"),
     )
-    return enrich_geo(seen, geo, how).select(
+    # Busy addresses are counted on the hits themselves, not behind the join.
+    weights = None if hits.isStreaming else key_counts(seen, ["ip"])
+    return enrich_geo(known, geo, how, weights).select(
         "id",
         "shorturl",
         "timestamp",
@@ -145,7 +152,9 @@ def unlock_outcomes(attempts: DataFrame, links: DataFrame, clicks: DataFrame) ->
     # Only right passwords are looked up among the clicks.
     checked = checked.withColumn("_id", F.when(F.col("_failed").isNull(), F.col("click_id")))
     ids = clicks.select(F.col("id").alias("_id"), F.lit(1).cast("long").alias("_found"))
-    joined = lookup_join(checked, ids, ["_id"]).withColumn(
+    tried = attempts.select(F.col("click_id").alias("_id"))
+    weights = None if attempts.isStreaming else key_counts(tried, ["_id"])
+    joined = lookup_join(checked, ids, ["_id"], weights=weights).withColumn(
         "matched", F.when(F.col("_failed").isNull(), F.coalesce("_found", F.lit(0)))
     )
     status = F.coalesce("_failed", F.when(F.col("matched") > 0, 200).otherwise(404))

@@ -81,7 +81,8 @@ def salt_rows(df: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
     """
     salts = setting(df.sparkSession, "clickloom.salts")
     hashed = [f.name for f in df.schema.fields if not _UNHASHABLE.search(f.dataType.simpleString())]
-    spread = F.pmod(F.xxhash64(*hashed) + F.spark_partition_id(), F.lit(salts)).cast("int")
+    hashed_salt = F.pmod(F.xxhash64(*hashed), F.lit(salts))
+    spread = F.pmod(hashed_salt + F.spark_partition_id(), F.lit(salts)).cast("int")
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
