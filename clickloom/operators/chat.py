@@ -84,31 +84,46 @@ def check_join(conns: DataFrame) -> DataFrame:
     )
 
 
-def admit(
-    conns: DataFrame, slice_seconds: int = NAME_SLICE_SECONDS
+def chosen_holders(
+    named: DataFrame, slice_seconds: int = NAME_SLICE_SECONDS
 ) -> DataFrame:
-    """Add `username`, `admitted` and `error`.
+    """Ids (`conn_id`) of the connections that get their `username`.
 
-    A name is refused while another admitted connection holds it. Connections
-    are taken in order of (`open_ts`, `conn_id`); a holder frees its name at
-    `close_ts`; a refused connection never holds one.
+    `named` has `_from` and `_to`, in microseconds, for each connection.
     """
-    checked = check_join(conns)
-    valid = checked.filter(F.col("error").isNull())
     chosen = greedy_intervals(
-        valid,
-        F.col("username"),
-        micros(F.col("open_ts")),
-        micros(F.col("close_ts")),
-        F.col("conn_id"),
-        slice_seconds,
-    ).select(F.col("id").alias("conn_id"), F.lit(True).alias("_in"))
+        named, F.col("username"), F.col("_from"), F.col("_to"), F.col("conn_id"), slice_seconds
+    )
+    return chosen.select(F.col("id").alias("conn_id"), F.lit(True).alias("_in"))
+
+
+def with_admission(checked: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Add `admitted`, and the error of connections whose name is taken."""
     admitted = F.coalesce("_in", F.lit(False))
     return (
         checked.join(chosen, "conn_id", "left")
         .withColumn("admitted", admitted)
         .withColumn("error", F.coalesce("error", F.when(~admitted, TAKEN_USERNAME)))
-        .select(*conns.columns, "username", "admitted", "error")
+        .drop("_in")
+    )
+
+
+def admit(conns: DataFrame, slice_seconds: int = NAME_SLICE_SECONDS) -> DataFrame:
+    """Add `username`, `admitted` and `error`.
+
+    A name is refused while another admitted connection holds it. Connections
+    are taken in order of (`open_ts`, `conn_id`); a holder frees its name at
+    `close_ts`; a refused connection never holds one.
+    """
+    checked = check_join(conns)
+    named = checked.filter(F.col("error").isNull()).select(
+        "conn_id",
+        "username",
+        micros(F.col("open_ts")).alias("_from"),
+        micros(F.col("close_ts")).alias("_to"),
+    )
+    return with_admission(checked, chosen_holders(named, slice_seconds)).select(
+        *conns.columns, "username", "admitted", "error"
     )
 
 

@@ -29,17 +29,19 @@ CHAT_ROUTE = ("messagewss", "/api/messagewss")
 
 
 def _flag_beyond(
-    requests: DataFrame, grouped: DataFrame, keys: list[str], ts: str, order: str, max_hits: int
+    requests: DataFrame, grouped: DataFrame, keys: list[str], order: list[str], max_hits: int
 ) -> DataFrame:
     """Flag the requests that are not among the first `max_hits` of their group.
 
-    Each task keeps at most `max_hits` rows per group before the shuffle, and
-    the flag comes back by the unique `order` id, so no group is ever in one
-    task as a whole.
+    `grouped` has the rows with their group `keys`, and `_seen`, the hits of the
+    group before them. Each task keeps at most `max_hits` rows per group before
+    the shuffle, and the flag comes back by the unique id (last of `order`), so
+    no group is ever in one task as a whole.
     """
-    passed = first_n(grouped.select(*keys, ts, order), keys, [ts, order], max_hits)
-    passed = passed.select(order, F.lit(True).alias("_passed"))
-    return requests.join(passed, order, "left").select(
+    first = first_n(grouped.select(*keys, *order, "_seen"), keys, order, max_hits)
+    passed = first.filter(F.col("_rank") + F.col("_seen") <= max_hits)
+    row_id = order[-1]
+    return requests.join(passed.select(row_id, F.lit(True).alias("_passed")), row_id, "left").select(
         *requests.columns, F.col("_passed").isNull().alias("limited")
     )
 
@@ -54,8 +56,8 @@ def rate_limit_tumbling(
 ) -> DataFrame:
     """Add `limited` under clock-aligned windows."""
     window = F.floor(micros(F.col(ts)) / F.lit(window_seconds * 1_000_000)).alias("_window")
-    grouped = requests.select(key, ts, order, window)
-    return _flag_beyond(requests, grouped, [key, "_window"], ts, order, max_hits)
+    grouped = requests.select(key, ts, order, window, F.lit(0).alias("_seen"))
+    return _flag_beyond(requests, grouped, [key, "_window"], [ts, order], max_hits)
 
 
 def window_counts(
@@ -87,15 +89,41 @@ def rate_limit_anchored(
     slice_seconds: int | None = None,
 ) -> DataFrame:
     """Add `limited` under windows that open at a key's first hit after the last one ended."""
+    assigned = assign_anchored(requests, key, ts, order, window_seconds, slice_seconds)
+    return flag_anchored(requests, assigned, order, max_hits)
+
+
+def flag_anchored(
+    requests: DataFrame, assigned: DataFrame, order: str, max_hits: int
+) -> DataFrame:
+    return _flag_beyond(requests, assigned, ["_key", "_start"], ["_at", order], max_hits)
+
+
+def assign_anchored(
+    requests: DataFrame,
+    key: str,
+    ts: str,
+    order: str,
+    window_seconds: int,
+    slice_seconds: int | None = None,
+    before: DataFrame | None = None,
+) -> DataFrame:
+    """The window of each hit: (_key, _at, order, _start, _end, _seen), in microseconds.
+
+    `before` has the windows that are open when the hits begin, at most one per
+    key, with the hits they have seen: (_key, _start, _seen).
+    """
     width = window_seconds * 1_000_000
     hits = requests.select(
         F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"),
         micros(F.col(ts)).alias("_at"),
-        ts,
         order,
     )
     # Hits at one instant open the same window: one row per instant will do.
     instants = hits.groupBy("_key", "_at").agg(F.min(order).alias("_id"))
+    if before is not None:
+        opened = before.select("_key", F.col("_start").alias("_at"), F.lit(None).cast("long").alias("_id"))
+        instants = instants.unionByName(opened)
     chosen = greedy_intervals(
         instants,
         F.col("_key"),
@@ -103,19 +131,21 @@ def rate_limit_anchored(
         F.col("_at") + width,
         F.col("_id"),
         slice_seconds or 32 * window_seconds,
+    ).select(
+        F.col("grp").alias("_key"), F.col("start").alias("_start"), F.col("end").alias("_end")
     )
+    if before is None:
+        chosen = chosen.withColumn("_seen", F.lit(0).cast("long"))
+    else:
+        chosen = chosen.join(before, ["_key", "_start"], "left").withColumn(
+            "_seen", F.coalesce("_seen", F.lit(0).cast("long"))
+        )
     # A window touches two buckets of its own width, a hit is in one.
-    bucket = F.floor(F.col("start") / F.lit(width))
-    windows = chosen.select(
-        F.col("grp").alias("_key"),
-        F.col("start").alias("_start"),
-        F.col("end").alias("_end"),
-        F.explode(F.array(bucket, bucket + 1)).alias("_bucket"),
-    )
+    bucket = F.floor(F.col("_start") / F.lit(width))
+    windows = chosen.withColumn("_bucket", F.explode(F.array(bucket, bucket + 1)))
     placed = hits.withColumn("_bucket", F.floor(F.col("_at") / F.lit(width)))
     inside = "d._start <= f._at AND f._at < d._end"
-    assigned = lookup_join(placed, windows, ["_key", "_bucket"], "inner", where=inside)
-    return _flag_beyond(requests, assigned, ["_key", "_start"], ts, order, max_hits)
+    return lookup_join(placed, windows, ["_key", "_bucket"], "inner", where=inside)
 
 
 def route_of(method: Column, target: Column) -> Column:

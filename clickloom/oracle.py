@@ -73,6 +73,7 @@ _PATH = "regexp_extract(path, '^[^?#]*')"
 CHECKS = {
     "scan_users": "SELECT * FROM users",
     "scan_links": "SELECT * FROM shorturls",
+    "scan_clicks": "SELECT * FROM clean_clicks",
     "filter_words": "SELECT upper(p_name) AS word FROM part WHERE p_partkey % 5 <> 0",
     "parse_requests": """
 SELECT request_id, CASE WHEN request_id % 9 <> 0 THEN redirecturl END AS redirecturl, CASE WHEN request_id % 9 <> 0 THEN customshorturlcode END AS customshorturlcode,
@@ -198,7 +199,7 @@ CHECKS |= {
     "stream_rate_limit": CHECKS["rate_limit_windows"],
     "stream_rate_limit_anchored": CHECKS["rate_limit_anchored"],
     "stream_unlocks": CHECKS["apply_unlocks"],
-    "stream_admissions": "SELECT conn_id, username, admitted FROM chat_admissions WHERE username IS NOT NULL",
+    "stream_admissions": CHECKS["admit"],
     "stream_presence": CHECKS["presence"],
     "stream_fan_out": CHECKS["fan_out"],
     "stream_first_username": "SELECT username, request_id FROM signup_results WHERE NOT missing AND NOT taken AND place = 1",

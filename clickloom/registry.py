@@ -109,6 +109,11 @@ def scan_links(v):
     return v.shorturls
 
 
+@query
+def scan_clicks(v):
+    return v.clicks
+
+
 @query
 def filter_words(v):
     lines = v.base("part").select(
@@ -538,10 +543,11 @@ def stream_rate_limit(v):
 
 @query
 def stream_rate_limit_anchored(v):
+    state = new_folder(v.spark, "anchored-state")
     written = v.run_stream(
         "anchored-stream",
-        lambda out, state: live_traffic.stream_rate_limit_anchored(
-            v.stream("http_requests"), out, state, **LIMIT
+        lambda out, checkpoint: live_traffic.stream_rate_limit_anchored(
+            v.stream("http_requests"), out, state, checkpoint, **LIMIT
         ),
     )
     return written.select("request_id", "ip", "limited")
@@ -560,13 +566,14 @@ def stream_unlocks(v):
 
 @query
 def stream_admissions(v):
+    state = new_folder(v.spark, "admission-state")
     written = v.run_stream(
         "admission-stream",
-        lambda out, state: live_chat.stream_admissions(
-            live_chat.connection_events(v.stream("chat_conns")), out, state
+        lambda out, checkpoint: live_chat.stream_admissions(
+            live_chat.connection_events(v.stream("chat_conns")), out, state, checkpoint
         ),
     )
-    return written.filter("kind = 'open'").select("conn_id", "username", "admitted")
+    return written.select("conn_id", "username", "admitted", "error")
 
 
 @query

@@ -2,155 +2,124 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from clickloom.functions.rules import from_micros, instant, micros
-from clickloom.operators.chat import check_frame, check_join, user_lists
-from clickloom.streaming.runner import append_table, batch_folder, per_batch, with_rocksdb
+from clickloom.operators.chat import (
+    check_frame,
+    check_join,
+    chosen_holders,
+    user_lists,
+    with_admission,
+)
+from clickloom.plans.chains import ALWAYS_FREE
+from clickloom.streaming.runner import append_table, per_batch, read_state, write_state
+
+_NEVER = 2**62
 
-_EVENT = "conn_id long, username string, kind string, at long, opened long"
-_DECISION = f"{_EVENT}, admitted boolean"
-_ONLINE = "user_conn long, username string, open_ts timestamp_ntz"
+_HOLDERS = "conn_id long, username string, open_ts timestamp_ntz"
 
 
 def connection_events(conns: DataFrame) -> DataFrame:
-    """Open and close events of connections: (conn_id, first_frame, kind, ts, open_ts)."""
+    """Open and close events of connections: (conn_id, first_frame, kind, ts)."""
     events = F.array(
         F.struct(F.lit("open").alias("kind"), F.col("open_ts").alias("ts")),
         F.struct(F.lit("close").alias("kind"), F.col("close_ts").alias("ts")),
     )
-    return conns.select("conn_id", "first_frame", "open_ts", F.explode(events).alias("e")).select(
-        "conn_id", "first_frame", "e.kind", "e.ts", "open_ts"
+    return conns.select("conn_id", "first_frame", F.explode(events).alias("e")).select(
+        "conn_id", "first_frame", "e.kind", "e.ts"
     )
 
 
-class _NameHolder(StatefulProcessor):
-    """Per name: the connection that holds it."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.holder = handle.getValueState("holder", "conn_id long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(rows)
-        # At one instant names are freed first; then each connection opens, and
-        # closes if it has no length.
-        events["fresh"] = events["at"] == events["opened"]
-        events["close"] = events["kind"] == "close"
-        events = events.sort_values(["at", "fresh", "conn_id", "close"], kind="stable")
-        holder = self.holder.get()[0] if self.holder.exists() else None
-        admitted = []
-        for conn_id, closing in zip(events["conn_id"].tolist(), events["close"].tolist()):
-            if not closing and holder is None:
-                holder = conn_id
-            admitted.append(holder == conn_id)
-            if closing and holder == conn_id:
-                holder = None
-        if holder is None:
-            self.holder.clear()
-        else:
-            self.holder.update((holder,))
-        columns = ["conn_id", "username", "kind", "at", "opened"]
-        yield events[columns].assign(admitted=admitted)
-
-    def close(self) -> None:
-        pass
-
-
-def admission_decisions(events: DataFrame) -> DataFrame:
-    """Each open and close of a connection with a valid name, with `admitted`.
-
-    Events of a name are taken as they arrive, in time order within a micro-batch.
+def _admit_batch(rows: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Admissions of a micro-batch, and all its holders with their close, if seen.
+
+    The batch rule does it: holders from before come first under their names,
+    and who has not closed within the batch holds its name to the end of it.
     """
-    checked = check_join(events).filter(F.col("error").isNull())
-    keyed = checked.select(
-        "conn_id", "username", "kind", micros(F.col("ts")).alias("at"), micros(F.col("open_ts")).alias("opened")
-    )
-    return keyed.groupBy("username").transformWithStateInPandas(
-        _NameHolder(), _DECISION, "Append", "None"
-    )
+    closes = rows.filter("kind = 'close'").select("conn_id", F.col("ts").alias("close_ts"))
+    opens = check_join(
+        rows.filter("kind = 'open'").select("conn_id", "first_frame", F.col("ts").alias("open_ts"))
+    ).join(closes, "conn_id", "left")
+    held = before.join(closes, "conn_id", "left")
+    until = F.coalesce(micros(F.col("close_ts")), F.lit(_NEVER)).alias("_to")
+    named = (
+        opens.filter(F.col("error").isNull())
+        .select("conn_id", "username", micros(F.col("open_ts")).alias("_from"), until)
+        .unionByName(held.select("conn_id", "username", F.lit(ALWAYS_FREE).alias("_from"), until))
+    )
+    admissions = with_admission(opens, chosen_holders(named)).select(
+        "conn_id", "username", "open_ts", "close_ts", "admitted", "error"
+    )
+    columns = ["conn_id", "username", "open_ts", "close_ts"]
+    return admissions, held.select(*columns).unionByName(admissions.filter("admitted").select(*columns))
+
+
+def _run_admissions(
+    events: DataFrame, out: str, state: str, checkpoint: str, result, **options
+) -> StreamingQuery:
+    """Per micro-batch: admit, keep the holders for the next one, write `result`.
 
+    The state is one row per name held, in a table per batch. Events arrive in
+    time order.
+    """
 
-def stream_admissions(events: DataFrame, out: str, checkpoint: str, **options) -> StreamingQuery:
-    """Write the admission decisions of each micro-batch."""
-    decided = admission_decisions(events)
-    return with_rocksdb(
-        events.sparkSession, lambda: per_batch(decided, out, checkpoint, **options)
-    )
+    def step(rows: DataFrame, batch_id: int) -> DataFrame:
+        spark = rows.sparkSession
+        before = read_state(spark, f"{state}/holders", batch_id - 1, _HOLDERS)
+        admissions, holders = _admit_batch(rows, before)
+        # Stored, as the holders kept and the result both come from it.
+        write_state(admissions, f"{state}/admissions", batch_id)
+        write_state(holders, f"{state}/all", batch_id)
+        holders = read_state(spark, f"{state}/all", batch_id, _HOLDERS + ", close_ts timestamp_ntz")
+        write_state(
+            holders.filter(F.col("close_ts").isNull()).drop("close_ts"), f"{state}/holders", batch_id
+        )
+        admissions = read_state(spark, f"{state}/admissions", batch_id, admissions.schema)
+        return result(rows, admissions, holders)
 
+    return per_batch(events, out, checkpoint, "append", step, **options)
 
-def stream_presence(
+
+def stream_admissions(
     events: DataFrame, out: str, state: str, checkpoint: str, **options
 ) -> StreamingQuery:
-    """User list after each admission and each close.
+    """Write (conn_id, username, open_ts, admitted, error) of each opened connection."""
 
-    Admission is keyed state, in parallel over names. The lists of a micro-batch
-    come from the batch operator, over the users online before it (a table per
-    batch, replaced when a batch runs again) and the ones it admits.
-    """
-    spark = events.sparkSession
-    named = events.select("conn_id", "first_frame", "kind", "ts", "open_ts")
-    bad = (
-        check_join(named)
-        .filter(F.col("error").isNotNull() & (F.col("kind") == "open"))
-        .select(
-            "conn_id",
-            F.lit(None).cast("string").alias("username"),
-            "kind",
-            micros(F.col("ts")).alias("at"),
-            micros(F.col("open_ts")).alias("opened"),
-            F.lit(False).alias("admitted"),
-        )
-    )
-    decided = admission_decisions(named).unionByName(bad)
+    def opened(rows, admissions, holders):
+        return admissions.drop("close_ts")
 
-    def lists(rows: DataFrame, batch_id: int) -> DataFrame:
-        # Written once: the keyed state must not be asked twice for one batch.
-        path = batch_folder(f"{state}/decisions", batch_id)
-        rows.write.mode("overwrite").parquet(path)
-        return _batch_lists(spark, spark.read.schema(_DECISION).parquet(path), state, batch_id)
+    return _run_admissions(events, out, state, checkpoint, opened, **options)
 
-    return with_rocksdb(spark, lambda: per_batch(decided, out, checkpoint, "append", lists, **options))
 
+def stream_presence(
+    events: DataFrame, out: str, state: str, checkpoint: str, **options
+) -> StreamingQuery:
+    """User list after each admission and each close."""
+    return _run_admissions(events, out, state, checkpoint, _batch_lists, **options)
 
-def _batch_lists(spark: SparkSession, rows: DataFrame, state: str, batch_id: int) -> DataFrame:
-    decisions = rows.withColumn("ts", from_micros(F.col("at"))).withColumn("open_ts", from_micros(F.col("opened")))
-    if batch_id > 0:
-        before = spark.read.schema(_ONLINE).parquet(batch_folder(f"{state}/online", batch_id - 1))
-    else:
-        before = spark.createDataFrame([], _ONLINE)
-    opened = decisions.filter("kind = 'open' AND admitted").select(
-        F.col("conn_id").alias("user_conn"), "username", "open_ts"
-    )
-    closed = decisions.filter("kind = 'close' AND admitted").select(
-        F.col("conn_id").alias("user_conn"), F.col("ts").alias("close_ts")
-    )
-    holders = before.unionByName(opened).join(closed, "user_conn", "left")
-    holders.filter(F.col("close_ts").isNull()).select("user_conn", "username", "open_ts").write.mode(
-        "overwrite"
-    ).parquet(batch_folder(f"{state}/online", batch_id))
-    # An interval is looked at only within the time of the batch.
+
+def _batch_lists(rows: DataFrame, admissions: DataFrame, holders: DataFrame) -> DataFrame:
+    """User lists of a micro-batch; holders are looked at within its time only."""
     first, last = (
-        from_micros(F.lit(at).cast("long")) for at in rows.agg(F.min("at"), F.max("at")).first()
+        from_micros(F.lit(at).cast("long"))
+        for at in rows.agg(F.min(micros(F.col("ts"))), F.max(micros(F.col("ts")))).first()
     )
-    changes = decisions.filter("admitted OR kind = 'open'").select(
-        "conn_id",
-        F.when(F.col("admitted") & (F.col("kind") == "open"), "join").otherwise("close").alias("kind"),
-        "ts",
+    joins = admissions.filter("admitted").select("conn_id", F.lit("join").alias("kind"), F.col("open_ts").alias("ts"))
+    refusals = admissions.filter("NOT admitted").select("conn_id", F.lit("close").alias("kind"), F.col("open_ts").alias("ts"))
+    closes = holders.filter(F.col("close_ts").isNotNull()).select(
+        "conn_id", F.lit("close").alias("kind"), F.col("close_ts").alias("ts")
     )
-    end = last + F.expr("INTERVAL '1' SECOND")
     seen = holders.select(
-        "user_conn",
+        F.col("conn_id").alias("user_conn"),
         "username",
         "open_ts",
         F.greatest("open_ts", first).alias("seen_from"),
-        F.coalesce("close_ts", end).alias("seen_to"),
+        F.coalesce("close_ts", last + F.expr("INTERVAL '1' SECOND")).alias("seen_to"),
     )
-    return user_lists(changes, seen)
+    return user_lists(joins.unionByName(refusals).unionByName(closes), seen)
 
 
 def stream_messages(

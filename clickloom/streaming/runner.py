@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-
 
 def read_stream(
     spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None
@@ -62,18 +59,17 @@ def per_batch(
     return writer.start()
 
 
-def with_rocksdb(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
-    """Start a query whose keyed state needs the RocksDB store; a query keeps the
-    store it was started with, so the session setting is put back at once."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, ROCKSDB)
-    try:
-        return start()
-    finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+def read_state(spark: SparkSession, folder: str, batch_id: int, schema: str) -> DataFrame:
+    """State table that a micro-batch left; empty before the first one."""
+    if batch_id < 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(batch_folder(folder, batch_id))
+
+
+def write_state(table: DataFrame, folder: str, batch_id: int) -> None:
+    """Each micro-batch has a state table of its own, so one that is run again
+    still finds what the batch before it left."""
+    table.write.mode("overwrite").parquet(batch_folder(folder, batch_id))
 
 
 def finish(query: StreamingQuery) -> None:

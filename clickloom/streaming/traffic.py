@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from clickloom.functions.rules import from_micros, instant, micros
-from clickloom.operators.traffic import MAX_HITS, WINDOW_SECONDS, window_counts
-from clickloom.streaming.runner import per_batch, with_rocksdb
+from clickloom.operators.traffic import (
+    MAX_HITS,
+    WINDOW_SECONDS,
+    assign_anchored,
+    flag_anchored,
+    window_counts,
+)
+from clickloom.streaming.runner import per_batch, read_state, write_state
+
+_OPEN_WINDOWS = "_key string, _start long, _seen long"
 
 
 def stream_rate_limit(
@@ -43,37 +48,10 @@ def latest_windows(written: DataFrame, key: str = "ip") -> DataFrame:
     )
 
 
-class _AnchoredWindow(StatefulProcessor):
-    """Per key: when the open window began and how many hits it has seen."""
-
-    def __init__(self, width: int, max_hits: int):
-        self.width, self.max_hits = width, max_hits
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getValueState("window", "opened long, hits long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # One key's hits of one micro-batch, in time order.
-        hits = pd.concat(rows).sort_values(["at", "request_id"], kind="stable")
-        opened, seen = self.window.get() if self.window.exists() else (None, 0)
-        limited = []
-        for at in hits["at"].tolist():
-            if opened is None or at >= opened + self.width:
-                opened, seen = at, 0
-            seen += 1
-            limited.append(seen > self.max_hits)
-        self.window.update((opened, seen))
-        yield pd.DataFrame(
-            {"request_id": hits["request_id"], "ip": key[0], "limited": limited}
-        )
-
-    def close(self) -> None:
-        pass
-
-
 def stream_rate_limit_anchored(
     requests: DataFrame,
     out: str,
+    state: str,
     checkpoint: str,
     key: str = "ip",
     ts: str = "ts",
@@ -82,25 +60,30 @@ def stream_rate_limit_anchored(
     max_hits: int = MAX_HITS,
     **options,
 ) -> StreamingQuery:
-    """A limited flag per hit, with windows that open at a key's first hit.
+    """Add `limited` to each hit, with windows that open at a key's first hit.
 
-    The state of a key is two numbers. Hits are taken in time order within a
-    micro-batch; batches follow each other as the hits arrive.
+    A micro-batch goes through the batch operator, which splits a busy key,
+    together with the windows open before it: one row per key with a window that
+    has not ended. Batches follow each other in time order, as hits arrive.
     """
-    hits = requests.select(
-        F.coalesce(F.col(key), F.lit("")).alias("ip"),
-        micros(F.col(ts)).alias("at"),
-        F.col(order).alias("request_id"),
-    )
-    flagged = hits.groupBy("ip").transformWithStateInPandas(
-        _AnchoredWindow(window_seconds * 1_000_000, max_hits),
-        "request_id long, ip string, limited boolean",
-        "Append",
-        "None",
-    )
-    return with_rocksdb(
-        requests.sparkSession, lambda: per_batch(flagged, out, checkpoint, **options)
-    )
+    width = window_seconds * 1_000_000
+
+    def flag(rows: DataFrame, batch_id: int) -> DataFrame:
+        before = read_state(rows.sparkSession, state, batch_id - 1, _OPEN_WINDOWS)
+        assigned = assign_anchored(rows, key, ts, order, window_seconds, before=before)
+        last = rows.agg(F.max(micros(F.col(ts)))).first()[0]
+        windows = (
+            assigned.groupBy("_key", "_start")
+            .agg((F.count(F.lit(1)) + F.max("_seen")).alias("_seen"))
+            .unionByName(before)
+            .filter(F.col("_start") + width > (F.lit(last) if last is not None else F.col("_start")))
+        )
+        # The open window of a key is its latest; its largest count is the last one.
+        still_open = windows.groupBy("_key").agg(F.max(F.struct("_start", "_seen")).alias("_w"))
+        write_state(still_open.select("_key", "_w.*"), state, batch_id)
+        return flag_anchored(rows, assigned, order, max_hits)
+
+    return per_batch(requests, out, checkpoint, "append", flag, **options)
 
 
 def stream_first_writer(

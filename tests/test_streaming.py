@@ -81,11 +81,12 @@ def test_rate_limits(views, in_parts, run):
     assert rows(live_traffic.latest_windows(written)) == rows(batch)
 
 
-def test_anchored_rate_limit(views, in_parts, run):
+def test_anchored_rate_limit(views, in_parts, run, tmp_path, settings):
+    settings(clickloom__heavyRows=3)
     requests = in_parts(views.http_requests, "ts")
     written = run(
-        lambda out, state: live_traffic.stream_rate_limit_anchored(
-            requests, out, state, **registry.LIMIT
+        lambda out, checkpoint: live_traffic.stream_rate_limit_anchored(
+            requests, out, str(tmp_path / "state"), checkpoint, **registry.LIMIT
         )
     )
     batch = traffic.rate_limit_anchored(views.http_requests, **registry.LIMIT)
@@ -105,12 +106,16 @@ def test_unlocks(views, in_parts, run):
     )
 
 
-def test_admissions(views, in_parts, run):
+def test_admissions(views, in_parts, run, tmp_path, settings):
+    settings(clickloom__heavyRows=3)
     events = in_parts(live_chat.connection_events(views.chat_conns), "ts")
-    written = run(lambda out, state: live_chat.stream_admissions(events, out, state))
-    batch = chat.admit(views.chat_conns).filter("username IS NOT NULL")
-    columns = ("conn_id", "username", "admitted")
-    assert rows(written.filter("kind = 'open'"), *columns) == rows(batch, *columns)
+    written = run(
+        lambda out, checkpoint: live_chat.stream_admissions(
+            events, out, str(tmp_path / "state"), checkpoint
+        )
+    )
+    columns = ("conn_id", "username", "admitted", "error")
+    assert rows(written, *columns) == rows(chat.admit(views.chat_conns), *columns)
 
 
 def test_presence(views, in_parts, run, tmp_path):
