@@ -85,16 +85,17 @@ def check_join(conns: DataFrame) -> DataFrame:
 
 
 def chosen_holders(
-    named: DataFrame, slice_seconds: int = NAME_SLICE_SECONDS
+    named: DataFrame, slice_seconds: int = NAME_SLICE_SECONDS, held: DataFrame | None = None
 ) -> DataFrame:
     """Ids (`conn_id`) of the connections that get their `username`.
 
-    `named` has `_from` and `_to`, in microseconds, for each connection.
+    `named` has `_from` and `_to`, in microseconds, for each connection; `held`
+    the names held before, as in `greedy_intervals`.
     """
-    chosen = greedy_intervals(
-        named, F.col("username"), F.col("_from"), F.col("_to"), F.col("conn_id"), slice_seconds
+    judged = greedy_intervals(
+        named, F.col("username"), F.col("_from"), F.col("_to"), F.col("conn_id"), slice_seconds, held
     )
-    return chosen.select(F.col("id").alias("conn_id"), F.lit(True).alias("_in"))
+    return judged.filter("taken").select(F.col("id").alias("conn_id"), F.lit(True).alias("_in"))
 
 
 def with_admission(checked: DataFrame, chosen: DataFrame) -> DataFrame:

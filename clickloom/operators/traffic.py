@@ -108,44 +108,38 @@ def assign_anchored(
     slice_seconds: int | None = None,
     before: DataFrame | None = None,
 ) -> DataFrame:
-    """The window of each hit: (_key, _at, order, _start, _end, _seen), in microseconds.
+    """The window of each hit: (_key, _at, order, _start, _seen), in microseconds.
 
     `before` has the windows that are open when the hits begin, at most one per
     key, with the hits they have seen: (_key, _start, _seen).
     """
     width = window_seconds * 1_000_000
-    hits = requests.select(
-        F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"),
-        micros(F.col(ts)).alias("_at"),
-        order,
-    )
-    # Hits at one instant open the same window: one row per instant will do.
-    instants = hits.groupBy("_key", "_at").agg(F.min(order).alias("_id"))
+    at = micros(F.col(ts))
+    held = None
     if before is not None:
-        opened = before.select("_key", F.col("_start").alias("_at"), F.lit(None).cast("long").alias("_id"))
-        instants = instants.unionByName(opened)
-    chosen = greedy_intervals(
-        instants,
-        F.col("_key"),
-        F.col("_at"),
-        F.col("_at") + width,
-        F.col("_id"),
+        held = before.select(
+            F.col("_key").alias("grp"),
+            F.col("_start").alias("start"),
+            (F.col("_start") + width).alias("end"),
+        )
+    assigned = greedy_intervals(
+        requests,
+        F.col(key),
+        at,
+        at + width,
+        F.col(order),
         slice_seconds or 32 * window_seconds,
+        held,
     ).select(
-        F.col("grp").alias("_key"), F.col("start").alias("_start"), F.col("end").alias("_end")
+        F.col("grp").alias("_key"),
+        F.col("start").alias("_at"),
+        F.col("id").alias(order),
+        (F.col("until") - width).alias("_start"),
     )
     if before is None:
-        chosen = chosen.withColumn("_seen", F.lit(0).cast("long"))
-    else:
-        chosen = chosen.join(before, ["_key", "_start"], "left").withColumn(
-            "_seen", F.coalesce("_seen", F.lit(0).cast("long"))
-        )
-    # A window touches two buckets of its own width, a hit is in one.
-    bucket = F.floor(F.col("_start") / F.lit(width))
-    windows = chosen.withColumn("_bucket", F.explode(F.array(bucket, bucket + 1)))
-    placed = hits.withColumn("_bucket", F.floor(F.col("_at") / F.lit(width)))
-    inside = "d._start <= f._at AND f._at < d._end"
-    return lookup_join(placed, windows, ["_key", "_bucket"], "inner", where=inside)
+        return assigned.withColumn("_seen", F.lit(0).cast("long"))
+    joined = lookup_join(assigned, before, ["_key", "_start"])
+    return joined.withColumn("_seen", F.coalesce("_seen", F.lit(0).cast("long")))
 
 
 def route_of(method: Column, target: Column) -> Column:

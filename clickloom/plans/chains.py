@@ -11,8 +11,8 @@ reduced, in its own task, to the function "free from time c" -> "free again from
 time d" (a short step table, as choices from different starting times soon
 fall together). Walking through these tables gives the time each slice is
 free from; then every slice makes its choice on its own. Light keys
-are one slice and skip the first two steps. The Python parts read sorted rows
-as a stream and hold one Arrow batch and one step table.
+are one slice and skip the first two steps. The Python parts read sorted Arrow
+batches as a stream and hold one batch and one step table.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,17 +32,24 @@ ALWAYS_FREE = -(2**62)
 
 _TABLE = "grp string, slice long, upto long, free long"
 _ENTRY = "grp string, slice long, free long"
-_TAKEN = "grp string, start long, end long, id long"
+_CHOICE = "grp string, start long, id long, taken boolean, until long"
 
 
-def _runs(pdf: pd.DataFrame) -> Iterator[tuple[tuple, int, int]]:
+def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, int]]:
     """(group, slice) with the bounds of its rows, for rows sorted by them."""
-    group, cut = pdf["grp"].to_numpy(object), pdf["slice"].to_numpy()
-    changes = np.flatnonzero((group[1:] != group[:-1]) | (cut[1:] != cut[:-1])) + 1
-    bounds = [0, *changes.tolist(), len(pdf)]
+    n = batch.num_rows
+    if n == 0:
+        return
+    group, cut = batch.column("grp"), _numbers(batch, "slice")
+    other = pc.not_equal(group.slice(1), group.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    changes = np.flatnonzero(other | (cut[1:] != cut[:-1])) + 1
+    bounds = [0, *changes.tolist(), n]
     for first, last in zip(bounds, bounds[1:]):
-        if first < last:
-            yield (group[first], int(cut[first])), first, last
+        yield (group[first].as_py(), int(cut[first])), first, last
 
 
 def _leaving_times(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -62,18 +70,20 @@ def _through(table: tuple[np.ndarray, np.ndarray], free: np.ndarray) -> np.ndarr
     return np.where(at < len(upto), out[np.minimum(at, len(upto) - 1)], free)
 
 
-def _step_tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _step_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reduce each (group, slice) of sorted intervals to its step table."""
     current, upto, out = None, None, None
 
     def rows():
-        return pd.DataFrame(
-            {"grp": current[0], "slice": current[1], "upto": upto, "free": out}
+        n = len(upto)
+        return pa.RecordBatch.from_arrays(
+            [pa.repeat(pa.scalar(current[0]), n), np.full(n, current[1]), pa.array(upto), pa.array(out)],
+            names=["grp", "slice", "upto", "free"],
         )
 
-    for pdf in batches:
-        starts, ends = pdf["start"].to_numpy(np.int64), pdf["end"].to_numpy(np.int64)
-        for key, first, last in _runs(pdf):
+    for batch in batches:
+        starts, ends = _numbers(batch, "start"), _numbers(batch, "end")
+        for key, first, last in _runs(batch):
             part = starts[first:last], _leaving_times(starts[first:last], ends[first:last])
             if key != current:
                 if current is not None:
@@ -88,52 +98,81 @@ def _step_tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows()
 
 
-def _entry_times(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _entry_times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walk the step tables of each group in slice order."""
     current, free, after = None, ALWAYS_FREE, None
-    for pdf in batches:
-        upto, out = pdf["upto"].to_numpy(np.int64), pdf["free"].to_numpy(np.int64)
-        entries = []
-        for key, first, last in _runs(pdf):
+    for batch in batches:
+        upto, out = _numbers(batch, "upto"), _numbers(batch, "free")
+        groups, slices, times = [], [], []
+        for key, first, last in _runs(batch):
             if key != current:
                 if current is None or key[0] != current[0]:
                     free = ALWAYS_FREE
                 elif after is not None:
                     free = after
                 current, after = key, None
-                entries.append((*key, free))
+                groups.append(key[0])
+                slices.append(key[1])
+                times.append(free)
             if after is None:
                 at = first + int(np.searchsorted(upto[first:last], free, "left"))
                 if at < last:
                     after = int(out[at])
-        yield pd.DataFrame(entries, columns=["grp", "slice", "free"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(groups, pa.string()),
+                pa.array(slices, pa.int64()),
+                pa.array(times, pa.int64()),
+            ],
+            names=["grp", "slice", "free"],
+        )
+
 
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mark the intervals each (group, slice) takes, and until when it is taken at each row.
 
-def _choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Take the intervals of each (group, slice); an entry row sorts first and is dropped."""
+    Rows that are not `real` (an entry time, a holder from before) come first in
+    their slice, take part, and are left out of the result.
+    """
     current, free = None, ALWAYS_FREE
-    for pdf in batches:
-        starts, ends = pdf["start"].tolist(), pdf["end"].tolist()
-        taken = []
-        for key, first, last in _runs(pdf):
+    for batch in batches:
+        starts, ends = _numbers(batch, "start"), _numbers(batch, "end")
+        start_list, end_list = starts.tolist(), ends.tolist()
+        taken = np.zeros(batch.num_rows, dtype=bool)
+        until = np.empty(batch.num_rows, dtype=np.int64)
+        for key, first, last in _runs(batch):
             if key != current:
                 current, free = key, ALWAYS_FREE
-            at = bisect_left(starts, free, first, last)
+            begun, at = first, bisect_left(start_list, free, first, last)
             while at < last:
-                taken.append(at)
-                free = ends[at]
-                at = bisect_left(starts, free, at + 1, last)
-        chosen = pdf.iloc[taken]
-        yield chosen[chosen["real"]][["grp", "start", "end", "id"]]
+                until[begun:at] = free
+                taken[at] = True
+                begun, free = at, end_list[at]
+                at = bisect_left(start_list, free, at + 1, last)
+            until[begun:last] = free
+        marked = pa.RecordBatch.from_arrays(
+            [batch.column("grp"), batch.column("start"), batch.column("id"), pa.array(taken), pa.array(until)],
+            names=["grp", "start", "id", "taken", "until"],
+        )
+        yield marked.filter(batch.column("real"))
 
 
 def greedy_intervals(
-    df: DataFrame, key: Column, start: Column, end: Column, order: Column, slice_seconds: int
+    df: DataFrame,
+    key: Column,
+    start: Column,
+    end: Column,
+    order: Column,
+    slice_seconds: int,
+    held: DataFrame | None = None,
 ) -> DataFrame:
-    """The chosen intervals as (grp, start, end, id), times in microseconds.
+    """Each interval as (grp, start, id, taken, until), times in microseconds.
 
-    `order` is a unique integer that breaks ties of `start`; `start` and `end`
-    are microseconds and not NULL; a missing key counts as an empty one.
+    `taken` marks the chosen ones; `until` is the end of the interval that holds
+    the key when this one starts. `order` is a unique integer that breaks ties of
+    `start`; `start` and `end` are microseconds and not NULL; a missing key counts
+    as an empty one. `held` may give intervals (grp, start, end), at most one per
+    key, that hold their keys before all others.
     """
     rows = df.select(
         F.coalesce(key.cast("string"), F.lit("")).alias("grp"),
@@ -142,7 +181,12 @@ def greedy_intervals(
         order.cast("long").alias("id"),
         F.lit(True).alias("real"),
     )
-    heavy = heavy_keys(rows, ["grp"])
+    counted = rows
+    if held is not None:
+        rows = rows.unionByName(
+            held.select("grp", "start", "end", F.lit(0).cast("long").alias("id"), F.lit(False).alias("real"))
+        )
+    heavy = heavy_keys(counted, ["grp"])
     rows = mark_heavy(rows, heavy, ["grp"]).withColumn(
         "slice",
         F.when(F.col("_heavy"), F.floor(F.col("start") / F.lit(slice_seconds * 1_000_000)))
@@ -151,21 +195,21 @@ def greedy_intervals(
     )
     tables = (
         rows.filter("_heavy")
-        .select("grp", "slice", "start", "end", "id")
+        .select("grp", "slice", "start", "end", "real", "id")
         .repartition("grp", "slice")
-        .sortWithinPartitions("grp", "slice", "start", "id")
-        .mapInPandas(_step_tables, _TABLE)
+        .sortWithinPartitions("grp", "slice", "start", "real", "id")
+        .mapInArrow(_step_tables, _TABLE)
     )
     entries = (
         tables.repartition("grp")
         .sortWithinPartitions("grp", "slice", "upto")
-        .mapInPandas(_entry_times, _ENTRY)
+        .mapInArrow(_entry_times, _ENTRY)
         .select(
             "grp",
             "slice",
             F.lit(ALWAYS_FREE).alias("start"),
             F.col("free").alias("end"),
-            F.lit(None).cast("long").alias("id"),
+            F.lit(0).cast("long").alias("id"),
             F.lit(False).alias("real"),
         )
     )
@@ -174,6 +218,6 @@ def greedy_intervals(
         rows.select(*columns)
         .unionByName(entries)
         .repartition("grp", "slice")
-        .sortWithinPartitions("grp", "slice", "start", F.col("id").asc_nulls_first())
-        .mapInPandas(_choose, _TAKEN)
+        .sortWithinPartitions("grp", "slice", "start", "real", "id")
+        .mapInArrow(_choose, _CHOICE)
     )

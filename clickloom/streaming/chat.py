@@ -44,13 +44,14 @@ def _admit_batch(rows: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFra
         rows.filter("kind = 'open'").select("conn_id", "first_frame", F.col("ts").alias("open_ts"))
     ).join(closes, "conn_id", "left")
     held = before.join(closes, "conn_id", "left")
-    until = F.coalesce(micros(F.col("close_ts")), F.lit(_NEVER)).alias("_to")
-    named = (
-        opens.filter(F.col("error").isNull())
-        .select("conn_id", "username", micros(F.col("open_ts")).alias("_from"), until)
-        .unionByName(held.select("conn_id", "username", F.lit(ALWAYS_FREE).alias("_from"), until))
+    until = F.coalesce(micros(F.col("close_ts")), F.lit(_NEVER))
+    named = opens.filter(F.col("error").isNull()).select(
+        "conn_id", "username", micros(F.col("open_ts")).alias("_from"), until.alias("_to")
     )
-    admissions = with_admission(opens, chosen_holders(named)).select(
+    names = held.select(
+        F.col("username").alias("grp"), F.lit(ALWAYS_FREE).alias("start"), until.alias("end")
+    )
+    admissions = with_admission(opens, chosen_holders(named, held=names)).select(
         "conn_id", "username", "open_ts", "close_ts", "admitted", "error"
     )
     columns = ["conn_id", "username", "open_ts", "close_ts"]
