@@ -61,8 +61,7 @@ def build_clicks(hits: DataFrame, links: DataFrame, geo: DataFrame, how: str = "
         F.when(_protected(), "No").otherwise("N/A").alias("password_status"),
     )
     # Busy addresses are counted on the hits themselves, not behind the join.
-    weights = None if hits.isStreaming else key_counts(seen, ["ip"])
-    return enrich_geo(known, geo, how, weights).select(
+    return enrich_geo(known, geo, how, key_counts(seen, ["ip"])).select(
         "id",
         "shorturl",
         "timestamp",
@@ -153,8 +152,7 @@ def unlock_outcomes(attempts: DataFrame, links: DataFrame, clicks: DataFrame) ->
     checked = checked.withColumn("_id", F.when(F.col("_failed").isNull(), F.col("click_id")))
     ids = clicks.select(F.col("id").alias("_id"), F.lit(1).cast("long").alias("_found"))
     tried = attempts.select(F.col("click_id").alias("_id"))
-    weights = None if attempts.isStreaming else key_counts(tried, ["_id"])
-    joined = lookup_join(checked, ids, ["_id"], weights=weights).withColumn(
+    joined = lookup_join(checked, ids, ["_id"], weights=key_counts(tried, ["_id"])).withColumn(
         "matched", F.when(F.col("_failed").isNull(), F.coalesce("_found", F.lit(0)))
     )
     status = F.coalesce("_failed", F.when(F.col("matched") > 0, 200).otherwise(404))

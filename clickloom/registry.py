@@ -518,7 +518,7 @@ def stream_clicks(v):
         lambda out, state: live_clicks.stream_clicks(
             v.stream("link_hits"), v.shorturls, v.geo, out, state
         ),
-    )
+    ).drop("batch")
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -123,17 +123,33 @@ def _batch_lists(rows: DataFrame, admissions: DataFrame, holders: DataFrame) ->
     return user_lists(joins.unionByName(refusals).unionByName(closes), seen)
 
 
+def _shares(salts: int) -> Column:
+    """A row per salt, for the smaller side of a salted stream join."""
+    return F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+
+
+def _share_of(row_id: str, salts: int) -> Column:
+    return F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")
+
+
 def stream_messages(
-    frames: DataFrame, admissions: DataFrame, delay: str, longest: str
+    frames: DataFrame, admissions: DataFrame, delay: str, longest: str, salts: int = 4
 ) -> DataFrame:
     """Stream of accepted frames joined with the stream of their admitted senders.
 
     `longest` bounds how long a connection may last, so state can be dropped.
+    The frames of a busy sender are spread over `salts` tasks.
     """
     accepted = (
         check_frame(frames)
         .filter("status = 'accepted'")
-        .select("frame_id", F.col("conn_id").alias("sender"), instant(F.col("ts")).alias("ts"), "message")
+        .select(
+            "frame_id",
+            F.col("conn_id").alias("sender"),
+            instant(F.col("ts")).alias("ts"),
+            "message",
+            _share_of("frame_id", salts).alias("f_salt"),
+        )
         .withWatermark("ts", delay)
     )
     senders = (
@@ -145,9 +161,10 @@ def stream_messages(
             instant(F.col("close_ts")).alias("close_ts"),
         )
         .withWatermark("open_ts", delay)
+        .select("*", _shares(salts).alias("d_salt"))
     )
     inside = F.expr(
-        "sender = conn_id AND open_ts <= ts AND ts < close_ts"
+        "sender = conn_id AND f_salt = d_salt AND open_ts <= ts AND ts < close_ts"
         f" AND ts <= open_ts + INTERVAL {longest}"
     )
     return accepted.join(senders, inside).select("frame_id", "ts", "username", "message")
@@ -161,12 +178,14 @@ def stream_fan_out(
     delay: str,
     longest: str,
     bucket_seconds: int = 3600,
+    salts: int = 4,
     **options,
 ) -> StreamingQuery:
     """Append one row per message and connection open at its time.
 
-    Both sides are streams. The equality they are joined on is a time bucket;
-    a connection is repeated once per bucket it touches.
+    Both sides are streams. They are joined on a time bucket and a salt, which
+    spreads the messages of a busy bucket; a connection is repeated once per
+    bucket it touches and salt.
     """
     width = bucket_seconds * 1_000_000
     first = F.floor(F.unix_micros("open_ts") / F.lit(width)).cast("long")
@@ -180,12 +199,16 @@ def stream_fan_out(
         )
         .withWatermark("open_ts", delay)
         .select("*", F.explode(F.sequence(first, last)).alias("d_bucket"))
+        .select("*", _shares(salts).alias("d_salt"))
     )
     messages = sent.select(
-        "frame_id", "ts", F.floor(F.unix_micros("ts") / F.lit(width)).cast("long").alias("f_bucket")
+        "frame_id",
+        "ts",
+        F.floor(F.unix_micros("ts") / F.lit(width)).cast("long").alias("f_bucket"),
+        _share_of("frame_id", salts).alias("f_salt"),
     )
     inside = F.expr(
-        "f_bucket = d_bucket AND open_ts <= ts AND ts < close_ts"
+        "f_bucket = d_bucket AND f_salt = d_salt AND open_ts <= ts AND ts < close_ts"
         f" AND ts <= open_ts + INTERVAL {longest}"
     )
     pairs = messages.join(recipients, inside).select("frame_id", "recipient_conn")

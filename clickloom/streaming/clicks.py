@@ -7,14 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from clickloom.operators.clicks import apply_unlocks, build_clicks, unlock_outcomes
-from clickloom.streaming.runner import append_table, per_batch
+from clickloom.streaming.runner import per_batch
 
 
 def stream_clicks(
     hits: DataFrame, links: DataFrame, geo: DataFrame, out: str, checkpoint: str, **options
 ) -> StreamingQuery:
-    """Resolve, enrich and append each hit on a known code, with the batch rule."""
-    return append_table(build_clicks(hits, links, geo), out, checkpoint, **options)
+    """Resolve, enrich and append each hit on a known code.
+
+    A micro-batch goes through the batch operator, which spreads a busy code.
+    """
+
+    def resolve(rows: DataFrame, batch_id: int) -> DataFrame:
+        return build_clicks(rows, links, geo)
+
+    return per_batch(hits, out, checkpoint, "append", resolve, **options)
 
 
 def stream_click_totals(clicks: DataFrame, out: str, checkpoint: str, **options) -> StreamingQuery:
@@ -36,7 +43,11 @@ def stream_unlocks(
     The clicks themselves are not rewritten for every micro-batch: the outcomes
     are a small log, and `current_clicks` merges it when the clicks are read.
     """
-    return append_table(unlock_outcomes(attempts, links, clicks), out, checkpoint, **options)
+
+    def judge(rows: DataFrame, batch_id: int) -> DataFrame:
+        return unlock_outcomes(rows, links, clicks)
+
+    return per_batch(attempts, out, checkpoint, "append", judge, **options)
 
 
 def current_clicks(clicks: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -17,25 +17,15 @@ ORACLE = entry_module.oracle_sql()
 # Queries whose plan has a salted or sliced form.
 SPREAD = [
     "message_frames",
-    "user_list_frames",
-    "append_links",
     "add_links",
     "resolve_owner",
-    "code_conflicts",
     "remove_links",
-    "clicks_after_removal",
-    "list_links",
     "number_links",
-    "resolve_hits",
     "enrich_geo",
     "build_clicks",
-    "build_located_clicks",
     "clicks_for",
     "analytics_outcome",
-    "click_totals",
     "unlock_outcomes",
-    "apply_unlocks",
-    "rate_limit_tumbling",
     "rate_limit_anchored",
     "admit",
     "presence",
