@@ -60,7 +60,8 @@ class _Views:
     def run_stream(self, name: str, start: Callable[[str, str], StreamingQuery]) -> DataFrame:
         """Run a stream over all that is there and read what it wrote."""
         folder = new_folder(self.spark, name)
-        runner.finish(start(f"{folder}/out", f"{folder}/checkpoint"))
+        with runner.state_partitions(self.spark):
+            runner.finish(start(f"{folder}/out", f"{folder}/checkpoint"))
         return self.spark.read.parquet(f"{folder}/out")
 
     def base(self, name: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -72,6 +73,22 @@ def write_state(table: DataFrame, folder: str, batch_id: int) -> None:
     table.write.mode("overwrite").parquet(batch_folder(folder, batch_id))
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, count: int | None = None) -> Iterator[None]:
+    """Start streams with `count` state partitions, by default one per core.
+
+    A stream keeps the number it was started with, and every micro-batch visits
+    each partition, so the session's number for batch shuffles is often too high.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(count or spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def finish(query: StreamingQuery) -> None:
     """Wait for the end; a failure of the stream is raised here."""
     query.awaitTermination()
