@@ -17,6 +17,7 @@ ACCESS_LINE = (
     r'\A(\S+) \S+ (\S+) \[([^\]]+)\] "(\S+) (\S+)(?: [^"]*)?" (\d{3}) (\d+|-)'
     r' "((?:[^"\\]|\\.)*)" "((?:[^"\\]|\\.)*)"\s*\z'
 )
+_SEPARATOR = "\x1f"
 ACCESS_TIME = "dd/MMM/yyyy:HH:mm:ss Z"
 
 
@@ -56,26 +57,29 @@ def _dash_to_null(c: Column) -> Column:
 
 
 def parse_access_log(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Typed rows of access-log lines, and the lines that do not fit."""
-    text = F.col(column)
+    """Typed rows of access-log lines, and the lines that do not fit.
 
-    def part(i):
-        return F.regexp_extract(text, ACCESS_LINE, i)
-
-    fits = F.coalesce(text.rlike(ACCESS_LINE), F.lit(False))
-    stamp = F.try_to_timestamp(part(3), F.lit(ACCESS_TIME))
-    utc = F.expr(EPOCH) + F.make_dt_interval(secs=F.unix_seconds(stamp))
-    rows = lines.filter(fits).select(
-        part(1).alias("ip"),
-        utc.alias("ts"),
-        part(4).alias("method"),
-        part(5).alias("path"),
-        part(6).cast("int").alias("status"),
-        F.coalesce(part(7).try_cast("long"), F.lit(0)).alias("bytes"),
-        _dash_to_null(part(8)).alias("referer"),
-        _dash_to_null(part(9)).alias("useragent"),
+    One pass of the pattern cuts a line into its parts. The separator cannot be
+    part of a line: the server writes control characters in escaped form.
+    """
+    text = F.col(column)
+    groups = _SEPARATOR.join(f"${i}" for i in (1, 3, 4, 5, 6, 7, 8, 9))
+    parts = F.split(F.regexp_replace(text, ACCESS_LINE, groups), _SEPARATOR, -1)
+    cut = lines.withColumn("_parts", F.when(~text.contains(_SEPARATOR), parts))
+    fits = F.coalesce(F.size("_parts") == 8, F.lit(False))
+    part = F.col("_parts").getItem
+    stamp = F.try_to_timestamp(part(1), F.lit(ACCESS_TIME))
+    rows = cut.filter(fits).select(
+        part(0).alias("ip"),
+        (F.expr(EPOCH) + F.make_dt_interval(secs=F.unix_seconds(stamp))).alias("ts"),
+        part(2).alias("method"),
+        part(3).alias("path"),
+        part(4).cast("int").alias("status"),
+        F.coalesce(part(5).try_cast("long"), F.lit(0)).alias("bytes"),
+        _dash_to_null(part(6)).alias("referer"),
+        _dash_to_null(part(7)).alias("useragent"),
     )
-    return rows, lines.filter(~fits)
+    return rows, cut.filter(~fits).drop("_parts")
 
 
 def to_frames(df: DataFrame, column: str = "json") -> DataFrame:

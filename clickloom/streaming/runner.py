@@ -60,7 +60,9 @@ def per_batch(
     return writer.start()
 
 
-def read_state(spark: SparkSession, folder: str, batch_id: int, schema: str) -> DataFrame:
+def read_state(
+    spark: SparkSession, folder: str, batch_id: int, schema: str | StructType
+) -> DataFrame:
     """State table that a micro-batch left; empty before the first one."""
     if batch_id < 0:
         return spark.createDataFrame([], schema)

@@ -69,8 +69,12 @@ def stream_rate_limit_anchored(
     width = window_seconds * 1_000_000
 
     def flag(rows: DataFrame, batch_id: int) -> DataFrame:
-        before = read_state(rows.sparkSession, state, batch_id - 1, _OPEN_WINDOWS)
+        spark = rows.sparkSession
+        before = read_state(spark, f"{state}/open", batch_id - 1, _OPEN_WINDOWS)
         assigned = assign_anchored(rows, key, ts, order, window_seconds, before=before)
+        # Stored, as the windows kept and the flags both come from it.
+        write_state(assigned, f"{state}/assigned", batch_id)
+        assigned = read_state(spark, f"{state}/assigned", batch_id, assigned.schema)
         last = rows.agg(F.max(micros(F.col(ts)))).first()[0]
         windows = (
             assigned.groupBy("_key", "_start")
@@ -80,7 +84,7 @@ def stream_rate_limit_anchored(
         )
         # The open window of a key is its latest; its largest count is the last one.
         still_open = windows.groupBy("_key").agg(F.max(F.struct("_start", "_seen")).alias("_w"))
-        write_state(still_open.select("_key", "_w.*"), state, batch_id)
+        write_state(still_open.select("_key", "_w.*"), f"{state}/open", batch_id)
         return flag_anchored(rows, assigned, order, max_hits)
 
     return per_batch(requests, out, checkpoint, "append", flag, **options)
