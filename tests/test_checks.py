@@ -72,3 +72,15 @@ def test_every_check_has_a_query():
 
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if not n.startswith("stream_")])
+def test_no_pairwise_joins(spark, skewed, name):
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_scans_read_only_what_is_asked(spark):
+    plan = QUERIES["click_totals"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "isp" not in plan and "useragent" not in plan
+    assert "partial_count" in plan
