@@ -9,9 +9,10 @@ The choice is sequential, and one key may hold a large share of the rows. So
 the rows of a heavy key are cut into time slices, and each slice is first
 reduced, in its own task, to the function "free from time c" -> "free again from
 time d" (a short step table, as choices from different starting times soon
-fall together). Walking through these tables gives the time each slice is
-free from; then every slice makes its choice on its own. Light keys
-are one slice and skip the first two steps. The Python parts read sorted Arrow
+fall together). Tables of neighbouring slices are chained into one per block,
+still in parallel; walking through the blocks, and then inside each, gives the
+time each slice is free from, and every slice makes its choice on its own.
+Light keys are one slice and skip these steps. The Python parts read sorted Arrow
 batches as a stream and hold one batch and one step table.
 """
 
@@ -30,6 +31,9 @@ from clickloom.plans.skew import heavy_keys, mark_heavy
 
 ALWAYS_FREE = -(2**62)
 
+# Slices whose step tables are chained into one before the walk over a key.
+BLOCK_SLICES = 64
+
 _TABLE = "grp string, slice long, upto long, free long"
 _ENTRY = "grp string, slice long, free long"
 _CHOICE = "grp string, start long, id long, taken boolean, until long"
@@ -70,8 +74,8 @@ def _through(table: tuple[np.ndarray, np.ndarray], free: np.ndarray) -> np.ndarr
     return np.where(at < len(upto), out[np.minimum(at, len(upto) - 1)], free)
 
 
-def _step_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce each (group, slice) of sorted intervals to its step table."""
+def _composed(parts: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Chain the step tables that follow each other under one key into one table."""
     current, upto, out = None, None, None
 
     def rows():
@@ -81,33 +85,57 @@ def _step_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["grp", "slice", "upto", "free"],
         )
 
-    for batch in batches:
-        starts, ends = _numbers(batch, "start"), _numbers(batch, "end")
-        for key, first, last in _runs(batch):
-            part = starts[first:last], _leaving_times(starts[first:last], ends[first:last])
-            if key != current:
-                if current is not None:
-                    yield rows()
-                current, (upto, out) = key, part
-            else:
-                upto = np.concatenate([upto, part[0]])
-                out = np.concatenate([_through(part, out), part[1]])
-            keep = np.append(out[1:] != out[:-1], True)
-            upto, out = upto[keep], out[keep]
+    for key, part in parts:
+        if key != current:
+            if current is not None:
+                yield rows()
+            current, (upto, out) = key, part
+        else:
+            upto = np.concatenate([upto, part[0]])
+            out = np.concatenate([_through(part, out), part[1]])
+        keep = np.append(out[1:] != out[:-1], True)
+        upto, out = upto[keep], out[keep]
     if current is not None:
         yield rows()
 
 
+def _step_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reduce each (group, slice) of sorted intervals to its step table."""
+
+    def parts():
+        for batch in batches:
+            starts, ends = _numbers(batch, "start"), _numbers(batch, "end")
+            for key, first, last in _runs(batch):
+                part = starts[first:last]
+                yield key, (part, _leaving_times(part, ends[first:last]))
+
+    return _composed(parts())
+
+
+def _block_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chain the step tables of the slices of each block, given in slice order."""
+
+    def parts():
+        for batch in batches:
+            upto, out = _numbers(batch, "upto"), _numbers(batch, "free")
+            for (group, cut), first, last in _runs(batch):
+                yield (group, cut // BLOCK_SLICES), (upto[first:last], out[first:last])
+
+    return _composed(parts())
+
+
 def _entry_times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walk the step tables of each group in slice order."""
-    current, free, after = None, ALWAYS_FREE, None
+    """Walk the step tables of each (group, block) in slice order from its `entry` time."""
+    current, block, free, after = None, None, ALWAYS_FREE, None
     for batch in batches:
         upto, out = _numbers(batch, "upto"), _numbers(batch, "free")
+        blocks, entry = _numbers(batch, "block"), _numbers(batch, "entry")
         groups, slices, times = [], [], []
         for key, first, last in _runs(batch):
             if key != current:
-                if current is None or key[0] != current[0]:
-                    free = ALWAYS_FREE
+                here = key[0], int(blocks[first])
+                if here != block:
+                    block, free = here, int(entry[first])
                 elif after is not None:
                     free = after
                 current, after = key, None
@@ -157,6 +185,31 @@ def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield marked.filter(batch.column("real"))
 
 
+def _slice_entries(tables: DataFrame) -> DataFrame:
+    """The time each slice is free from, by its step table: (grp, slice, free).
+
+    Blocks of slices are chained in parallel, the walk over a whole key sees one
+    short table per block, and the walks inside the blocks run in parallel again.
+    """
+    block = F.floor(F.col("slice") / F.lit(BLOCK_SLICES)).cast("long")
+    placed = tables.withColumn("block", block).repartition("grp", "block")
+    order = ["grp", "block", "slice", "upto"]
+    heads = (
+        placed.sortWithinPartitions(*order)
+        .mapInArrow(_block_tables, _TABLE)
+        .select("*", F.lit(0).cast("long").alias("block"), F.lit(ALWAYS_FREE).alias("entry"))
+        .repartition("grp")
+        .sortWithinPartitions(*order)
+        .mapInArrow(_entry_times, _ENTRY)
+        .select("grp", F.col("slice").alias("block"), F.col("free").alias("entry"))
+    )
+    return (
+        placed.join(heads, ["grp", "block"], "left")
+        .sortWithinPartitions(*order)
+        .mapInArrow(_entry_times, _ENTRY)
+    )
+
+
 def greedy_intervals(
     df: DataFrame,
     key: Column,
@@ -200,20 +253,15 @@ def greedy_intervals(
         .sortWithinPartitions("grp", "slice", "start", "real", "id")
         .mapInArrow(_step_tables, _TABLE)
     )
-    entries = (
-        tables.repartition("grp")
-        .sortWithinPartitions("grp", "slice", "upto")
-        .mapInArrow(_entry_times, _ENTRY)
-        .select(
-            "grp",
-            "slice",
-            F.lit(ALWAYS_FREE).alias("start"),
-            F.col("free").alias("end"),
-            F.lit(0).cast("long").alias("id"),
-            F.lit(False).alias("real"),
-        )
-    )
     columns = ["grp", "slice", "start", "end", "id", "real"]
+    entries = _slice_entries(tables).select(
+        "grp",
+        "slice",
+        F.lit(ALWAYS_FREE).alias("start"),
+        F.col("free").alias("end"),
+        F.lit(0).cast("long").alias("id"),
+        F.lit(False).alias("real"),
+    )
     return (
         rows.select(*columns)
         .unionByName(entries)

@@ -220,9 +220,9 @@ def test_worker_functions_need_no_installed_package(tmp_path):
     from clickloom.plans import chains
 
     path = tmp_path / "functions.pickle"
-    path.write_bytes(cloudpickle.dumps([chains._step_tables, chains._entry_times, chains._choose]))
+    path.write_bytes(cloudpickle.dumps([chains._step_tables, chains._block_tables, chains._entry_times, chains._choose]))
     load = f"import pickle; print(len(pickle.load(open({str(path)!r}, 'rb'))))"
     done = subprocess.run(
         [sys.executable, "-c", load], capture_output=True, text=True, cwd=tmp_path, timeout=120
     )
-    assert done.stdout.strip() == "3", done.stderr
+    assert done.stdout.strip() == "4", done.stderr
