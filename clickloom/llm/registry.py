@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clickloom.llm.decontaminate import op9_benchmark_leaks
 from clickloom.llm.packing import op8_vector_packing
+from clickloom.llm.simhash import op6_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_vector_packing, op9_benchmark_leaks)
+    f.__name__: f for f in (op6_simhash, op8_vector_packing, op9_benchmark_leaks)
 }
 
 ORACLE_SQL: dict[str, str] = {}
