@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from clickloom.llm.common import column_batch, small_batches, table, text_or_empty, worker_cache
 
 END_ID = 2
-CACHED_WORDS = 400_000
+#: Words kept in memory, in each of two generations.
+CACHED_WORDS = 500_000
 ROWS_AT_ONCE = 500
 #: Sequence ids are the task's number shifted by so many bits, plus a running number.
 TASK_SHIFT = 36
@@ -39,12 +40,16 @@ class Limits:
 
 
 class WordEncoder:
-    """Token ids of whole texts, with the ids of each word kept for the next text.
+    """Token ids of whole texts, with the ids of words kept for the next text.
 
     The tokenizer folds white space, and no token spans it, so a text's ids are
     those of its white-space-separated words in a row. Texts with the separators
     that `str.split` takes for white space and the tokenizer does not go through
     the tokenizer whole.
+
+    New words of letters are encoded many at a time: each ends with the one of its
+    ids that stands for the end of a word. A mark after such a word is encoded apart
+    from it. All else is encoded word by word.
     """
 
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -54,31 +59,57 @@ class WordEncoder:
         if cache.get("json") != hash(tokenizer_json):
             from tokenizers import Tokenizer
 
+            tool = Tokenizer.from_str(tokenizer_json)
+            ends = np.zeros(tool.get_vocab_size(), bool)
+            for piece, k in tool.get_vocab(with_added_tokens=False).items():
+                ends[k] = piece.endswith("</w>")
             cache.clear()
-            cache.update(
-                json=hash(tokenizer_json), words={}, tool=Tokenizer.from_str(tokenizer_json)
-            )
-        self.words, self.tool = cache["words"], cache["tool"]
+            cache.update(json=hash(tokenizer_json), words={}, older={}, tool=tool, ends=ends)
+        self.cache, self.tool, self.ends = cache, cache["tool"], cache["ends"]
 
     def _encoded(self, text: str) -> bytes:
-        ids = self.tool.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return np.array(
+            self.tool.encode(text, add_special_tokens=False).ids, dtype="<u4"
+        ).tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        """Add the ids of new words to those known."""
+        known, older = self.cache["words"], self.cache["older"]
+        new = words.difference(known)
+        again = new & older.keys()
+        known.update({w: older[w] for w in again})
+        new -= again
+        plain = [w for w in new if w.isalpha()]
+        rest = new.difference(plain)
+        marked = [w for w in rest if w[:-1].isalpha() and not w[-1].isalnum()]
+        stems = {w[:-1] for w in marked}.difference(known).difference(plain)
+        plain += stems
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            ids = np.array(
+                self.tool.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4"
+            )
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(ends) == len(part):
+                flat = ids.tobytes()
+                known.update(
+                    zip(part, [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)], strict=True)
+                )
+            else:
+                known.update({w: self._encoded(w) for w in part})
+        marks = {c: self._encoded(c) for c in {w[-1] for w in marked}}
+        for w in marked:
+            known[w] = known[w[:-1]] + marks[w[-1]]
+        for w in rest.difference(marked):
+            known[w] = self._encoded(w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [None if any(c in t for c in self.ODD) else t.split() for t in texts]
-        known = self.words
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = list(set().union(*[w for w in split if w]).difference(known))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, found in zip(
-                part, self.tool.encode_batch_fast(part, add_special_tokens=False), strict=True
-            ):
-                ids = found.ids
-                known[word] = struct.pack(f"<{len(ids)}I", *ids)
-        get = known.__getitem__
+        if len(self.cache["words"]) > CACHED_WORDS:
+            self.cache["older"], self.cache["words"] = self.cache["words"], {}
+        self._learn(set().union(*[w for w in split if w]))
+        get = self.cache["words"].__getitem__
         return [
             self._encoded(t) if w is None else b"".join(map(get, w))
             for t, w in zip(texts, split, strict=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +13,10 @@ from clickloom.llm.common import table, text_or_empty
 # The patterns of the base kinds, in the order in which spans at one
 # place are listed, with the group that is measured and its least length.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+# A run of access or hex characters that is too short holds no other match, so their
+# least lengths are part of the patterns.
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
 BASE = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24))
 
 MARKOV = "markov"
@@ -23,7 +26,7 @@ LEAST = 20
 #: Mean log-likelihood ratio per character pair (nats) from which a string is random.
 THRESHOLD = 0.75
 #: Labelled samples: words of at most so many documents, and so many random strings.
-SAMPLE_DOCUMENTS = 2000
+SAMPLE_DOCUMENTS = 500
 SAMPLE_STRINGS = 2000
 
 #: Character classes of the models: the characters themselves, and one class for others.
@@ -73,39 +76,39 @@ def matches(text: Column, pattern: str) -> Column:
 
 def base_spans(text: Column) -> Column:
     """Spans (start, end, kind number) of the base kinds that are long enough."""
-    parts = []
-    for number, (_, pattern, group, least) in enumerate(BASE):
-        measured = lambda m, g=group, p=pattern: (
-            F.regexp_extract(m["found"], p, g) if g else m["found"]
-        )
-        long_enough = F.filter(
-            matches(text, pattern), lambda m, f=measured, n=least: F.char_length(f(m)) >= n
-        )
-        parts.append(
-            F.transform(
-                long_enough,
-                lambda m, n=number: F.struct(
-                    m["start"].alias("start"), F.lit(n).alias("kind"), m["end"].alias("end")
-                ),
-            )
-        )
+    parts = [_long_enough(text, number, *rest) for number, (_, *rest) in enumerate(BASE)]
     return F.concat(*parts)
 
 
+def _long_enough(text: Column, number: int, pattern: str, group: int, least: int) -> Column:
+    """Spans of one base kind whose measured group has the least length."""
+
+    def measured(m: Column) -> Column:
+        return F.regexp_extract(m["found"], pattern, group) if group else m["found"]
+
+    return F.transform(
+        F.filter(matches(text, pattern), lambda m: F.char_length(measured(m)) >= least),
+        lambda m: F.struct(
+            m["start"].alias("start"), F.lit(number).alias("kind"), m["end"].alias("end")
+        ),
+    )
+
+
 def _pairs(strings: DataFrame) -> DataFrame:
     """Counts of neighbouring character classes in a table of strings (column s)."""
-    code = lambda c: F.when(
-        F.instr(F.lit(ALPHABET), c) > 0, F.instr(F.lit(ALPHABET), c) - 1
-    ).otherwise(SIZE - 1)
-    return (
-        strings.select(F.explode(F.expr("sequence(1, char_length(s) - 1)")).alias("i"), "s")
-        .select(
-            code(F.expr("substring(s, i, 1)")).alias("a"),
-            code(F.expr("substring(s, i + 1, 1)")).alias("b"),
-        )
-        .groupBy("a", "b")
-        .count()
+
+    def code(c: str) -> Column:
+        place = F.instr(F.lit(ALPHABET), F.col(c))
+        return F.when(place > 0, place - 1).otherwise(SIZE - 1).alias(c)
+
+    letters = strings.select(F.split("s", "").alias("c")).where("size(c) > 1")
+    pairs = F.zip_with(
+        F.expr("slice(c, 1, size(c) - 1)"),
+        F.expr("slice(c, 2, size(c) - 1)"),
+        lambda x, y: F.struct(x.alias("a"), y.alias("b")),
     )
+    seen = letters.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").count()
+    return seen.groupBy(code("a"), code("b")).agg(F.sum("count").alias("n"))
 
 
 def labelled_strings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -169,9 +172,7 @@ def pair_scores(docs: DataFrame) -> list[float]:
 
 def mean_ratio(found: Column, scores: list[float]) -> Column:
     """Mean score of the character pairs of a string."""
-    table = F.transform(
-        F.split(F.lit(",".join(f"{x:.6f}" for x in scores)), ","), lambda x: x.cast("double")
-    )
+    table = F.lit(np.array(scores))
     codes = F.transform(
         F.split(found, ""),
         lambda c: F.coalesce(
@@ -245,10 +246,14 @@ def scan(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "base", apart.alias("random"))
 
 
+def _of_kind(number: int):
+    return lambda span: span["kind"] == number
+
+
 def secret_report(docs: DataFrame) -> DataFrame:
     """Counts, a digest and the list of the spans of each document."""
     counts = [
-        F.size(F.filter("base", lambda s, n=number: s["kind"] == n)).cast("long").alias(f"n_{name}")
+        F.size(F.filter("base", _of_kind(number))).cast("long").alias(f"n_{name}")
         for number, (name, *_) in enumerate(BASE)
     ]
     return scan(docs).select(
