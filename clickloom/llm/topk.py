@@ -201,10 +201,10 @@ def op4_term_at_a_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = """
 WITH v AS (
   SELECT vec_id,
-         list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+         [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS w
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
 ), p AS (
   SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
          CAST(list_dot_product(CAST(a.w AS DOUBLE[]), CAST(b.w AS DOUBLE[])) AS BIGINT) AS score
