@@ -13,9 +13,10 @@ from clickloom.llm.packing import op8_vector_packing
 from clickloom.llm.secrets import op5_markov_secrets
 from clickloom.llm.simhash import op6_simhash
 from clickloom.llm.topk import OP4_SQL, op4_term_at_a_time
+from clickloom.llm.warc import OP1_SQL, op1_revisits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_tree_model, op3_segmentation_unigrams, op4_term_at_a_time, op5_markov_secrets, op6_simhash, op8_vector_packing, op9_benchmark_leaks)
+    f.__name__: f for f in (op1_revisits, op2_tree_model, op3_segmentation_unigrams, op4_term_at_a_time, op5_markov_secrets, op6_simhash, op8_vector_packing, op9_benchmark_leaks)
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_term_at_a_time": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_revisits": OP1_SQL, "op4_term_at_a_time": OP4_SQL}
