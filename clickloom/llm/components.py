@@ -29,7 +29,7 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     for _ in range(MAX_ROUNDS):
         state = star.agg(
-            F.count(F.lit(1)), F.sum(F.hash("v", "u").cast("long")), F.sum("u").cast("string")
+            F.count(F.lit(1)), F.sum(F.hash("v", "u").cast("long")), F.sum(F.col("u").cast("decimal(20,0)")).cast("string")
         ).first()
         if state == before or not state[0]:
             return star.select(F.col("v").alias("node"), F.col("u").alias("root"))

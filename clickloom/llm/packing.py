@@ -18,7 +18,9 @@ from clickloom.llm.common import column_batch, small_batches, table, text_or_emp
 
 END_ID = 2
 #: Words kept in memory, in each of two generations.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 900_000
+#: Marks that may follow a word.
+MARKS = ".,;:!?%$#&*()\""
 ROWS_AT_ONCE = 500
 #: Sequence ids are the task's number shifted by so many bits, plus a running number.
 TASK_SHIFT = 36
@@ -48,8 +50,8 @@ class WordEncoder:
     the tokenizer whole.
 
     New words of letters are encoded many at a time: each ends with the one of its
-    ids that stands for the end of a word. A mark after such a word is encoded apart
-    from it. All else is encoded word by word.
+    ids that stands for the end of a word. Marks after such a word are encoded apart
+    from it, as the tokenizer takes them. All else is encoded word by word.
     """
 
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -75,17 +77,18 @@ class WordEncoder:
     def _learn(self, words: set[str]) -> None:
         """Add the ids of new words to those known."""
         known, older = self.cache["words"], self.cache["older"]
-        new = words.difference(known)
-        again = new & older.keys()
+        again = words & older.keys()
         known.update({w: older[w] for w in again})
-        new -= again
-        plain = [w for w in new if w.isalpha()]
-        rest = new.difference(plain)
-        marked = [w for w in rest if w[:-1].isalpha() and not w[-1].isalnum()]
-        stems = {w[:-1] for w in marked}.difference(known).difference(plain)
-        plain += stems
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
+        new = words - again
+        plain = {w for w in new if w.isalpha()}
+        marked, rest = [], []
+        for w in new - plain:
+            stem = w.rstrip(MARKS)
+            (marked if stem.isalpha() else rest).append((w, stem))
+        plain.update(stem for _, stem in marked if stem not in known)
+        letters = list(plain)
+        for at in range(0, len(letters), 2000):
+            part = letters[at : at + 2000]
             ids = np.array(
                 self.tool.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4"
             )
@@ -97,18 +100,21 @@ class WordEncoder:
                 )
             else:
                 known.update({w: self._encoded(w) for w in part})
-        marks = {c: self._encoded(c) for c in {w[-1] for w in marked}}
-        for w in marked:
-            known[w] = known[w[:-1]] + marks[w[-1]]
-        for w in rest.difference(marked):
+        after: dict[str, bytes] = {}
+        for w, stem in marked:
+            mark = w[len(stem) :]
+            if mark not in after:
+                after[mark] = self._encoded(mark)
+            known[w] = known[stem] + after[mark]
+        for w, _ in rest:
             known[w] = self._encoded(w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if any(c in t for c in self.ODD) else t.split() for t in texts]
         if len(self.cache["words"]) > CACHED_WORDS:
             self.cache["older"], self.cache["words"] = self.cache["words"], {}
-        self._learn(set().union(*[w for w in split if w]))
+        split = [None if any(c in t for c in self.ODD) else t.split() for t in texts]
+        self._learn(set().union(*[w for w in split if w]).difference(self.cache["words"]))
         get = self.cache["words"].__getitem__
         return [
             self._encoded(t) if w is None else b"".join(map(get, w))
