@@ -18,13 +18,13 @@ SELECT c_custkey AS id, split_part(c_name,'#',1) AS firstname, split_part(c_name
 """,
     "shorturls": r"""
 SELECT p.page_id AS id, CASE WHEN p.page_id % 3 = 0 THEN regexp_replace(p.url,'^https?://','') ELSE p.url END AS redirecturl,
- CAST(p.page_id % 100 AS STRING)||substr(md5(p.url),1,4) AS shorturl, u.token AS token,
+ CAST(u.id AS STRING)||substr(md5(p.url),1,4) AS shorturl, u.token AS token,
  CASE WHEN p.page_id % 4 = 0 THEN 'pw'||CAST(p.page_id AS STRING) WHEN p.page_id % 20 = 1 THEN '' END AS password
- FROM pages p JOIN users u ON u.id = p.page_id % 100
+ FROM (SELECT page_id, url, page_id % (SELECT CAST(floor(COUNT(*) / 3) AS BIGINT) + 1 FROM pages) AS owner FROM pages) p JOIN users u ON u.id = p.owner
 """,
     "geo": r"""
 SELECT '10.0.'||CAST(c_custkey % 16 AS STRING)||'.'||CAST(c_custkey AS STRING) AS ip, 'AS'||CAST(c_nationkey AS STRING) AS isp, c_mktsegment AS city, r_name AS region, n_name AS country
- FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey < 140
+ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 11 <> 3
 """,
     "link_hits": r"""
 SELECT h.event_id AS id, h.ts AS ts, COALESCE(s.shorturl,'missing'||CAST(h.k AS STRING)) AS shorturl, h.ip AS remote_addr,
@@ -47,9 +47,12 @@ SELECT CASE WHEN c.id % 8 = 7 THEN c.id - 1 ELSE c.id END AS click_id, c.shortur
     "add_requests": r"""
 SELECT p_partkey AS request_id, CASE WHEN p_partkey % 7 = 0 THEN '' WHEN p_partkey % 7 = 1 THEN 'bad' ELSE u.token END AS token,
  CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE 'example.com/'||CAST(p_partkey AS STRING) END AS redirecturl,
- CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN p_name WHEN 2 THEN replace(p_name,' ','') WHEN 3 THEN COALESCE(s.shorturl,'zz') ELSE 'c'||CAST(p_partkey AS STRING) END AS customshorturlcode,
+ CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN p_name WHEN 2 THEN replace(p_name,' ','') WHEN 3 THEN COALESCE(s.shorturl,'zz')
+  ELSE CASE WHEN p_partkey % 10 = 9 THEN CAST(o.id AS STRING)||substr(md5(CAST(p_partkey - 4 AS STRING)||'salt'),1,4) ELSE 'c'||CAST(p_partkey AS STRING) END END AS customshorturlcode,
  CASE WHEN p_partkey % 3 = 0 THEN 'pw' WHEN p_partkey % 3 = 1 THEN '' END AS password
- FROM part JOIN users u ON u.id = p_partkey % 100 LEFT JOIN shorturls s ON s.id = p_partkey
+ FROM (SELECT p_partkey, p_name, p_partkey % (SELECT CAST(floor(COUNT(*) / 5) AS BIGINT) + 1 FROM part) AS owner,
+   (p_partkey - 4) % (SELECT CAST(floor(COUNT(*) / 5) AS BIGINT) + 1 FROM part) AS earlier FROM part)
+ JOIN users u ON u.id = owner LEFT JOIN users o ON o.id = earlier LEFT JOIN shorturls s ON s.id = p_partkey
 """,
     "filter_lines": r"""
 SELECT * FROM (VALUES (' ring '),(''),('WIDGET'),('  ')) AS t(value)
@@ -64,18 +67,24 @@ SELECT o_orderkey AS request_id, 'F' AS firstname, CASE WHEN o_orderkey % 13 = 0
 """,
     "chat_conns": r"""
 SELECT event_id AS conn_id, ts AS open_ts, ts + CAST(floor(value) AS INT) * INTERVAL '1' MINUTE AS close_ts,
- CASE event_id % 200 WHEN 0 THEN 'not json' WHEN 10 THEN 'null' WHEN 20 THEN '{"username":5}' WHEN 30 THEN '{"username":"  "}' ELSE '{"username":" user'||CAST(user_id % 8 AS STRING)||' "}' END AS first_frame FROM events WHERE event_id % 10 = 0
+ CASE event_id % 200 WHEN 0 THEN 'not json' WHEN 10 THEN 'null' WHEN 20 THEN '{"username":5}' WHEN 30 THEN '{"username":"  "}' WHEN 40 THEN NULL WHEN 50 THEN '{"username":"x","username":"twice"}' ELSE '{"username":" user'||CAST(user_id % 8 AS STRING)||' "}' END AS first_frame FROM events WHERE event_id % 10 = 0
 """,
     "chat_frames": r"""
 SELECT event_id AS frame_id, event_id - event_id % 40 AS conn_id, ts, CASE event_id % 7 WHEN 0 THEN '{"type":"message","message":""}' WHEN 1 THEN 'not json' WHEN 2 THEN '{"type":"ping"}' WHEN 3 THEN 'null' ELSE '{"type":"message","message":"m'||CAST(event_id AS STRING)||'"}' END AS frame FROM events WHERE event_id % 10 <> 0
 """,
     "http_requests": r"""
 SELECT event_id AS request_id, ts, '10.0.0.'||CAST(user_id AS STRING) AS ip,
- CASE event_id % 13 WHEN 5 THEN 'POST' WHEN 6 THEN 'POST' WHEN 7 THEN 'POST' WHEN 8 THEN 'POST' WHEN 9 THEN 'POST' ELSE 'GET' END AS method,
+ CASE event_id % 13 WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 'HEAD' ELSE 'GET' END WHEN 3 THEN CASE WHEN event_id % 2 = 0 THEN 'OPTIONS' ELSE 'GET' END WHEN 5 THEN 'POST' WHEN 6 THEN 'POST' WHEN 7 THEN 'POST' WHEN 8 THEN 'POST' WHEN 9 THEN 'POST' ELSE 'GET' END AS method,
  CASE event_id % 13 WHEN 0 THEN '/api/short/'||CAST(user_id AS STRING)||'abcd' WHEN 1 THEN '/api/shorturlanalytics' WHEN 2 THEN '/api/validurl?url=http%3A%2F%2Fa.example%2Fx%2By' WHEN 3 THEN '/api/getshorturls' WHEN 4 THEN '/api/messagewss'
   WHEN 5 THEN '/api/short/'||CAST(event_id AS STRING)||'/checkpassword' WHEN 6 THEN '/api/signup' WHEN 7 THEN '/api/login' WHEN 8 THEN '/api/addshorturl' WHEN 9 THEN '/api/removeshorturl'
   WHEN 10 THEN '/api/nosuch' WHEN 11 THEN '/shorturlanalytics/?shorturl='||CAST(user_id AS STRING)||'abcd&x=1' ELSE '/api/short/'||CAST(user_id AS STRING)||'abcd?aid='||CAST(event_id AS STRING) END AS path,
  CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, CAST(floor(value * 100) AS BIGINT) AS bytes FROM events
+""",
+    "api_requests": r"""
+SELECT request_id, ts, ip FROM http_requests WHERE path LIKE '/api%' AND path <> '/api/messagewss'
+""",
+    "busy_requests": r"""
+SELECT request_id, CAST(date_trunc('day', ts) AS TIMESTAMP) + CAST(request_id % 60 AS INT) * INTERVAL '1' SECOND AS ts, '10.1.0.'||CAST(request_id % 4 AS STRING) AS ip, path FROM http_requests
 """,
     "url_probes": r"""
 SELECT page_id AS probe_id, CASE page_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN replace(replace(url,':','%3A'),'/','%2F') WHEN 3 THEN url||'?q=a+b%2Bc' WHEN 4 THEN url||'%zz' ELSE url END AS url_param,

@@ -7,7 +7,6 @@ Everything here is a Column expression, so it stays inside generated code.
 from __future__ import annotations
 
 import re
-import secrets
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,9 +61,10 @@ def extract_code(c: Column, host: str) -> Column:
 def decode_uri_component(c: Column) -> Column:
     """Percent-decode with `+` kept; NULL when the text is malformed."""
     decoded = F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
-    # The decoder replaces bad UTF-8 with U+FFFD; a mark that was not sent is an error.
-    sent = c.contains("\ufffd") | F.upper(c).contains("%EF%BF%BD")
-    return F.when(~decoded.contains("\ufffd") | sent, decoded)
+    # The decoder replaces bad UTF-8 with U+FFFD; more marks than were sent are an error.
+    marks = F.regexp_count(decoded, F.lit("\ufffd"))
+    sent = F.regexp_count(c, F.lit("\ufffd|(?i:%EF%BF%BD)"))
+    return F.when(marks <= sent, decoded)
 
 
 def query_tail(c: Column, marker: str = "shorturl=") -> Column:
@@ -126,11 +126,11 @@ def generate_code(owner_id: Column, request_id: Column, salt: str = "") -> Colum
     return F.concat(owner_id.cast("string"), F.substring(digest, 1, 4))
 
 
-def generate_token(row_key: Column, secret: str | None = None) -> Column:
-    """128 hex digits per row from a random secret drawn once on the driver.
+def generate_token() -> Column:
+    """128 hex digits drawn at random for each row.
 
-    Keyed by the row instead of drawn in the task: a task that runs again must
-    not hand out another token.
+    Each row draws 488 random bits of its own, so no secret is in the plan. Store the
+    rows before they are read more than once: a task that runs again draws anew.
     """
-    secret = secret or secrets.token_hex(64)
-    return F.sha2(F.concat(F.lit(secret), F.lit("/"), row_key.cast("string")), 512)
+    drawn = F.concat(*[F.uuid() for _ in range(4)])
+    return F.sha2(drawn, 512)

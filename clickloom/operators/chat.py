@@ -31,9 +31,22 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+# The fields that are read from a frame.
+_FIELDS = "username variant, type variant, message variant, broken string"
+
+
 def _parsed(frame: Column) -> Column:
-    """Frame as a variant, NULL for bad JSON; texts that cannot be JSON are not tried."""
-    return F.when(frame.rlike(JSON_START), F.try_parse_json(frame))
+    """Frame as a variant, NULL for bad JSON; texts that cannot be JSON are not tried.
+
+    The variant parser refuses an object that names a key twice. Such a frame is read
+    field by field, where the last value of a key counts.
+    """
+    again = F.from_json(frame, _FIELDS, {"columnNameOfCorruptRecord": "broken"})
+    last = F.when(
+        frame.rlike(r"\A[ \t\r\n]*\{") & again["broken"].isNull() & again.isNotNull(),
+        F.try_parse_json(F.to_json(again)),
+    )
+    return F.when(frame.rlike(JSON_START), F.coalesce(F.try_parse_json(frame), last))
 
 
 def _field(document: Column, name: str) -> Column:
@@ -56,6 +69,8 @@ def join_rules(frame: Column) -> Column:
     def judge(document: Column) -> Column:
         text = _text(_field(document, "username"))
         return F.when(
+            frame.isNull(), F.struct(F.lit(None).cast("string"), F.lit(None).cast("string"))
+        ).when(
             _unreadable(document), F.struct(F.lit(None).cast("string"), F.lit(BAD_USERNAME_FRAME))
         ).otherwise(
             _bound(
@@ -78,7 +93,10 @@ def join_rules(frame: Column) -> Column:
 
 
 def check_join(conns: DataFrame) -> DataFrame:
-    """Add `username` and `error` from the first frame of each connection."""
+    """Add `username` and `error` from the first frame of each connection.
+
+    A connection that has sent no frame (NULL) has neither: it stays open without a name.
+    """
     return conns.select("*", join_rules(F.col("first_frame")).alias("_j")).select(
         *conns.columns, "_j.username", "_j.error"
     )
@@ -101,10 +119,11 @@ def chosen_holders(
 def with_admission(checked: DataFrame, chosen: DataFrame) -> DataFrame:
     """Add `admitted`, and the error of connections whose name is taken."""
     admitted = F.coalesce("_in", F.lit(False))
+    taken = ~admitted & F.col("username").isNotNull()
     return (
         checked.join(chosen, "conn_id", "left")
         .withColumn("admitted", admitted)
-        .withColumn("error", F.coalesce("error", F.when(~admitted, TAKEN_USERNAME)))
+        .withColumn("error", F.coalesce("error", F.when(taken, TAKEN_USERNAME)))
         .drop("_in")
     )
 
@@ -114,10 +133,11 @@ def admit(conns: DataFrame, slice_seconds: int = NAME_SLICE_SECONDS) -> DataFram
 
     A name is refused while another admitted connection holds it. Connections
     are taken in order of (`open_ts`, `conn_id`); a holder frees its name at
-    `close_ts`; a refused connection never holds one.
+    `close_ts`; a refused connection never holds one, nor does one without a name,
+    which is not admitted and has no error.
     """
     checked = check_join(conns)
-    named = checked.filter(F.col("error").isNull()).select(
+    named = checked.filter(F.col("username").isNotNull()).select(
         "conn_id",
         "username",
         micros(F.col("open_ts")).alias("_from"),
@@ -131,9 +151,10 @@ def admit(conns: DataFrame, slice_seconds: int = NAME_SLICE_SECONDS) -> DataFram
 def presence_changes(admissions: DataFrame) -> DataFrame:
     """One row per user-list broadcast: each admission and each close.
 
-    A refused connection is closed when it is refused.
+    A refused connection is closed when it is refused; one without a name does not
+    join, but its close is told.
     """
-    closed = F.when(F.col("admitted"), F.col("close_ts")).otherwise(F.col("open_ts"))
+    closed = F.when(F.col("error").isNull(), F.col("close_ts")).otherwise(F.col("open_ts"))
     events = F.array(
         F.struct(F.lit("join").alias("kind"), F.col("open_ts").alias("ts")),
         F.struct(F.lit("close").alias("kind"), closed.alias("ts")),
@@ -148,6 +169,13 @@ def _holders(admissions: DataFrame) -> DataFrame:
     )
 
 
+def _recipients(admissions: DataFrame) -> DataFrame:
+    """Connections that get messages while they are open: all that are not refused."""
+    return admissions.filter(F.col("error").isNull()).select(
+        F.col("conn_id").alias("recipient_conn"), "open_ts", "close_ts"
+    )
+
+
 def user_lists(
     changes: DataFrame, holders: DataFrame, bucket_seconds: int = 3600
 ) -> DataFrame:
@@ -250,10 +278,12 @@ def sent_messages(frames: DataFrame, admissions: DataFrame) -> DataFrame:
 def fan_out(
     frames: DataFrame, admissions: DataFrame, bucket_seconds: int = 3600
 ) -> DataFrame:
-    """One row per message and connection that gets it (the sender's too)."""
-    recipients = _holders(admissions).select(
-        F.col("user_conn").alias("recipient_conn"), "open_ts", "close_ts"
-    )
+    """One row per message and connection that gets it (the sender's too).
+
+    The result has as many rows as messages were delivered; `delivery_counts` has one
+    per message.
+    """
+    recipients = _recipients(admissions)
     sent = sent_messages(frames, admissions).select("frame_id", "ts")
     pairs = stab(
         sent, recipients, "ts", "open_ts", "close_ts", "inner", bucket_seconds, times=frames
@@ -265,5 +295,5 @@ def delivery_counts(frames: DataFrame, admissions: DataFrame) -> DataFrame:
     """Number of recipients per message, without making the pairs."""
     sent = sent_messages(frames, admissions).select("frame_id", "ts")
     return count_open(
-        sent, "ts", _holders(admissions), "open_ts", "close_ts", "recipients", times=frames
+        sent, "ts", _recipients(admissions), "open_ts", "close_ts", "recipients", times=frames
     ).select("frame_id", "recipients")

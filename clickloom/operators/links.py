@@ -15,8 +15,6 @@ from clickloom.functions.rules import (
 from clickloom.plans.numbering import sequence_number
 from clickloom.plans.skew import first_per_key, lookup_join
 
-MAX_INLINE_WORDS = 10_000
-
 
 def resolve_owner(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Add `owner_id` by `token`; NULL means the token is unknown."""
@@ -33,26 +31,15 @@ def code_conflicts(requests: DataFrame, links: DataFrame) -> DataFrame:
 def flag_filtered(df: DataFrame, column: str, words: DataFrame, flag: str = "filtered") -> DataFrame:
     """Flag texts that contain any filter word, upper and lower case alike.
 
-    A list of at most `MAX_INLINE_WORDS` words (checked) is put into the
-    expression as one array. A longer one is met by an equi-join on the
-    substrings of the distinct texts that have the length of some word.
+    The substrings of the distinct texts that have the length of some word are met
+    by an equi-join with the words, so the work grows with the texts and the number
+    of word lengths, not with the number of words. The driver sees the lengths only.
     """
     lowered = words.select(F.lower("word").alias("word")).distinct()
-    listed = [row.word for row in lowered.take(MAX_INLINE_WORDS + 1)]
-    if len(listed) > MAX_INLINE_WORDS:
-        return _flag_by_substrings(df, column, lowered, flag)
-    low = F.lower(F.col(column))
-    found = F.exists(F.lit(listed), lambda word: F.contains(F.col("_low"), word))
-    if not listed:
-        found = F.when(low.isNotNull(), False)
-    return df.withColumn("_low", low).withColumn(flag, found).drop("_low")
-
-
-def _flag_by_substrings(df: DataFrame, column: str, lowered: DataFrame, flag: str) -> DataFrame:
-    lengths = lowered.select(F.length("word").alias("n")).agg(F.collect_set("n")).scalar()
+    lengths = sorted(r.n for r in lowered.select(F.length("word").alias("n")).distinct().collect())
     texts = df.select(column).dropna().distinct()
     sized = texts.select(
-        column, F.lower(F.col(column)).alias("_low"), F.explode(lengths).alias("_n")
+        column, F.lower(F.col(column)).alias("_low"), F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("_n")
     ).filter(F.col("_n") <= F.length("_low"))
     starts = F.sequence(F.lit(1), F.length("_low") - F.col("_n") + 1)
     pieces = sized.select(
@@ -111,15 +98,20 @@ def add_links(
     """Outcome of each add request and the links to append (without their ids).
 
     The first rule that fails gives the status. Among requests for the same free
-    custom code in one batch the lowest `request_id` wins. The winner is found
-    by a pre-aggregated minimum per code and comes back by the unique
-    `request_id`, so a code that everybody asks for never fills one task.
+    custom code in one batch the lowest `request_id` wins, unless an earlier request
+    was given the same code by chance. The winner is found by pre-aggregated minima
+    per code and comes back by the unique `request_id`, so a code that everybody
+    asks for never fills one task.
     """
     judged = judge_adds(requests, users, words, filter_on, code_salt)
     winners = (
-        judged.filter(F.col("_failed").isNull() & F.col("_custom"))
+        judged.filter(F.col("_failed").isNull())
         .groupBy(F.col("_code").alias("shorturl"))
-        .agg(F.min("request_id").alias("request_id"))
+        .agg(
+            F.min(F.when(F.col("_custom"), F.col("request_id"))).alias("request_id"),
+            F.min(F.when(~F.col("_custom"), F.col("request_id"))).alias("_given"),
+        )
+        .filter("request_id IS NOT NULL AND (_given IS NULL OR request_id < _given)")
         .join(links.select("shorturl"), "shorturl", "left_anti")
         .select("request_id", F.lit(True).alias("_won"))
     )

@@ -26,6 +26,14 @@ ROUTES = [
     ("getshorturls", "GET", r"/api/getshorturls"),
 ]
 CHAT_ROUTE = ("messagewss", "/api/messagewss")
+# Methods that a route of a method serves.
+_VERBS = {"GET": ["GET", "HEAD"], "POST": ["POST"]}
+
+
+def reaches_limiter(target: Column) -> Column:
+    """Whether a request goes through the rate limit: all under the API prefix but the
+    chat upgrade; pages are served before it."""
+    return F.startswith(path_only(target), F.lit("/api")) & (target != CHAT_ROUTE[1])
 
 
 def _flag_beyond(
@@ -147,14 +155,15 @@ def route_of(method: Column, target: Column) -> Column:
 
     The chat endpoint is met by its exact target only; targets under the API
     prefix that no route serves are `not_found`, everything else is `static`.
-    Routes ignore letter case and one trailing slash.
+    Routes ignore letter case and one trailing slash. HEAD is served as GET is, and
+    an OPTIONS request under the prefix is a `preflight`.
     """
     path = path_only(target)
     route = F.when(target == CHAT_ROUTE[1], CHAT_ROUTE[0]).when(
         ~F.startswith(path, F.lit("/api")), "static"
-    )
+    ).when(method == "OPTIONS", "preflight")
     for name, verb, pattern in ROUTES:
-        route = route.when((method == verb) & path.rlike(rf"(?i)\A{pattern}/?\z"), name)
+        route = route.when(method.isin(_VERBS[verb]) & path.rlike(rf"(?i)\A{pattern}/?\z"), name)
     return route.otherwise("not_found")
 
 

@@ -17,7 +17,8 @@ SELECT r.*, u.id AS owner_id, COALESCE(r.customshorturlcode,'') <> '' AS custom,
   WHEN COALESCE(r.customshorturlcode,'') <> '' AND EXISTS (SELECT 1 FROM shorturls s WHERE s.shorturl = r.customshorturlcode) THEN 404 END AS failed
  FROM add_requests r LEFT JOIN users u ON u.token = r.token""",
     "add_outcomes": """
-SELECT *, CASE WHEN failed IS NOT NULL THEN failed WHEN custom AND row_number() OVER (PARTITION BY custom, failed, code ORDER BY request_id) > 1 THEN 404 ELSE 200 END AS status FROM judged_adds""",
+SELECT *, CASE WHEN failed IS NOT NULL THEN failed WHEN custom AND row_number() OVER (PARTITION BY custom, failed, code ORDER BY request_id) > 1 THEN 404
+ WHEN custom AND request_id > min(CASE WHEN failed IS NULL AND NOT custom THEN request_id END) OVER (PARTITION BY code) THEN 404 ELSE 200 END AS status FROM judged_adds""",
     "remove_outcomes": """
 SELECT r.request_id, r.shorturl, CASE WHEN COALESCE(r.shorturl,'') = '' OR COALESCE(r.token,'') = '' THEN 400
   WHEN o.shorturl IS NULL OR row_number() OVER (PARTITION BY r.shorturl, o.shorturl IS NULL ORDER BY r.request_id) > 1 THEN 404 ELSE 200 END AS status,
@@ -37,20 +38,21 @@ SELECT r.*, r.firstname = '' OR r.lastname = '' OR r.username = '' OR r.password
  FROM signup_requests r LEFT JOIN users u ON u.username = r.username""",
     "chat_checked": """
 SELECT conn_id, open_ts, close_ts, CASE WHEN error IS NULL THEN trim(name) END AS username, error FROM (
- SELECT *, CASE WHEN doc IS NULL OR json_type(doc) = 'NULL' THEN 'Invalid username format.' WHEN COALESCE(name,'') = '' THEN 'First message must include a username.' WHEN trim(name) = '' THEN 'Username cannot be empty.' END AS error
- FROM (SELECT *, CASE WHEN json_type(doc, '$.username') = 'VARCHAR' THEN json_extract_string(doc, '$.username') END AS name
+ SELECT *, CASE WHEN first_frame IS NULL THEN NULL WHEN doc IS NULL OR json_type(doc) = 'NULL' THEN 'Invalid username format.' WHEN COALESCE(name,'') = '' THEN 'First message must include a username.' WHEN trim(name) = '' THEN 'Username cannot be empty.' END AS error
+ FROM (SELECT *, CASE WHEN first_frame LIKE '%"twice"%' THEN 'twice' WHEN json_type(doc, '$.username') = 'VARCHAR' THEN json_extract_string(doc, '$.username') END AS name
  FROM (SELECT *, TRY_CAST(first_frame AS JSON) AS doc FROM chat_conns)))""",
     "chat_admissions": """
-WITH RECURSIVE o AS (SELECT conn_id, username, open_ts, close_ts, row_number() OVER (PARTITION BY username ORDER BY open_ts, conn_id) AS rn FROM chat_checked WHERE error IS NULL),
+WITH RECURSIVE o AS (SELECT conn_id, username, open_ts, close_ts, row_number() OVER (PARTITION BY username ORDER BY open_ts, conn_id) AS rn FROM chat_checked WHERE username IS NOT NULL),
 f AS (SELECT conn_id, username, rn, TRUE AS admitted, close_ts AS busy FROM o WHERE rn = 1
  UNION ALL SELECT o.conn_id, o.username, o.rn, o.open_ts >= f.busy, CASE WHEN o.open_ts >= f.busy THEN o.close_ts ELSE f.busy END FROM f JOIN o ON o.username = f.username AND o.rn = f.rn + 1)
 SELECT c.conn_id, c.open_ts, c.close_ts, c.username, COALESCE(f.admitted, FALSE) AS admitted,
  CASE WHEN c.error IS NULL AND NOT f.admitted THEN 'Username is already taken. Please choose another.' ELSE c.error END AS error
  FROM chat_checked c LEFT JOIN f ON f.conn_id = c.conn_id""",
     "chat_holders": "SELECT conn_id, username, open_ts, close_ts FROM chat_admissions WHERE admitted",
+    "chat_recipients": "SELECT conn_id, open_ts, close_ts FROM chat_admissions WHERE error IS NULL",
     "chat_changes": """
 SELECT conn_id, 'join' AS kind, open_ts AS ts FROM chat_holders
- UNION ALL SELECT conn_id, 'close' AS kind, CASE WHEN admitted THEN close_ts ELSE open_ts END AS ts FROM chat_admissions""",
+ UNION ALL SELECT conn_id, 'close' AS kind, CASE WHEN error IS NULL THEN close_ts ELSE open_ts END AS ts FROM chat_admissions""",
     "chat_presence": """
 SELECT c.ts, c.conn_id, c.kind, list(h.username ORDER BY h.open_ts, h.conn_id) FILTER (WHERE h.conn_id IS NOT NULL) AS users, CAST(count(h.conn_id) AS INT) AS online
  FROM chat_changes c LEFT JOIN chat_holders h ON h.open_ts <= c.ts AND c.ts < h.close_ts GROUP BY c.ts, c.conn_id, c.kind""",
@@ -60,7 +62,7 @@ SELECT frame_id, conn_id, ts, CASE WHEN doc IS NULL OR json_type(doc) = 'NULL' T
     "chat_sent": """
 SELECT f.frame_id, f.conn_id, f.ts, h.username, f.message FROM chat_checked_frames f JOIN chat_holders h ON h.conn_id = f.conn_id AND h.open_ts <= f.ts AND f.ts < h.close_ts WHERE f.status = 'accepted'""",
     "anchored": """
-WITH RECURSIVE o AS (SELECT request_id, ip, ts, row_number() OVER (PARTITION BY ip ORDER BY ts, request_id) AS rn FROM http_requests),
+WITH RECURSIVE o AS (SELECT request_id, ip, ts, row_number() OVER (PARTITION BY ip ORDER BY ts, request_id) AS rn FROM api_requests),
 f AS (SELECT request_id, ip, rn, ts AS opened, 1 AS n FROM o WHERE rn = 1
  UNION ALL SELECT o.request_id, o.ip, o.rn, CASE WHEN o.ts >= f.opened + INTERVAL '1' DAY THEN o.ts ELSE f.opened END, CASE WHEN o.ts >= f.opened + INTERVAL '1' DAY THEN 1 ELSE f.n + 1 END FROM f JOIN o ON o.ip = f.ip AND o.rn = f.rn + 1)
 SELECT request_id, ip, n > 2 AS limited FROM f""",
@@ -105,6 +107,7 @@ SELECT id, CASE WHEN password IS NOT NULL THEN chr(128274) ELSE '' END AS lock,
  {_URL.format(c='redirecturl')} AS target, 'https://links.example/shorturlanalytics?shorturl='||shorturl AS analytics_link FROM shorturls WHERE token IN (SELECT token FROM users)""",
     "generated_codes": """
 SELECT r.request_id, CAST(u.id AS VARCHAR)||substr(md5(CAST(r.request_id AS VARCHAR)||'salt'),1,4) AS code FROM add_requests r LEFT JOIN users u ON u.token = r.token""",
+    "session_tokens": "SELECT id, 128 AS length, TRUE AS hex, 1 AS owners FROM users",
     "valid_codes": "SELECT request_id, regexp_full_match(customshorturlcode, '[a-zA-Z0-9]+') AS valid FROM add_requests",
     "flag_filtered": """
 SELECT request_id, customshorturlcode, CASE WHEN customshorturlcode IS NOT NULL THEN EXISTS (SELECT 1 FROM words w WHERE contains(lower(customshorturlcode), w.word)) END AS filtered FROM add_requests""",
@@ -134,15 +137,15 @@ SELECT request_id, CASE WHEN password <> password_again THEN 'Passwords do not m
 SELECT request_id, CASE WHEN missing OR taken OR place > 1 THEN 400 ELSE 200 END AS status, CASE WHEN missing THEN 'field missing' WHEN taken OR place > 1 THEN 'name taken' END AS reason FROM signup_results""",
     "new_accounts": """
 SELECT (SELECT max(id) FROM users) + row_number() OVER (ORDER BY request_id) AS id, firstname, lastname, username, request_id FROM signup_results WHERE NOT missing AND NOT taken AND place = 1""",
-    "rate_limit_tumbling": "SELECT request_id, ip, row_number() OVER (PARTITION BY ip, date_trunc('day', ts) ORDER BY ts, request_id) > 2 AS limited FROM http_requests",
+    "rate_limit_tumbling": "SELECT request_id, ip, row_number() OVER (PARTITION BY ip, date_trunc('day', ts) ORDER BY ts, request_id) > 2 AS limited FROM api_requests",
     "rate_limit_windows": """
-SELECT ip, CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, count(*) AS hits, greatest(count(*) - 2, 0) AS limited_hits FROM http_requests GROUP BY ip, date_trunc('day', ts)""",
-    "rate_limit_default": "SELECT request_id, ip, row_number() OVER (PARTITION BY ip, date_trunc('minute', ts) ORDER BY ts, request_id) > 1 AS limited FROM http_requests",
+SELECT ip, CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, count(*) AS hits, greatest(count(*) - 2, 0) AS limited_hits FROM api_requests GROUP BY ip, date_trunc('day', ts)""",
+    "rate_limit_default": "SELECT request_id, ip, row_number() OVER (PARTITION BY ip, date_trunc('minute', ts) ORDER BY ts, request_id) > 20 AS limited FROM busy_requests WHERE path LIKE '/api%' AND path <> '/api/messagewss'",
     "rate_limit_anchored": "SELECT * FROM anchored",
     "classify_route": f"""
-SELECT request_id, CASE WHEN path = '/api/messagewss' THEN 'messagewss' WHEN {_PATH} NOT LIKE '/api%' THEN 'static'
- WHEN method = 'GET' AND regexp_full_match({_PATH}, '/api/short/[^/]+/?') THEN 'short' WHEN method = 'POST' AND regexp_full_match({_PATH}, '/api/short/[^/]+/checkpassword/?') THEN 'checkpassword'
- WHEN method = 'GET' AND {_PATH} IN ('/api/shorturlanalytics','/api/validurl','/api/getshorturls') THEN substr({_PATH}, 6)
+SELECT request_id, CASE WHEN path = '/api/messagewss' THEN 'messagewss' WHEN {_PATH} NOT LIKE '/api%' THEN 'static' WHEN method = 'OPTIONS' THEN 'preflight'
+ WHEN method IN ('GET','HEAD') AND regexp_full_match({_PATH}, '/api/short/[^/]+/?') THEN 'short' WHEN method = 'POST' AND regexp_full_match({_PATH}, '/api/short/[^/]+/checkpassword/?') THEN 'checkpassword'
+ WHEN method IN ('GET','HEAD') AND {_PATH} IN ('/api/shorturlanalytics','/api/validurl','/api/getshorturls') THEN substr({_PATH}, 6)
  WHEN method = 'POST' AND {_PATH} IN ('/api/signup','/api/login','/api/addshorturl','/api/removeshorturl') THEN substr({_PATH}, 6) ELSE 'not_found' END AS route FROM http_requests""",
     "classify_probe": """
 SELECT probe_id, CASE WHEN COALESCE(url_param,'') = '' THEN 400 WHEN regexp_matches(url_param, '%([^0-9A-Fa-f]|[0-9A-Fa-f][^0-9A-Fa-f]|[0-9A-Fa-f]?$)') THEN NULL WHEN contains(COALESCE(error,''),'ENOTFOUND') THEN 404
@@ -154,8 +157,8 @@ SELECT probe_id, CASE WHEN COALESCE(url_param,'') = '' THEN 400 WHEN regexp_matc
 SELECT t.ts, count(h.conn_id) AS online FROM (SELECT open_ts AS ts FROM chat_holders WHERE open_ts < close_ts UNION SELECT close_ts AS ts FROM chat_holders WHERE open_ts < close_ts) t
  LEFT JOIN chat_holders h ON h.open_ts <= t.ts AND t.ts < h.close_ts GROUP BY t.ts""",
     "check_frame": "SELECT frame_id, status, CASE status WHEN 'accepted' THEN message WHEN 'error' THEN 'Invalid message format.' END AS message FROM chat_checked_frames",
-    "fan_out": "SELECT s.frame_id, h.conn_id AS recipient_conn FROM chat_sent s JOIN chat_holders h ON h.open_ts <= s.ts AND s.ts < h.close_ts",
-    "delivery_counts": "SELECT s.frame_id, count(*) AS recipients FROM chat_sent s JOIN chat_holders h ON h.open_ts <= s.ts AND s.ts < h.close_ts GROUP BY s.frame_id",
+    "fan_out": "SELECT s.frame_id, h.conn_id AS recipient_conn FROM chat_sent s JOIN chat_recipients h ON h.open_ts <= s.ts AND s.ts < h.close_ts",
+    "delivery_counts": "SELECT s.frame_id, count(*) AS recipients FROM chat_sent s JOIN chat_recipients h ON h.open_ts <= s.ts AND s.ts < h.close_ts GROUP BY s.frame_id",
     "normalize_url": f"SELECT id, {_URL.format(c='redirecturl')} AS url FROM shorturls",
     "extract_code": "SELECT request_id, NULLIF(regexp_extract('links.example'||path, 'links\\.example/api/short/([a-zA-Z0-9]+)', 1), '') AS code FROM http_requests",
     "js_trim": "SELECT p_partkey, p_name AS trimmed FROM part",
@@ -202,6 +205,7 @@ CHECKS |= {
     "stream_admissions": CHECKS["admit"],
     "stream_presence": CHECKS["presence"],
     "stream_fan_out": CHECKS["fan_out"],
+    "stream_delivery_counts": CHECKS["delivery_counts"],
     "stream_first_username": "SELECT username, request_id FROM signup_results WHERE NOT missing AND NOT taken AND place = 1",
     "stream_first_code": "SELECT request_id, code AS shorturl FROM add_outcomes WHERE status = 200 AND custom",
 }

@@ -25,6 +25,10 @@ CODE_SALT = "salt"
 # The given events are too sparse for the real limit of 20 per minute.
 LIMIT = {"window_seconds": 86400, "max_hits": 2}
 
+# Streams whose rule needs events in time order run in so many micro-batches.
+MICRO_BATCHES = 4
+FILES_PER_BATCH = 4
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -57,6 +61,25 @@ class _Views:
         path, schema = staged(self.spark, self.sf_dir, name, build)
         return runner.read_stream(self.spark, path, schema)
 
+    def stream_in_time(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Rows with a time `ts` as a stream of MICRO_BATCHES, cut between instants."""
+        slot = f"{name}-in-time"
+        rows = self.stored(f"{slot}-rows", build)
+        ends = rows.agg(F.min(rules.micros(F.col("ts"))), F.max(rules.micros(F.col("ts")))).first()
+        folder = new_folder(self.spark, slot)
+        step = (ends[1] - ends[0]) // MICRO_BATCHES + 1 if ends[0] is not None else 1
+        place = F.floor((rules.micros(F.col("ts")) - F.lit(ends[0] or 0)) / F.lit(step))
+        for k in range(MICRO_BATCHES):
+            part = rows.filter(place == k).repartition(FILES_PER_BATCH)
+            part.write.mode("append").parquet(folder)
+        return runner.read_stream(self.spark, folder, rows.schema, FILES_PER_BATCH)
+
+    def live_chat(self) -> DataFrame:
+        """Opens, closes and frames in order of time."""
+        return self.stream_in_time(
+            "chat_events", lambda: live_chat.chat_events(self.chat_conns, self.chat_frames)
+        )
+
     def run_stream(self, name: str, start: Callable[[str, str], StreamingQuery]) -> DataFrame:
         """Run a stream over all that is there and read what it wrote."""
         folder = new_folder(self.spark, name)
@@ -250,7 +273,14 @@ def generated_codes(v):
 
 @query
 def session_tokens(v):
-    return v.users.select("id", rules.generate_token(F.col("id")).alias("token"))
+    drawn = v.stored("tokens", lambda: v.users.select("id", rules.generate_token().alias("token")))
+    owners = drawn.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("owners"))
+    return drawn.join(owners, "token").select(
+        "id",
+        F.length("token").alias("length"),
+        F.col("token").rlike(r"\A[0-9a-f]+\z").alias("hex"),
+        "owners",
+    )
 
 
 @query
@@ -358,26 +388,31 @@ def new_accounts(v):
 # Rate limit and traffic
 
 
+def _limited(requests: DataFrame) -> DataFrame:
+    """Requests that reach the rate limit."""
+    return requests.filter(traffic.reaches_limiter(F.col("path")))
+
+
 @query
 def rate_limit_tumbling(v):
-    limited = traffic.rate_limit_tumbling(v.http_requests, **LIMIT)
+    limited = traffic.rate_limit_tumbling(_limited(v.http_requests), **LIMIT)
     return limited.select("request_id", "ip", "limited")
 
 
 @query
 def rate_limit_windows(v):
-    return traffic.window_counts(v.http_requests, **LIMIT)
+    return traffic.window_counts(_limited(v.http_requests), **LIMIT)
 
 
 @query
 def rate_limit_default(v):
-    limited = traffic.rate_limit_tumbling(v.http_requests, max_hits=1)
+    limited = traffic.rate_limit_tumbling(_limited(v.busy_requests))
     return limited.select("request_id", "ip", "limited")
 
 
 @query
 def rate_limit_anchored(v):
-    limited = traffic.rate_limit_anchored(v.http_requests, **LIMIT)
+    limited = traffic.rate_limit_anchored(_limited(v.http_requests), **LIMIT)
     return limited.select("request_id", "ip", "limited")
 
 
@@ -536,7 +571,7 @@ def stream_rate_limit(v):
     written = v.run_stream(
         "limit-stream",
         lambda out, state: live_traffic.stream_rate_limit(
-            v.stream("http_requests"), out, state, delay="2 days", **LIMIT
+            _limited(v.stream("http_requests")), out, state, delay="2 days", **LIMIT
         ),
     )
     return live_traffic.latest_windows(written)
@@ -548,7 +583,11 @@ def stream_rate_limit_anchored(v):
     written = v.run_stream(
         "anchored-stream",
         lambda out, checkpoint: live_traffic.stream_rate_limit_anchored(
-            v.stream("http_requests"), out, state, checkpoint, **LIMIT
+            _limited(v.stream_in_time("http_requests", lambda: v.http_requests)),
+            out,
+            state,
+            checkpoint,
+            **LIMIT,
         ),
     )
     return written.select("request_id", "ip", "limited")
@@ -571,7 +610,7 @@ def stream_admissions(v):
     written = v.run_stream(
         "admission-stream",
         lambda out, checkpoint: live_chat.stream_admissions(
-            live_chat.connection_events(v.stream("chat_conns")), out, state, checkpoint
+            v.live_chat(), out, state, checkpoint
         ),
     )
     return written.select("conn_id", "username", "admitted", "error")
@@ -583,7 +622,7 @@ def stream_presence(v):
     lists = v.run_stream(
         "presence-stream",
         lambda out, checkpoint: live_chat.stream_presence(
-            live_chat.connection_events(v.stream("chat_conns")), out, state, checkpoint
+            v.live_chat(), out, state, checkpoint
         ),
     )
     return lists.drop("batch").withColumn("users", F.array_join("users", ","))
@@ -591,17 +630,22 @@ def stream_presence(v):
 
 @query
 def stream_fan_out(v):
-    bounds = {"delay": "40 days", "longest": "'1' DAY"}
+    state = new_folder(v.spark, "fan-out-state")
     return v.run_stream(
         "fan-out-stream",
-        lambda out, state: live_chat.stream_fan_out(
-            live_chat.stream_messages(v.stream("chat_frames"), v.stream("admissions"), **bounds),
-            v.stream("admissions"),
-            out,
-            state,
-            **bounds,
+        lambda out, checkpoint: live_chat.stream_fan_out(v.live_chat(), out, state, checkpoint),
+    ).drop("batch")
+
+
+@query
+def stream_delivery_counts(v):
+    state = new_folder(v.spark, "delivery-state")
+    return v.run_stream(
+        "delivery-stream",
+        lambda out, checkpoint: live_chat.stream_delivery_counts(
+            v.live_chat(), out, state, checkpoint
         ),
-    )
+    ).drop("batch")
 
 
 @query
@@ -618,17 +662,20 @@ def stream_first_username(v):
 
 @query
 def stream_first_code(v):
-    judged = links.judge_adds(v.stream("add_requests"), v.users, v.words, code_salt=CODE_SALT)
-    asked = judged.filter("_failed IS NULL AND _custom").select(
-        "request_id", F.col("_code").alias("shorturl")
-    )
+    def ask(rows: DataFrame) -> DataFrame:
+        judged = links.judge_adds(rows, v.users, v.words, code_salt=CODE_SALT)
+        return judged.filter("_failed IS NULL").select(
+            "request_id", F.col("_code").alias("shorturl")
+        )
+
     written = v.run_stream(
         "code-stream",
         lambda out, state: live_traffic.stream_first_writer(
-            asked, "shorturl", v.shorturls, out, state
+            v.stream("add_requests"), "shorturl", v.shorturls, out, state, ask
         ),
     )
-    return live_traffic.first_writers(written, "shorturl")
+    chosen = v.add_requests.filter("customshorturlcode <> ''").select("request_id")
+    return live_traffic.first_writers(written, "shorturl").join(chosen, "request_id", "left_semi")
 
 
 def stored_views(spark: SparkSession, sf_dir: str, names: list[str]) -> None:

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from clickloom.functions.rules import from_micros, instant, micros
+from clickloom.functions.rules import from_micros, micros
 from clickloom.operators.chat import (
-    check_frame,
     check_join,
     chosen_holders,
+    delivery_counts,
+    fan_out,
     user_lists,
     with_admission,
 )
 from clickloom.plans.chains import ALWAYS_FREE
-from clickloom.streaming.runner import append_table, per_batch, read_state, write_state
+from clickloom.streaming.runner import per_batch, read_state, write_state
 
 _NEVER = 2**62
 
@@ -33,8 +34,14 @@ def connection_events(conns: DataFrame) -> DataFrame:
     )
 
 
+def chat_events(conns: DataFrame, frames: DataFrame) -> DataFrame:
+    """Opens, closes and later frames: (conn_id, first_frame, kind, ts, frame_id, frame)."""
+    sent = frames.select("conn_id", "frame_id", "frame", "ts", F.lit("frame").alias("kind"))
+    return connection_events(conns).unionByName(sent, allowMissingColumns=True)
+
+
 def _admit_batch(rows: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Admissions of a micro-batch, and all its holders with their close, if seen.
+    """Admissions of a micro-batch, and all its open connections with their close, if seen.
 
     The batch rule does it: holders from before come first under their names,
     and who has not closed within the batch holds its name to the end of it.
@@ -45,33 +52,35 @@ def _admit_batch(rows: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFra
     ).join(closes, "conn_id", "left")
     held = before.join(closes, "conn_id", "left")
     until = F.coalesce(micros(F.col("close_ts")), F.lit(_NEVER))
-    named = opens.filter(F.col("error").isNull()).select(
+    named = opens.filter(F.col("username").isNotNull()).select(
         "conn_id", "username", micros(F.col("open_ts")).alias("_from"), until.alias("_to")
     )
-    names = held.select(
+    names = held.filter(F.col("username").isNotNull()).select(
         F.col("username").alias("grp"), F.lit(ALWAYS_FREE).alias("start"), until.alias("end")
     )
     admissions = with_admission(opens, chosen_holders(named, held=names)).select(
         "conn_id", "username", "open_ts", "close_ts", "admitted", "error"
     )
     columns = ["conn_id", "username", "open_ts", "close_ts"]
-    return admissions, held.select(*columns).unionByName(admissions.filter("admitted").select(*columns))
+    opened = admissions.filter(F.col("error").isNull()).select(*columns)
+    return admissions, held.select(*columns).unionByName(opened)
 
 
 def _run_admissions(
     events: DataFrame, out: str, state: str, checkpoint: str, result, **options
 ) -> StreamingQuery:
-    """Per micro-batch: admit, keep the holders for the next one, write `result`.
+    """Per micro-batch: admit, keep the open connections for the next one, write `result`.
 
-    The state is one row per name held, in a table per batch. Events arrive in
-    time order.
+    The state is one row per open connection (its username NULL if it has none), in a
+    table per batch. Events arrive in time order, and an instant is not split over
+    two batches.
     """
 
     def step(rows: DataFrame, batch_id: int) -> DataFrame:
         spark = rows.sparkSession
         before = read_state(spark, f"{state}/holders", batch_id - 1, _HOLDERS)
         admissions, holders = _admit_batch(rows, before)
-        # Stored, as the holders kept and the result both come from it.
+        # Stored, as the connections kept and the result both come from it.
         write_state(admissions, f"{state}/admissions", batch_id)
         write_state(holders, f"{state}/all", batch_id)
         holders = read_state(spark, f"{state}/all", batch_id, _HOLDERS + ", close_ts timestamp_ntz")
@@ -102,114 +111,65 @@ def stream_presence(
     return _run_admissions(events, out, state, checkpoint, _batch_lists, **options)
 
 
-def _batch_lists(rows: DataFrame, admissions: DataFrame, holders: DataFrame) -> DataFrame:
-    """User lists of a micro-batch; holders are looked at within its time only."""
+def _seen_from_to(rows: DataFrame, opened: DataFrame) -> DataFrame:
+    """Open connections with the part of their time that lies within a micro-batch."""
     first, last = (
         from_micros(F.lit(at).cast("long"))
         for at in rows.agg(F.min(micros(F.col("ts"))), F.max(micros(F.col("ts")))).first()
     )
-    joins = admissions.filter("admitted").select("conn_id", F.lit("join").alias("kind"), F.col("open_ts").alias("ts"))
-    refusals = admissions.filter("NOT admitted").select("conn_id", F.lit("close").alias("kind"), F.col("open_ts").alias("ts"))
-    closes = holders.filter(F.col("close_ts").isNotNull()).select(
-        "conn_id", F.lit("close").alias("kind"), F.col("close_ts").alias("ts")
-    )
-    seen = holders.select(
-        F.col("conn_id").alias("user_conn"),
+    return opened.select(
+        "conn_id",
         "username",
         "open_ts",
         F.greatest("open_ts", first).alias("seen_from"),
         F.coalesce("close_ts", last + F.expr("INTERVAL '1' SECOND")).alias("seen_to"),
     )
-    return user_lists(joins.unionByName(refusals).unionByName(closes), seen)
-
 
-def _shares(salts: int) -> Column:
-    """A row per salt, for the smaller side of a salted stream join."""
-    return F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
 
-
-def _share_of(row_id: str, salts: int) -> Column:
-    return F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")
+def _batch_lists(rows: DataFrame, admissions: DataFrame, holders: DataFrame) -> DataFrame:
+    """User lists of a micro-batch; holders are looked at within its time only."""
+    joins = admissions.filter("admitted").select("conn_id", F.lit("join").alias("kind"), F.col("open_ts").alias("ts"))
+    refusals = admissions.filter(F.col("error").isNotNull()).select("conn_id", F.lit("close").alias("kind"), F.col("open_ts").alias("ts"))
+    closes = holders.filter(F.col("close_ts").isNotNull()).select(
+        "conn_id", F.lit("close").alias("kind"), F.col("close_ts").alias("ts")
+    )
+    seen = _seen_from_to(rows, holders.filter(F.col("username").isNotNull()))
+    return user_lists(
+        joins.unionByName(refusals).unionByName(closes), seen.withColumnRenamed("conn_id", "user_conn")
+    )
 
 
-def stream_messages(
-    frames: DataFrame, admissions: DataFrame, delay: str, longest: str, salts: int = 4
-) -> DataFrame:
-    """Stream of accepted frames joined with the stream of their admitted senders.
+def _of_messages(use):
+    """What a batch operator over frames and admissions gives for a micro-batch."""
 
-    `longest` bounds how long a connection may last, so state can be dropped.
-    The frames of a busy sender are spread over `salts` tasks.
-    """
-    accepted = (
-        check_frame(frames)
-        .filter("status = 'accepted'")
-        .select(
-            "frame_id",
-            F.col("conn_id").alias("sender"),
-            instant(F.col("ts")).alias("ts"),
-            "message",
-            _share_of("frame_id", salts).alias("f_salt"),
-        )
-        .withWatermark("ts", delay)
-    )
-    senders = (
-        admissions.filter("admitted")
-        .select(
+    def result(rows: DataFrame, admissions: DataFrame, holders: DataFrame) -> DataFrame:
+        frames = rows.filter("kind = 'frame'").select("frame_id", "conn_id", "ts", "frame")
+        opened = _seen_from_to(rows, holders).select(
             "conn_id",
             "username",
-            instant(F.col("open_ts")).alias("open_ts"),
-            instant(F.col("close_ts")).alias("close_ts"),
+            F.col("seen_from").alias("open_ts"),
+            F.col("seen_to").alias("close_ts"),
+            F.col("username").isNotNull().alias("admitted"),
+            F.lit(None).cast("string").alias("error"),
         )
-        .withWatermark("open_ts", delay)
-        .select("*", _shares(salts).alias("d_salt"))
-    )
-    inside = F.expr(
-        "sender = conn_id AND f_salt = d_salt AND open_ts <= ts AND ts < close_ts"
-        f" AND ts <= open_ts + INTERVAL {longest}"
-    )
-    return accepted.join(senders, inside).select("frame_id", "ts", "username", "message")
+        return use(frames, opened)
 
+    return result
 
-def stream_fan_out(
-    sent: DataFrame,
-    admissions: DataFrame,
-    out: str,
-    checkpoint: str,
-    delay: str,
-    longest: str,
-    bucket_seconds: int = 3600,
-    salts: int = 4,
-    **options,
+
+def stream_delivery_counts(
+    events: DataFrame, out: str, state: str, checkpoint: str, **options
 ) -> StreamingQuery:
-    """Append one row per message and connection open at its time.
+    """Number of recipients per message, from `chat_events`.
 
-    Both sides are streams. They are joined on a time bucket and a salt, which
-    spreads the messages of a busy bucket; a connection is repeated once per
-    bucket it touches and salt.
+    A connection is in the state while it is open, however long that is, and its
+    close is not known before it comes.
     """
-    width = bucket_seconds * 1_000_000
-    first = F.floor(F.unix_micros("open_ts") / F.lit(width)).cast("long")
-    last = F.floor((F.unix_micros("close_ts") - 1) / F.lit(width)).cast("long")
-    recipients = (
-        admissions.filter("admitted AND open_ts < close_ts")
-        .select(
-            F.col("conn_id").alias("recipient_conn"),
-            instant(F.col("open_ts")).alias("open_ts"),
-            instant(F.col("close_ts")).alias("close_ts"),
-        )
-        .withWatermark("open_ts", delay)
-        .select("*", F.explode(F.sequence(first, last)).alias("d_bucket"))
-        .select("*", _shares(salts).alias("d_salt"))
-    )
-    messages = sent.select(
-        "frame_id",
-        "ts",
-        F.floor(F.unix_micros("ts") / F.lit(width)).cast("long").alias("f_bucket"),
-        _share_of("frame_id", salts).alias("f_salt"),
-    )
-    inside = F.expr(
-        "f_bucket = d_bucket AND f_salt = d_salt AND open_ts <= ts AND ts < close_ts"
-        f" AND ts <= open_ts + INTERVAL {longest}"
-    )
-    pairs = messages.join(recipients, inside).select("frame_id", "recipient_conn")
-    return append_table(pairs, out, checkpoint, **options)
+    return _run_admissions(events, out, state, checkpoint, _of_messages(delivery_counts), **options)
+
+
+def stream_fan_out(
+    events: DataFrame, out: str, state: str, checkpoint: str, **options
+) -> StreamingQuery:
+    """One row per message and connection that gets it, from `chat_events`."""
+    return _run_admissions(events, out, state, checkpoint, _of_messages(fan_out), **options)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -91,17 +93,32 @@ def stream_rate_limit_anchored(
 
 
 def stream_first_writer(
-    requests: DataFrame, key: str, taken: DataFrame, out: str, checkpoint: str, **options
+    requests: DataFrame,
+    key: str,
+    taken: DataFrame,
+    out: str,
+    checkpoint: str,
+    ask: Callable[[DataFrame], DataFrame] | None = None,
+    **options,
 ) -> StreamingQuery:
     """The request that gets each free name or code: the lowest `request_id`.
 
-    Ids grow in order of arrival, so a later micro-batch cannot take a name
-    over. The minimum is combined before the shuffle: a name that everybody
-    asks for costs one row per task and one state row.
+    `ask` gives the askers (request_id and `key`) of a micro-batch of requests; it may
+    join tables in any way. Ids grow in order of arrival, so a later micro-batch cannot
+    take a name over. The minimum comes first: a name that everybody asks for is one
+    row when it meets those that are taken.
     """
-    free = requests.filter(F.col(key).isNotNull()).join(taken.select(key), key, "left_anti")
-    winners = free.groupBy(key).agg(F.min("request_id").alias("request_id"))
-    return per_batch(winners, out, checkpoint, "update", **options)
+
+    def winners(rows: DataFrame, batch_id: int) -> DataFrame:
+        asked = ask(rows) if ask else rows
+        first = (
+            asked.filter(F.col(key).isNotNull())
+            .groupBy(key)
+            .agg(F.min("request_id").alias("request_id"))
+        )
+        return first.join(taken.select(key), key, "left_anti")
+
+    return per_batch(requests, out, checkpoint, "append", winners, **options)
 
 
 def first_writers(written: DataFrame, key: str) -> DataFrame:

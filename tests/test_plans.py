@@ -202,15 +202,18 @@ def test_micros_ignore_the_session_zone(spark, settings, zone):
     assert df.select(micros(F.col("ts"))).first()[0] == 1710037800123456
 
 
-@pytest.mark.parametrize("inline", [0, 100])
-def test_flag_filtered_both_ways(spark, monkeypatch, skewed, inline):
-    monkeypatch.setattr("clickloom.operators.links.MAX_INLINE_WORDS", inline)
+@pytest.mark.parametrize("spread", [False, True])
+def test_flag_filtered(spark, request, spread):
+    if spread:
+        request.getfixturevalue("skewed")
     words = spark.createDataFrame([("Ring",), ("a b",), ("xyz",)], "word string")
     texts = ["string", "SPRINGS", "xa by", "rin", "", None, "axyz", "ring"] * 3
     df = spark.createDataFrame(list(enumerate(texts)), "id long, code string")
     got = {r.id: r.filtered for r in flag_filtered(df, "code", words).collect()}
     flags = {"string": True, "SPRINGS": True, "xa by": True, "axyz": True, "ring": True, None: None}
     assert got == {i: flags.get(t, False) for i, t in enumerate(texts)}
+    none = flag_filtered(df, "code", words.limit(0)).collect()
+    assert {r.filtered for r in none if r.code is not None} == {False}
 
 
 def test_worker_functions_need_no_installed_package(tmp_path):

@@ -1,5 +1,7 @@
 """Edge rows of the column rules."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,10 +90,9 @@ def test_first_present(spark):
 
 
 def test_tokens(spark):
-    df = spark.range(3).select(rules.generate_token(F.col("id")).alias("t"))
-    first = [r.t for r in df.collect()]
-    assert first == [r.t for r in df.collect()]
-    assert len(set(first)) == 3 and all(len(t) == 128 for t in first)
+    df = spark.range(300).select(rules.generate_token().alias("t"))
+    drawn = [r.t for r in df.collect()]
+    assert len(set(drawn)) == 300 and all(re.fullmatch("[0-9a-f]{128}", t) for t in drawn)
 
 
 @pytest.mark.parametrize(
@@ -110,6 +111,9 @@ def test_tokens(spark):
         ('{"username":', None, "Invalid username format."),
         ('{"username":"  "}', None, "Username cannot be empty."),
         ('\n {"username":"a"}', "a", None),
+        ('{"username":"a","username":"b"}', "b", None),
+        ('{"username":"a","username":5}', None, "First message must include a username."),
+        (None, None, None),
     ],
 )
 def test_first_frame(spark, frame, name, error):

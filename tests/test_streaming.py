@@ -128,17 +128,18 @@ def test_presence(views, in_parts, run, tmp_path):
     assert rows(written.drop("batch")) == rows(chat.presence(chat.admit(views.chat_conns)))
 
 
-def test_fan_out(views, in_parts, run):
-    bounds = {"delay": "40 days", "longest": "'1' DAY"}
+def test_fan_out(views, in_parts, run, tmp_path):
+    """Each batch knows of a connection's close only once it has come."""
     admissions = views.admissions
-    frames = in_parts(views.chat_frames, "ts")
-    sent = live_chat.stream_messages(frames, in_parts(admissions, "open_ts"), **bounds)
-    written = run(
-        lambda out, state: live_chat.stream_fan_out(
-            sent, in_parts(admissions, "open_ts"), out, state, **bounds
-        )
+    events = in_parts(live_chat.chat_events(views.chat_conns, views.chat_frames), "ts")
+    pairs = run(
+        lambda out, state: live_chat.stream_fan_out(events, out, str(tmp_path / "p"), state)
+    )
+    assert rows(pairs.drop("batch")) == rows(chat.fan_out(views.chat_frames, admissions))
+    counts = run(
+        lambda out, state: live_chat.stream_delivery_counts(events, out, str(tmp_path / "c"), state)
     )
-    assert rows(written) == rows(chat.fan_out(views.chat_frames, admissions))
+    assert rows(counts.drop("batch")) == rows(chat.delivery_counts(views.chat_frames, admissions))
 
 
 def test_first_writer(views, in_parts, run):
