@@ -19,7 +19,8 @@ TITLES = {
     "m": "Mr|Herr|Señor|Monsieur",
     "n": "Mx|Dr|Prof",
 }
-_ANY_TITLE = "|".join(TITLES.values())
+_TITLE = {k: f"{t}|{t.upper()}" for k, t in TITLES.items()}
+_ANY_TITLE = "|".join(_TITLE.values())
 
 #: Kinds in the order in which they are tried at a place of the text.
 PATTERNS = {
@@ -78,8 +79,8 @@ def entities(found: Column) -> Column:
     one = lambda norm: F.array(F.struct(kind.alias("kind"), norm.alias("norm")))
     names = F.filter(F.split(found, " "), lambda w: w != "")
     given, surname = F.get(names, F.lit(1)), F.get(names, F.lit(2))
-    gender = F.when(found.rlike(rf"^(?:{TITLES['f']})\.? "), "f")
-    gender = gender.when(found.rlike(rf"^(?:{TITLES['m']})\.? "), "m").otherwise("n")
+    gender = F.when(found.rlike(rf"^(?:{_TITLE['f']})\.? "), "f")
+    gender = gender.when(found.rlike(rf"^(?:{_TITLE['m']})\.? "), "m").otherwise("n")
     part = lambda sort, name: F.struct(
         F.concat_ws("_", F.lit("name"), sort, _script(name)).alias("kind"),
         F.lower(name).alias("norm"),

@@ -116,8 +116,9 @@ def labelled_strings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Random strings are digests of running numbers, written in hexadecimal (either
     case) and base 64. Ordinary ones are the words of documents (those with the
-    smallest hashes of their ids, SAMPLE_DOCUMENTS about), alone and joined in the
-    ways identifiers are: in a row, with capitals, with underscores and hyphens.
+    smallest hashes of their ids, SAMPLE_DOCUMENTS about) and the names of Spark's own
+    functions, joined in the ways identifiers are: in a row, with capitals, with
+    underscores and hyphens.
     """
     spark = docs.sparkSession
     digest = spark.range(SAMPLE_STRINGS).select(
@@ -152,6 +153,9 @@ def labelled_strings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.concat(F.array_join(lower, "_"), F.lit("_"), F.size("w").cast("string")),
     ]
     ordinary = chosen.select(words.alias("w")).where(F.size("w") > 0)
+    named = spark.sql("SHOW SYSTEM FUNCTIONS").select(F.col("function").alias("s"))
+    plain = named.withColumn("w", F.split("s", "_")).where(F.col("s").rlike("^[a-z_0-9]+$"))
+    ordinary = ordinary.union(plain.select("w"))
     return drawn, ordinary.select(F.explode(F.array(*joined)).alias("s")).where("char_length(s) > 1")
 
 
