@@ -35,11 +35,16 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def worker_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker and is shared by its tasks."""
+    """A dict that lives as long as the Python worker and is shared by its tasks.
+
+    A worker keeps one such dict: that of another operator is let go.
+    """
     holder = sys.modules.setdefault(
         "clickloom_worker_cache", types.ModuleType("clickloom_worker_cache")
     )
-    return holder.__dict__.setdefault(name, {})
+    if getattr(holder, "name", None) != name:
+        holder.name, holder.kept = name, {}
+    return holder.kept
 
 
 def column_batch(schema: pa.Schema, columns: Sequence[Iterable]) -> pa.RecordBatch:
