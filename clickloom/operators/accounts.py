@@ -45,13 +45,12 @@ def first_requests(requests: DataFrame, key: str) -> DataFrame:
     return requests.groupBy(key).agg(F.min("request_id").alias("request_id"))
 
 
-def register(
-    requests: DataFrame, users: DataFrame, secret: str | None = None
-) -> tuple[DataFrame, DataFrame]:
+def register(requests: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Outcome of each registration and the accounts to append, with id and token.
 
     The earliest request for a free name wins. Names are compared as a
-    pre-aggregated set; the winner comes back by the unique `request_id`.
+    pre-aggregated set; the winner comes back by the unique `request_id`. Tokens are
+    drawn when the accounts are written, so write them once.
     """
     winners = first_requests(complete_requests(requests), "username").join(
         users.select("username"), "username", "left_anti"
@@ -71,7 +70,7 @@ def register(
         "firstname",
         "lastname",
         "username",
-        generate_token(F.col("request_id"), secret).alias("token"),
+        generate_token().alias("token"),
     )
     return outcomes, with_next_ids(users, accepted, "request_id").select(
         "id", "firstname", "lastname", "username", "token", "request_id"

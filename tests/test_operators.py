@@ -193,7 +193,7 @@ def test_register(spark, data):
         ],
         "request_id long, firstname string, lastname string, username string, password string",
     )
-    outcomes, new = accounts.register(requests, data[0], secret="s")
+    outcomes, new = accounts.register(requests, data[0])
     assert {r.request_id: (r.status, r.reason) for r in outcomes.collect()} == {
         3: (400, "field missing"),
         4: (200, None),

@@ -136,10 +136,16 @@ def test_fan_out(views, in_parts, run, tmp_path):
         lambda out, state: live_chat.stream_fan_out(events, out, str(tmp_path / "p"), state)
     )
     assert rows(pairs.drop("batch")) == rows(chat.fan_out(views.chat_frames, admissions))
+
+
+def test_delivery_counts(views, in_parts, run, tmp_path):
+    events = in_parts(live_chat.chat_events(views.chat_conns, views.chat_frames), "ts")
     counts = run(
         lambda out, state: live_chat.stream_delivery_counts(events, out, str(tmp_path / "c"), state)
     )
-    assert rows(counts.drop("batch")) == rows(chat.delivery_counts(views.chat_frames, admissions))
+    assert rows(counts.drop("batch")) == rows(
+        chat.delivery_counts(views.chat_frames, views.admissions)
+    )
 
 
 def test_first_writer(views, in_parts, run):
