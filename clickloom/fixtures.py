@@ -92,8 +92,8 @@ SELECT page_id AS probe_id, CASE page_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHE
 """,
     "qr_payloads": r"""
 SELECT page_id AS payload_id, CASE page_id % 11 WHEN 0 THEN 'Hello '||CAST(page_id AS STRING) WHEN 1 THEN url WHEN 2 THEN 'mailto:u'||CAST(page_id AS STRING)||'@example.com?subject=S&body=M' WHEN 3 THEN 'tel:+1234567'||CAST(page_id AS STRING)
- WHEN 4 THEN 'sms:+1234567?body=Hi '||CAST(page_id AS STRING) WHEN 5 THEN 'https://wa.me/123456?text=Hello+World' WHEN 6 THEN 'WIFI:T:WPA;S:net'||CAST(page_id AS STRING)||';P:pw;;' WHEN 7 THEN 'geo:37.5,-122.'||CAST(page_id AS STRING)
- WHEN 8 THEN 'BEGIN:VCARD'||chr(10)||'VERSION:3.0'||chr(10)||'N:L'||CAST(page_id AS STRING)||';F'||chr(10)||'END:VCARD' WHEN 9 THEN 'BEGIN:VEVENT'||chr(10)||'SUMMARY:M'||CAST(page_id AS STRING)||chr(10)||'DTSTART:20250120T090000'||chr(10)||'DTEND:20250120T100000'||chr(10)||'END:VEVENT'
+ WHEN 4 THEN 'sms:+1234567?body=Hi '||CAST(page_id AS STRING) WHEN 5 THEN 'https://wa.me/123456?text=Hello+World' WHEN 6 THEN 'WIFI:T:WPA;S:net'||CAST(page_id AS STRING)||';P:p'||CASE WHEN page_id % 2 = 0 THEN chr(92)||';' ELSE '' END||'w;;' WHEN 7 THEN 'geo:37.5,-122.'||CAST(page_id AS STRING)||CASE WHEN page_id % 2 = 0 THEN ',8' ELSE '' END
+ WHEN 8 THEN 'BEGIN:VCARD'||chr(10)||'VERSION:3.0'||chr(10)||'N:L'||CAST(page_id AS STRING)||';F'||chr(10)||'TEL:1'||chr(10)||'TEL:2'||chr(10)||'END:VCARD' WHEN 9 THEN 'BEGIN:VEVENT'||chr(10)||'SUMMARY:M'||CAST(page_id AS STRING)||chr(10)||'DTSTART:20250120T090000'||chr(10)||'DTEND:20250120T100000'||chr(10)||'END:VEVENT'
  ELSE 'bitcoin:1A1zP1?amount=0.'||CAST(page_id AS STRING)||'&label=D' END AS payload FROM pages
 """,
 }

