@@ -242,12 +242,12 @@ def greedy_intervals(
     heavy = heavy_keys(counted, ["grp"])
     rows = mark_heavy(rows, heavy, ["grp"]).withColumn(
         "slice",
-        F.when(F.col("_heavy"), F.floor(F.col("start") / F.lit(slice_seconds * 1_000_000)))
+        F.when(F.col("_salts").isNotNull(), F.floor(F.col("start") / F.lit(slice_seconds * 1_000_000)))
         .otherwise(F.lit(0))
         .cast("long"),
     )
     tables = (
-        rows.filter("_heavy")
+        rows.filter("_salts IS NOT NULL")
         .select("grp", "slice", "start", "end", "real", "id")
         .repartition("grp", "slice")
         .sortWithinPartitions("grp", "slice", "start", "real", "id")

@@ -16,16 +16,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Defaults of the session settings that tune this: how many keys may count as
-# heavy, from how many rows on, and over how many salts their rows are spread.
+# heavy, from how many rows on, and the least number of salts their rows are spread
+# over. A key gets one salt for each `heavyRows` rows, so its share of a task stays
+# the same as it grows, up to SALT_GROWTH times that number.
 SETTINGS = {
     "clickloom.heavyKeys": 1000,
     "clickloom.heavyRows": 1_000_000,
     "clickloom.salts": 64,
 }
 
+SALT_GROWTH = 64
+
 _UNHASHABLE = re.compile(r"map<|variant")
 _SALT = "_salt"
-_HEAVY = "_heavy"
+_SALTS = "_salts"
 
 
 def setting(spark: SparkSession, name: str) -> int:
@@ -59,48 +63,50 @@ def heaviest(counts: DataFrame, keys: list[str]) -> DataFrame:
         counts.filter(F.col("_rows") >= setting(spark, "clickloom.heavyRows"))
         .orderBy(F.desc("_rows"), *keys)
         .limit(setting(spark, "clickloom.heavyKeys"))
-        .select(*keys, F.lit(True).alias(_HEAVY))
+        .select(*keys, _salt_count(spark).alias(_SALTS))
     )
 
 
+def _salt_count(spark: SparkSession) -> Column:
+    least = setting(spark, "clickloom.salts")
+    wanted = F.ceil(F.col("_rows") / F.lit(setting(spark, "clickloom.heavyRows")))
+    return F.least(F.greatest(wanted, F.lit(least)), F.lit(least * SALT_GROWTH)).cast("int")
+
+
 def heavy_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return heaviest(key_counts(df, keys), keys)
 
 
 def mark_heavy(df: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
-    """Add a boolean `_heavy`; `heavy` has a proven row bound (see `heaviest`)."""
-    marked = df.join(F.broadcast(heavy), keys, "left")
-    return marked.withColumn(_HEAVY, F.coalesce(F.col(_HEAVY), F.lit(False)))
+    """Add `_salts`, NULL for other keys; `heavy` has a proven row bound (see `heaviest`)."""
+    return df.join(F.broadcast(heavy), keys, "left")
 
 
 def salt_rows(df: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
-    """Give rows of heavy or NULL keys one of the salts, all others 0.
+    """Give rows of heavy keys one of their salts, all others 0.
 
     The salt hashes the whole row plus the task's partition number: identical
     copies spread too, and a task that runs again gives every row the same salt.
+    Rows with a NULL key match nothing; they are spread over all numbers.
     """
-    salts = setting(df.sparkSession, "clickloom.salts")
     hashed = [f.name for f in df.schema.fields if not _UNHASHABLE.search(f.dataType.simpleString())]
-    hashed_salt = F.pmod(F.xxhash64(*hashed), F.lit(salts))
-    spread = F.pmod(hashed_salt + F.spark_partition_id(), F.lit(salts)).cast("int")
+    spread = F.hash(*hashed, F.spark_partition_id())
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
     marked = df.withColumn(_SALT, spread)
     marked = mark_heavy(marked, heavy, keys)
-    return marked.withColumn(
-        _SALT, F.when(F.col(_HEAVY) | no_key, F.col(_SALT)).otherwise(F.lit(0))
-    ).drop(_HEAVY)
+    own = F.when(no_key, F.col(_SALT)).when(
+        F.col(_SALTS).isNotNull(), F.pmod(_SALT, _SALTS)
+    )
+    return marked.withColumn(_SALT, F.coalesce(own, F.lit(0)).cast("int")).drop(_SALTS)
 
 
 def repeat_rows(df: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
     """Repeat the rows of heavy keys once per salt, all others once with salt 0."""
-    salts = setting(df.sparkSession, "clickloom.salts")
     marked = mark_heavy(df, heavy, keys)
-    values = F.when(F.col(_HEAVY), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    return marked.withColumn(_SALT, F.explode(values)).drop(_HEAVY)
+    values = F.sequence(F.lit(0), F.coalesce(F.col(_SALTS), F.lit(1)) - 1)
+    return marked.withColumn(_SALT, F.explode(values)).drop(_SALTS)
 
 
 def lookup_join(
