@@ -16,7 +16,7 @@ from clickloom.llm.common import column_batch, small_batches, table, text_or_emp
 
 WINDOW = 10
 #: Words of one automaton. A larger benchmark is dealt to several automata, one after another.
-AUTOMATON_WORDS = 1_000_000
+AUTOMATON_WORDS = 100_000
 ROWS_AT_ONCE = 500
 
 #: Bytes that are part of a word, once A-Z are lower case: digits, a-z, all beyond ASCII.
@@ -225,6 +225,23 @@ def _automata(benchmark: DataFrame, window: int) -> Iterator[SuffixAutomaton]:
     yield SuffixAutomaton(items, window)
 
 
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """docs, whose second column is the text, with n_words, spans and item_ids at the end."""
+    if window < 1:
+        raise ValueError("a window has at least one word")
+    out = docs.select(
+        "*",
+        F.lit(0).cast("long").alias("n_words"),
+        F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
+        F.array().cast("array<string>").alias("item_ids"),
+    )
+    kinds = out.schema
+    for automaton in _automata(benchmark, window):
+        shared = docs.sparkSession.sparkContext.broadcast(automaton)
+        out = out.mapInArrow(_pass(shared), kinds)
+    return out
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Each document (doc_id, text) with its words, hit spans of words and hit items.
 
@@ -239,40 +256,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     empty name, and rows of the same item_id as one item. Empty tables give no
     documents, or documents without hits. Other columns are ignored.
     """
-    if window < 1:
-        raise ValueError("a window has at least one word")
-    sc = docs.sparkSession.sparkContext
-    out = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
-        F.array().cast("array<string>").alias("item_ids"),
+    plain = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
-    kinds = out.schema
-    for automaton in _automata(benchmark, window):
-        out = out.mapInArrow(_pass(sc.broadcast(automaton)), kinds)
-    return out
+    return _judged(plain, benchmark, window)
 
 
 def _pass(shared):
-    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-    schema = pa.schema(
-        [
-            ("doc_id", pa.int64()),
-            ("text", pa.string()),
-            ("n_words", pa.int64()),
-            ("spans", pa.list_(span)),
-            ("item_ids", pa.list_(pa.string())),
-        ]
-    )
+    """One automaton's hits, added to those found before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
         for batch in small_batches(batches, ROWS_AT_ONCE):
+            *others, _, before, names = batch.columns
             counts, spans, items = [], [], []
-            had_spans, had_items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            had_spans, had_items = before.to_pylist(), names.to_pylist()
+            for k, text in enumerate(others[1].to_pylist()):
                 words = words_of(text) if text else []
                 found, hit = automaton.hits(words)
                 if had_spans[k]:
@@ -280,9 +279,7 @@ def _pass(shared):
                 counts.append(len(words))
                 spans.append([{"start": a, "end": b} for a, b in found])
                 items.append(sorted({automaton.names[i] for i in hit} | set(had_items[k])))
-            yield column_batch(
-                schema, [batch.column(0), batch.column(1).cast(pa.string()), counts, spans, items]
-            )
+            yield column_batch(batch.schema, [*others, counts, spans, items])
 
     return run
 
@@ -309,33 +306,58 @@ def remove_leaks(
     hits stays as it is, null or not. Columns beyond these five are not returned.
     """
     rule = rule or CutRule(min_words=window)
-    sc = docs.sparkSession.sparkContext
-    out = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
-    kinds = out.schema
-    for automaton in _automata(benchmark, window):
-        shared = sc.broadcast(automaton)
-
-        def run(batches, shared=shared):
-            for batch in small_batches(batches, ROWS_AT_ONCE):
-                texts = batch.column(1).to_pylist()
-                sizes = batch.column(4).to_pylist()
-                stay = []
-                for k, text in enumerate(texts):
-                    spans, _ = shared.value.hits(words_of(text)) if text else ([], ())
-                    if spans and (left := cut(text, spans, rule)) != text:
-                        if left is None:
-                            continue
-                        texts[k], sizes[k] = left, len(left)
-                    stay.append(k)
-                made = [*batch.columns]
-                made[1] = pa.array(texts, made[1].type)
-                made[4] = pa.array(sizes, pa.int64())
-                done = pa.RecordBatch.from_arrays(made, schema=batch.schema)
-                yield done if len(stay) == len(texts) else done.take(pa.array(stay, pa.int64()))
-
-        out = out.mapInArrow(run, kinds)
-    return out
+    plain = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+
+    names = plain.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, ROWS_AT_ONCE):
+            columns = batch.columns[:5]
+            texts, sizes = columns[1].to_pylist(), columns[4].to_pylist()
+            stay = []
+            for k, spans in enumerate(batch.column(6).to_pylist()):
+                hit = [(s["start"], s["end"]) for s in spans]
+                if hit and (left := cut(texts[k], hit, rule)) != texts[k]:
+                    if left is None:
+                        continue
+                    texts[k], sizes[k] = left, len(left)
+                stay.append(k)
+            columns[1], columns[4] = pa.array(texts, columns[1].type), pa.array(sizes, pa.int64())
+            made = pa.RecordBatch.from_arrays(columns, names=names)
+            yield made if len(stay) == len(texts) else made.take(pa.array(stay, pa.int64()))
+
+    return _judged(plain, benchmark, window).mapInArrow(run, plain.schema)
 
 
 def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_SQL_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',"
+    " 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+OP9_SQL = f"""
+WITH docs AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {_SQL_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, n, w[k:k + n - 1] AS win
+  FROM (SELECT item_id, w, least(len(w), {WINDOW}) AS n, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) AS k
+        FROM items WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT doc_id, k, n, w[k:k + n - 1] AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM docs, sizes WHERE len(w) >= n)
+), found AS (SELECT p.doc_id, p.k, p.n, i.item_id FROM places p JOIN windows i ON p.win = i.win),
+hits AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM found) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
+  sha256(coalesce(n.names, '')) AS items_sha256, h.n_hit IS NOT NULL AS contaminated
+FROM docs d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN named n ON n.doc_id = d.doc_id
+"""

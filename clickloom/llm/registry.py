@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm.decontaminate import op9_benchmark_leaks
+from clickloom.llm.decontaminate import OP9_SQL, op9_benchmark_leaks
 from clickloom.llm.html_model import op2_tree_model
 from clickloom.llm.language import op3_segmentation_unigrams
 from clickloom.llm.licenses import op7_license_windows
@@ -18,7 +18,23 @@ from clickloom.llm.topk import OP4_SQL, op4_term_at_a_time
 from clickloom.llm.warc import OP1_SQL, op1_revisits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_revisits, op2_tree_model, op3_segmentation_unigrams, op4_term_at_a_time, op5_markov_secrets, op6_simhash, op7_license_windows, op8_vector_packing, op9_benchmark_leaks, op10_surrogates)
+    f.__name__: f
+    for f in (
+        op1_revisits,
+        op2_tree_model,
+        op3_segmentation_unigrams,
+        op4_term_at_a_time,
+        op5_markov_secrets,
+        op6_simhash,
+        op7_license_windows,
+        op8_vector_packing,
+        op9_benchmark_leaks,
+        op10_surrogates,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_revisits": OP1_SQL, "op4_term_at_a_time": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_revisits": OP1_SQL,
+    "op4_term_at_a_time": OP4_SQL,
+    "op9_benchmark_leaks": OP9_SQL,
+}

@@ -133,10 +133,10 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: the k best inner products of each query.
 
     vectors has vec_id and embedding; queries are the rows whose vec_id is divisible
-    by `every`, candidates all rows with another vec_id. Rows are dealt by a hash of
-    the vec_id to blocks of bounded size, and each block of queries meets each block
-    of candidates in one task, which keeps k rows per query. A window over those
-    finds the k best of all.
+    by `every`, candidates all rows with another vec_id. Rows are dealt by hashes to
+    blocks of bounded size (candidates by vec_id and place, so that many rows of one
+    vec_id are spread), and each block of queries meets each block of candidates in
+    one task, which keeps k rows per query. A window over those finds the k best of all.
 
     Vectors that are null or hold a null or non-finite component, and rows with a
     null vec_id, take no part. Vectors of different lengths are compared over the
@@ -149,22 +149,23 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
         vectors.select(
             F.col("vec_id").cast("long").alias("vec_id"),
             whole_components(F.col("embedding")).alias("weights"),
+            F.monotonically_increasing_id().alias("row"),
         ).where("vec_id is not null and weights is not null")
     )
     asked = F.col("vec_id") % every == 0
     sizes = usable.agg(F.count(F.lit(1)), F.count(F.when(asked, 1))).first()
     n_docs = max(1, -(-sizes[0] // CANDIDATE_BLOCK))
     n_asked = max(1, -(-sizes[1] // QUERY_BLOCK))
-    block = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
+    block = lambda n, *of: F.pmod(F.xxhash64(*of), F.lit(n)).cast("int")
     every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     queries = (
         usable.where(asked)
         .groupBy("vec_id")
         .agg(F.min("weights").alias("weights"))
-        .select("vec_id", "weights", block(n_asked, 1).alias("q"))
+        .select("vec_id", "weights", block(n_asked, "vec_id").alias("q"))
         .withColumn("d", every_block(n_docs))
     )
-    docs = usable.withColumn("d", block(n_docs, 2)).withColumn("q", every_block(n_asked))
+    docs = usable.withColumn("d", block(n_docs, "vec_id", "row")).drop("row").withColumn("q", every_block(n_asked))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def meet(asked_block: pa.Table, docs_block: pa.Table) -> pa.Table:
