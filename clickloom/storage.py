@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -22,7 +23,7 @@ def work_folder(spark: SparkSession) -> str | None:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if spark.conf.get("spark.master", "").startswith("local"):
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
         return _local_folder()
     return None
 
