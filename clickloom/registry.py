@@ -571,10 +571,13 @@ def stream_rate_limit(v):
     written = v.run_stream(
         "limit-stream",
         lambda out, state: live_traffic.stream_rate_limit(
-            _limited(v.stream("http_requests")), out, state, delay="2 days", **LIMIT
+            _limited(v.stream_in_time("http_requests", lambda: v.http_requests)),
+            out,
+            state,
+            window_seconds=LIMIT["window_seconds"],
         ),
     )
-    return live_traffic.latest_windows(written)
+    return live_traffic.latest_windows(written, max_hits=LIMIT["max_hits"])
 
 
 @query

@@ -60,19 +60,27 @@ def per_batch(
     return writer.start()
 
 
+#: State tables of so many batches are kept, each in the place of an older one.
+STATE_SLOTS = 3
+
+
+def state_folder(folder: str, batch_id: int) -> str:
+    return f"{folder}/slot={batch_id % STATE_SLOTS}"
+
+
 def read_state(
     spark: SparkSession, folder: str, batch_id: int, schema: str | StructType
 ) -> DataFrame:
     """State table that a micro-batch left; empty before the first one."""
     if batch_id < 0:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(batch_folder(folder, batch_id))
+    return spark.read.schema(schema).parquet(state_folder(folder, batch_id))
 
 
 def write_state(table: DataFrame, folder: str, batch_id: int) -> None:
     """Each micro-batch has a state table of its own, so one that is run again
-    still finds what the batch before it left."""
-    table.write.mode("overwrite").parquet(batch_folder(folder, batch_id))
+    still finds what the batch before it left. Older ones are replaced."""
+    table.write.mode("overwrite").parquet(state_folder(folder, batch_id))
 
 
 @contextmanager

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from clickloom.functions.rules import from_micros, instant, micros
+from clickloom.functions.rules import micros
 from clickloom.operators.traffic import (
     MAX_HITS,
     WINDOW_SECONDS,
@@ -28,25 +28,25 @@ def stream_rate_limit(
     key: str = "ip",
     ts: str = "ts",
     window_seconds: int = WINDOW_SECONDS,
-    max_hits: int = MAX_HITS,
-    delay: str = "1 minute",
     **options,
 ) -> StreamingQuery:
-    """Hits and limited hits per key and clock-aligned window, as they grow.
+    """Hits per key and clock-aligned window, a row for each micro-batch that has some.
 
-    Hits of one task are counted before the shuffle, so a busy key costs one
-    state row; the watermark drops the state of past windows.
+    `latest_windows` adds them up. No state is kept between batches, so a hit counts
+    however late it comes; hits of one task are counted before the shuffle.
     """
-    timed = requests.select(key, instant(F.col(ts)).alias("_at")).withWatermark("_at", delay)
-    counted = window_counts(timed, key, "_at", window_seconds, max_hits).withColumn(
-        "window_start", from_micros(F.unix_micros("window_start"))
-    )
-    return per_batch(counted, out, checkpoint, "update", **options)
+
+    def count(rows: DataFrame, batch_id: int) -> DataFrame:
+        return window_counts(rows, key, ts, window_seconds).drop("limited_hits")
+
+    return per_batch(requests, out, checkpoint, "append", count, **options)
 
 
-def latest_windows(written: DataFrame, key: str = "ip") -> DataFrame:
+def latest_windows(written: DataFrame, key: str = "ip", max_hits: int = MAX_HITS) -> DataFrame:
+    """Hits and limited hits of each window so far."""
     return written.groupBy(key, "window_start").agg(
-        F.max("hits").alias("hits"), F.max("limited_hits").alias("limited_hits")
+        F.sum("hits").alias("hits"),
+        F.greatest(F.sum("hits") - max_hits, F.lit(0)).alias("limited_hits"),
     )
 
 

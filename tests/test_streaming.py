@@ -71,24 +71,28 @@ def test_click_totals(views, in_parts, run):
 
 
 def test_rate_limits(views, in_parts, run):
-    requests = in_parts(views.http_requests, "ts")
+    """Batches cut by id, so that hits come very late and windows span batches."""
+    requests = in_parts(views.http_requests, "request_id", parts=3)
     written = run(
         lambda out, state: live_traffic.stream_rate_limit(
-            requests, out, state, delay="1 day", **registry.LIMIT
+            requests, out, state, window_seconds=registry.LIMIT["window_seconds"]
         )
     )
     batch = traffic.window_counts(views.http_requests, **registry.LIMIT)
-    assert rows(live_traffic.latest_windows(written)) == rows(batch)
+    found = live_traffic.latest_windows(written, max_hits=registry.LIMIT["max_hits"])
+    assert rows(found) == rows(batch)
 
 
 def test_anchored_rate_limit(views, in_parts, run, tmp_path, settings):
     settings(clickloom__heavyRows=3)
-    requests = in_parts(views.http_requests, "ts")
+    requests = in_parts(views.http_requests, "ts", parts=5)
     written = run(
         lambda out, checkpoint: live_traffic.stream_rate_limit_anchored(
             requests, out, str(tmp_path / "state"), checkpoint, **registry.LIMIT
         )
     )
+    slots = [len(list(f.glob("slot=*"))) for f in (tmp_path / "state").iterdir()]
+    assert slots == [runner.STATE_SLOTS] * 2
     batch = traffic.rate_limit_anchored(views.http_requests, **registry.LIMIT)
     columns = ("request_id", "ip", "limited")
     assert rows(written, *columns) == rows(batch, *columns)
