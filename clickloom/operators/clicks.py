@@ -150,8 +150,13 @@ def unlock_outcomes(attempts: DataFrame, links: DataFrame, clicks: DataFrame) ->
     )
     # Only right passwords are looked up among the clicks.
     checked = checked.withColumn("_id", F.when(F.col("_failed").isNull(), F.col("click_id")))
-    ids = clicks.select(F.col("id").alias("_id"), F.lit(1).cast("long").alias("_found"))
+    # Of all click ids only the tried ones go on: few attempts are broadcast to the clicks.
     tried = attempts.select(F.col("click_id").alias("_id"))
+    ids = (
+        clicks.select(F.col("id").alias("_id"))
+        .join(tried.dropna().distinct(), "_id", "left_semi")
+        .withColumn("_found", F.lit(1).cast("long"))
+    )
     joined = lookup_join(checked, ids, ["_id"], weights=key_counts(tried, ["_id"])).withColumn(
         "matched", F.when(F.col("_failed").isNull(), F.coalesce("_found", F.lit(0)))
     )

@@ -192,7 +192,9 @@ def access_log_rejects(v):
 
 @query
 def append_links(v):
-    return tables.append_rows(v.shorturls, v.added()[1], "request_id")
+    # Judged once: the ids are given to stored rows.
+    new = v.stored("added", lambda: v.added()[1])
+    return tables.append_rows(v.shorturls, new, "request_id")
 
 
 @query
