@@ -57,7 +57,7 @@ FENCE = frozenset("table td th ul ol dl div article section main body html block
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)"
     r"|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
     re.DOTALL,
 )
 _MARK = re.compile(

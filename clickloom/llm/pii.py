@@ -12,6 +12,9 @@ MAX_ROUNDS = 40
 #: Rounds after which a surrogate may be longer than what it stands for.
 SAME_LENGTH_ROUNDS = 4
 
+# Lengths are bounded as addresses are, so that no long run of letters is read again
+# and again.
+_LABEL = r"[\p{L}\d](?:[\p{L}\d-]{0,61}[\p{L}\d])?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # Titles before names, by the gender they tell.
 TITLES = {
@@ -24,13 +27,14 @@ _ANY_TITLE = "|".join(_TITLE.values())
 
 #: Kinds in the order in which they are tried at a place of the text.
 PATTERNS = {
-    "email": r"[\p{L}\d][\p{L}\d._%+-]*@[\p{L}\d](?:[\p{L}\d-]*[\p{L}\d])?(?:\.[\p{L}\d](?:[\p{L}\d-]*[\p{L}\d])?)*\.\p{L}{2,}",
+    "email": rf"(?<![\p{{L}}\d])[\p{{L}}\d][\p{{L}}\d._%+-]{{0,63}}+@{_LABEL}(?:\.{_LABEL}){{0,8}}\.\p{{L}}{{2,24}}(?![\p{{L}}\d])",
     "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){3,7}(?: ?[A-Z\d]{1,3})?(?![\p{L}\d])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<!\d)(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)"
     r"|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-    "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)",
+    "card": r"(?<![\d.])(?:\d{13,19}|\d{4}(?: \d{4}){2,3}(?: \d{1,4})?|\d{4}(?:-\d{4}){2,3}(?:-\d{1,4})?"
+    r"|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\d])",
     "person": rf"(?<![\p{{L}}\d])(?:{_ANY_TITLE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())

@@ -100,6 +100,11 @@ def test_pages(spark):
     assert isinstance(text[6], str) and isinstance(text[7], str)
 
 
+@pytest.mark.parametrize("piece", ["<a", "<a ", "<!--", "<p x=\"", "</", "<div>", "<" + "b" * 100])
+def test_long_broken_pages_take_linear_time(model, piece):
+    assert isinstance(h.main_text(piece * 30_000, model), str)
+
+
 def test_empty_table(spark):
     assert h.extract(spark.createDataFrame([], PAGES)).count() == 0
 

@@ -18,6 +18,7 @@ ROWS = [
     (None, "from x.y@z.example.org"),
     (1, "Mail Ann.Lee99@Mail.example.com or ann.lee99@mail.example.com; call +1 (017) 555-7713."),
     (8, "a1@b.example.com " * 3000 + "word " * 30_000),
+    (9, "a" * 100_000 + " " + "a." * 50_000 + " " + "1 " * 50_000 + "@" * 1000),
 ]
 
 
@@ -104,7 +105,9 @@ def _stored(spark):
 
 
 def test_patterns_find_whole_things(spark):
-    texts = ["x+y.z@a-b.co.uk,", "(555) 123-4567", "255.255.255.255", "1.2.3.4.5", "256.1.1.1", "123456789012"]
+    texts = ["x+y.z@a-b.co.uk,", "(555) 123-4567", "255.255.255.255", "1.2.3.4.5", "256.1.1.1", "123456789012",
+             "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15", "4111-1111-1111-1111", "3782 822463 10005"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(F.regexp_extract_all("t", F.lit(pii.ANY), F.lit(0))).collect()]
-    assert got == [["x+y.z@a-b.co.uk"], ["(555) 123-4567"], ["255.255.255.255"], [], [], []]
+    assert got == [["x+y.z@a-b.co.uk"], ["(555) 123-4567"], ["255.255.255.255"], [], [], [], [],
+                   ["4111-1111-1111-1111"], ["3782 822463 10005"]]
