@@ -33,7 +33,7 @@ PATTERNS = {
     "phone": r"(?<!\d)(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)"
     r"|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-    "card": r"(?<![\d.])(?:\d{13,19}|\d{4}(?: \d{4}){2,3}(?: \d{1,4})?|\d{4}(?:-\d{4}){2,3}(?:-\d{1,4})?"
+    "card": r"(?<![\d.])(?:\d{13,19}|\d{4}(?: \d{4}){3}(?: \d{1,3})?|\d{4}(?:-\d{4}){3}(?:-\d{1,3})?"
     r"|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\d])",
     "person": rf"(?<![\p{{L}}\d])(?:{_ANY_TITLE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
@@ -77,7 +77,8 @@ def entities(found: Column) -> Column:
     """What a mention names: array of (kind, norm), equal for all mentions of one thing.
 
     A person has a surname and, if two names stand there, a given name before it,
-    whose kind tells the gender of the title; both kinds tell the script.
+    whose kind tells the gender of the title; both kinds tell the script. Groups of
+    digits that fail the Luhn check are no card number, but years and the like.
     """
     kind = kind_of(found)
     one = lambda norm: F.array(F.struct(kind.alias("kind"), norm.alias("norm")))
@@ -89,13 +90,18 @@ def entities(found: Column) -> Column:
         F.concat_ws("_", F.lit("name"), sort, _script(name)).alias("kind"),
         F.lower(name).alias("norm"),
     )
+    none = F.array().cast("array<struct<kind:string,norm:string>>")
+    loose = found.rlike(r"\d[ -]") & ~F.call_function(
+        "luhn_check", F.regexp_replace(found, r"\D", "")
+    )
     return (
-        F.when(kind.isin("email"), one(F.lower(found)))
+        F.when((kind == "card") & loose, none)
+        .when(kind.isin("email"), one(F.lower(found)))
         .when(kind.isin("ip"), one(found))
         .when(kind.isin("iban", "ssn", "phone", "card"), one(F.regexp_replace(found, r"[^A-Z\d]", "")))
         .when((kind == "person") & surname.isNull(), F.array(part(F.lit("s"), given)))
         .when(kind == "person", F.array(part(gender, given), part(F.lit("s"), surname)))
-        .otherwise(F.array().cast("array<struct<kind:string,norm:string>>"))
+        .otherwise(none)
     )
 
 
@@ -320,7 +326,9 @@ def replace_personal(docs: DataFrame, key: str) -> DataFrame:
     replaced = F.when(F.col("known_map").isNull(), body).otherwise(F.array_join(spoken, ""))
     changed = joined.select(
         *[replaced.alias("text") if c == "text" else x.alias(c) for c, x in zip(others, inner, strict=True)],
-        F.size(_mentions(body)).cast("long").alias("n_entities"),
+        F.size(F.filter(_mentions(body), lambda m: F.size(entities(m)) > 0))
+        .cast("long")
+        .alias("n_entities"),
     )
     return changed.union(docs.where(~has).withColumn("n_entities", F.lit(0).cast("long")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from clickloom.llm import pii
 
 DOCS = "doc_id long, text string, n_entities string, kind string, known_map int"
-CLEAN = "In 2024 some 1,200 people (of 35) saw version 3.11.2 at 10:45; a@b is no address, 12-34 no number."
+CLEAN = "Years 2018 2019 2020 2021 and 1990-1991-1992-1993. In 2024 some 1,200 people (of 35) saw version 3.11.2 at 10:45; a@b is no address, 12-34 no number."
 ROWS = [
     (1, "Mail Ann.Lee99@Mail.example.com or ann.lee99@mail.example.com; call +1 (017) 555-7713."),
     (2, "ANN.LEE99@MAIL.EXAMPLE.COM +1 017 555 7713 and 4111 1111 1111 1111, 4111111111111111 9915762804490123"),
