@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.rules import js_trim, micros
-from clickloom.plans.chains import greedy_intervals
+from clickloom.plans.chains import SLICES, greedy_intervals
 from clickloom.plans.skew import lookup_join
 from clickloom.plans.timeline import count_open, open_counts, stab
 
@@ -19,8 +19,6 @@ EMPTY_USERNAME = "Username cannot be empty."
 TAKEN_USERNAME = "Username is already taken. Please choose another."
 BAD_FRAME = "Invalid message format."
 
-NAME_SLICE_SECONDS = 3600
-
 
 # How a JSON text can begin.
 JSON_START = r"\A[ \t\r\n]*(?:[\[{\"\-0-9]|true|false|null)"
@@ -103,7 +101,7 @@ def check_join(conns: DataFrame) -> DataFrame:
 
 
 def chosen_holders(
-    named: DataFrame, slice_seconds: int = NAME_SLICE_SECONDS, held: DataFrame | None = None
+    named: DataFrame, slices: int = SLICES, held: DataFrame | None = None
 ) -> DataFrame:
     """Ids (`conn_id`) of the connections that get their `username`.
 
@@ -111,7 +109,7 @@ def chosen_holders(
     the names held before, as in `greedy_intervals`.
     """
     judged = greedy_intervals(
-        named, F.col("username"), F.col("_from"), F.col("_to"), F.col("conn_id"), slice_seconds, held
+        named, F.col("username"), F.col("_from"), F.col("_to"), F.col("conn_id"), slices, held
     )
     return judged.filter("taken").select(F.col("id").alias("conn_id"), F.lit(True).alias("_in"))
 
@@ -128,7 +126,7 @@ def with_admission(checked: DataFrame, chosen: DataFrame) -> DataFrame:
     )
 
 
-def admit(conns: DataFrame, slice_seconds: int = NAME_SLICE_SECONDS) -> DataFrame:
+def admit(conns: DataFrame, slices: int = SLICES) -> DataFrame:
     """Add `username`, `admitted` and `error`.
 
     A name is refused while another admitted connection holds it. Connections
@@ -143,7 +141,7 @@ def admit(conns: DataFrame, slice_seconds: int = NAME_SLICE_SECONDS) -> DataFram
         micros(F.col("open_ts")).alias("_from"),
         micros(F.col("close_ts")).alias("_to"),
     )
-    return with_admission(checked, chosen_holders(named, slice_seconds)).select(
+    return with_admission(checked, chosen_holders(named, slices)).select(
         *conns.columns, "username", "admitted", "error"
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.rules import decode_uri_component, micros, path_only, present
-from clickloom.plans.chains import greedy_intervals
+from clickloom.plans.chains import SLICES, greedy_intervals
 from clickloom.plans.numbering import first_n
 from clickloom.plans.skew import lookup_join
 
@@ -94,10 +94,10 @@ def rate_limit_anchored(
     order: str = "request_id",
     window_seconds: int = WINDOW_SECONDS,
     max_hits: int = MAX_HITS,
-    slice_seconds: int | None = None,
+    slices: int = SLICES,
 ) -> DataFrame:
     """Add `limited` under windows that open at a key's first hit after the last one ended."""
-    assigned = assign_anchored(requests, key, ts, order, window_seconds, slice_seconds)
+    assigned = assign_anchored(requests, key, ts, order, window_seconds, slices)
     return flag_anchored(requests, assigned, order, max_hits)
 
 
@@ -113,7 +113,7 @@ def assign_anchored(
     ts: str,
     order: str,
     window_seconds: int,
-    slice_seconds: int | None = None,
+    slices: int = SLICES,
     before: DataFrame | None = None,
 ) -> DataFrame:
     """The window of each hit: (_key, _at, order, _start, _seen), in microseconds.
@@ -136,7 +136,7 @@ def assign_anchored(
         at,
         at + width,
         F.col(order),
-        slice_seconds or 32 * window_seconds,
+        slices,
         held,
     ).select(
         F.col("grp").alias("_key"),

@@ -6,7 +6,8 @@ opens at the first hit, and a user name held by one connection at a time, are
 both this choice.
 
 The choice is sequential, and one key may hold a large share of the rows. So
-the rows of a heavy key are cut into time slices, and each slice is first
+the rows of a heavy key are cut into slices of about as many rows each (by its
+quantiles of start), and each slice is first
 reduced, in its own task, to the function "free from time c" -> "free again from
 time d" (a short step table, as choices from different starting times soon
 fall together). Tables of neighbouring slices are chained into one per block,
@@ -31,6 +32,10 @@ from clickloom.plans.skew import heavy_keys, mark_heavy
 
 ALWAYS_FREE = -(2**62)
 
+# Slices of a heavy key. Their edges are at most so many numbers for each of the at
+# most `clickloom.heavyKeys` heavy keys.
+SLICES = 1024
+
 # Slices whose step tables are chained into one before the walk over a key.
 BLOCK_SLICES = 64
 
@@ -210,13 +215,42 @@ def _slice_entries(tables: DataFrame) -> DataFrame:
     )
 
 
+def _edges(rows: DataFrame, slices: int) -> DataFrame:
+    """Starts at which slices 1, 2, ... of each heavy key begin: (grp, _edges)."""
+    places = [k / slices for k in range(1, slices)]
+    if not places:
+        return rows.select("grp", F.array().cast("array<long>").alias("_edges")).distinct()
+    quantiles = F.percentile_approx("start", places, 10 * slices)
+    return rows.groupBy("grp").agg(F.array_distinct(quantiles).alias("_edges"))
+
+
+def _slice_of(start: Column, edges: Column, slices: int) -> Column:
+    """How many of the sorted edges are not after `start`, by halving."""
+    halved = F.aggregate(
+        F.sequence(F.lit(1), F.lit(slices.bit_length() + 1)),
+        F.struct(F.lit(0).alias("low"), F.size(edges).alias("high")),
+        lambda at, _: F.when(at["low"] >= at["high"], at).otherwise(
+            F.when(
+                F.get(edges, F.shiftright(at["low"] + at["high"], 1)) <= start,
+                F.struct(
+                    (F.shiftright(at["low"] + at["high"], 1) + 1).alias("low"), at["high"].alias("high")
+                ),
+            ).otherwise(
+                F.struct(at["low"].alias("low"), F.shiftright(at["low"] + at["high"], 1).alias("high"))
+            )
+        ),
+        lambda at: at["low"],
+    )
+    return F.when(edges.isNull(), 0).otherwise(halved).cast("long")
+
+
 def greedy_intervals(
     df: DataFrame,
     key: Column,
     start: Column,
     end: Column,
     order: Column,
-    slice_seconds: int,
+    slices: int = SLICES,
     held: DataFrame | None = None,
 ) -> DataFrame:
     """Each interval as (grp, start, id, taken, until), times in microseconds.
@@ -240,11 +274,11 @@ def greedy_intervals(
             held.select("grp", "start", "end", F.lit(0).cast("long").alias("id"), F.lit(False).alias("real"))
         )
     heavy = heavy_keys(counted, ["grp"])
-    rows = mark_heavy(rows, heavy, ["grp"]).withColumn(
-        "slice",
-        F.when(F.col("_salts").isNotNull(), F.floor(F.col("start") / F.lit(slice_seconds * 1_000_000)))
-        .otherwise(F.lit(0))
-        .cast("long"),
+    edges = _edges(counted.join(F.broadcast(heavy), "grp", "left_semi"), slices)
+    rows = (
+        mark_heavy(rows, heavy, ["grp"])
+        .join(F.broadcast(edges), "grp", "left")
+        .withColumn("slice", _slice_of(F.col("start"), F.col("_edges"), slices))
     )
     tables = (
         rows.filter("_salts IS NOT NULL")
