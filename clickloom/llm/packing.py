@@ -89,9 +89,8 @@ class WordEncoder:
         letters = list(plain)
         for at in range(0, len(letters), 2000):
             part = letters[at : at + 2000]
-            ids = np.array(
-                self.tool.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4"
-            )
+            joined = self.tool.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(joined[0].ids, dtype="<u4")
             ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(ends) == len(part):
                 flat = ids.tobytes()
