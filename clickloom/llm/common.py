@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from clickloom.storage import new_folder
 
@@ -64,7 +63,3 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.R
 
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
-
-
-def select_typed(df: DataFrame, schema: StructType) -> DataFrame:
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])

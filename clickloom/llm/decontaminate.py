@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -21,13 +19,13 @@ ROWS_AT_ONCE = 500
 
 #: Bytes that are part of a word, once A-Z are lower case: digits, a-z, all beyond ASCII.
 _WORD_BYTES = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
-_SEPARATED = bytes(b if b in _WORD_BYTES else 0x20 for b in range(256))
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
+SEPARATED = bytes(b if b in _WORD_BYTES else 0x20 for b in range(256))
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 
 
 def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().translate(_SEPARATED).split()
+    return text.encode("utf-8", "surrogatepass").lower().translate(SEPARATED).split()
 
 
 class SuffixAutomaton:
@@ -199,7 +197,7 @@ class CutRule:
 
 def cut(text: str, spans: list[tuple[int, int]], rule: CutRule) -> str | None:
     """The text without its hit spans; None if too much of it is hit."""
-    places = [m.span() for m in _WORD.finditer(text.translate(_LOWER))]
+    places = [m.span() for m in WORD.finditer(text.translate(LOWER))]
     hit = sum(end - start for start, end in spans)
     if hit > rule.max_coverage * len(places):
         return None

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm.common import column_batch, small_batches, table, text_or_empty
-from clickloom.llm.decontaminate import _LOWER, _SEPARATED, _WORD
+from clickloom.llm.decontaminate import LOWER, SEPARATED, WORD
 from clickloom.llm.license_texts import NOTICES
 
 WORDS = 5
@@ -91,7 +91,7 @@ class Notices:
         self.levels: dict[int, list[int]] = defaultdict(list)
         values = []
         for k, (_, text) in enumerate(notices):
-            data = text.encode().lower().translate(_SEPARATED)
+            data = text.encode().lower().translate(SEPARATED)
             own = frozenset(shingles_of(data.split()))
             self.shingles.append(own)
             hashes = shingle_hashes(word_hashes(data)[1])
@@ -162,7 +162,7 @@ def scan_texts(texts: Sequence[str], notices: Notices) -> Iterator[tuple[int, in
     block = 2 ** max(notices.levels)
     data, parts, begins, total = [], [], [], 0
     for text in texts:
-        data.append(text.encode("utf-8", "surrogatepass").lower().translate(_SEPARATED))
+        data.append(text.encode("utf-8", "surrogatepass").lower().translate(SEPARATED))
         hashes = shingle_hashes(word_hashes(data[-1])[1])
         begins.append(total)
         size = -(-len(hashes) // block) * block
@@ -181,8 +181,8 @@ def scan_texts(texts: Sequence[str], notices: Notices) -> Iterator[tuple[int, in
     for (number, k), windows in sorted(found.items()):
         if number not in words:
             split = data[number].split()
-            lower = texts[number].translate(_LOWER)
-            words[number] = shingles_of(split), [m.span() for m in _WORD.finditer(lower)]
+            lower = texts[number].translate(LOWER)
+            words[number] = shingles_of(split), [m.span() for m in WORD.finditer(lower)]
         shingles, spans = words[number]
         for first, last, share in _matches(notices.shingles[k], shingles, windows):
             end = spans[min(last + WORDS, len(spans)) - 1][1]

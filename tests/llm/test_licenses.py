@@ -9,10 +9,10 @@ DOCS = "doc_id long, text string, license_id string, start int"
 
 def brute(text, notices):
     """Notices with CONTAINED of their shingles in some stretch as long as themselves."""
-    split = text.encode().lower().translate(c._SEPARATED).split()
+    split = text.encode().lower().translate(c.SEPARATED).split()
     shingles, out = c.shingles_of(split), set()
     for k, (_, notice) in enumerate(notices):
-        own = set(c.shingles_of(notice.encode().lower().translate(c._SEPARATED).split()))
+        own = set(c.shingles_of(notice.encode().lower().translate(c.SEPARATED).split()))
         for p in range(len(shingles)):
             if len(own & set(shingles[p : p + len(own)])) >= c.CONTAINED * len(own):
                 out.add(k)
