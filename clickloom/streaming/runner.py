@@ -20,17 +20,6 @@ def read_stream(
     return reader.load(path)
 
 
-def append_table(
-    stream: DataFrame, out: str, checkpoint: str, available_now: bool = True
-) -> StreamingQuery:
-    """Append the rows of a stream to a Parquet table, each exactly once."""
-    writer = stream.writeStream.format("parquet").outputMode("append")
-    writer = writer.option("checkpointLocation", checkpoint)
-    if available_now:
-        writer = writer.trigger(availableNow=True)
-    return writer.start(out)
-
-
 def batch_folder(out: str, batch_id: int) -> str:
     return f"{out}/batch={batch_id}"
 
