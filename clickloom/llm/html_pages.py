@@ -72,8 +72,25 @@ OTHERS = [
     ("div", 'class="discussion replies comment"', "comments"),
     ("aside", 'class="sidebar"', "lines"),
     ("div", 'class="aside sidebar rail"', "lines"),
+    ("div", 'class="side bar"', "teasers"),
+    ("div", 'class="main menu top bar"', "menu"),
+    ("div", 'class="legal terms disclaimer"', "legal"),
+    ("div", 'class="recommendations suggested"', "teasers"),
+    ("div", 'class="tag cloud tagcloud tags"', "menu"),
+    ("footer", "", "menu"),
+    ("footer", "", "lines"),
+    ("header", "", "menu"),
+    ("header", "", "bare"),
+    ("nav", "", "lines"),
+    ("aside", "", "menu"),
+    ("aside", "", "bare"),
+    ("form", "", "menu"),
+    ("form", "", "bare"),
 ]
 
+#: Pages for each of OTHERS, with other texts, neighbours and places.
+ROUNDS = 8
+
 
 def _text(n: int, seed: int) -> str:
     words = [WORDS[(seed * 7 + k * (1 + seed % 5)) % len(WORDS)] for k in range(n)]
@@ -81,7 +98,11 @@ def _text(n: int, seed: int) -> str:
 
 
 def _links(n: int, seed: int) -> str:
-    return "".join(f'<li><a href="/{k}">{_text(1 + (seed + k) % 3, seed + k)}</a></li>' for k in range(n))
+    """Items of a menu; every third menu is without links."""
+    words = [_text(1 + (seed + k) % 3, seed + k) for k in range(n)]
+    if seed % 3 == 0:
+        return "".join(f"<li>{w}</li>" for w in words)
+    return "".join(f'<li><a href="/{k}">{w}</a></li>' for k, w in enumerate(words))
 
 
 def _other(part: tuple[str, str, str], seed: int) -> str:
@@ -126,14 +147,16 @@ def _content(seed: int) -> list[str]:
 
 
 def labelled_pages() -> list[str]:
-    """One page for each other part and holder, in turn, with parts around and inside."""
+    """Pages for each other part, with holders in turn, and parts around and inside."""
     pages = []
-    for k, part in enumerate(OTHERS * 2):
+    for k, part in enumerate(OTHERS * ROUNDS):
         tag, marks = HOLDERS[k % len(HOLDERS)]
         content = _content(k)
         pieces = [content[0], *(content[1 + (k * 3 + j) % (len(content) - 1)] for j in range(6))]
+        lists = ["".join(f"<li>{_text(1 + (k + j) % 9, k + j)}</li>" for j in range(3 + k % 8))] * 2
+        pieces.insert(1 + k % 5, f"<ul>{lists[0]}</ul><p>{_text(20, k)}</p><ol>{lists[1]}</ol>")
         around = [_other(OTHERS[(k * 5 + j * 11) % len(OTHERS)], k + j) for j in range(5)]
-        if k < len(OTHERS):
+        if k // len(OTHERS) % 2 == 0:
             around.insert(k % 4, _other(part, k))
         else:
             pieces.insert(2 + k % 4, _other(part, k))
