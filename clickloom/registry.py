@@ -25,7 +25,8 @@ CODE_SALT = "salt"
 # The given events are too sparse for the real limit of 20 per minute.
 LIMIT = {"window_seconds": 86400, "max_hits": 2}
 
-# Streams whose rule needs events in time order run in so many micro-batches.
+# Streams whose rule needs events in time order run in so many micro-batches; all take
+# so many files at once.
 MICRO_BATCHES = 4
 FILES_PER_BATCH = 4
 
@@ -59,7 +60,7 @@ class _Views:
             else (lambda: view(self.spark, self.sf_dir, name, self._inputs(name)))
         )
         path, schema = staged(self.spark, self.sf_dir, name, build)
-        return runner.read_stream(self.spark, path, schema)
+        return runner.read_stream(self.spark, path, schema, FILES_PER_BATCH)
 
     def stream_in_time(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """Rows with a time `ts` as a stream of MICRO_BATCHES, cut between instants."""
@@ -554,7 +555,7 @@ def stream_clicks(v):
     return v.run_stream(
         "clicks-stream",
         lambda out, state: live_clicks.stream_clicks(
-            v.stream("link_hits"), v.shorturls, v.geo, out, state
+            v.stream("link_hits"), lambda: v.shorturls, lambda: v.geo, out, state
         ),
     ).drop("batch")
 
@@ -603,7 +604,7 @@ def stream_unlocks(v):
     outcomes = v.run_stream(
         "unlock-stream",
         lambda out, state: live_clicks.stream_unlocks(
-            v.stream("unlock_attempts"), v.shorturls, v.clicks, out, state
+            v.stream("unlock_attempts"), lambda: v.shorturls, lambda: v.clicks, out, state
         ),
     )
     return live_clicks.current_clicks(v.clicks, outcomes)
@@ -659,7 +660,7 @@ def stream_first_username(v):
     written = v.run_stream(
         "username-stream",
         lambda out, state: live_traffic.stream_first_writer(
-            requests, "username", v.users, out, state
+            requests, "username", lambda: v.users, out, state
         ),
     )
     return live_traffic.first_writers(written, "username")
@@ -676,7 +677,7 @@ def stream_first_code(v):
     written = v.run_stream(
         "code-stream",
         lambda out, state: live_traffic.stream_first_writer(
-            v.stream("add_requests"), "shorturl", v.shorturls, out, state, ask
+            v.stream("add_requests"), "shorturl", lambda: v.shorturls, out, state, ask
         ),
     )
     chosen = v.add_requests.filter("customshorturlcode <> ''").select("request_id")

@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from clickloom.operators.clicks import apply_unlocks, build_clicks, unlock_outcomes
-from clickloom.streaming.runner import per_batch
+from clickloom.streaming.runner import Lookup, now, per_batch
 
 
 def stream_clicks(
-    hits: DataFrame, links: DataFrame, geo: DataFrame, out: str, checkpoint: str, **options
+    hits: DataFrame, links: Lookup, geo: Lookup, out: str, checkpoint: str, **options
 ) -> StreamingQuery:
     """Resolve, enrich and append each hit on a known code.
 
-    A micro-batch goes through the batch operator, which spreads a busy code.
+    A micro-batch goes through the batch operator, which spreads a busy code. Links
+    and places are looked up as they are at the time of the batch.
     """
 
     def resolve(rows: DataFrame, batch_id: int) -> DataFrame:
-        return build_clicks(rows, links, geo)
+        return build_clicks(rows, now(links), now(geo))
 
     return per_batch(hits, out, checkpoint, "append", resolve, **options)
 
@@ -36,16 +37,17 @@ def latest_totals(written: DataFrame) -> DataFrame:
 
 
 def stream_unlocks(
-    attempts: DataFrame, links: DataFrame, clicks: DataFrame, out: str, checkpoint: str, **options
+    attempts: DataFrame, links: Lookup, clicks: Lookup, out: str, checkpoint: str, **options
 ) -> StreamingQuery:
     """Append the outcome of each unlock attempt.
 
     The clicks themselves are not rewritten for every micro-batch: the outcomes
-    are a small log, and `current_clicks` merges it when the clicks are read.
+    are a small log, and `current_clicks` merges it when the clicks are read. Links
+    and clicks are looked up as they are at the time of the batch.
     """
 
     def judge(rows: DataFrame, batch_id: int) -> DataFrame:
-        return unlock_outcomes(rows, links, clicks)
+        return unlock_outcomes(rows, now(links), now(clicks))
 
     return per_batch(attempts, out, checkpoint, "append", judge, **options)
 

@@ -9,6 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+#: A table, or what reads it. A table read by path keeps the files it had when it was
+#: read, so streams that are to see rows added later get a function.
+Lookup = DataFrame | Callable[[], DataFrame]
+
+
+def now(table: Lookup) -> DataFrame:
+    """The table as it is now."""
+    return table() if callable(table) else table
+
 
 def read_stream(
     spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None

@@ -16,7 +16,7 @@ from clickloom.operators.traffic import (
     flag_anchored,
     window_counts,
 )
-from clickloom.streaming.runner import per_batch, read_state, write_state
+from clickloom.streaming.runner import Lookup, now, per_batch, read_state, write_state
 
 _OPEN_WINDOWS = "_key string, _start long, _seen long"
 
@@ -95,7 +95,7 @@ def stream_rate_limit_anchored(
 def stream_first_writer(
     requests: DataFrame,
     key: str,
-    taken: DataFrame,
+    taken: Lookup,
     out: str,
     checkpoint: str,
     ask: Callable[[DataFrame], DataFrame] | None = None,
@@ -116,7 +116,7 @@ def stream_first_writer(
             .groupBy(key)
             .agg(F.min("request_id").alias("request_id"))
         )
-        return first.join(taken.select(key), key, "left_anti")
+        return first.join(now(taken).select(key), key, "left_anti")
 
     return per_batch(requests, out, checkpoint, "append", winners, **options)
 

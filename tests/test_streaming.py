@@ -63,6 +63,23 @@ def test_clicks(views, in_parts, run, skewed):
     assert rows(written.drop("batch")) == rows(clicks.build_clicks(views.link_hits, views.shorturls, views.geo))
 
 
+def test_clicks_see_links_added_later(spark, views, in_parts, run, tmp_path):
+    """The second batch resolves codes of links that the first one wrote."""
+    hits = in_parts(views.link_hits, "id")
+    folder = str(tmp_path / "links")
+    views.shorturls.filter("id < 0").write.parquet(folder)
+    reads = []
+
+    def links():
+        if reads:
+            views.shorturls.write.mode("append").parquet(folder)
+        reads.append(1)
+        return spark.read.schema(views.shorturls.schema).parquet(folder)
+
+    written = run(lambda out, state: live_clicks.stream_clicks(hits, links, views.geo, out, state))
+    assert len(reads) == 2 and 0 < written.count() < views.clicks.count()
+
+
 def test_click_totals(views, in_parts, run):
     seen = in_parts(views.clicks, "id")
     written = run(lambda out, state: live_clicks.stream_click_totals(seen, out, state))
