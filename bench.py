@@ -20,7 +20,7 @@ from pyspark.sql import SparkSession
 from clickloom.fixtures import VIEWS
 from clickloom.registry import QUERIES, stored_views
 
-RUNS, QUICK = 3, 5.0
+RUNS, QUICK = 3, 2.0
 
 
 def timed(spark: SparkSession, name: str, sf_dir: str) -> float:
