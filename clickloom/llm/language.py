@@ -24,7 +24,7 @@ LONGEST = 8
 MARK = "▁"
 #: Words up to so many characters are scored together; longer ones one by one.
 WIDTH = 48
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 ROWS_AT_ONCE = 500
 #: Probability left to each character that no piece covers, and counts added to a piece.
 UNSEEN = 1e-7

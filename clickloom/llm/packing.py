@@ -18,7 +18,7 @@ from clickloom.llm.common import column_batch, small_batches, table, text_or_emp
 
 END_ID = 2
 #: Words kept in memory, in each of two generations.
-CACHED_WORDS = 900_000
+CACHED_WORDS = 700_000
 #: Marks that may follow a word.
 MARKS = ".,;:!?%$#&*()\""
 ROWS_AT_ONCE = 500
