@@ -22,8 +22,10 @@ ROUNDS = 2
 #: Longest piece used, in characters, and the mark of a word's beginning.
 LONGEST = 8
 MARK = "▁"
-#: Words up to so many characters are scored together; longer ones one by one.
+#: At most 4096 words of so many characters are worked on together, of longer ones fewer.
 WIDTH = 48
+#: Sums are scaled after so many characters: a piece or character has 1e-8 or more, about.
+STRETCH = 16
 CACHED_WORDS = 250_000
 ROWS_AT_ONCE = 500
 #: Probability left to each character that no piece covers, and counts added to a piece.
@@ -87,14 +89,19 @@ class Lattice:
             out[:, :m, k] = np.where(found, self.order[place], -1)
         return out
 
-    def forward(self, codes: np.ndarray, ids: np.ndarray, probs: np.ndarray) -> np.ndarray:
-        """Sums over the segmentations of each word's first i characters: (n, width + 1, languages).
+    def forward(
+        self, codes: np.ndarray, ids: np.ndarray, probs: np.ndarray
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Sums over the segmentations of each word's first 1, 2, ... characters.
 
-        `probs` has one row per piece and a last one for characters without a piece.
+        Each is given as values and the logs of their scales (both words by languages):
+        every STRETCH characters the values are scaled to one, so that no word is too
+        long. `probs` has one row per piece and a last one for characters without a piece.
         """
         n, width = codes.shape
         alpha = np.zeros((n, width + 1, probs.shape[1]))
         alpha[:, 0] = 1.0
+        scale = np.zeros((n, probs.shape[1]))
         for end in range(1, width + 1):
             total = alpha[:, end - 1] * probs[ids[:, end - 1, 0]]
             for k in range(1, min(LONGEST, end)):
@@ -103,74 +110,75 @@ class Lattice:
                 if len(hit):
                     total[hit] += alpha[hit, end - 1 - k] * probs[piece[hit]]
             alpha[:, end] = total
-        return alpha
+            yield total, scale
+            if end % STRETCH == 0:
+                alpha[:, max(0, end + 1 - LONGEST) : end + 1] /= total[:, None]
+                scale = scale + np.log(total)
 
     def backward(self, codes: np.ndarray, ids: np.ndarray, probs: np.ndarray) -> np.ndarray:
-        """Sums over the segmentations of what follows each place, up to the word's end."""
+        """Logs of the sums, in one language, over the segmentations of what follows each place."""
         n, width = codes.shape
-        beta = np.zeros((n, width + 1, probs.shape[1]))
+        beta = np.zeros((n, width + 1))
+        logs = np.full((n, width + 1), -np.inf)
+        scale = np.zeros(n)
         sizes = (codes > 0).sum(axis=1)
         for at in range(width, -1, -1):
             if at < width:
-                total = beta[:, at + 1] * probs[ids[:, at, 0]]
+                total = beta[:, at + 1] * probs[ids[:, at, 0], 0]
                 for k in range(1, min(LONGEST, width - at)):
                     piece = ids[:, at, k]
                     hit = np.flatnonzero(piece >= 0)
                     if len(hit):
-                        total[hit] += beta[hit, at + 1 + k] * probs[piece[hit]]
+                        total[hit] += beta[hit, at + 1 + k] * probs[piece[hit], 0]
                 beta[:, at] = total
             beta[sizes == at, at] = 1.0
-        return beta
+            there = np.flatnonzero(sizes >= at)
+            logs[there, at] = np.log(beta[there, at]) + scale[there]
+            if at % STRETCH == 0:
+                size = np.where(sizes >= at, beta[:, at], 1.0)
+                beta[:, at : at + LONGEST] /= size[:, None]
+                scale += np.log(size)
+        return logs
+
+    def _together(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
+        """Numbers and characters of words that are worked on at a time, shorter ones first."""
+        order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        part: list[int] = []
+        for k in order:
+            if part and (len(part) >= 4096 or (len(part) + 1) * len(words[k]) > 4096 * WIDTH):
+                yield part, self.codes([words[k] for k in part])
+                part = []
+            part.append(k)
+        if part:
+            yield part, self.codes([words[k] for k in part])
 
     def scores(self, words: list[str], probs: np.ndarray) -> np.ndarray:
         """Log-probability of each word in each language, over all segmentations."""
         out = np.zeros((len(words), probs.shape[1]))
-        short = [k for k, w in enumerate(words) if len(w) <= WIDTH]
-        short.sort(key=lambda k: len(words[k]))
-        for at in range(0, len(short), 4096):
-            part = short[at : at + 4096]
-            codes = self.codes([words[k] for k in part])
-            alpha = self.forward(codes, self.ids(codes), probs)
-            ends = (codes > 0).sum(axis=1)
-            out[part] = np.log(alpha[np.arange(len(part)), ends])
-        for k, w in enumerate(words):
-            if len(w) > WIDTH:
-                out[k] = self._long(w, probs)
+        for part, codes in self._together(words):
+            sizes, rows = (codes > 0).sum(axis=1), np.array(part)
+            for end, (total, scale) in enumerate(self.forward(codes, self.ids(codes), probs), 1):
+                done = np.flatnonzero(sizes == end)
+                if len(done):
+                    out[rows[done]] = np.log(total[done]) + scale[done]
         return out
 
-    def _long(self, word: str, probs: np.ndarray) -> np.ndarray:
-        """The same sum for one long word, scaled at each character."""
-        number = {p: k for k, p in enumerate(self.pieces)}
-        window = [np.ones(probs.shape[1])]
-        scale = np.zeros(probs.shape[1])
-        for end in range(1, len(word) + 1):
-            total = window[-1] * probs[number.get(word[end - 1], -1)]
-            for k in range(1, min(LONGEST, end, len(window))):
-                piece = number.get(word[end - 1 - k : end])
-                if piece is not None:
-                    total = total + window[-1 - k] * probs[piece]
-            scale += np.log(total)
-            window = [w / total for w in window[-LONGEST:]] + [np.ones(probs.shape[1])]
-        return scale
-
     def expected(self, words: list[str], counts: np.ndarray, probs: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece in words, each seen so often, in one language."""
         out = np.zeros(len(self.pieces) + 1)
-        short = [k for k, w in enumerate(words) if len(w) <= WIDTH]
-        short.sort(key=lambda k: len(words[k]))
-        for at in range(0, len(short), 4096):
-            part = short[at : at + 4096]
-            codes = self.codes([words[k] for k in part])
+        counts = np.where([len(w) <= WIDTH for w in words], counts, 0)
+        for part, codes in self._together(words):
             ids = self.ids(codes)
-            a, b = self.forward(codes, ids, probs), self.backward(codes, ids, probs)
-            weight = counts[part] / b[:, 0, 0]
+            before = np.zeros((len(part), codes.shape[1] + 1))
+            for end, (total, scale) in enumerate(self.forward(codes, ids, probs), 1):
+                before[:, end] = np.log(total[:, 0]) + scale[:, 0]
+            after = self.backward(codes, ids, probs)
             for k in range(min(LONGEST, codes.shape[1])):
-                piece = ids[:, : codes.shape[1] - k, k]
-                used = a[:, : codes.shape[1] - k, 0] * b[:, k + 1 :, 0] * weight[:, None]
-                hit = piece >= 0
-                out += np.bincount(
-                    piece[hit], used[hit] * probs[piece[hit], 0], minlength=len(out)
-                )
+                word, at = np.nonzero(ids[:, : codes.shape[1] - k, k] >= 0)
+                piece = ids[word, at, k]
+                share = np.exp(before[word, at] + after[word, at + k + 1] - after[word, 0])
+                used = share * probs[piece, 0] * counts[part][word]
+                out += np.bincount(piece, used, minlength=len(out))
         return out
 
 

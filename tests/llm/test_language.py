@@ -124,3 +124,15 @@ def test_known_languages_stay(spark):
     kept = l.keep_known(df, l.train(df, l.default_vocabulary()))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted(r.doc_id for r in kept.collect()) == list(range(30))
+
+
+@pytest.mark.parametrize("size", [40, 45, 47, 49, 60, 500])
+def test_unseen_runs_do_not_underflow(size):
+    """A run that no language has seen leaves the decision to the other words."""
+    lattice = l.Lattice(["▁", "▁a", "▁b", "水", "火"])
+    probs = np.full((6, 2), 8e-8)
+    probs[1], probs[2], probs[-1] = (0.1, 0.9), (0.9, 0.1), l.UNSEEN
+    run = "水火" * (size // 2) + "水" * (size % 2)
+    langs, scores = l.Model(["de", "en"], lattice, probs).judge([f"a a a {run}", f"b b b {run}", run])
+    assert langs == ["en", "de", "de"]
+    assert scores == pytest.approx([729 / 730, 729 / 730, 0.5])
