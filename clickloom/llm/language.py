@@ -166,7 +166,6 @@ class Lattice:
     def expected(self, words: list[str], counts: np.ndarray, probs: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece in words, each seen so often, in one language."""
         out = np.zeros(len(self.pieces) + 1)
-        counts = np.where([len(w) <= WIDTH for w in words], counts, 0)
         for part, codes in self._together(words):
             ids = self.ids(codes)
             before = np.zeros((len(part), codes.shape[1] + 1))
@@ -295,7 +294,7 @@ def train(docs: DataFrame, vocabulary_path: str, sample: int = SAMPLE_DOCUMENTS)
     Learns from text and lang of documents (with both) that are not held out: of each
     language about `sample`, those with the smallest hashes of their ids. What comes
     to the driver is one count per language, and uses of pieces of the fixed
-    vocabulary. Words over WIDTH characters are left out of training.
+    vocabulary. Words of all lengths are counted, so lines without spaces are too.
     """
     spark = docs.sparkSession
     usable = docs.select("doc_id", "lang", "text").where(

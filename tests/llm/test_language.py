@@ -1,5 +1,6 @@
 import math
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -126,6 +127,35 @@ def test_known_languages_stay(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(30))
 
 
+def test_long_words_are_counted_like_short_ones(lattice):
+    """Uses in a word of hundreds of characters, against sums in exact fractions."""
+    probs = matrix(5)[:, [0]]
+    own = {p: Fraction(float(x)) for p, x in zip([*PIECES, None], probs[:, 0])}
+    word = "▁" + "abxaba" * 60
+    share = lambda a, b: own.get(word[a:b], own[None] if b - a == 1 else 0)
+    n = len(word)
+    fore, back = [Fraction(1)], {n: Fraction(1)}
+    for e in range(1, n + 1):
+        fore.append(sum(fore[a] * share(a, e) for a in range(max(0, e - 3), e)))
+    for a in range(n - 1, -1, -1):
+        back[a] = sum(share(a, e) * back[e] for e in range(a + 1, min(n, a + 3) + 1))
+    expected = dict.fromkeys(PIECES, 0.0)
+    for a in range(n):
+        for e in range(a + 1, min(n, a + 3) + 1):
+            if word[a:e] in expected:
+                expected[word[a:e]] += 2 * float(fore[a] * share(a, e) * back[e] / fore[n])
+    got = lattice.expected([word], np.array([2.0]), probs)
+    assert got[:-1] == pytest.approx([expected[p] for p in PIECES])
+
+
+def test_languages_without_spaces_are_learned(spark):
+    rows = [(k, t.replace(" ", ""), g) for k, t, g in documents(60)]
+    rows = [(k, t + t, g) for k, t, g in rows]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS)
+    got = {r.doc_id: r.lang_pred for r in l.identify(df, l.train(df, l.default_vocabulary())).collect()}
+    assert got == {k: g for k, _, g in rows}
+
+
 @pytest.mark.parametrize("size", [40, 45, 47, 49, 60, 500])
 def test_unseen_runs_do_not_underflow(size):
     """A run that no language has seen leaves the decision to the other words."""
