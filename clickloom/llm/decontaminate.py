@@ -122,11 +122,14 @@ class SuffixAutomaton:
         for s in order:
             self.at_short[s] = (*self.at_short[self.link[s]], *found.get(s, ()))
 
-    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Spans of words (start, end) that are hit, in order and apart, and the items."""
+    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int, bool]], set[int]]:
+        """Spans of words (start, end) that are hit, in order and apart, and the items.
+
+        A span is marked if it holds the whole of an item shorter than a window.
+        """
         get = self.number.get
         numbers = [get(w, -1) for w in words]
-        spans: list[tuple[int, int]] = []
+        spans: list[tuple[int, int, bool]] = []
         items: set[int] = set()
         at, n = 0, len(numbers)
         while at < n:
@@ -155,7 +158,7 @@ class SuffixAutomaton:
             if to is None:
                 continue
             state, length = to, length + 1
-            start = None
+            start, short = None, False
             if length >= window:
                 items |= self.at_window[state]
                 start = i + 1 - length
@@ -163,23 +166,26 @@ class SuffixAutomaton:
                 for size, whole in self.at_short[state]:
                     if size <= length:
                         items |= whole
+                        short = True
                         start = i + 1 - size if start is None else min(start, i + 1 - size)
             if length >= window and self.at_short[state]:
+                short = True
                 for size, whole in self.at_short[state]:
                     items |= whole
             if start is not None:
                 while spans and spans[-1][1] >= start:
-                    start = min(start, spans.pop()[0])
-                spans.append((start, i + 1))
+                    first, _, had = spans.pop()
+                    start, short = min(start, first), short or had
+                spans.append((start, i + 1, short))
 
 
-def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for start, end in sorted(spans):
+def _merged(spans: Iterable[tuple[int, int, bool]]) -> list[tuple[int, int, bool]]:
+    out: list[tuple[int, int, bool]] = []
+    for start, end, short in sorted(spans):
         if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
+            out[-1] = (out[-1][0], max(end, out[-1][1]), short or out[-1][2])
         else:
-            out.append((start, end))
+            out.append((start, end, short))
     return out
 
 
@@ -187,23 +193,24 @@ def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 class CutRule:
     """What is cut from a training document.
 
-    A hit span goes if it has at least `min_words` words. A document goes whole if
-    hit words are more than `max_coverage` of its words.
+    A hit span goes if it has at least `min_words` words, or if it holds the whole of an
+    item shorter than a window. A document goes whole if hit words are more than
+    `max_coverage` of its words.
     """
 
     min_words: int = WINDOW
     max_coverage: float = 0.8
 
 
-def cut(text: str, spans: list[tuple[int, int]], rule: CutRule) -> str | None:
-    """The text without its hit spans; None if too much of it is hit."""
+def cut(text: str, spans: list[tuple], rule: CutRule) -> str | None:
+    """The text without its hit spans (start, end, and the mark, if any); None if too much is hit."""
     places = [m.span() for m in WORD.finditer(text.translate(LOWER))]
-    hit = sum(end - start for start, end in spans)
+    hit = sum(end - start for start, end, *_ in spans)
     if hit > rule.max_coverage * len(places):
         return None
     out, at = [], 0
-    for start, end in spans:
-        if end - start >= rule.min_words:
+    for start, end, *short in spans:
+        if end - start >= rule.min_words or any(short):
             out.append(text[at : places[start][0]].rstrip())
             at = places[end - 1][1]
     return "".join([*out, text[at:]]) if out else text
@@ -230,7 +237,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     out = docs.select(
         "*",
         F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
+        F.array().cast("array<struct<start:int,end:int,short:boolean>>").alias("spans"),
         F.array().cast("array<string>").alias("item_ids"),
     )
     kinds = out.schema
@@ -243,7 +250,8 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Each document (doc_id, text) with its words, hit spans of words and hit items.
 
-    Columns: doc_id, text, n_words, spans (start, end of words), item_ids.
+    Columns: doc_id, text, n_words, spans (start, end of words, short: holds a whole
+    item of fewer words than a window), item_ids.
     Documents stream through the automaton; nothing is shuffled. The benchmark, a
     table made by hand, is read by the driver part by part; each automaton has a
     bounded number of words, and a larger benchmark takes several passes over the
@@ -273,9 +281,9 @@ def _pass(shared):
                 words = words_of(text) if text else []
                 found, hit = automaton.hits(words)
                 if had_spans[k]:
-                    found = _merged([*found, *((s["start"], s["end"]) for s in had_spans[k])])
+                    found = _merged([*found, *((s["start"], s["end"], s["short"]) for s in had_spans[k])])
                 counts.append(len(words))
-                spans.append([{"start": a, "end": b} for a, b in found])
+                spans.append([{"start": a, "end": b, "short": c} for a, b, c in found])
                 items.append(sorted({automaton.names[i] for i in hit} | set(had_items[k])))
             yield column_batch(batch.schema, [*others, counts, spans, items])
 
@@ -314,7 +322,7 @@ def remove_leaks(
             texts, sizes = columns[1].to_pylist(), columns[4].to_pylist()
             stay = []
             for k, spans in enumerate(batch.column(6).to_pylist()):
-                hit = [(s["start"], s["end"]) for s in spans]
+                hit = [(s["start"], s["end"], s["short"]) for s in spans]
                 if hit and (left := cut(texts[k], hit, rule)) != texts[k]:
                     if left is None:
                         continue

@@ -94,3 +94,29 @@ def test_short_spans_and_coverage():
     assert d.cut("a b c d e f g", [(1, 3)], rule) == "a b c d e f g"
     assert d.cut("a b c d e f g", [(1, 4)], rule) == "a e f g"
     assert d.cut("a b c d e f g", [(1, 5)], rule) is None
+
+
+@pytest.mark.parametrize("part", [10**6, 6])
+def test_whole_short_items_are_cut(spark, monkeypatch, part):
+    """An item shorter than the window goes, part of it stays; also next to other hits."""
+    monkeypatch.setattr(d, "AUTOMATON_WORDS", part)
+    clean = "There is a lot of clean text here, and it goes on and on. " * 3
+    long = " ".join(f"w{k}" for k in range(12))
+    docs = [
+        (1, clean + "What is two plus three? " + clean),
+        (2, clean + "what is two plus four? " + clean),
+        (3, clean + long + " what is two plus three " + clean),
+    ]
+    items = [("a", "What is two plus three?"), ("b", long)]
+    for rule in (None, d.CutRule(min_words=15)):
+        rows = d.remove_leaks(
+            spark.createDataFrame([(i, t, "en", None, len(t), 5) for i, t in docs], DOCS),
+            spark.createDataFrame(items, "item_id string, text string"),
+            rule=rule,
+        ).collect()
+        got = {r.doc_id: r.text for r in rows}
+        assert got == {
+            1: clean.rstrip() + "? " + clean,
+            2: docs[1][1],
+            3: clean.rstrip() + " " + clean,
+        }
