@@ -12,10 +12,12 @@ from clickloom.llm.language import op3_segmentation_unigrams
 from clickloom.llm.licenses import op7_license_windows
 from clickloom.llm.packing import op8_vector_packing
 from clickloom.llm.pii import op10_surrogates
+from clickloom.llm.repair import op11_branch_and_bound
 from clickloom.llm.secrets import op5_markov_secrets
 from clickloom.llm.simhash import op6_simhash
 from clickloom.llm.topk import OP4_SQL, op4_term_at_a_time
 from clickloom.llm.warc import OP1_SQL, op1_revisits
+from clickloom.llm.whitening import op13_block_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -30,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_vector_packing,
         op9_benchmark_leaks,
         op10_surrogates,
+        op11_branch_and_bound,
+        op13_block_whitening,
     )
 }
 
