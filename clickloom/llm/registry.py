@@ -10,6 +10,7 @@ from clickloom.llm.decontaminate import OP9_SQL, op9_benchmark_leaks
 from clickloom.llm.html_model import op2_tree_model
 from clickloom.llm.language import op3_segmentation_unigrams
 from clickloom.llm.licenses import op7_license_windows
+from clickloom.llm.neighbours import op12_nn_descent
 from clickloom.llm.packing import op8_vector_packing
 from clickloom.llm.pii import op10_surrogates
 from clickloom.llm.repair import op11_branch_and_bound
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_benchmark_leaks,
         op10_surrogates,
         op11_branch_and_bound,
+        op12_nn_descent,
         op13_block_whitening,
     )
 }
