@@ -67,10 +67,10 @@ SELECT o_orderkey AS request_id, 'F' AS firstname, CASE WHEN o_orderkey % 13 = 0
 """,
     "chat_conns": r"""
 SELECT event_id AS conn_id, ts AS open_ts, ts + CAST(floor(value) AS INT) * INTERVAL '1' MINUTE AS close_ts,
- CASE event_id % 200 WHEN 0 THEN 'not json' WHEN 10 THEN 'null' WHEN 20 THEN '{"username":5}' WHEN 30 THEN '{"username":"  "}' WHEN 40 THEN NULL WHEN 50 THEN '{"username":"x","username":"twice"}' ELSE '{"username":" user'||CAST(user_id % 8 AS STRING)||' "}' END AS first_frame FROM events WHERE event_id % 10 = 0
+ CASE event_id % 200 WHEN 0 THEN 'not json' WHEN 10 THEN 'null' WHEN 20 THEN '{"username":5}' WHEN 30 THEN '{"username":"  "}' WHEN 40 THEN NULL WHEN 50 THEN '{"username":"x","username":"twice"}' ELSE '{"username":" user'||CAST(user_id % 8 AS STRING)||' "}' END AS first_frame FROM events
 """,
     "chat_frames": r"""
-SELECT event_id AS frame_id, event_id - event_id % 40 AS conn_id, ts, CASE event_id % 7 WHEN 0 THEN '{"type":"message","message":""}' WHEN 1 THEN 'not json' WHEN 2 THEN '{"type":"ping"}' WHEN 3 THEN 'null' ELSE '{"type":"message","message":"m'||CAST(event_id AS STRING)||'"}' END AS frame FROM events WHERE event_id % 10 <> 0
+SELECT event_id AS frame_id, event_id - event_id % 40 AS conn_id, ts, CASE event_id % 7 WHEN 0 THEN '{"type":"message","message":""}' WHEN 1 THEN 'not json' WHEN 2 THEN '{"type":"ping"}' WHEN 3 THEN 'null' ELSE '{"type":"message","message":"m'||CAST(event_id AS STRING)||'"}' END AS frame FROM events
 """,
     "http_requests": r"""
 SELECT event_id AS request_id, ts, '10.0.0.'||CAST(user_id AS STRING) AS ip,

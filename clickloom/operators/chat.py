@@ -100,16 +100,13 @@ def check_join(conns: DataFrame) -> DataFrame:
     )
 
 
-def chosen_holders(
-    named: DataFrame, slices: int = SLICES, held: DataFrame | None = None
-) -> DataFrame:
+def chosen_holders(named: DataFrame, slices: int = SLICES) -> DataFrame:
     """Ids (`conn_id`) of the connections that get their `username`.
 
-    `named` has `_from` and `_to`, in microseconds, for each connection; `held`
-    the names held before, as in `greedy_intervals`.
+    `named` has `_from` and `_to`, in microseconds, for each connection.
     """
     judged = greedy_intervals(
-        named, F.col("username"), F.col("_from"), F.col("_to"), F.col("conn_id"), slices, held
+        named, F.col("username"), F.col("_from"), F.col("_to"), F.col("conn_id"), slices
     )
     return judged.filter("taken").select(F.col("id").alias("conn_id"), F.lit(True).alias("_in"))
 
@@ -167,7 +164,7 @@ def _holders(admissions: DataFrame) -> DataFrame:
     )
 
 
-def _recipients(admissions: DataFrame) -> DataFrame:
+def open_connections(admissions: DataFrame) -> DataFrame:
     """Connections that get messages while they are open: all that are not refused."""
     return admissions.filter(F.col("error").isNull()).select(
         F.col("conn_id").alias("recipient_conn"), "open_ts", "close_ts"
@@ -197,16 +194,20 @@ def user_lists(
     )
 
 
-def presence(admissions: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
-    """User list and its size after each admission and each close."""
-    holders = _holders(admissions).select(
+def seen_holders(admissions: DataFrame) -> DataFrame:
+    """Holders of names for `user_lists`, seen from open to close."""
+    return _holders(admissions).select(
         "user_conn",
         "username",
         "open_ts",
         F.col("open_ts").alias("seen_from"),
         F.col("close_ts").alias("seen_to"),
     )
-    return user_lists(presence_changes(admissions), holders, bucket_seconds)
+
+
+def presence(admissions: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+    """User list and its size after each admission and each close."""
+    return user_lists(presence_changes(admissions), seen_holders(admissions), bucket_seconds)
 
 
 def online_counts(admissions: DataFrame) -> DataFrame:
@@ -281,7 +282,7 @@ def fan_out(
     The result has as many rows as messages were delivered; `delivery_counts` has one
     per message.
     """
-    recipients = _recipients(admissions)
+    recipients = open_connections(admissions)
     sent = sent_messages(frames, admissions).select("frame_id", "ts")
     pairs = stab(
         sent, recipients, "ts", "open_ts", "close_ts", "inner", bucket_seconds, times=frames
@@ -293,5 +294,5 @@ def delivery_counts(frames: DataFrame, admissions: DataFrame) -> DataFrame:
     """Number of recipients per message, without making the pairs."""
     sent = sent_messages(frames, admissions).select("frame_id", "ts")
     return count_open(
-        sent, "ts", _recipients(admissions), "open_ts", "close_ts", "recipients", times=frames
+        sent, "ts", open_connections(admissions), "open_ts", "close_ts", "recipients", times=frames
     ).select("frame_id", "recipients")

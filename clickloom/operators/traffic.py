@@ -36,22 +36,15 @@ def reaches_limiter(target: Column) -> Column:
     return F.startswith(path_only(target), F.lit("/api")) & (target != CHAT_ROUTE[1])
 
 
-def _flag_beyond(
-    requests: DataFrame, grouped: DataFrame, keys: list[str], order: list[str], max_hits: int
-) -> DataFrame:
-    """Flag the requests that are not among the first `max_hits` of their group.
+def _cuts(hits: DataFrame, keys: list[str], order: list[str], max_hits: int) -> DataFrame:
+    """The first hit beyond the limit of each group that has one: (keys, _cut)."""
+    beyond = first_n(hits.select(*keys, *order), keys, order, max_hits + 1)
+    return beyond.filter(F.col("_rank") == max_hits + 1).select(*keys, F.struct(*order).alias("_cut"))
 
-    `grouped` has the rows with their group `keys`, and `_seen`, the hits of the
-    group before them. Each task keeps at most `max_hits` rows per group before
-    the shuffle, and the flag comes back by the unique id (last of `order`), so
-    no group is ever in one task as a whole.
-    """
-    first = first_n(grouped.select(*keys, *order, "_seen"), keys, order, max_hits)
-    passed = first.filter(F.col("_rank") + F.col("_seen") <= max_hits)
-    row_id = order[-1]
-    return requests.join(passed.select(row_id, F.lit(True).alias("_passed")), row_id, "left").select(
-        *requests.columns, F.col("_passed").isNull().alias("limited")
-    )
+
+def _group_key(key: str) -> Column:
+    """A key that can be joined on: a missing one is a group too, and not an empty one."""
+    return F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
 
 
 def rate_limit_tumbling(
@@ -62,10 +55,25 @@ def rate_limit_tumbling(
     window_seconds: int = WINDOW_SECONDS,
     max_hits: int = MAX_HITS,
 ) -> DataFrame:
-    """Add `limited` under clock-aligned windows."""
-    window = F.floor(micros(F.col(ts)) / F.lit(window_seconds * 1_000_000)).alias("_window")
-    grouped = requests.select(key, ts, order, window, F.lit(0).alias("_seen"))
-    return _flag_beyond(requests, grouped, [key, "_window"], [ts, order], max_hits)
+    """Add `limited` under clock-aligned windows.
+
+    A group over the limit is known by one row, its first hit beyond it. Requests meet
+    those rows only, by key and window; no request is shuffled where they are few.
+    """
+    hits = requests.select(
+        "*",
+        _group_key(key).alias("_key"),
+        F.floor(micros(F.col(ts)) / F.lit(window_seconds * 1_000_000)).alias("_window"),
+        micros(F.col(ts)).alias("_at"),
+        F.col(order).alias("_id"),
+    )
+    cuts = _cuts(hits, ["_key", "_window"], ["_at", "_id"], max_hits)
+    return _flagged(lookup_join(hits, cuts, ["_key", "_window"]), requests)
+
+
+def _flagged(hits: DataFrame, requests: DataFrame) -> DataFrame:
+    beyond = F.col("_cut").isNotNull() & (F.struct("_at", "_id") >= F.col("_cut"))
+    return hits.select(*requests.columns, F.coalesce(beyond, F.lit(False)).alias("limited"))
 
 
 def window_counts(
@@ -96,75 +104,41 @@ def rate_limit_anchored(
     max_hits: int = MAX_HITS,
     slices: int = SLICES,
 ) -> DataFrame:
-    """Add `limited` under windows that open at a key's first hit after the last one ended."""
-    assigned = assign_anchored(requests, key, ts, order, window_seconds, slices)
-    return flag_anchored(requests, assigned, order, max_hits)
-
-
-def flag_anchored(
-    requests: DataFrame, assigned: DataFrame, order: str, max_hits: int
-) -> DataFrame:
-    return _flag_beyond(requests, assigned, ["_key", "_start"], ["_at", order], max_hits)
-
-
-def assign_anchored(
-    requests: DataFrame,
-    key: str,
-    ts: str,
-    order: str,
-    window_seconds: int,
-    slices: int = SLICES,
-    before: DataFrame | None = None,
-) -> DataFrame:
-    """The window of each hit: (_key, _at, order, _start, _seen), in microseconds.
+    """Add `limited` under windows that open at a key's first hit after the last one ended.
 
-    `before` has the windows that are open when the hits begin, at most one per
-    key, with the hits they have seen: (_key, _start, _seen).
+    As in `rate_limit_tumbling`, requests meet one row per window over the limit. Windows
+    of a key do not overlap, and each touches two clock-aligned ones at most, by
+    which it is found.
     """
     width = window_seconds * 1_000_000
-    at = micros(F.col(ts))
-    held = None
-    if before is not None:
-        held = before.select(
-            F.col("_key").alias("grp"),
-            F.col("_start").alias("start"),
-            (F.col("_start") + width).alias("end"),
-        )
-    assigned = greedy_intervals(
-        requests,
-        F.col(key),
-        at,
-        at + width,
-        F.col(order),
-        slices,
-        held,
-    ).select(
+    hits = requests.select(
+        "*",
+        _group_key(key).alias("_key"),
+        F.floor(micros(F.col(ts)) / F.lit(width)).alias("_window"),
+        micros(F.col(ts)).alias("_at"),
+        F.col(order).alias("_id"),
+    )
+    assigned = assign_anchored(hits, slices, width)
+    windows = F.array_distinct(
+        F.array(F.floor(F.col("_start") / F.lit(width)), F.floor((F.col("_start") + width - 1) / F.lit(width)))
+    )
+    cuts = _cuts(assigned, ["_key", "_start"], ["_at", "_id"], max_hits).withColumn(
+        "_window", F.explode(windows)
+    )
+    inside = f"d._start <= f._at AND f._at < d._start + {width}"
+    return _flagged(lookup_join(hits, cuts, ["_key", "_window"], "left", inside), requests)
+
+
+def assign_anchored(hits: DataFrame, slices: int, width: int) -> DataFrame:
+    """The window of each hit: (_key, _at, _id, _start), in microseconds."""
+    at = F.col("_at")
+    assigned = greedy_intervals(hits, F.col("_key"), at, at + width, F.col("_id"), slices)
+    return assigned.select(
         F.col("grp").alias("_key"),
         F.col("start").alias("_at"),
-        F.col("id").alias(order),
+        F.col("id").alias("_id"),
         (F.col("until") - width).alias("_start"),
     )
-    if before is None:
-        return assigned.withColumn("_seen", F.lit(0).cast("long"))
-    joined = lookup_join(assigned, before, ["_key", "_start"])
-    return joined.withColumn("_seen", F.coalesce("_seen", F.lit(0).cast("long")))
-
-
-def route_of(method: Column, target: Column) -> Column:
-    """Name of the route that serves a request.
-
-    The chat endpoint is met by its exact target only; targets under the API
-    prefix that no route serves are `not_found`, everything else is `static`.
-    Routes ignore letter case and one trailing slash. HEAD is served as GET is, and
-    an OPTIONS request under the prefix is a `preflight`.
-    """
-    path = path_only(target)
-    route = F.when(target == CHAT_ROUTE[1], CHAT_ROUTE[0]).when(
-        ~F.startswith(path, F.lit("/api")), "static"
-    ).when(method == "OPTIONS", "preflight")
-    for name, verb, pattern in ROUTES:
-        route = route.when(method.isin(_VERBS[verb]) & path.rlike(rf"(?i)\A{pattern}/?\z"), name)
-    return route.otherwise("not_found")
 
 
 def classify_route(requests: DataFrame) -> DataFrame:

@@ -206,6 +206,7 @@ CHECKS |= {
     "stream_presence": CHECKS["presence"],
     "stream_fan_out": CHECKS["fan_out"],
     "stream_delivery_counts": CHECKS["delivery_counts"],
+    "stream_senders": "SELECT f.frame_id, s.username FROM chat_checked_frames f LEFT JOIN chat_sent s ON s.frame_id = f.frame_id WHERE f.status = 'accepted'",
     "stream_first_username": "SELECT username, request_id FROM signup_results WHERE NOT missing AND NOT taken AND place = 1",
     "stream_first_code": "SELECT request_id, code AS shorturl FROM add_outcomes WHERE status = 200 AND custom",
 }

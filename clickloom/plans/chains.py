@@ -164,7 +164,7 @@ def _entry_times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Mark the intervals each (group, slice) takes, and until when it is taken at each row.
 
-    Rows that are not `real` (an entry time, a holder from before) come first in
+    Rows that are not `real` (an entry time) come first in
     their slice, take part, and are left out of the result.
     """
     current, free = None, ALWAYS_FREE
@@ -251,15 +251,13 @@ def greedy_intervals(
     end: Column,
     order: Column,
     slices: int = SLICES,
-    held: DataFrame | None = None,
 ) -> DataFrame:
     """Each interval as (grp, start, id, taken, until), times in microseconds.
 
     `taken` marks the chosen ones; `until` is the end of the interval that holds
     the key when this one starts. `order` is a unique integer that breaks ties of
     `start`; `start` and `end` are microseconds and not NULL; a missing key counts
-    as an empty one. `held` may give intervals (grp, start, end), at most one per
-    key, that hold their keys before all others.
+    as an empty one.
     """
     rows = df.select(
         F.coalesce(key.cast("string"), F.lit("")).alias("grp"),
@@ -268,13 +266,8 @@ def greedy_intervals(
         order.cast("long").alias("id"),
         F.lit(True).alias("real"),
     )
-    counted = rows
-    if held is not None:
-        rows = rows.unionByName(
-            held.select("grp", "start", "end", F.lit(0).cast("long").alias("id"), F.lit(False).alias("real"))
-        )
-    heavy = heavy_keys(counted, ["grp"])
-    edges = _edges(counted.join(F.broadcast(heavy), "grp", "left_semi"), slices)
+    heavy = heavy_keys(rows, ["grp"])
+    edges = _edges(rows.join(F.broadcast(heavy), "grp", "left_semi"), slices)
     rows = (
         mark_heavy(rows, heavy, ["grp"])
         .join(F.broadcast(edges), "grp", "left")

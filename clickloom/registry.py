@@ -30,6 +30,13 @@ LIMIT = {"window_seconds": 86400, "max_hits": 2}
 MICRO_BATCHES = 4
 FILES_PER_BATCH = 4
 
+# Live events arrive up to so much later than they happen; streams wait for them.
+LATE_SECONDS = 86_400
+DELAY = "1 day"
+FAR_TIME = "2262-01-01 00:00:00"
+# The longest time a chat connection stays open.
+LONGEST = "1 DAY"
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -75,10 +82,55 @@ class _Views:
             part.write.mode("append").parquet(folder)
         return runner.read_stream(self.spark, folder, rows.schema, FILES_PER_BATCH)
 
-    def live_chat(self) -> DataFrame:
-        """Opens, closes and frames in order of time."""
-        return self.stream_in_time(
-            "chat_events", lambda: live_chat.chat_events(self.chat_conns, self.chat_frames)
+    def stream_out_of_order(
+        self, name: str, build: Callable[[], DataFrame], ids: list[str], tick: dict[str, str] | None = None
+    ) -> DataFrame:
+        """Rows with a time `ts` as a stream of MICRO_BATCHES, in order of arrival.
+
+        A row arrives up to LATE_SECONDS after its time, by a hash of `ids`, so batches
+        overlap in time and split instants. A last row, with a far time and the values
+        of `tick`, moves the clock on.
+        """
+        slot = f"{name}-arriving"
+        rows = self.stored(f"{slot}-rows", build)
+        late = F.pmod(F.xxhash64(*ids), F.lit(LATE_SECONDS * 1_000_000))
+        arrival = rules.micros(F.col("ts")) + late
+        first, last = rows.agg(F.min(arrival), F.max(arrival)).first()
+        folder = new_folder(self.spark, slot)
+        if first is not None:
+            place = F.floor((arrival - F.lit(first)) / F.lit((last - first) // MICRO_BATCHES + 1))
+            for k in range(MICRO_BATCHES):
+                part = rows.filter(place == k).repartition(FILES_PER_BATCH)
+                part.write.mode("append").parquet(folder)
+        values = {"ts": f"timestamp_ntz'{FAR_TIME}'"} | (tick or {})
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+        far = [f"CAST({values.get(n, 'NULL')} AS {kind}) AS {n}" for n, kind in kinds.items()]
+        self.spark.range(1).selectExpr(*far).write.mode("append").parquet(folder)
+        return runner.read_stream(self.spark, folder, rows.schema, FILES_PER_BATCH)
+
+    def connection_log(self) -> DataFrame:
+        """What the live connections wrote."""
+        events = self.stream_out_of_order(
+            "connection_events",
+            lambda: live_chat.connection_events(self.chat_conns),
+            ["conn_id", "kind"],
+            {"kind": "'tick'"},
+        )
+        written = self.run_stream(
+            "connection-stream",
+            lambda out, state: live_chat.stream_connections(events, out, state, DELAY),
+        )
+        return written.drop("batch")
+
+    def senders(self, log: DataFrame) -> DataFrame:
+        """Live frames with their senders."""
+        frames = self.stream_out_of_order("chat_frames", lambda: self.chat_frames, ["frame_id"])
+        held = self.stream_out_of_order(
+            "connection_log", lambda: log, ["conn_id", "kind"], {"kind": "'tick'"}
+        )
+        return self.run_stream(
+            "sender-stream",
+            lambda out, state: live_chat.stream_senders(frames, held, out, state, DELAY, LONGEST),
         )
 
     def run_stream(self, name: str, start: Callable[[str, str], StreamingQuery]) -> DataFrame:
@@ -585,15 +637,11 @@ def stream_rate_limit(v):
 
 @query
 def stream_rate_limit_anchored(v):
-    state = new_folder(v.spark, "anchored-state")
+    requests = v.stream_out_of_order("reached", lambda: _limited(v.http_requests), ["request_id"])
     written = v.run_stream(
         "anchored-stream",
         lambda out, checkpoint: live_traffic.stream_rate_limit_anchored(
-            _limited(v.stream_in_time("http_requests", lambda: v.http_requests)),
-            out,
-            state,
-            checkpoint,
-            **LIMIT,
+            requests, out, checkpoint, delay=DELAY, **LIMIT
         ),
     )
     return written.select("request_id", "ip", "limited")
@@ -612,46 +660,31 @@ def stream_unlocks(v):
 
 @query
 def stream_admissions(v):
-    state = new_folder(v.spark, "admission-state")
-    written = v.run_stream(
-        "admission-stream",
-        lambda out, checkpoint: live_chat.stream_admissions(
-            v.live_chat(), out, state, checkpoint
-        ),
-    )
-    return written.select("conn_id", "username", "admitted", "error")
+    found = live_chat.admissions_of(v.connection_log())
+    return found.select("conn_id", "username", "admitted", "error")
 
 
 @query
 def stream_presence(v):
-    state = new_folder(v.spark, "presence-state")
-    lists = v.run_stream(
-        "presence-stream",
-        lambda out, checkpoint: live_chat.stream_presence(
-            v.live_chat(), out, state, checkpoint
-        ),
-    )
-    return lists.drop("batch").withColumn("users", F.array_join("users", ","))
+    return live_chat.lists_of(v.connection_log()).withColumn("users", F.array_join("users", ","))
 
 
 @query
 def stream_fan_out(v):
-    state = new_folder(v.spark, "fan-out-state")
-    return v.run_stream(
-        "fan-out-stream",
-        lambda out, checkpoint: live_chat.stream_fan_out(v.live_chat(), out, state, checkpoint),
-    ).drop("batch")
+    log = v.connection_log()
+    return live_chat.fan_out_of(v.senders(log), log)
 
 
 @query
 def stream_delivery_counts(v):
-    state = new_folder(v.spark, "delivery-state")
-    return v.run_stream(
-        "delivery-stream",
-        lambda out, checkpoint: live_chat.stream_delivery_counts(
-            v.live_chat(), out, state, checkpoint
-        ),
-    ).drop("batch")
+    log = v.connection_log()
+    return live_chat.delivery_counts_of(v.senders(log), log)
+
+
+@query
+def stream_senders(v):
+    """Every accepted frame, with its sender or without."""
+    return v.senders(v.connection_log()).select("frame_id", "username")
 
 
 @query

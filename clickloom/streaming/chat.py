@@ -8,19 +8,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from clickloom.functions.rules import from_micros, micros
 from clickloom.operators.chat import (
-    check_join,
-    chosen_holders,
-    delivery_counts,
-    fan_out,
+    TAKEN_USERNAME,
+    check_frame,
+    join_rules,
+    open_connections,
+    seen_holders,
     user_lists,
-    with_admission,
 )
-from clickloom.plans.chains import ALWAYS_FREE
-from clickloom.streaming.runner import per_batch, read_state, write_state
-
-_NEVER = 2**62
-
-_HOLDERS = "conn_id long, username string, open_ts timestamp_ntz"
+from clickloom.plans.timeline import count_open, stab
+from clickloom.streaming.ordered import NameHolder, in_order
+from clickloom.streaming.runner import per_batch
 
 
 def connection_events(conns: DataFrame) -> DataFrame:
@@ -34,142 +31,131 @@ def connection_events(conns: DataFrame) -> DataFrame:
     )
 
 
-def chat_events(conns: DataFrame, frames: DataFrame) -> DataFrame:
-    """Opens, closes and later frames: (conn_id, first_frame, kind, ts, frame_id, frame)."""
-    sent = frames.select("conn_id", "frame_id", "frame", "ts", F.lit("frame").alias("kind"))
-    return connection_events(conns).unionByName(sent, allowMissingColumns=True)
-
-
-def _admit_batch(rows: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Admissions of a micro-batch, and all its open connections with their close, if seen.
+def stream_connections(
+    events: DataFrame, out: str, checkpoint: str, delay: str = "1 minute", **options
+) -> StreamingQuery:
+    """Write what becomes of each connection, from `connection_events`: a log of
+    (conn_id, username, kind, ts, since, error).
 
-    The batch rule does it: holders from before come first under their names,
-    and who has not closed within the batch holds its name to the end of it.
+    Kinds are `join` (admitted), `refused` (with its error), `open` (no frame, so no name)
+    and `close` (of all but refused ones, with `since` for those with a name). Events may
+    come up to `delay` late, in any order: a name's events wait in its state until the
+    watermark has passed them. Connections without a name to hold have no state.
     """
-    closes = rows.filter("kind = 'close'").select("conn_id", F.col("ts").alias("close_ts"))
-    opens = check_join(
-        rows.filter("kind = 'open'").select("conn_id", "first_frame", F.col("ts").alias("open_ts"))
-    ).join(closes, "conn_id", "left")
-    held = before.join(closes, "conn_id", "left")
-    until = F.coalesce(micros(F.col("close_ts")), F.lit(_NEVER))
-    named = opens.filter(F.col("username").isNotNull()).select(
-        "conn_id", "username", micros(F.col("open_ts")).alias("_from"), until.alias("_to")
+    judged = events.select(
+        "conn_id", "kind", micros(F.col("ts")).alias("_at"), join_rules(F.col("first_frame")).alias("_j")
     )
-    names = held.filter(F.col("username").isNotNull()).select(
-        F.col("username").alias("grp"), F.lit(ALWAYS_FREE).alias("start"), until.alias("end")
-    )
-    admissions = with_admission(opens, chosen_holders(named, held=names)).select(
-        "conn_id", "username", "open_ts", "close_ts", "admitted", "error"
+    clock = F.col("kind") == "tick"
+    named = judged.filter(F.col("_j.username").isNotNull() | clock)
+    held = in_order(
+        named, F.col("_j.username"), F.col("_at"), (F.col("kind") == "open").cast("int"),
+        F.when(~clock, F.col("conn_id")), delay, NameHolder(), NameHolder.DDL,
+    ).select(
+        F.col("_id").alias("conn_id"),
+        F.col("_name").alias("username"),
+        F.col("_kind").alias("kind"),
+        from_micros(F.col("_at")).alias("ts"),
+        from_micros(F.col("_since")).alias("since"),
+        F.when(F.col("_kind") == "refused", TAKEN_USERNAME).alias("error"),
+    )
+    error = F.col("_j.error")
+    nameless = judged.filter(
+        F.col("_j.username").isNull() & ~clock & (error.isNull() | (F.col("kind") == "open"))
+    ).select(
+        "conn_id",
+        F.lit(None).cast("string").alias("username"),
+        F.when(error.isNotNull(), "refused").otherwise(F.col("kind")).alias("kind"),
+        from_micros(F.col("_at")).alias("ts"),
+        F.lit(None).cast("timestamp_ntz").alias("since"),
+        error.alias("error"),
     )
-    columns = ["conn_id", "username", "open_ts", "close_ts"]
-    opened = admissions.filter(F.col("error").isNull()).select(*columns)
-    return admissions, held.select(*columns).unionByName(opened)
+    return per_batch(held.unionByName(nameless), out, checkpoint, "append", **options)
 
 
-def _run_admissions(
-    events: DataFrame, out: str, state: str, checkpoint: str, result, **options
-) -> StreamingQuery:
-    """Per micro-batch: admit, keep the open connections for the next one, write `result`.
+def admissions_of(log: DataFrame) -> DataFrame:
+    """Connections of a log: (conn_id, username, open_ts, close_ts, admitted, error), so far.
 
-    The state is one row per open connection (its username NULL if it has none), in a
-    table per batch. Events arrive in time order, and an instant is not split over
-    two batches.
+    One that has not closed is taken to be open one second beyond the log's last event.
     """
-
-    def step(rows: DataFrame, batch_id: int) -> DataFrame:
-        spark = rows.sparkSession
-        before = read_state(spark, f"{state}/holders", batch_id - 1, _HOLDERS)
-        admissions, holders = _admit_batch(rows, before)
-        # Stored, as the connections kept and the result both come from it.
-        write_state(admissions, f"{state}/admissions", batch_id)
-        write_state(holders, f"{state}/all", batch_id)
-        holders = read_state(spark, f"{state}/all", batch_id, _HOLDERS + ", close_ts timestamp_ntz")
-        write_state(
-            holders.filter(F.col("close_ts").isNull()).drop("close_ts"), f"{state}/holders", batch_id
-        )
-        admissions = read_state(spark, f"{state}/admissions", batch_id, admissions.schema)
-        return result(rows, admissions, holders)
-
-    return per_batch(events, out, checkpoint, "append", step, **options)
-
-
-def stream_admissions(
-    events: DataFrame, out: str, state: str, checkpoint: str, **options
-) -> StreamingQuery:
-    """Write (conn_id, username, open_ts, admitted, error) of each opened connection."""
-
-    def opened(rows, admissions, holders):
-        return admissions.drop("close_ts")
-
-    return _run_admissions(events, out, state, checkpoint, opened, **options)
-
-
-def stream_presence(
-    events: DataFrame, out: str, state: str, checkpoint: str, **options
-) -> StreamingQuery:
-    """User list after each admission and each close."""
-    return _run_admissions(events, out, state, checkpoint, _batch_lists, **options)
-
-
-def _seen_from_to(rows: DataFrame, opened: DataFrame) -> DataFrame:
-    """Open connections with the part of their time that lies within a micro-batch."""
-    first, last = (
-        from_micros(F.lit(at).cast("long"))
-        for at in rows.agg(F.min(micros(F.col("ts"))), F.max(micros(F.col("ts")))).first()
-    )
-    return opened.select(
+    closes = log.filter("kind = 'close'").select("conn_id", F.col("ts").alias("_closed"))
+    opened = log.filter("kind <> 'close'").select(
         "conn_id",
         "username",
-        "open_ts",
-        F.greatest("open_ts", first).alias("seen_from"),
-        F.coalesce("close_ts", last + F.expr("INTERVAL '1' SECOND")).alias("seen_to"),
+        F.col("ts").alias("open_ts"),
+        (F.col("kind") == "join").alias("admitted"),
+        "error",
+    )
+    beyond = log.agg(F.max("ts") + F.expr("INTERVAL '1' SECOND")).scalar()
+    return opened.join(closes, "conn_id", "left").select(
+        "conn_id", "username", "open_ts", F.coalesce("_closed", beyond).alias("close_ts"), "admitted", "error"
     )
 
 
-def _batch_lists(rows: DataFrame, admissions: DataFrame, holders: DataFrame) -> DataFrame:
-    """User lists of a micro-batch; holders are looked at within its time only."""
-    joins = admissions.filter("admitted").select("conn_id", F.lit("join").alias("kind"), F.col("open_ts").alias("ts"))
-    refusals = admissions.filter(F.col("error").isNotNull()).select("conn_id", F.lit("close").alias("kind"), F.col("open_ts").alias("ts"))
-    closes = holders.filter(F.col("close_ts").isNotNull()).select(
-        "conn_id", F.lit("close").alias("kind"), F.col("close_ts").alias("ts")
-    )
-    seen = _seen_from_to(rows, holders.filter(F.col("username").isNotNull()))
-    return user_lists(
-        joins.unionByName(refusals).unionByName(closes), seen.withColumnRenamed("conn_id", "user_conn")
-    )
+def lists_of(log: DataFrame) -> DataFrame:
+    """User list after each admission, refusal and close of a log."""
+    kind = F.when(F.col("kind") == "join", "join").otherwise("close").alias("kind")
+    changes = log.filter("kind <> 'open'").select("conn_id", kind, "ts")
+    return user_lists(changes, seen_holders(admissions_of(log)))
 
 
-def _of_messages(use):
-    """What a batch operator over frames and admissions gives for a micro-batch."""
+def stream_senders(
+    frames: DataFrame, log: DataFrame, out: str, checkpoint: str, delay: str, longest: str, **options
+) -> StreamingQuery:
+    """Write each accepted frame with the name of its sender, NULL if nobody held it then.
 
-    def result(rows: DataFrame, admissions: DataFrame, holders: DataFrame) -> DataFrame:
-        frames = rows.filter("kind = 'frame'").select("frame_id", "conn_id", "ts", "frame")
-        opened = _seen_from_to(rows, holders).select(
-            "conn_id",
+    `frames` and `log` (of `stream_connections`) are streams: an interval join on the
+    connection. An interval is told when it ends, at most `longest` after a frame within
+    it; a frame that no interval has met by then comes out without a sender. Rows with
+    a NULL id only move the clock.
+    """
+    seconds = lambda text: F.expr(f"INTERVAL {text}")
+    sent = (
+        check_frame(frames)
+        .filter(F.col("frame_id").isNull() | (F.col("status") == "accepted"))
+        .select("frame_id", "conn_id", F.timestamp_micros(micros(F.col("ts"))).alias("sent_at"), "message")
+        .withWatermark("sent_at", delay)
+    )
+    held = (
+        log.filter("kind IN ('close', 'tick')")
+        .select(
+            # Never NULL, as rows that cannot meet are dropped before they move the clock.
+            F.coalesce("conn_id", F.lit(-1)).alias("holder"),
             "username",
-            F.col("seen_from").alias("open_ts"),
-            F.col("seen_to").alias("close_ts"),
-            F.col("username").isNotNull().alias("admitted"),
-            F.lit(None).cast("string").alias("error"),
+            F.timestamp_micros(micros(F.coalesce("since", "ts"))).alias("held_from"),
+            F.timestamp_micros(micros(F.col("ts"))).alias("held_to"),
         )
-        return use(frames, opened)
+        .withWatermark("held_to", delay)
+    )
+    within = (
+        (F.col("conn_id") == F.col("holder"))
+        & (F.col("held_from") <= F.col("sent_at"))
+        & (F.col("held_to") > F.col("sent_at"))
+        & (F.col("held_to") <= F.col("sent_at") + seconds(longest))
+    )
+    joined = sent.join(held, within, "left").select(
+        "frame_id", "conn_id", from_micros(F.unix_micros("sent_at")).alias("ts"), "username", "message"
+    )
 
-    return result
+    def real(rows: DataFrame, batch_id: int) -> DataFrame:
+        # Not before: Spark would move the filter below the watermark.
+        return rows.filter("frame_id IS NOT NULL")
 
+    return per_batch(joined, out, checkpoint, "append", real, **options)
 
-def stream_delivery_counts(
-    events: DataFrame, out: str, state: str, checkpoint: str, **options
-) -> StreamingQuery:
-    """Number of recipients per message, from `chat_events`.
 
-    A connection is in the state while it is open, however long that is, and its
-    close is not known before it comes.
-    """
-    return _run_admissions(events, out, state, checkpoint, _of_messages(delivery_counts), **options)
+def delivery_counts_of(sent: DataFrame, log: DataFrame) -> DataFrame:
+    """Number of recipients of each frame with a sender."""
+    recipients = open_connections(admissions_of(log))
+    return count_open(
+        sent.filter("username IS NOT NULL").select("frame_id", "ts"),
+        "ts", recipients, "open_ts", "close_ts", "recipients",
+    ).select("frame_id", "recipients")
 
 
-def stream_fan_out(
-    events: DataFrame, out: str, state: str, checkpoint: str, **options
-) -> StreamingQuery:
-    """One row per message and connection that gets it, from `chat_events`."""
-    return _run_admissions(events, out, state, checkpoint, _of_messages(fan_out), **options)
+def fan_out_of(sent: DataFrame, log: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+    """One row per frame with a sender and connection that gets it."""
+    recipients = open_connections(admissions_of(log))
+    return stab(
+        sent.filter("username IS NOT NULL").select("frame_id", "ts"),
+        recipients, "ts", "open_ts", "close_ts", "inner", bucket_seconds,
+    ).select("frame_id", "recipient_conn")

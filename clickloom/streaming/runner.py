@@ -58,43 +58,31 @@ def per_batch(
     return writer.start()
 
 
-#: State tables of so many batches are kept, each in the place of an older one.
-STATE_SLOTS = 3
-
-
-def state_folder(folder: str, batch_id: int) -> str:
-    return f"{folder}/slot={batch_id % STATE_SLOTS}"
-
-
-def read_state(
-    spark: SparkSession, folder: str, batch_id: int, schema: str | StructType
-) -> DataFrame:
-    """State table that a micro-batch left; empty before the first one."""
-    if batch_id < 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(state_folder(folder, batch_id))
-
-
-def write_state(table: DataFrame, folder: str, batch_id: int) -> None:
-    """Each micro-batch has a state table of its own, so one that is run again
-    still finds what the batch before it left. Older ones are replaced."""
-    table.write.mode("overwrite").parquet(state_folder(folder, batch_id))
-
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 @contextmanager
 def state_partitions(spark: SparkSession, count: int | None = None) -> Iterator[None]:
-    """Start streams with `count` state partitions, by default one per core.
+    """Start streams with `count` state partitions, by default one per core, whose state
+    lies in RocksDB, as timers and several states per key need.
 
     A stream keeps the number it was started with, and every micro-batch visits
     each partition, so the session's number for batch shuffles is often too high.
     """
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(count or spark.sparkContext.defaultParallelism))
+    wanted = {
+        "spark.sql.shuffle.partitions": str(count or spark.sparkContext.defaultParallelism),
+        "spark.sql.streaming.stateStore.providerClass": ROCKS_DB,
+    }
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def finish(query: StreamingQuery) -> None:

@@ -9,16 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from clickloom.functions.rules import micros
-from clickloom.operators.traffic import (
-    MAX_HITS,
-    WINDOW_SECONDS,
-    assign_anchored,
-    flag_anchored,
-    window_counts,
-)
-from clickloom.streaming.runner import Lookup, now, per_batch, read_state, write_state
-
-_OPEN_WINDOWS = "_key string, _start long, _seen long"
+from clickloom.operators.traffic import MAX_HITS, WINDOW_SECONDS, window_counts
+from clickloom.streaming.ordered import WindowCounter, in_order
+from clickloom.streaming.runner import Lookup, now, per_batch
 
 
 def stream_rate_limit(
@@ -53,43 +46,26 @@ def latest_windows(written: DataFrame, key: str = "ip", max_hits: int = MAX_HITS
 def stream_rate_limit_anchored(
     requests: DataFrame,
     out: str,
-    state: str,
     checkpoint: str,
     key: str = "ip",
     ts: str = "ts",
     order: str = "request_id",
     window_seconds: int = WINDOW_SECONDS,
     max_hits: int = MAX_HITS,
+    delay: str = "1 minute",
     **options,
 ) -> StreamingQuery:
-    """Add `limited` to each hit, with windows that open at a key's first hit.
+    """Write (`order`, `key`, limited) of each hit, with windows that open at a key's first hit.
 
-    A micro-batch goes through the batch operator, which splits a busy key,
-    together with the windows open before it: one row per key with a window that
-    has not ended. Batches follow each other in time order, as hits arrive.
+    Hits may come up to `delay` late, in any order; they are judged once the watermark
+    has passed them. The state of a key is its waiting hits and the count of its
+    open window, which a timer removes when the window ends.
     """
-    width = window_seconds * 1_000_000
-
-    def flag(rows: DataFrame, batch_id: int) -> DataFrame:
-        spark = rows.sparkSession
-        before = read_state(spark, f"{state}/open", batch_id - 1, _OPEN_WINDOWS)
-        assigned = assign_anchored(rows, key, ts, order, window_seconds, before=before)
-        # Stored, as the windows kept and the flags both come from it.
-        write_state(assigned, f"{state}/assigned", batch_id)
-        assigned = read_state(spark, f"{state}/assigned", batch_id, assigned.schema)
-        last = rows.agg(F.max(micros(F.col(ts)))).first()[0]
-        windows = (
-            assigned.groupBy("_key", "_start")
-            .agg((F.count(F.lit(1)) + F.max("_seen")).alias("_seen"))
-            .unionByName(before)
-            .filter(F.col("_start") + width > (F.lit(last) if last is not None else F.col("_start")))
-        )
-        # The open window of a key is its latest; its largest count is the last one.
-        still_open = windows.groupBy("_key").agg(F.max(F.struct("_start", "_seen")).alias("_w"))
-        write_state(still_open.select("_key", "_w.*"), f"{state}/open", batch_id)
-        return flag_anchored(rows, assigned, order, max_hits)
-
-    return per_batch(requests, out, checkpoint, "append", flag, **options)
+    judged = in_order(
+        requests, F.col(key), micros(F.col(ts)), F.lit(0), F.col(order), delay,
+        WindowCounter(window_seconds * 1_000_000, max_hits), WindowCounter.DDL,
+    ).withColumnsRenamed({"_id": order, "_key": key})
+    return per_batch(judged, out, checkpoint, "append", **options)
 
 
 def stream_first_writer(

@@ -57,17 +57,6 @@ def test_greedy_intervals(spark, settings, seed, slices):
         assert row.until == ends[row.id]
 
 
-def test_names_held_before_come_first(spark, settings):
-    settings(clickloom__heavyRows=2)
-    rows = [("a", 5, 9, 1), ("a", 7, 9, 2), ("a", 8, 20, 2**60 + 1), ("b", 1, 2, 4), ("b", 1, 3, 5)]
-    df = spark.createDataFrame(rows, "key string, s long, e long, id long")
-    held = spark.createDataFrame([("a", 5, 8), ("c", 1, 2)], "grp string, start long, end long")
-    got = greedy_intervals(df, F.col("key"), F.col("s"), F.col("e"), F.col("id"), 8, held)
-    assert sorted((r.id, r.taken, r.until) for r in got.collect()) == [
-        (1, False, 8), (2, False, 8), (4, True, 2), (5, False, 2), (2**60 + 1, True, 20),
-    ]
-
-
 def test_anchored_limit_of_a_hot_key(spark, settings):
     settings(
         clickloom__heavyRows=50,

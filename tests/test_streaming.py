@@ -9,7 +9,7 @@ from clickloom import registry
 from clickloom.operators import accounts, chat, clicks, traffic
 from clickloom.streaming import chat as live_chat
 from clickloom.streaming import clicks as live_clicks
-from clickloom.streaming import runner
+from clickloom.streaming import ordered, runner
 from clickloom.streaming import traffic as live_traffic
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -100,16 +100,30 @@ def test_rate_limits(views, in_parts, run):
     assert rows(found) == rows(batch)
 
 
-def test_anchored_rate_limit(views, in_parts, run, tmp_path, settings):
-    settings(clickloom__heavyRows=3)
-    requests = in_parts(views.http_requests, "ts", parts=5)
-    written = run(
-        lambda out, checkpoint: live_traffic.stream_rate_limit_anchored(
-            requests, out, str(tmp_path / "state"), checkpoint, **registry.LIMIT
-        )
+def test_windows_of_a_key():
+    count = ordered.WindowCounter(width=10, most=2)
+    hits = [(0, 0, 1), (3, 0, 2), (3, 0, 4), (9, 0, 3), (10, 0, 5)]
+    out, kept = count.decide("k", None, hits)
+    assert [(i, limited) for i, _, limited in out] == [(1, False), (2, False), (4, True), (3, True), (5, False)]
+    assert kept == (10, 1) and count.until(kept) == 20
+    out, kept = count.decide("k", kept, [(19, 0, 6), (19, 0, 7), (25, 0, 8)])
+    assert [limited for *_, limited in out] == [False, True, False] and kept == (25, 1)
+
+
+def test_anchored_rate_limit_in_any_order(spark, views, in_parts, run):
+    """Cut by id, hits come in any order; a far row lets the last ones be judged."""
+    hits = views.http_requests.select("request_id", "ts", "ip")
+    far = hits.limit(1).selectExpr(
+        "CAST(NULL AS BIGINT) AS request_id", "timestamp_ntz'2200-01-01 00:00:00' AS ts", "ip"
     )
-    slots = [len(list(f.glob("slot=*"))) for f in (tmp_path / "state").iterdir()]
-    assert slots == [runner.STATE_SLOTS] * 2
+    place = F.coalesce(F.pmod(F.hash("request_id"), F.lit(100)), F.lit(1000)).alias("place")
+    requests = in_parts(hits.union(far).select("*", place), "place", parts=3)
+    with runner.state_partitions(spark, 2):
+        written = run(
+            lambda out, checkpoint: live_traffic.stream_rate_limit_anchored(
+                requests, out, checkpoint, delay="60 days", **registry.LIMIT
+            )
+        )
     batch = traffic.rate_limit_anchored(views.http_requests, **registry.LIMIT)
     columns = ("request_id", "ip", "limited")
     assert rows(written, *columns) == rows(batch, *columns)
@@ -127,46 +141,54 @@ def test_unlocks(views, in_parts, run, skewed):
     )
 
 
-def test_admissions(views, in_parts, run, tmp_path, settings):
-    settings(clickloom__heavyRows=3)
-    events = in_parts(live_chat.connection_events(views.chat_conns), "ts")
-    written = run(
-        lambda out, checkpoint: live_chat.stream_admissions(
-            events, out, str(tmp_path / "state"), checkpoint
-        )
-    )
-    columns = ("conn_id", "username", "admitted", "error")
-    assert rows(written, *columns) == rows(chat.admit(views.chat_conns), *columns)
-
-
-def test_presence(views, in_parts, run, tmp_path):
-    events = in_parts(live_chat.connection_events(views.chat_conns), "ts")
-    written = run(
-        lambda out, checkpoint: live_chat.stream_presence(
-            events, out, str(tmp_path / "state"), checkpoint
-        )
-    )
-    assert rows(written.drop("batch")) == rows(chat.presence(chat.admit(views.chat_conns)))
-
-
-def test_fan_out(views, in_parts, run, tmp_path):
-    """Each batch knows of a connection's close only once it has come."""
-    admissions = views.admissions
-    events = in_parts(live_chat.chat_events(views.chat_conns, views.chat_frames), "ts")
-    pairs = run(
-        lambda out, state: live_chat.stream_fan_out(events, out, str(tmp_path / "p"), state)
-    )
-    assert rows(pairs.drop("batch")) == rows(chat.fan_out(views.chat_frames, admissions))
-
-
-def test_delivery_counts(views, in_parts, run, tmp_path):
-    events = in_parts(live_chat.chat_events(views.chat_conns, views.chat_frames), "ts")
-    counts = run(
-        lambda out, state: live_chat.stream_delivery_counts(events, out, str(tmp_path / "c"), state)
-    )
-    assert rows(counts.drop("batch")) == rows(
-        chat.delivery_counts(views.chat_frames, views.admissions)
-    )
+def test_holder_of_a_name():
+    held = ordered.NameHolder()
+    # 1 holds from 0 to 5; 2 is refused; at 5 its close comes first, 3 has no length, 4 stays.
+    events = sorted([(0, 1, 1), (2, 1, 2), (3, 0, 2), (5, 0, 1), (5, 1, 3), (5, 0, 3), (5, 1, 4), (5, 1, 6)])
+    out, kept = held.decide("n", None, events)
+    assert [(i, kind, at) for i, _, kind, at, _ in out] == [
+        (1, "join", 0), (2, "refused", 2), (1, "close", 5),
+        (3, "join", 5), (3, "close", 5), (4, "join", 5), (6, "refused", 5),
+    ]
+    assert kept == (4, 5)
+    assert held.decide("n", kept, [(9, 0, 4)]) == ([(4, "n", "close", 9, 5)], None)
+
+
+def test_events_out_of_order(spark, tmp_path):
+    """A close before its open in file order, an instant over two batches, and a row too late."""
+    name = '{"username":"n"}'
+    parts = [
+        [(1, name, "close", 50), (2, name, "open", 50), (7, None, "open", 10), (8, "x", "open", 12)],
+        [(1, name, "open", 10), (3, name, "open", 50), (3, name, "close", 60), (8, "x", "close", 13)],
+        [(None, None, "tick", 1000), (7, None, "close", 20)],
+        [(4, name, "open", 40)],  # its instant is not decided yet, though the clock is beyond
+        [(9, name, "open", 30)],
+        [(2, name, "close", 1200), (None, None, "tick", 9000)],
+    ]
+    folder = str(tmp_path / "events")
+    for part in parts:
+        spark.createDataFrame(part, "conn_id long, first_frame string, kind string, s long").selectExpr(
+            "conn_id", "first_frame", "kind", "CAST(timestamp_seconds(s) AS timestamp_ntz) AS ts"
+        ).coalesce(1).write.mode("append").parquet(folder)
+    schema = spark.read.parquet(folder).schema
+    with runner.state_partitions(spark, 2):
+        query = live_chat.stream_connections(
+            runner.read_stream(spark, folder, schema, files_per_batch=1),
+            str(tmp_path / "out"), str(tmp_path / "checkpoint"), delay="100 seconds",
+        )
+        runner.finish(query)
+    log = spark.read.parquet(str(tmp_path / "out"))
+    found = {(r.conn_id, r.kind, r.ts.minute * 60 + r.ts.second) for r in log.collect()}
+    assert found == {
+        (1, "join", 10), (1, "close", 50), (2, "join", 50), (3, "refused", 50), (2, "close", 1200), (4, "refused", 40),
+        (7, "open", 10), (7, "close", 20), (8, "refused", 12),
+    }
+    assert log.count() == len(found) and ordered.late_rows(query) == 1
+    admissions = {r.conn_id: (r.admitted, r.error) for r in live_chat.admissions_of(log).collect()}
+    assert admissions == {
+        1: (True, None), 2: (True, None), 3: (False, chat.TAKEN_USERNAME), 4: (False, chat.TAKEN_USERNAME),
+        7: (False, None), 8: (False, chat.BAD_USERNAME_FRAME),
+    }
 
 
 def test_first_writer(views, in_parts, run):
