@@ -59,6 +59,12 @@ SELECT * FROM (VALUES (' ring '),(''),('WIDGET'),('  ')) AS t(value)
 """,
     "remove_requests": r"""
 SELECT id AS request_id, CASE id % 6 WHEN 2 THEN '' WHEN 1 THEN 'bad' ELSE token END AS token, CASE id % 6 WHEN 3 THEN NULL ELSE shorturl END AS shorturl FROM shorturls WHERE id % 2 = 0 OR id % 6 IN (1,3)
+""",
+    "list_requests": r"""
+SELECT c_custkey AS request_id, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN 'unknown'||CAST(c_custkey AS STRING) ELSE u.token END AS token FROM customer JOIN users u ON u.id = c_custkey
+""",
+    "click_requests": r"""
+SELECT o_orderkey AS request_id, COALESCE(s.shorturl, 'missing'||CAST(o_orderkey AS STRING)) AS shorturl FROM orders LEFT JOIN shorturls s ON s.id = o_custkey
 """,
     "signup_requests": r"""
 SELECT o_orderkey AS request_id, 'F' AS firstname, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE 'L' END AS lastname, 
@@ -70,7 +76,7 @@ SELECT event_id AS conn_id, ts AS open_ts, ts + CAST(floor(value) AS INT) * INTE
  CASE event_id % 200 WHEN 0 THEN 'not json' WHEN 10 THEN 'null' WHEN 20 THEN '{"username":5}' WHEN 30 THEN '{"username":"  "}' WHEN 40 THEN NULL WHEN 50 THEN '{"username":"x","username":"twice"}' ELSE '{"username":" user'||CAST(user_id % 8 AS STRING)||' "}' END AS first_frame FROM events
 """,
     "chat_frames": r"""
-SELECT event_id AS frame_id, event_id - event_id % 40 AS conn_id, ts, CASE event_id % 7 WHEN 0 THEN '{"type":"message","message":""}' WHEN 1 THEN 'not json' WHEN 2 THEN '{"type":"ping"}' WHEN 3 THEN 'null' ELSE '{"type":"message","message":"m'||CAST(event_id AS STRING)||'"}' END AS frame FROM events
+SELECT event_id AS frame_id, event_id - event_id % 40 AS conn_id, ts, CASE event_id % 7 WHEN 0 THEN '{"type":"message","message":""}' WHEN 1 THEN 'not json' WHEN 2 THEN '{"type":"ping"}' WHEN 3 THEN 'null' WHEN 5 THEN '{"type":"message","message":{"a":'||CAST(event_id AS STRING)||',"a":2}}' ELSE '{"type":"message","message":"m'||CAST(event_id AS STRING)||'"}' END AS frame FROM events
 """,
     "http_requests": r"""
 SELECT event_id AS request_id, ts, '10.0.0.'||CAST(user_id AS STRING) AS ip,

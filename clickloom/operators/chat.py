@@ -47,6 +47,22 @@ def _parsed(frame: Column) -> Column:
     return F.when(frame.rlike(JSON_START), F.coalesce(F.try_parse_json(frame), last))
 
 
+def _raw(frame: Column) -> Column:
+    """The texts of a frame's fields, where an object inside it names a key twice.
+
+    A variant cannot hold such an object, but its text can be judged: it is an object or
+    array, so it counts as true and is no text. NULL for bad JSON.
+    """
+    fields = F.from_json(
+        frame, _FIELDS.replace("variant", "string"), {"columnNameOfCorruptRecord": "broken"}
+    )
+    return F.when(frame.rlike(r"\A[ \t\r\n]*\{") & fields["broken"].isNull(), fields)
+
+
+_NESTED = r"\A[ \t\r\n]*[\[{]"
+_FALSE = ["", "0", "-0", "0.0", "false"]
+
+
 def _field(document: Column, name: str) -> Column:
     return F.try_variant_get(document, f"$.{name}", "variant")
 
@@ -65,11 +81,14 @@ def join_rules(frame: Column) -> Column:
     """Trimmed user name and error text of a first frame; one of them is NULL."""
 
     def judge(document: Column) -> Column:
-        text = _text(_field(document, "username"))
+        raw = _raw(frame)
+        named = F.when(~raw["username"].rlike(_NESTED), raw["username"])
+        text = F.when(document.isNull(), named).otherwise(_text(_field(document, "username")))
+        bad = F.when(document.isNull(), raw.isNull()).otherwise(_unreadable(document))
         return F.when(
             frame.isNull(), F.struct(F.lit(None).cast("string"), F.lit(None).cast("string"))
         ).when(
-            _unreadable(document), F.struct(F.lit(None).cast("string"), F.lit(BAD_USERNAME_FRAME))
+            bad, F.struct(F.lit(None).cast("string"), F.lit(BAD_USERNAME_FRAME))
         ).otherwise(
             _bound(
                 text,
@@ -221,7 +240,7 @@ def frame_rules(frame: Column) -> Column:
 
     The message is accepted whatever its JSON type, if it counts as true:
     not missing, null, false, 0 or empty. Text is given as it is, other types
-    as JSON.
+    as JSON, an object in which a key stands twice as it was sent.
     """
 
     def truthy(message: Column) -> Column:
@@ -245,8 +264,16 @@ def frame_rules(frame: Column) -> Column:
                 truthy(m), outcome("accepted", F.coalesce(_text(m), F.to_json(m)))
             ).otherwise(outcome("ignored", F.lit(None))),
         )
+        raw = _raw(frame)
+        told = (raw["type"] == "message") & raw["message"].isNotNull() & ~raw["message"].isin(_FALSE)
+        rewritten = (
+            F.when(raw.isNull(), outcome("error", F.lit(BAD_FRAME)))
+            .when(told, outcome("accepted", raw["message"]))
+            .otherwise(outcome("ignored", F.lit(None)))
+        )
         return (
-            F.when(_unreadable(document), outcome("error", F.lit(BAD_FRAME)))
+            F.when(document.isNull(), rewritten)
+            .when(_unreadable(document), outcome("error", F.lit(BAD_FRAME)))
             .when(is_message, accepted)
             .otherwise(outcome("ignored", F.lit(None)))
         )

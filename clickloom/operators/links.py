@@ -179,6 +179,19 @@ def list_links(links: DataFrame, tokens: DataFrame) -> DataFrame:
     )
 
 
+def list_outcomes(requests: DataFrame, links: DataFrame) -> DataFrame:
+    """(request_id, status, links) of each list request: without a token 400, else 200; links
+    is how many are listed, 0 also for a token that owns none or is unknown."""
+    owned = links.groupBy("token").agg(F.count(F.lit(1)).alias("_links"))
+    judged = lookup_join(requests.select("request_id", "token"), owned, ["token"])
+    given = present(F.col("token"))
+    return judged.select(
+        "request_id",
+        F.when(given, 200).otherwise(400).alias("status"),
+        F.when(given, F.coalesce("_links", F.lit(0))).otherwise(0).alias("links"),
+    )
+
+
 def number_links(links: DataFrame, **options) -> DataFrame:
     """Add `seq`, the place 1.. of a link in its owner's list."""
     return sequence_number(links, "id", ["token"], **options)

@@ -39,7 +39,7 @@ SELECT r.*, r.firstname = '' OR r.lastname = '' OR r.username = '' OR r.password
     "chat_checked": """
 SELECT conn_id, open_ts, close_ts, CASE WHEN error IS NULL THEN trim(name) END AS username, error FROM (
  SELECT *, CASE WHEN first_frame IS NULL THEN NULL WHEN doc IS NULL OR json_type(doc) = 'NULL' THEN 'Invalid username format.' WHEN COALESCE(name,'') = '' THEN 'First message must include a username.' WHEN trim(name) = '' THEN 'Username cannot be empty.' END AS error
- FROM (SELECT *, CASE WHEN first_frame LIKE '%"twice"%' THEN 'twice' WHEN json_type(doc, '$.username') = 'VARCHAR' THEN json_extract_string(doc, '$.username') END AS name
+ FROM (SELECT *, CASE WHEN json_type(doc, '$.username') = 'VARCHAR' THEN list_last(regexp_extract_all(first_frame, '"username" *: *"([^"]*)"', 1)) END AS name
  FROM (SELECT *, TRY_CAST(first_frame AS JSON) AS doc FROM chat_conns)))""",
     "chat_admissions": """
 WITH RECURSIVE o AS (SELECT conn_id, username, open_ts, close_ts, row_number() OVER (PARTITION BY username ORDER BY open_ts, conn_id) AS rn FROM chat_checked WHERE username IS NOT NULL),
@@ -81,18 +81,19 @@ CHECKS = {
 SELECT request_id, CASE WHEN request_id % 9 <> 0 THEN redirecturl END AS redirecturl, CASE WHEN request_id % 9 <> 0 THEN customshorturlcode END AS customshorturlcode,
  CASE WHEN request_id % 9 <> 0 THEN password END AS password, CASE WHEN request_id % 9 = 0 THEN '{oops' END AS malformed FROM add_requests""",
     "parse_access_log": """
-SELECT ip, date_trunc('second', ts) AS ts, method, path, status, bytes, CAST(NULL AS VARCHAR) AS referer, 'agent/1.0' AS useragent FROM http_requests WHERE request_id % 17 <> 0""",
-    "access_log_rejects": "SELECT 'broken '||CAST(request_id AS VARCHAR) AS value FROM http_requests WHERE request_id % 17 = 0",
+SELECT ip, date_trunc('second', ts) AS ts, method, path, status, bytes, CAST(NULL AS VARCHAR) AS referer, 'agent/1.0' AS useragent FROM http_requests WHERE request_id % 17 <> 0 AND request_id % 19 <> 0""",
+    "access_log_rejects": """
+SELECT 'broken '||CAST(request_id AS VARCHAR) AS value FROM http_requests WHERE request_id % 17 = 0 UNION ALL SELECT '10.0.0.1 - - [99/Foo/2024:00:00:00 +0000] "GET /'||CAST(request_id AS VARCHAR)||' HTTP/1.1" 200 5 "-" "agent/1.0"' AS value FROM http_requests WHERE request_id % 17 <> 0 AND request_id % 19 = 0""",
     "append_links": """
 SELECT id, redirecturl, shorturl, token, password FROM shorturls UNION ALL
 SELECT (SELECT max(id) FROM shorturls) + row_number() OVER (ORDER BY request_id) AS id, redirecturl, code AS shorturl, token, CASE WHEN password <> '' THEN password END AS password FROM add_outcomes WHERE status = 200""",
     "message_frames": """
-SELECT frame_id, '{"type":"message","message":{"username":"'||username||'","message":"'||message||'"}}' AS json FROM chat_sent""",
+SELECT frame_id, '{"type":"message","message":{"username":"'||username||'","message":'||CASE WHEN message LIKE '{%' THEN message ELSE '"'||message||'"' END||'}}' AS json FROM chat_sent""",
     "user_list_frames": """
 SELECT ts, conn_id, kind, '{"type":"userList","users":['||COALESCE('"'||array_to_string(users, '","')||'"', '')||']}' AS json FROM chat_presence""",
     "listed_link_json": """
 SELECT '{"id":'||CAST(s.id AS VARCHAR)||',"redirecturl":"'||s.redirecturl||'","shorturl":"'||s.shorturl||'","password":'||CASE WHEN s.password IS NOT NULL THEN 'true' ELSE 'false' END||'}' AS json
- FROM shorturls s WHERE s.token IN (SELECT token FROM users WHERE id % 2 = 0)""",
+ FROM shorturls s WHERE s.token IN (SELECT token FROM list_requests)""",
     "add_links": "SELECT request_id, status, CASE WHEN status = 200 THEN code END AS shorturl FROM add_outcomes",
     "added_links": "SELECT request_id, redirecturl, code AS shorturl, token, CASE WHEN password <> '' THEN password END AS password FROM add_outcomes WHERE status = 200",
     "resolve_owner": "SELECT r.request_id, r.token, u.id AS owner_id FROM add_requests r LEFT JOIN users u ON u.token = r.token",
@@ -100,7 +101,9 @@ SELECT '{"id":'||CAST(s.id AS VARCHAR)||',"redirecturl":"'||s.redirecturl||'","s
     "remove_links": "SELECT request_id, status, reason FROM remove_outcomes",
     "links_after_removal": "SELECT * FROM shorturls WHERE shorturl NOT IN (SELECT shorturl FROM remove_outcomes WHERE status = 200)",
     "clicks_after_removal": "SELECT * FROM clean_clicks WHERE shorturl NOT IN (SELECT shorturl FROM remove_outcomes WHERE status = 200)",
-    "list_links": "SELECT id, redirecturl, shorturl, password IS NOT NULL AS password FROM shorturls WHERE token IN (SELECT token FROM users WHERE id % 3 = 0)",
+    "list_links": "SELECT id, redirecturl, shorturl, password IS NOT NULL AS password FROM shorturls WHERE token IN (SELECT token FROM list_requests)",
+    "list_outcomes": """
+SELECT r.request_id, CASE WHEN COALESCE(r.token, '') = '' THEN 400 ELSE 200 END AS status, CASE WHEN COALESCE(r.token, '') <> '' THEN (SELECT count(*) FROM shorturls s WHERE s.token = r.token) ELSE 0 END AS links FROM list_requests r""",
     "number_links": "SELECT token, id, shorturl, row_number() OVER (PARTITION BY token ORDER BY id) AS seq FROM shorturls",
     "link_report": f"""
 SELECT id, CASE WHEN password IS NOT NULL THEN chr(128274) ELSE '' END AS lock, 'links.example/api/short/'||shorturl AS link_text, 'https://links.example/api/short/'||shorturl AS link, redirecturl AS target_text,
@@ -117,7 +120,7 @@ SELECT h.id, h.shorturl, CASE WHEN s.id IS NULL THEN 404 WHEN COALESCE(s.passwor
     "enrich_geo": "SELECT h.id, h.remote_addr AS ip, g.isp, g.city, g.region, g.country FROM link_hits h LEFT JOIN geo g ON g.ip = h.remote_addr",
     "build_clicks": "SELECT * FROM clean_clicks",
     "build_located_clicks": "SELECT * FROM clean_clicks WHERE ip IN (SELECT ip FROM geo)",
-    "clicks_for": "SELECT * FROM clean_clicks WHERE shorturl IN (SELECT shorturl FROM shorturls WHERE id % 4 = 0)",
+    "clicks_for": "SELECT * FROM clean_clicks WHERE shorturl IN (SELECT shorturl FROM click_requests)",
     "analytics_outcome": """
 SELECT request_id, shorturl, CASE WHEN shorturl = '' THEN 400 WHEN shorturl IN (SELECT shorturl FROM clicks) THEN 200 WHEN shorturl IN (SELECT shorturl FROM shorturls) THEN 201 ELSE 404 END AS status
  FROM (SELECT id AS request_id, CASE WHEN id % 50 = 7 THEN '' ELSE shorturl END AS shorturl FROM link_hits UNION ALL SELECT -id - 1 AS request_id, shorturl FROM shorturls)""",

@@ -228,8 +228,16 @@ def _access_lines(v) -> DataFrame:
         F.lit(' "-" "agent/1.0"'),
     )
     broken = F.concat(F.lit("broken "), F.col("request_id").cast("string"))
+    no_time = F.concat(
+        F.lit('10.0.0.1 - - [99/Foo/2024:00:00:00 +0000] "GET /'),
+        F.col("request_id").cast("string"),
+        F.lit(' HTTP/1.1" 200 5 "-" "agent/1.0"'),
+    )
     return v.http_requests.select(
-        F.when(F.col("request_id") % 17 == 0, broken).otherwise(line).alias("value")
+        F.when(F.col("request_id") % 17 == 0, broken)
+        .when(F.col("request_id") % 19 == 0, no_time)
+        .otherwise(line)
+        .alias("value")
     )
 
 
@@ -262,7 +270,7 @@ def user_list_frames(v):
 
 @query
 def listed_link_json(v):
-    return text.to_frames(links.list_links(v.shorturls, v.users.filter("id % 2 = 0")))
+    return text.to_frames(links.list_links(v.shorturls, v.list_requests))
 
 
 # Links
@@ -306,7 +314,12 @@ def clicks_after_removal(v):
 
 @query
 def list_links(v):
-    return links.list_links(v.shorturls, v.users.filter("id % 3 = 0"))
+    return links.list_links(v.shorturls, v.list_requests)
+
+
+@query
+def list_outcomes(v):
+    return links.list_outcomes(v.list_requests, v.shorturls)
 
 
 @query
@@ -378,7 +391,7 @@ def build_located_clicks(v):
 
 @query
 def clicks_for(v):
-    return clicks.clicks_for(v.clicks, v.shorturls.filter("id % 4 = 0"))
+    return clicks.clicks_for(v.clicks, v.click_requests)
 
 
 @query

@@ -57,7 +57,7 @@ def _dash_to_null(c: Column) -> Column:
 
 
 def parse_access_log(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Typed rows of access-log lines, and the lines that do not fit.
+    """Typed rows of access-log lines, and the lines that do not fit or whose time is none.
 
     One pass of the pattern cuts a line into its parts. The separator cannot be
     part of a line: the server writes control characters in escaped form.
@@ -66,9 +66,9 @@ def parse_access_log(lines: DataFrame, column: str = "value") -> tuple[DataFrame
     groups = _SEPARATOR.join(f"${i}" for i in (1, 3, 4, 5, 6, 7, 8, 9))
     parts = F.split(F.regexp_replace(text, ACCESS_LINE, groups), _SEPARATOR, -1)
     cut = lines.withColumn("_parts", F.when(~text.contains(_SEPARATOR), parts))
-    fits = F.coalesce(F.size("_parts") == 8, F.lit(False))
-    part = F.col("_parts").getItem
+    part = lambda k: F.get("_parts", F.lit(k))
     stamp = F.try_to_timestamp(part(1), F.lit(ACCESS_TIME))
+    fits = F.coalesce((F.size("_parts") == 8) & stamp.isNotNull(), F.lit(False))
     rows = cut.filter(fits).select(
         part(0).alias("ip"),
         (F.expr(EPOCH) + F.make_dt_interval(secs=F.unix_seconds(stamp))).alias("ts"),
@@ -89,11 +89,24 @@ def to_frames(df: DataFrame, column: str = "json") -> DataFrame:
 
 
 def message_frames(messages: DataFrame) -> DataFrame:
-    """Chat frames (frame_id, json) of sent messages; the message keeps its JSON type."""
+    """Chat frames (frame_id, json) of sent messages; the message keeps its JSON type.
+
+    An object in which a key stands twice is passed on as it stands.
+    """
     sent = F.try_variant_get(F.try_parse_json("frame"), "$.message", "variant")
+    text = F.from_json("frame", "message string")["message"]
     body = F.struct("username", sent.alias("message")).alias("message")
-    frame = F.struct(F.lit("message").alias("type"), body)
-    return messages.select("frame_id", F.to_json(frame).alias("json"))
+    frame = F.to_json(F.struct(F.lit("message").alias("type"), body))
+    name = F.to_json(F.struct("username"))
+    raw = F.concat(
+        F.lit('{"type":"message","message":'),
+        F.substring(name, F.lit(1), F.char_length(name) - 1),
+        F.lit(',"message":'),
+        text,
+        F.lit("}}"),
+    )
+    as_it_stands = sent.isNull() & text.rlike(r"\A[\[{]")
+    return messages.select("frame_id", F.when(as_it_stands, raw).otherwise(frame).alias("json"))
 
 
 def user_list_frames(changes: DataFrame) -> DataFrame:

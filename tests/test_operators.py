@@ -117,6 +117,24 @@ def test_empty_password_is_listed_but_open(spark, data):
     }
 
 
+def test_list_outcomes(spark, data):
+    asked = spark.createDataFrame(
+        [(1, "t1"), (2, "t2"), (3, "none"), (4, ""), (5, None), (6, "t1")], "request_id long, token string"
+    )
+    found = {tuple(r) for r in links.list_outcomes(asked, data[1]).collect()}
+    assert found == {(1, 200, 2), (2, 200, 2), (3, 200, 0), (4, 400, 0), (5, 400, 0), (6, 200, 2)}
+
+
+def test_limits_of_requests_without_a_key(spark):
+    """A missing key is a group of its own, apart from an empty one; ties go by id."""
+    rows = [(i, key, T0 + timedelta(seconds=i // 2)) for i, key in enumerate([None, "", "a"] * 4)]
+    df = spark.createDataFrame(rows, "request_id long, ip string, ts timestamp_ntz")
+    for rule in (traffic.rate_limit_tumbling, traffic.rate_limit_anchored):
+        for most in (0, 3):
+            found = rule(df, max_hits=most).filter("limited").collect()
+            assert sorted(r.request_id for r in found) == list(range(12))[3 * most :]
+
+
 def test_analytics_outcome(spark, data):
     requests = spark.createDataFrame(
         [(0, None), (1, ""), (2, "aaa"), (3, "bbb"), (4, "gone"), (5, "zz")],
@@ -297,16 +315,18 @@ def test_access_log(spark, settings, zone):
         [
             ('1.2.3.4 - - [02/Jan/2024:03:04:05 +0200] "GET /a?b HTTP/1.1" 200 12 "http://r" "ua \\"x\\""',),
             ('1.2.3.4 - bob [02/Jan/2024:03:04:05 +0000] "POST /a HTTP/1.1" 404 - "-" "-"',),
+            ('1.2.3.4 - - [99/Foo/2024:03:04:05 +0000] "GET /a HTTP/1.1" 200 5 "-" "-"',),
             ("junk",),
             (None,),
         ],
         "value string",
     )
     rows, rejects = text.parse_access_log(lines)
+    assert rows.count() == 2
     got = rows.orderBy("ts").collect()
     assert got[0].ts == datetime(2024, 1, 2, 1, 4, 5) and got[0].referer == "http://r"
     assert (got[1].method, got[1].status, got[1].bytes, got[1].useragent) == ("POST", 404, 0, None)
-    assert rejects.count() == 2
+    assert rejects.count() == 3
 
 
 def test_write_clicks_by_day(spark, tmp_path):

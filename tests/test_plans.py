@@ -218,3 +218,16 @@ def test_worker_functions_need_no_installed_package(tmp_path):
         [sys.executable, "-c", load], capture_output=True, text=True, cwd=tmp_path, timeout=120
     )
     assert done.stdout.strip() == "4", done.stderr
+
+
+def test_total_before(spark, monkeypatch):
+    """Totals before each place, over blocks, with and without keys (a missing one too)."""
+    monkeypatch.setattr(numbering, "BLOCK_PLACES", 4)
+    draw = random.Random(8)
+    rows = [(k, p, draw.randint(-5, 9)) for k in ("a", None, "b") for p in draw.sample(range(-30, 60), 25)]
+    df = spark.createDataFrame(rows, "k string, p long, n long")
+    for r in numbering.total_before(df, ["k"], "p", "n", "before").collect():
+        assert r.before == sum(n for k, p, n in rows if k == r.k and p < r.p)
+    one = df.filter("k = 'a'").drop("k")
+    for r in numbering.total_before(one, [], "p", "n", "before").collect():
+        assert r.before == sum(n for k, p, n in rows if k == "a" and p < r.p)

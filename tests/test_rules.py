@@ -112,6 +112,10 @@ def test_tokens(spark):
         ('{"username":"  "}', None, "Username cannot be empty."),
         ('\n {"username":"a"}', "a", None),
         ('{"username":"a","username":"b"}', "b", None),
+        ('{"username":" a ","x":{"k":1,"k":2}}', "a", None),
+        ('{"username":{"k":1,"k":2}}', None, "First message must include a username."),
+        ('{"username":"a","message":{"k":1,"k":2}}', "a", None),
+        ('{"username":"a","message":{"k":1,"k":}}', None, "Invalid username format."),
         ('{"username":"a","username":5}', None, "First message must include a username."),
         (None, None, None),
     ],
@@ -126,6 +130,13 @@ def test_first_frame(spark, frame, name, error):
     [
         ('{"type":"message","message":{"a":1}}', "accepted", '{"a":1}'),
         ('{"type":"message","message":[]}', "accepted", "[]"),
+        ('{"type":"message","message":{"a":1,"a":2}}', "accepted", '{"a":1,"a":2}'),
+        ('{"type":"message","message":[{"a":1,"a":2}]}', "accepted", '[{"a":1,"a":2}]'),
+        ('{"type":"message","message":"m","x":{"a":1,"a":2}}', "accepted", "m"),
+        ('{"type":{"a":1,"a":2},"message":"m"}', "ignored", None),
+        ('{"type":"x","message":{"a":1,"a":2}}', "ignored", None),
+        ('{"username":{"a":1,"a":2},"type":"message","message":0}', "ignored", None),
+        ('{"type":"message","message":{"a":1,"a":2}', "error", "Invalid message format."),
         ('{"type":"message","message":true}', "accepted", "true"),
         ('{"type":"message","message":1.5}', "accepted", "1.5"),
         ('{"type":"message","message":" "}', "accepted", " "),
@@ -149,13 +160,14 @@ def test_later_frame(spark, frame, status, message):
 
 
 def test_message_frames_keep_the_json_type(spark):
-    sent = spark.createDataFrame(
-        [(1, "u", '{"type":"message","message":{"a":[1,"x"]}}')],
-        "frame_id long, username string, frame string",
-    )
-    assert text.message_frames(sent).first().json == (
-        '{"type":"message","message":{"username":"u","message":{"a":[1,"x"]}}}'
-    )
+    for message in ('{"a":[1,"x"]}', '{"a":1,"a":{"b":2}}', "5", '"t"'):
+        sent = spark.createDataFrame(
+            [(1, 'u"', f'{{"type":"message","message":{message}}}')],
+            "frame_id long, username string, frame string",
+        )
+        assert text.message_frames(sent).first().json == (
+            f'{{"type":"message","message":{{"username":"u\\"","message":{message}}}}}'
+        )
 
 
 @pytest.mark.parametrize(
