@@ -26,6 +26,7 @@ MARK = "▁"
 WIDTH = 48
 #: Sums are scaled after so many characters: a piece or character has 1e-8 or more, about.
 STRETCH = 16
+#: Words whose scores a Python worker keeps.
 CACHED_WORDS = 250_000
 ROWS_AT_ONCE = 500
 #: Probability left to each character that no piece covers, and counts added to a piece.
@@ -195,6 +196,7 @@ class Model:
     def __init__(self, languages: list[str], lattice: Lattice, probs: np.ndarray):
         self.languages, self.lattice, self.probs = languages, lattice, probs
         self.key = hash((tuple(languages), probs.tobytes()))
+        self.cached_words = CACHED_WORDS
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and posterior of whole texts; no language is likelier beforehand."""
@@ -206,7 +208,7 @@ class Model:
             cache.update(key=self.key, rows={}, scores=np.zeros((0, len(self.languages))))
         split = [words_of(t) if has_letter(t) else None for t in texts]
         seen = set().union(*[w for w in split if w])
-        if len(cache["rows"]) > CACHED_WORDS:
+        if len(cache["rows"]) > self.cached_words:
             cache.update(rows={}, scores=cache["scores"][:0])
         rows = cache["rows"]
         fresh = list(seen.difference(rows))

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from clickloom.llm.common import column_batch, small_batches, table, text_or_empty, worker_cache
 
 END_ID = 2
-#: Words kept in memory, in each of two generations.
-CACHED_WORDS = 900_000
+#: Bytes that kept words may take in a Python worker, in each of two generations, and what
+#: one takes besides its letters and ids.
+CACHED_BYTES, WORD_BYTES = 200_000_000, 180
 #: Marks that may follow a word.
 MARKS = ".,;:!?%$#&*()\""
 ROWS_AT_ONCE = 500
@@ -51,12 +52,15 @@ class WordEncoder:
 
     New words of letters are encoded many at a time: each ends with the one of its
     ids that stands for the end of a word. Marks after such a word are encoded apart
-    from it, as the tokenizer takes them. All else is encoded word by word.
+    from it, as the tokenizer takes them, if the word is of letters in lower case too (the
+    lower case of some capitals ends in a combining mark, which would join them). All
+    else is encoded word by word.
     """
 
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, cached_bytes: int = CACHED_BYTES):
+        self.cached_bytes = cached_bytes
         cache = worker_cache("packing")
         if cache.get("json") != hash(tokenizer_json):
             from tokenizers import Tokenizer
@@ -66,7 +70,8 @@ class WordEncoder:
             for piece, k in tool.get_vocab(with_added_tokens=False).items():
                 ends[k] = piece.endswith("</w>")
             cache.clear()
-            cache.update(json=hash(tokenizer_json), words={}, older={}, tool=tool, ends=ends)
+            cache.update(json=hash(tokenizer_json), tool=tool, ends=ends)
+            cache.update(words={}, older={}, bytes=0)
         self.cache, self.tool, self.ends = cache, cache["tool"], cache["ends"]
 
     def _encoded(self, text: str) -> bytes:
@@ -75,46 +80,53 @@ class WordEncoder:
         ).tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        """Add the ids of new words to those known."""
-        known, older = self.cache["words"], self.cache["older"]
-        again = words & older.keys()
-        known.update({w: older[w] for w in again})
-        new = words - again
+        """Add the ids of words that are not known to those that are."""
+        older = self.cache["older"]
+        found = {w: older[w] for w in words & older.keys()}
+        new = words - found.keys()
         plain = {w for w in new if w.isalpha()}
         marked, rest = [], []
         for w in new - plain:
             stem = w.rstrip(MARKS)
-            (marked if stem.isalpha() else rest).append((w, stem))
-        plain.update(stem for _, stem in marked if stem not in known)
-        letters = list(plain)
-        for at in range(0, len(letters), 2000):
-            part = letters[at : at + 2000]
-            joined = self.tool.encode_batch_fast([" ".join(part)], add_special_tokens=False)
-            ids = np.array(joined[0].ids, dtype="<u4")
-            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            if len(ends) == len(part):
-                flat = ids.tobytes()
-                known.update(
-                    zip(part, [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)], strict=True)
-                )
-            else:
-                known.update({w: self._encoded(w) for w in part})
+            (marked if stem.lower().isalpha() else rest).append((w, stem))
+        known = self.cache["words"]
+        stems = {stem for _, stem in marked if stem not in known}
+        ids = self._together(list(plain | stems))
         after: dict[str, bytes] = {}
         for w, stem in marked:
             mark = w[len(stem) :]
             if mark not in after:
                 after[mark] = self._encoded(mark)
-            known[w] = known[stem] + after[mark]
+            ids[w] = (ids.get(stem) or known[stem]) + after[mark]
         for w, _ in rest:
-            known[w] = self._encoded(w)
+            ids[w] = self._encoded(w)
+        ids |= found
+        known.update(ids)
+        self.cache["bytes"] += sum(WORD_BYTES + len(w) + len(own) for w, own in ids.items())
+
+    def _together(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters, many at a time; each word ends with an end-of-word id."""
+        out: dict[str, bytes] = {}
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            joined = self.tool.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(joined[0].ids, dtype="<u4")
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(ends) == len(part):
+                flat = ids.tobytes()
+                out.update(zip(part, [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)], strict=True))
+            else:
+                out.update({w: self._encoded(w) for w in part})
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.cache["words"]) > CACHED_WORDS:
-            self.cache["older"], self.cache["words"] = self.cache["words"], {}
+        cache = self.cache
+        if cache["bytes"] > self.cached_bytes:
+            cache.update(older=cache["words"], words={}, bytes=0)
         split = [None if any(c in t for c in self.ODD) else t.split() for t in texts]
-        self._learn(set().union(*[w for w in split if w]).difference(self.cache["words"]))
-        get = self.cache["words"].__getitem__
+        self._learn(set().union(*[w for w in split if w]).difference(cache["words"]))
+        get = cache["words"].__getitem__
         return [
             self._encoded(t) if w is None else b"".join(map(get, w))
             for t, w in zip(texts, split, strict=True)
@@ -217,12 +229,16 @@ class Packer:
 
 
 def pack_partition(
-    batches: Iterable[pa.RecordBatch], tokenizer_json: str, limits: Limits, first_id: int
+    batches: Iterable[pa.RecordBatch],
+    tokenizer_json: str,
+    limits: Limits,
+    first_id: int,
+    cached_bytes: int = CACHED_BYTES,
 ) -> Iterator[pa.RecordBatch]:
     """The pieces of one partition's rows (doc_id, text, prompt)."""
     kinds = [(f.split()[0], pa.int64()) for f in SCHEMA.split(", ")]
     schema = pa.schema(kinds)
-    encoder, packer = WordEncoder(tokenizer_json), Packer(limits, first_id)
+    encoder, packer = WordEncoder(tokenizer_json, cached_bytes), Packer(limits, first_id)
     end = struct.pack("<I", END_ID)
 
     def ready() -> pa.RecordBatch:
@@ -248,6 +264,7 @@ def pack(
     tokenizer_path: str,
     limits: Limits | None = None,
     prompt_column: str | None = None,
+    cached_bytes: int = CACHED_BYTES,
 ) -> DataFrame:
     """Pieces of documents (doc_id, text) laid out in sequences of `limits.tokens` ids.
 
@@ -255,7 +272,7 @@ def pack(
     in exactly one piece; a sequence is filled without gaps. `prompt_column` names
     a count of leading ids that bear no loss (none without it). Rows are packed in
     the partition they lie in, with at most twice `limits.waiting` cut-off ends in
-    memory, so nothing is shuffled; the tokenizer (a file of fixed size, read by
+    memory and `cached_bytes` (twice) of words' ids, so nothing is shuffled; the tokenizer (a file of fixed size, read by
     the driver) goes out with the job. At the end of a partition the rest is cut
     into sequences whose lengths are powers of two, which need no padding.
 
@@ -271,7 +288,7 @@ def pack(
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << TASK_SHIFT
-        yield from pack_partition(batches, tool.value, limits, first)
+        yield from pack_partition(batches, tool.value, limits, first, cached_bytes)
 
     prompt = F.coalesce(F.col(prompt_column), F.lit(0)) if prompt_column else F.lit(0)
     return docs.select(

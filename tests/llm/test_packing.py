@@ -1,3 +1,4 @@
+import random
 import struct
 import zlib
 from collections import defaultdict
@@ -94,9 +95,57 @@ def test_empty_table(spark):
     assert pack(spark.createDataFrame([], DOCS), packing.default_tokenizer()).count() == 0
 
 
-def test_words_kept_from_before_change_nothing(tool, monkeypatch):
-    monkeypatch.setattr(packing, "CACHED_WORDS", 3)
-    encoder = packing.WordEncoder(packing.public_tokenizer(packing.default_tokenizer()))
+def test_words_kept_from_before_change_nothing(tool):
+    encoder = packing.WordEncoder(packing.public_tokenizer(packing.default_tokenizer()), 600)
     for text in ["one two three, four!", "two five six? seven", "one two eight%%% nine"] * 2:
         ids = ids_of(tool, text)[:-1]
         assert encoder.encode([text]) == [struct.pack(f"<{len(ids)}I", *ids)]
+
+
+LETTERS = [
+    "abcdefgh", "ABCXYZ", "äöüßÄÖÜẞ", "éèêëçÉÈ", "İıŞşĞğ", "ΑΒΓαβγςΣ", "АБВабвё", "אבגד", "ابتة",
+    "हिन्दी", "漢字仮名", "ひらがな", "한국어", "ไทย", "0123456789", "ŉǰΐΰẖ", "ﬁﬂ", "ǄǅǆÅ", "́̇ͅ", "'-_’",
+]
+
+
+def test_ids_of_many_scripts(tool):
+    """Words learnt together, with and without marks, give the ids of their whole texts."""
+    draw = random.Random(4)
+
+    def word():
+        sets = draw.choices(LETTERS, k=1 if draw.random() < 0.6 else 2)
+        out = "".join(draw.choice(draw.choice(sets)) for _ in range(draw.randint(1, 7)))
+        return out + "".join(draw.choices(packing.MARKS, k=draw.choice([0, 0, 0, 1, 1, 2])))
+
+    words = [word() for _ in range(6000)]
+    texts = [" ".join(draw.choices(words, k=draw.randint(1, 4))) for _ in range(50_000)]
+    texts += ["ALİ, YENİ.", "İKİ! ŞEHİR", "İ.", "a\u0307. b\x1c.", " İ, \n\t İ!?"]
+    encoder = packing.WordEncoder(packing.public_tokenizer(packing.default_tokenizer()), 100_000)
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        whole = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in tool.encode_batch(part, add_special_tokens=False)]
+        different = [t for t, a, b in zip(part, encoder.encode(part), whole) if a != b]
+        assert not different
+
+
+def test_loss_limit_binds(spark, tool):
+    """Examples of conversations: the prompt bears no loss, and loss-bearing tokens fill up first."""
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").toPandas()
+    turns = turns.sort_values(["conv_id", "turn"])
+    rows = []
+    for conv, own in turns.groupby("conv_id"):
+        prompt, answer = own.text.iloc[0], " ".join(own.text.iloc[1:])
+        rows.append((int(conv), f"{prompt} {answer}", len(ids_of(tool, prompt)) - 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, prompt long").coalesce(1)
+    limits = Limits(tokens=4096, segments=16, loss=900, waiting=64)
+    found = pack(df, packing.default_tokenizer(), limits, "prompt").collect()
+    check(found, [(r[0], r[1]) for r in rows], tool, limits)
+    loss = defaultdict(int)
+    for r in found:
+        loss[r.sequence_id] += r.loss_tokens
+    full = [n for n in loss.values() if n == limits.loss]
+    assert len(full) > len(loss) // 2
+    tokens = defaultdict(int)
+    for r in found:
+        tokens[r.sequence_id] += r.length
+    assert max(tokens.values()) < limits.tokens  # the loss limit is the one that binds
