@@ -354,11 +354,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     ).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, cached_words: int = CACHED_WORDS) -> DataFrame:
     """Documents (doc_id, text, lang, source, n_chars) with a language; lang is the one found.
 
-    Rows whose text is null or has no letter go.
+    Rows whose text is null or has no letter go. Repeated rows are each judged on their
+    own, an empty table gives no rows, and other columns are left out. A Python worker
+    keeps the scores of `cached_words` words.
     """
+    model.cached_words = cached_words
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = docs.select(
         "doc_id", "text", F.col("lang").cast("string").alias("lang"), "source", "n_chars"

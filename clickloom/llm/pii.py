@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,15 @@ TITLES = {
     "m": "Mr|Herr|Señor|Monsieur",
     "n": "Mx|Dr|Prof",
 }
+# Calling codes of one and two digits; all others have three.
+CODES_1 = ["1", "7"]
+CODES_2 = (
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 "
+    "60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+).split()
 _TITLE = {k: f"{t}|{t.upper()}" for k, t in TITLES.items()}
+#: A name, without the `'s` of a possessive.
+_NAME = r"\p{Lu}(?:\p{L}|[-'’](?!s(?!\p{L}))(?=\p{L}))+"
 _ANY_TITLE = "|".join(_TITLE.values())
 
 #: Kinds in the order in which they are tried at a place of the text.
@@ -35,7 +45,7 @@ PATTERNS = {
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "card": r"(?<![\d.])(?:\d{13,19}|\d{4}(?: \d{4}){3}(?: \d{1,3})?|\d{4}(?:-\d{4}){3}(?:-\d{1,3})?"
     r"|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\d])",
-    "person": rf"(?<![\p{{L}}\d])(?:{_ANY_TITLE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+    "person": rf"(?<![\p{{L}}\d])(?:{_ANY_TITLE})\.? {_NAME}(?: {_NAME})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap sign that some pattern may match: a digit, an at-sign or a title.
@@ -74,33 +84,38 @@ def _script(name: Column) -> Column:
 
 
 def entities(found: Column) -> Column:
-    """What a mention names: array of (kind, norm), equal for all mentions of one thing.
+    """What a mention names: array of (kind, norm, gender); kind and norm are equal for all
+    mentions of one thing.
 
-    A person has a surname and, if two names stand there, a given name before it,
-    whose kind tells the gender of the title; both kinds tell the script. Groups of
-    digits that fail the Luhn check are no card number, but years and the like.
+    A person has a surname and, if two names stand there, a given name before it, with
+    the gender that the title tells (n if it tells none); both kinds tell the script.
+    Groups of digits, and runs of other lengths than 16, are no card number but years,
+    times and the like if they fail the Luhn check.
     """
     kind = kind_of(found)
-    one = lambda norm: F.array(F.struct(kind.alias("kind"), norm.alias("norm")))
+    no_gender = F.lit(None).cast("string").alias("gender")
+    one = lambda norm: F.array(F.struct(kind.alias("kind"), norm.alias("norm"), no_gender))
     names = F.filter(F.split(found, " "), lambda w: w != "")
     given, surname = F.get(names, F.lit(1)), F.get(names, F.lit(2))
     gender = F.when(found.rlike(rf"^(?:{_TITLE['f']})\.? "), "f")
     gender = gender.when(found.rlike(rf"^(?:{_TITLE['m']})\.? "), "m").otherwise("n")
-    part = lambda sort, name: F.struct(
-        F.concat_ws("_", F.lit("name"), sort, _script(name)).alias("kind"),
+    part = lambda sort, name, told: F.struct(
+        F.concat_ws("_", F.lit("name"), F.lit(sort), _script(name)).alias("kind"),
         F.lower(name).alias("norm"),
+        told.cast("string").alias("gender"),
     )
-    none = F.array().cast("array<struct<kind:string,norm:string>>")
-    loose = found.rlike(r"\d[ -]") & ~F.call_function(
+    none = F.array().cast("array<struct<kind:string,norm:string,gender:string>>")
+    loose = ~found.rlike(r"^\d{16}$") & ~F.call_function(
         "luhn_check", F.regexp_replace(found, r"\D", "")
     )
     return (
         F.when((kind == "card") & loose, none)
         .when(kind.isin("email"), one(F.lower(found)))
         .when(kind.isin("ip"), one(found))
-        .when(kind.isin("iban", "ssn", "phone", "card"), one(F.regexp_replace(found, r"[^A-Z\d]", "")))
-        .when((kind == "person") & surname.isNull(), F.array(part(F.lit("s"), given)))
-        .when(kind == "person", F.array(part(gender, given), part(F.lit("s"), surname)))
+        .when(kind == "phone", one(F.regexp_replace(found, r"[^+\d]", "")))
+        .when(kind.isin("iban", "ssn", "card"), one(F.regexp_replace(found, r"[^A-Z\d]", "")))
+        .when((kind == "person") & surname.isNull(), F.array(part("s", given, F.lit(None))))
+        .when(kind == "person", F.array(part("g", given, gender), part("s", surname, F.lit(None))))
         .otherwise(none)
     )
 
@@ -133,15 +148,16 @@ def _with_check_digit(norm: Column, shaped: Column) -> Column:
     return F.get(fitting, _byte(F.col("digest"), F.lit(40)) % F.greatest(F.size(fitting), F.lit(1)))
 
 
-def _name(kind: Column, digest: Column, attempt: Column) -> Column:
-    """A made-up name of the kind's script, its ending by the kind's gender."""
+def _name(kind: Column, gender: Column, digest: Column, attempt: Column) -> Column:
+    """A made-up name of the kind's script, a given name's ending by the gender."""
+    told = F.when(kind.startswith("name_s_"), "s").otherwise(F.coalesce(gender, F.lit("n")))
     out = F.lit(None).cast("string")
     for script, syllables in SYLLABLES.items():
         parts = F.array(*[F.lit(s) for s in syllables])
         drawn = _drawn(parts, len(syllables), digest, attempt)
         for sort, ending in ENDINGS[script].items():
             name = F.initcap(F.concat(F.array_join(drawn, ""), F.lit(ending)))
-            out = F.when(kind == f"name_{sort}_{script}", name).otherwise(out)
+            out = F.when(kind.endswith(f"_{script}") & (told == sort), name).otherwise(out)
     return out
 
 
@@ -156,7 +172,12 @@ def _drafts(things: DataFrame, keys: DataFrame) -> DataFrame:
     """A surrogate for each (kind, norm, attempt), by its kind's key."""
     digest = F.sha2(F.concat_ws("\0", "key", "kind", "norm", F.col("attempt").cast("string")).cast("binary"), 512)
     norm, kind, drawn, attempt = F.col("norm"), F.col("kind"), F.col("digest"), F.col("attempt")
-    code = F.when(kind == "iban", 2).when((kind == "phone") & (F.length(norm) > 10), F.length(norm) - 10)
+    abroad = (
+        F.when(F.substring(norm, 2, 1).isin(CODES_1), 2)
+        .when(F.substring(norm, 2, 2).isin(CODES_2), 3)
+        .otherwise(4)
+    )
+    code = F.when(kind == "iban", 2).when((kind == "phone") & norm.startswith("+"), abroad)
     longer = F.when(
         attempt >= SAME_LENGTH_ROUNDS,
         F.substring(drawn, F.lit(1), attempt),
@@ -174,11 +195,11 @@ def _drafts(things: DataFrame, keys: DataFrame) -> DataFrame:
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
         .when(kind == "card", _with_check_digit(norm, F.col("shaped")))
-        .when(kind.startswith("name_"), _name(kind, drawn, attempt))
+        .when(kind.startswith("name_"), _name(kind, F.col("gender"), drawn, attempt))
         .otherwise(F.col("shaped"))
     )
     return (
-        things.join(F.broadcast(keys), "kind")
+        things.join(F.broadcast(keys), "kind")  # one row per kind
         .withColumn("digest", digest)
         .withColumn("shaped", _shaped(norm, drawn, F.coalesce(code, F.lit(0))))
         .select("kind", "norm", "attempt", surrogate.alias("surrogate"))
@@ -186,20 +207,22 @@ def _drafts(things: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _kinds() -> list[str]:
-    names = [f"name_{g}_{s}" for s in SYLLABLES for g in ("f", "m", "n", "s")]
+    names = [f"name_{part}_{s}" for s in SYLLABLES for part in ("g", "s")]
     return [k for k in PATTERNS if k != "person"] + names
 
 
 def registry(things: DataFrame, key: str) -> DataFrame:
-    """kind, norm and surrogate of each distinct thing (kind, norm).
+    """kind, norm and surrogate of each distinct thing (kind, norm, and gender if there is one).
 
-    A surrogate is drawn by a keyed hash. It may neither be a thing of the corpus nor
+    A given name with several genders has the first of f, m and n. A surrogate is drawn by a keyed hash. It may neither be a thing of the corpus nor
     the surrogate of another thing of its kind: of things with one surrogate the
-    smallest keeps it, the others are drawn again, until none collide.
+    smallest keeps it, the others are drawn again, until none collide. After MAX_ROUNDS
+    rounds it is an error: some kind has no room for that many surrogates.
     """
     spark = things.sparkSession
     keys = spark.createDataFrame([(k, f"{key}/{k}") for k in _kinds()], "kind string, key string")
-    real = stored(things.select("kind", "norm").distinct(), "things")
+    gender = F.col("gender") if "gender" in things.columns else F.lit(None).cast("string")
+    real = stored(things.groupBy("kind", "norm").agg(F.min(gender).alias("gender")), "things")
     taken = real.select("kind", F.lower("norm").alias("surrogate"))
     pending = real.withColumn("attempt", F.lit(0))
     settled: list[DataFrame] = []
@@ -264,11 +287,44 @@ def _replaced(found: Column, known: Column) -> Column:
         F.when(kind == "email", _cased(found, look(0)))
         .when(kind == "ip", look(0))
         .when(kind == "person", name)
-        .otherwise(_woven(found, look(0)))
+        .otherwise(_woven(found, F.ltrim(look(0), F.lit("+"))))
     )
     return F.coalesce(made, found)
 
 
+def _names_again(known: Column) -> Column:
+    """A pattern for the names of a map where they stand without a title; null without names."""
+    names = F.filter(F.map_keys(known), lambda k: k.startswith("name_"))
+    norms = F.transform(names, lambda k: F.regexp_replace(k, "^[^:]*:", ""))
+    # Longer names first, so that none is cut by one that it begins with.
+    longest = F.transform(F.sort_array(F.transform(norms, lambda n: F.struct(-F.length(n), n.alias("n")))), lambda x: x["n"])
+    return F.when(
+        F.size(names) > 0,
+        F.concat(
+            F.lit(r"(?<![\p{L}\d@._%+-])(?=\p{Lu})(?iu:"),
+            F.array_join(F.array_distinct(longest), "|"),
+            F.lit(r")(?![\p{L}\d@])(?![-'’](?!s(?!\p{L}))\p{L})"),
+        ),
+    )
+
+
+def _renamed(gap: Column, pattern: Column, known: Column) -> Column:
+    """A text between mentions with the names of a map replaced, each by its surrogate."""
+
+    def again(word: Column) -> Column:
+        look = lambda part: F.element_at(
+            known, F.concat(F.lit(f"name_{part}_"), _script(word), F.lit(":"), F.lower(word))
+        )
+        return F.coalesce(_cased(word, F.coalesce(look("s"), look("g"))), word, F.lit(""))
+
+    spoken = F.zip_with(
+        F.split(gap, pattern, -1),
+        F.regexp_extract_all(gap, pattern, F.lit(0)),
+        lambda between, word: F.concat(F.coalesce(between, F.lit("")), again(word)),
+    )
+    return F.when(pattern.isNull() | ~gap.rlike(r"\p{Lu}"), gap).otherwise(F.array_join(spoken, ""))
+
+
 def _mentions(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
 
@@ -277,7 +333,9 @@ def replace_personal(docs: DataFrame, key: str) -> DataFrame:
     """The documents with personal data replaced in `text`, and a column n_entities.
 
     Mentions of one thing get one surrogate in all documents, different things get
-    different ones, none of them a thing of the corpus. E-mail addresses keep their
+    different ones, none of them a thing of the corpus. A person is found by a title; the
+    names found are replaced in the same document where they stand without one, too,
+    with a capital letter. E-mail addresses keep their
     shape and last label, numbers their signs (phones the country code, cards whether
     they pass the Luhn check), addresses whether they are private, names script,
     gender and case. The key is in a table, not in the plan. DataFrame functions only.
@@ -296,13 +354,14 @@ def replace_personal(docs: DataFrame, key: str) -> DataFrame:
     hit = stored(
         docs.where(has).select(row.alias("row"), F.explode(_mentions(text)).alias("found"))
         .select("row", F.explode(entities(F.col("found"))).alias("e"))
-        .select("row", "e.kind", "e.norm")
-        .distinct(),
+        .groupBy("row", "e.kind", "e.norm")
+        .agg(F.min("e.gender").alias("gender")),
         "mentions",
     )
     known = registry(hit, key)
     maps = (
-        hit.join(known, ["kind", "norm"])
+        hit.drop("gender")
+        .join(known, ["kind", "norm"])
         .groupBy("row")
         .agg(
             F.map_from_entries(
@@ -310,6 +369,7 @@ def replace_personal(docs: DataFrame, key: str) -> DataFrame:
             ).alias("known_map")
         )
         .withColumnRenamed("row", "known_row")
+        .withColumn("known_names", _names_again(F.col("known_map")))
     )
     inner = [F.col(f"d.{c}") for c in others]
     marked = docs.where(has).select(F.struct(*others).alias("d"), row.alias("known_row"))
@@ -319,7 +379,7 @@ def replace_personal(docs: DataFrame, key: str) -> DataFrame:
         F.split(body, ANY, -1),
         _mentions(body),
         lambda gap, found: F.concat(
-            F.coalesce(gap, F.lit("")),
+            F.coalesce(_renamed(gap, F.col("known_names"), F.col("known_map")), F.lit("")),
             F.coalesce(_replaced(found, F.col("known_map")), F.lit("")),
         ),
     )
@@ -333,8 +393,16 @@ def replace_personal(docs: DataFrame, key: str) -> DataFrame:
     return changed.union(docs.where(~has).withColumn("n_entities", F.lit(0).cast("long")))
 
 
-#: Key of the registered query and the pipeline. Jobs of one's own pass a secret one.
+#: Key of the registered query, whose result is to be the same each time. Not for real data.
 QUERY_KEY = "clickloom"
+#: Session setting that holds a secret key.
+KEY_SETTING = "clickloom.personalDataKey"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key of KEY_SETTING; without one a fresh key that is forgotten, so that
+    surrogates cannot be told apart from others, nor be the same in another run."""
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

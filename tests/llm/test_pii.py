@@ -69,6 +69,57 @@ def test_types_and_formats_are_kept(texts):
     assert len({m[2], m[5], m[6]}) == 3
 
 
+def rewritten(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in pii.replace_personal(df, "key").orderBy("doc_id").collect()]
+
+
+def test_a_person_is_one_whatever_the_title(spark):
+    one, two, three = rewritten(
+        spark, "Mrs Anna Smith came. Dr Anna Smith left.", "Prof. Anna Smith", "Mr Jean-Luc O'Neil, MR JEAN-LUC O'NEIL"
+    )
+    m = re.fullmatch(r"Mrs (\w+lina \w+) came\. Dr (.+) left\.", one)
+    assert m and m[1] == m[2] and two == f"Prof. {m[1]}"
+    m = re.fullmatch(r"Mr (\w+ldo) (\w+), MR (\w+) (\w+)", three)
+    assert m and (m[3], m[4]) == (m[1].upper(), m[2].upper())
+
+
+def test_names_without_a_title_follow(spark):
+    one, other = rewritten(
+        spark,
+        "Mrs Anna Smith said hello; Smith left. SMITH's car, Anna-Lena, smith, Smithson, x@Smith.example.org",
+        "Smith stands here without a title.",
+    )
+    m = re.fullmatch(
+        r"Mrs (\w+) (\w+) said hello; (\w+) left\. (\w+)'s car, Anna-Lena, smith, Smithson, \S+", one
+    )
+    assert m and m[3] == m[2] and m[4] == m[2].upper() and "Smith" not in m[2]
+    assert other == "Smith stands here without a title."
+
+
+def test_possessives_stay(spark):
+    one, two = rewritten(spark, "Mr Lee's car and Mr Lee", "Mr Lee’s")
+    m = re.fullmatch(r"Mr (\w+)'s car and Mr (\w+)", one)
+    assert m and m[1] == m[2] and two == f"Mr {m[1]}’s"
+
+
+def test_country_codes_and_times(spark):
+    found = rewritten(
+        spark, "+49 30 1234567", "+1 (555) 123-4567", "+420 222 333 444", "1700000000000 at 17000000000000001", "4111111111111111"
+    )
+    patterns = [r"\+49 \d\d \d{7}", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"\+420 \d{3} \d{3} \d{3}"]
+    for text, pattern in zip(found, patterns):
+        assert re.fullmatch(pattern, text)
+    assert "1234567" not in found[0] and "222 333" not in found[2]
+    assert found[3] == "1700000000000 at 17000000000000001" and found[4] != "4111111111111111"
+
+
+def test_session_key(spark, settings):
+    assert pii.session_key(spark) != pii.session_key(spark)
+    settings(clickloom__personalDataKey="mine")
+    assert pii.session_key(spark) == "mine"
+
+
 def test_few_surrogates_collide_and_stay_distinct(spark):
     """Things with room for few surrogates: collisions are drawn again until none is left."""
     things = [("email", f"{a}@{b}.example") for a in "abcdefghijklmnop" for b in "abcdefghij"]
