@@ -58,3 +58,36 @@ def test_pipeline_stages(spark):
     assert ids["packing"] == ids["personal_data"]
     assert (kept["personal_data"].n_chars == kept["personal_data"].text.str.len()).all()
     assert isinstance(kept["packing"], pd.DataFrame) and kept["packing"].length.min() > 0
+
+
+def test_pipeline_on_no_rows(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.stored(stage(spark, docs, SF_DIR), name)
+        assert docs.count() == 0
+
+
+def test_stages_with_further_columns(spark):
+    """Columns with the names that stages use inside, null cells and repeated rows."""
+    rows = [
+        (k % 5 if k else None, f"Some words of text number {k // 2} by Mr Miller, a b c.", "en", None, 1, k, "x", None)
+        for k in range(12)
+    ]
+    df = spark.createDataFrame(
+        rows,
+        "doc_id long, text string, lang string, source string, n_chars long, own int, row string, key string",
+    )
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("language", "near_copies", "benchmark", "personal_data"):
+        out = stages[name](spark, df, SF_DIR)
+        assert set(corpus_pipeline.COLUMNS) <= set(out.columns)
+        assert out.count() == len(rows) if name != "near_copies" else 0 < out.count() < len(rows)
+    assert stages["packing"](spark, df, SF_DIR).count() >= len(rows)
+
+
+def test_near_copies_keep_columns(spark):
+    rows = [(1, "a b c d e f", 7, "r"), (2, "a b c d e  F", 8, "s"), (3, "quite another text", 9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own int, row string")
+    kept = corpus_pipeline.copies.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
