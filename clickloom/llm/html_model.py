@@ -18,6 +18,10 @@ from clickloom.llm.html_pages import labelled_pages
 ROWS_AT_ONCE = 200
 #: Counts added to every cell of the model's tables.
 PRIOR = 0.5
+#: Lengths of a block's text that are told apart, in characters.
+LENGTHS = [("small", 25), ("line", 80), ("sentence", 160), ("long", 320), ("essay", math.inf)]
+#: Part of the parent-child pairs that are taken to be other than on the labelled pages.
+DOUBT = 0.02
 #: Class and id words seen on fewer labelled nodes say nothing.
 LEAST_SEEN = 2
 
@@ -192,15 +196,28 @@ def features(nodes: list[Node]) -> list[list[str]]:
         if node.size:
             share = node.linked / node.size
             links = "all" if share > 0.8 else "many" if share > 0.3 else "few"
-            length = "small" if node.size < 25 else "line" if node.size < 120 else "long"
+            length = next(name for name, most in LENGTHS if node.size < most)
             seen += [f"links {node.tag} {links}", f"size {length}"]
         out.append(seen)
     return out
 
 
-def _kind(tag: str) -> str:
-    """Parents that pass on their state alike."""
-    return "page" if tag in ("#page", "html", "body") else "box"
+#: Elements that stand apart from what is around them, whatever that is.
+APART = frozenset("header footer aside nav form".split())
+
+
+def _kind(parent: Node, child: Node) -> tuple[str, str]:
+    """Pairs of parent and child in which states go together alike.
+
+    A menu or footer is no content inside an article as outside, so it tells little of
+    its parent; nor does a child with a name of its own tell what one without does.
+    """
+    outer = "page" if parent.tag in ("#page", "html", "body") else "box"
+    inner = "apart" if child.tag in APART else "named" if child.words else "plain"
+    return outer, inner
+
+
+KINDS = [(outer, inner) for outer in ("page", "box") for inner in ("apart", "named", "plain")]
 
 
 class TreeModel:
@@ -214,7 +231,7 @@ class TreeModel:
     def __init__(self, pages: list[str]):
         prior = [PRIOR, PRIOR]
         seen: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
-        pairs = {k: [[PRIOR, PRIOR], [PRIOR, PRIOR]] for k in ("page", "box")}
+        pairs = {k: [[PRIOR, PRIOR], [PRIOR, PRIOR]] for k in KINDS}
         groups: Counter = Counter()
         for page in pages:
             nodes, _ = parse(page)
@@ -225,7 +242,7 @@ class TreeModel:
                 state.append(own)
                 prior[own] += 1
                 if node.parent >= 0:
-                    pairs[_kind(nodes[node.parent].tag)][up][own] += 1
+                    pairs[_kind(nodes[node.parent], node)][up][own] += 1
                 for thing in things:
                     seen[thing][own] += 1
                     groups[thing.rpartition(" ")[0], own] += 1
@@ -236,25 +253,40 @@ class TreeModel:
                 continue
             total = prior if group in ("word", "tag") else [groups[group, 0], groups[group, 1]]
             self.unary[thing] = tuple((n[s] + PRIOR) / (total[s] + 2 * PRIOR) for s in (0, 1))
+        # Of the children of either kind of parent, DOUBT are taken to be of either state: a
+        # label says less than its count, and one child must not decide about a whole article.
         self.pair = {
-            k: tuple(tuple(x / sum(row) for x in row) for row in rows) for k, rows in pairs.items()
+            k: tuple(tuple((1 - DOUBT) * x / sum(row) + DOUBT / 2 for x in row) for row in rows)
+            for k, rows in pairs.items()
         }
 
+    def potential(self, things: list[str]) -> tuple[float, float]:
+        """What is seen of a node, for either state. Its class words count as one thing, by
+        their geometric mean, as they are one name."""
+        a = b = 1.0
+        words = []
+        for thing in things:
+            p = self.unary.get(thing)
+            if p and thing.startswith("word "):
+                words.append(p)
+            elif p:
+                a *= p[0]
+                b *= p[1]
+        if words:
+            a *= math.prod(p[0] for p in words) ** (1 / len(words))
+            b *= math.prod(p[1] for p in words) ** (1 / len(words))
+        return a, b
+
     def marginals(self, nodes: list[Node]) -> list[float]:
         """Probability of state 1 of each node, by messages up the tree and down again."""
         n = len(nodes)
         own = []
         for things in features(nodes):
-            a = b = 1.0
-            for thing in things:
-                p = self.unary.get(thing)
-                if p:
-                    a *= p[0]
-                    b *= p[1]
+            a, b = self.potential(things)
             own.append([a / (a + b), b / (a + b)])
         up = [(1.0, 1.0)] * n
         gathered = [list(x) for x in own]  # own potential times the messages from below
-        pair = [self.pair[_kind(nodes[x.parent].tag)] if x.parent >= 0 else None for x in nodes]
+        pair = [self.pair[_kind(nodes[x.parent], x)] if x.parent >= 0 else None for x in nodes]
         for k in range(n - 1, 0, -1):
             (aa, ab), (ba, bb) = pair[k]
             g0, g1 = gathered[k]

@@ -21,6 +21,8 @@ HOLDERS = [
     ("div", 'class="entry text"'),
     ("div", 'class="article-body story"'),
     ("main", 'role="main"'),
+    ("div", 'id="main"'),
+    ("div", ""),
     ("", ""),
 ]
 
@@ -108,18 +110,19 @@ def _links(n: int, seed: int) -> str:
 def _other(part: tuple[str, str, str], seed: int) -> str:
     """A part that is not main text."""
     tag, marks, holds = part
+    h = "h2" if seed % 5 == 0 else f"h{3 + seed % 2}"
     inside = {
         "menu": f"<ul>{_links(4, seed)}</ul>" if tag != "ul" else _links(4, seed),
         "brand": f'<a href="/">{_text(2, seed)}</a><p>{_text(5, seed)}</p><ul>{_links(3, seed)}</ul>',
         "legal": f'&copy; {_text(4, seed)} <p>{_text(12, seed)}</p><a href="/t">{_text(2, seed)}</a>',
-        "teasers": f"<h3>{_text(2, seed)}</h3><ul>{_links(5, seed)}</ul><p>{_text(14, seed)}</p>",
+        "teasers": f"<{h}>{_text(2, seed)}</{h}><ul>{_links(5, seed)}</ul><p>{_text(14, seed)}</p>",
         "line": _text(9 + seed % 12, seed),
-        "lines": f"<h4>{_text(3, seed)}</h4><p>{_text(18, seed)}</p><p>{_text(30, seed)}</p>",
+        "lines": f"<{h}>{_text(3, seed)}</{h}><p>{_text(18, seed)}</p><p>{_text(30, seed)}</p>",
         "bare": _text(14, seed),
         "buttons": f"<p>{_text(22, seed)}</p><button>{_text(1, seed)}</button>",
         "fields": f"<label>{_text(3, seed)}</label><input name=q><p>{_text(8, seed)}</p>"
         f"<div>{_text(4, seed)}</div><button>{_text(1, seed)}</button>",
-        "comments": f"<h3>{_text(2, seed)}</h3><div class='comment'><b>{_text(1, seed)}</b>"
+        "comments": f"<{h}>{_text(1 + seed % 2, seed)}</{h}><div class='comment'><b>{_text(1, seed)}</b>"
         f"<p>{_text(25, seed)}</p></div><div class='comment reply'><p>{_text(40, seed)}</p></div>",
         "replies": f"<li><p>{_text(30, seed)}</p></li><li><p>{_text(12, seed)}</p></li>",
     }[holds]
@@ -143,9 +146,35 @@ def _content(seed: int) -> list[str]:
         "".join(f"<p><b>{_text(1 + j % 3, seed + j)}<br><p>{_text(2 + j, seed + j)}</p>" for j in range(7)),
         "<ul>" + "".join(f"<li>{_text(1 + j % 5, seed + j)}</li>" for j in range(6)) + "</ul>",
         f"<dl><dt>{_text(2, seed)}</dt><dd>{_text(9, seed)}</dd></dl><p>{_text(90, seed)}</p>",
+        f'<p>{_text(14, seed)}</p><ul><li><a href="/x">{_text(4 + seed % 6, seed)}</a></li><li>{_text(2, seed)}</li></ul>',
+        f"<p>{_text(16 + seed % 9, seed)}</p><p>{_text(2, seed)}</p><p>{_text(19, seed)}</p>",
+        f"<div>{_text(18 + seed % 20, seed)}</div><div>{_text(70, seed)}</div>",
     ]
 
 
+#: Parts that an article has of its own and that are no main text.
+INNER = [
+    ("header", "", "bare"),
+    ("aside", 'class="pullquote"', "bare"),
+    ("footer", "", "bare"),
+    ("nav", 'class="toc"', "menu"),
+    ("aside", "", "teasers"),
+    ("footer", 'class="meta"', "menu"),
+    ("header", "", "brand"),
+    ("form", 'class="newsletter"', "fields"),
+]
+
+
+def _with_inner(pieces: list[str], seed: int) -> list[str]:
+    """Pieces of main text among which two to five other parts stand."""
+    out = list(pieces)
+    for j in range(2 + seed % 4):
+        part = INNER[(seed + 3 * j) % len(INNER)]
+        place = {"header": 0, "footer": len(out)}.get(part[0], 1 + (seed + j) % len(out))
+        out.insert(place, _other(part, seed + j))
+    return out
+
+
 def labelled_pages() -> list[str]:
     """Pages for each other part, with holders in turn, and parts around and inside."""
     pages = []
@@ -160,12 +189,21 @@ def labelled_pages() -> list[str]:
             around.insert(k % 4, _other(part, k))
         else:
             pieces.insert(2 + k % 4, _other(part, k))
+        kind = ("p", "p", "div")[k % 3]  # an article is mostly paragraphs
+        for j in range(8):
+            pieces.append(f"<{kind}>{_text(15 + (k * 5 + j * 9) % 45, k + j)}</{kind}>")
+        if k % 5 == 3:  # a short article
+            pieces = [*pieces[:1], f"<p>{_text(18 + k % 12, k)}</p>", f"<p>{_text(21 + k % 30, k)}</p>"][k % 2 :]
+        if k % 2:
+            pieces = _with_inner(pieces, k)
         held = "".join(pieces)
         if tag:
             held = f'<{tag} {marks} data-keep="1">{held}</{tag}>'
         if k % 3 == 1:
             held = f'<div class="wrapper container">{held}</div>'
         body = "".join([*around[:3], held, *around[3:]])
+        if k % 4 == 2:  # a frame around all
+            body = f'<div class="page wrapper">{body}</div>'
         pages.append(
             f"<!DOCTYPE html><html><head><title data-keep='0'>{_text(4, k)}</title></head><body>{body}</body></html>"
         )

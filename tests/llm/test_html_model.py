@@ -18,17 +18,13 @@ def brute_marginals(model, nodes):
     """Sums over all states of all nodes."""
     own = []
     for things in h.features(nodes):
-        p = [1.0, 1.0]
-        for thing in things:
-            for s, x in enumerate(model.unary.get(thing, (1.0, 1.0))):
-                p[s] *= x
-        own.append(p)
+        own.append(model.potential(things))
     total, ones = 0.0, [0.0] * len(nodes)
     for states in itertools.product((0, 1), repeat=len(nodes) - 1):
         states = (1, *states)
         weight = 1.0
         for k in range(1, len(nodes)):
-            pair = model.pair[h._kind(nodes[nodes[k].parent].tag)]
+            pair = model.pair[h._kind(nodes[nodes[k].parent], nodes[k])]
             weight *= own[k][states[k]] * pair[states[nodes[k].parent]][states[k]]
         total += weight
         for k, s in enumerate(states):
@@ -123,3 +119,74 @@ def test_empty_table(spark):
 )
 def test_blocks(page, blocks):
     assert [t for _, t in h.parse(page)[1]] == blocks
+
+# Frames written by hand, not by the generator of the labelled pages.
+P = 'The mill by the river was built long before the town had a bridge, and its wheel still turns on market days.'
+Q = 'Visitors come from far away to see how grain was ground by hand and by water, and many of them stay until evening.'
+R = 'In winter the mill is closed, but the keeper opens the yard for schools and for anyone who writes a letter in time.'
+S = 'Short line.'
+FRAMES = {
+    'hdr aside foot': (
+        f'<body><article><header><h1>Title</h1></header><p>{P}</p><aside class=pullquote>Grain was ground by hand</aside><footer>Filed under history</footer></article></body>',
+        ['Title', P],
+    ),
+    'byline two': (
+        f'<body><article><header><h1>Old Mill</h1><p class=byline>By Ann Lee</p></header><p>{P}</p><p>{Q}</p><footer>Tags</footer></article></body>',
+        ['Old Mill', P, Q],
+    ),
+    'mixed class': (
+        f"<body><article class='post comment-free no-sidebar has-ads'><h1>Old Mill</h1><p>{P}</p></article></body>",
+        ['Old Mill', P],
+    ),
+    'notice id': (
+        f"<body><article id='notice-about-privacy'><h1>Old Mill</h1><p>{P}</p></article></body>",
+        ['Old Mill', P],
+    ),
+    'nested comments': (
+        f'<body><main><h1>T</h1><p>{P}</p><p>{Q}</p><section class=comments><h2>Comments</h2><div class=comment><p>{R}</p></div></section></main></body>',
+        ['T', P, Q],
+    ),
+    'form inside': (
+        f'<body><article><h1>T</h1><p>{P}</p><form class=newsletter><label>Mail</label><p>Get our letter every week</p><button>Go</button></form><p>{Q}</p></article></body>',
+        ['T', P, Q],
+    ),
+    'all inside': (
+        f'<body><div class=page><header><a href=/>Site</a><nav><a href=/a>A</a></nav></header><article><header><h1>T</h1></header><nav class=toc><a href=#a>a</a><a href=#b>b</a></nav><p>{P}</p><aside><h4>More</h4><a href=/m>m</a></aside><p>{Q}</p><form><input><p>Search here</p></form><footer>By A</footer></article><footer>Copyright</footer></div></body>',
+        ['T', P, Q],
+    ),
+    'only p': (
+        f'<body><p>{P}</p><p>{Q}</p></body>',
+        [P, Q],
+    ),
+    'sidebar last': (
+        f'<body><main><article><h1>T</h1><p>{P}</p><p>{Q}</p><p>{R}</p></article></main><aside class="sidebar"><h3>More</h3><p>{S}</p><ul><li><a href=/1>One</a></li></ul></aside></body>',
+        ['T', P, Q, R],
+    ),
+    'cookie': (
+        f'<body><div class="cookie-banner">{R}<button>OK</button></div><article><p>{P}</p><p>{Q}</p></article></body>',
+        [P, Q],
+    ),
+    'figure': (
+        f'<body><article><h1>T</h1><figure><img src=a><figcaption>The wheel</figcaption></figure><p>{P}</p><blockquote>{Q}</blockquote></article></body>',
+        ['T', 'The wheel', P, Q],
+    ),
+    'short paras': (
+        f'<body><header>Site</header><article><h1>T</h1><p>{S}</p><p>{P}</p><p>{S}</p></article></body>',
+        ['T', S, P, S],
+    ),
+    'related': (
+        f'<body><article><h1>T</h1><p>{P}</p><p>{Q}</p><div class="related-posts"><h3>Related</h3><ul><li><a href=/1>One</a></li><li><a href=/2>Two</a></li></ul></div></article></body>',
+        ['T', P, Q],
+    ),
+    'share': (
+        f'<body><article class="entry single-post"><h1>T</h1><div class="social share"><a href=/t>Tweet</a></div><p>{P}</p><p>{Q}</p></article></body>',
+        ['T', P, Q],
+    ),
+}
+
+
+@pytest.mark.parametrize("name", FRAMES)
+def test_frames(name):
+    page, expected = FRAMES[name]
+    model = h.TreeModel(h.labelled_pages())
+    assert h.main_text(f"<!DOCTYPE html><html>{page}</html>", model) == "\n\n".join(expected)
