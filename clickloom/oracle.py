@@ -120,6 +120,9 @@ SELECT h.id, h.shorturl, CASE WHEN s.id IS NULL THEN 404 WHEN COALESCE(s.passwor
     "enrich_geo": "SELECT h.id, h.remote_addr AS ip, g.isp, g.city, g.region, g.country FROM link_hits h LEFT JOIN geo g ON g.ip = h.remote_addr",
     "build_clicks": "SELECT * FROM clean_clicks",
     "build_located_clicks": "SELECT * FROM clean_clicks WHERE ip IN (SELECT ip FROM geo)",
+    "clicks_between": """
+SELECT * FROM clean_clicks WHERE timestamp >= (SELECT date_trunc('day', min(timestamp)) + INTERVAL 10 DAY FROM clean_clicks)
+ AND timestamp < (SELECT date_trunc('day', min(timestamp)) + INTERVAL 17 DAY FROM clean_clicks)""",
     "clicks_for": "SELECT * FROM clean_clicks WHERE shorturl IN (SELECT shorturl FROM click_requests)",
     "analytics_outcome": """
 SELECT request_id, shorturl, CASE WHEN shorturl = '' THEN 400 WHEN shorturl IN (SELECT shorturl FROM clicks) THEN 200 WHEN shorturl IN (SELECT shorturl FROM shorturls) THEN 201 ELSE 404 END AS status

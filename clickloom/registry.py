@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from clickloom import schemas
 from clickloom.fixtures import VIEWS, base_table, direct_views, reads, run, view
 from clickloom.functions import rules
 from clickloom.operators import accounts, chat, clicks, links, payloads, traffic
 from clickloom.sources import tables, text
+from clickloom.sources.snapshots import Snapshot
 from clickloom.storage import new_folder, stage, staged
 from clickloom.streaming import chat as live_chat
 from clickloom.streaming import clicks as live_clicks
@@ -34,6 +37,8 @@ FILES_PER_BATCH = 4
 LATE_SECONDS = 86_400
 DELAY = "1 day"
 FAR_TIME = "2262-01-01 00:00:00"
+# Ids of a range of the live clicks; the given tables have too few for the usual width.
+CLICK_RANGE = 10_000
 # The longest time a chat connection stays open.
 LONGEST = "1 DAY"
 
@@ -59,6 +64,13 @@ class _Views:
     def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         return stage(self.spark, self.sf_dir, name, build)
 
+    def stored_by_day(self, name: str) -> tuple[str, StructType]:
+        """Folder and layout of a view kept in one folder per day."""
+        rows = getattr(self, name)
+        folder = new_folder(self.spark, f"{name}-by-day")
+        tables.write_clicks(rows, folder, replace=True)
+        return folder, rows.schema
+
     def stream(self, name: str) -> DataFrame:
         """The files of a stored view as a stream."""
         build = (
@@ -394,6 +406,15 @@ def clicks_for(v):
     return clicks.clicks_for(v.clicks, v.click_requests)
 
 
+@query
+def clicks_between(v):
+    """The clicks of a week, ten days after the first one, from the table kept by day."""
+    folder, schema = v.stored_by_day("clicks")
+    start = v.clicks.agg(F.date_trunc("day", F.min("timestamp")) + F.expr("INTERVAL 10 DAYS")).first()[0]
+    start = start or datetime(1970, 1, 1)
+    return tables.read_days(v.spark, folder, schema, start, start + timedelta(days=7))
+
+
 @query
 def analytics_outcome(v):
     requests = v.sql(
@@ -662,13 +683,15 @@ def stream_rate_limit_anchored(v):
 
 @query
 def stream_unlocks(v):
-    outcomes = v.run_stream(
+    kept = Snapshot(v.spark, new_folder(v.spark, "click-snapshot"), v.clicks.schema, CLICK_RANGE)
+    kept.write(v.clicks, 0)
+    v.run_stream(
         "unlock-stream",
-        lambda out, state: live_clicks.stream_unlocks(
-            v.stream("unlock_attempts"), lambda: v.shorturls, lambda: v.clicks, out, state
+        lambda out, state: live_clicks.stream_unlocks_into(
+            v.stream("unlock_attempts"), lambda: v.shorturls, kept, out, state
         ),
     )
-    return live_clicks.current_clicks(v.clicks, outcomes)
+    return kept.read()
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -45,7 +47,27 @@ def append_rows(current: DataFrame, new: DataFrame, order: str) -> DataFrame:
     return current.unionByName(added)
 
 
-def write_clicks(clicks: DataFrame, path: str) -> None:
-    """Append clicks, one folder per day, so that reports over a time range read only it."""
-    dated = clicks.withColumn("date", F.to_date("timestamp"))
-    dated.write.mode("append").partitionBy("date").parquet(path)
+def write_clicks(clicks: DataFrame, path: str, replace: bool = False) -> None:
+    """Store clicks, one folder per day, so that reports over a time range read only it.
+
+    They are added to what is there; with `replace` they take the place of what is
+    there of their days, and other days stay, so a load that runs again doubles nothing.
+    Clicks without a time go to a folder of their own.
+    """
+    writer = clicks.withColumn("date", F.to_date("timestamp")).write.partitionBy("date")
+    if replace:
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    else:
+        writer.mode("append").parquet(path)
+
+
+def read_days(
+    spark: SparkSession, path: str, schema: StructType, start: datetime, end: datetime
+) -> DataFrame:
+    """Stored clicks with `start <= timestamp < end`; folders of other days are not read."""
+    stored = spark.read.schema(StructType([*schema.fields]).add("date", "date")).parquet(path)
+    return stored.filter(
+        F.col("date").between(F.lit(start.date()), F.lit(end.date()))
+        & (F.col("timestamp") >= F.lit(start).cast("timestamp_ntz"))
+        & (F.col("timestamp") < F.lit(end).cast("timestamp_ntz"))
+    ).drop("date")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from clickloom.operators.clicks import apply_unlocks, build_clicks, unlock_outcomes
-from clickloom.streaming.runner import Lookup, now, per_batch
+from clickloom.sources.snapshots import Snapshot
+from clickloom.streaming.runner import Lookup, batch_folder, now, per_batch
 
 
 def stream_clicks(
@@ -55,3 +56,29 @@ def stream_unlocks(
 def current_clicks(clicks: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Clicks with the status after all unlocks logged so far."""
     return apply_unlocks(clicks, outcomes)
+
+
+def stream_unlocks_into(
+    attempts: DataFrame, links: Lookup, clicks: Snapshot, out: str, checkpoint: str, **options
+) -> StreamingQuery:
+    """Append the outcome of each unlock attempt and keep the clicks themselves up to date.
+
+    `clicks` has a version 0. A micro-batch reads the id ranges of the clicks it tries
+    and rewrites those with a click it opens, as a version of its own; a batch that is run
+    again starts from the version before it. `stream_unlocks` is the cheaper form where
+    the clicks tried lie all over the table.
+    """
+
+    def judge(rows: DataFrame, batch_id: int) -> DataFrame:
+        version = batch_id + 1
+        folder = batch_folder(f"{checkpoint}/judged", batch_id)
+        tried = clicks.read(rows.select("click_id"), before=version)
+        judged = unlock_outcomes(rows, now(links), tried)
+        # Judged once: the log and the clicks follow from the same rows.
+        judged.write.mode("overwrite").parquet(folder)
+        outcomes = rows.sparkSession.read.schema(judged.schema).parquet(folder)
+        opened = outcomes.filter("status = 200").select("click_id")
+        clicks.write(apply_unlocks(clicks.read(opened, before=version), outcomes), version)
+        return outcomes
+
+    return per_batch(attempts, out, checkpoint, "append", judge, **options)
