@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clickloom.functions.rules import js_trim, micros
 from clickloom.plans.chains import SLICES, greedy_intervals
 from clickloom.plans.skew import lookup_join
-from clickloom.plans.timeline import count_open, open_counts, stab
+from clickloom.plans.timeline import count_open, in_pages, open_counts, stab
 
 # Texts sent to the connection.
 BAD_USERNAME_FRAME = "Invalid username format."
@@ -19,6 +19,11 @@ EMPTY_USERNAME = "Username cannot be empty."
 TAKEN_USERNAME = "Username is already taken. Please choose another."
 BAD_FRAME = "Invalid message format."
 
+# After every event.
+END_OF_TIME = "9999-01-01 00:00:00"
+
+# Changes of one page of the presence log.
+PAGE_ROWS = 100_000
 
 # How a JSON text can begin.
 JSON_START = r"\A[ \t\r\n]*(?:[\[{\"\-0-9]|true|false|null)"
@@ -229,6 +234,80 @@ def presence(admissions: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     return user_lists(presence_changes(admissions), seen_holders(admissions), bucket_seconds)
 
 
+def presence_log(admissions: DataFrame, size: int = PAGE_ROWS) -> DataFrame:
+    """What happened to the user list: (page, ts, kind, conn_id, username, since).
+
+    A page starts with one row of kind `online` for each name held before its first
+    instant, then come its joins and closes, about `size` in all. So the log grows
+    with the changes as long as `size` is not much below the number of people online,
+    and any list follows from one page (`lists_of_log`). `since` is when the name was taken;
+    closes of connections that held none have no name.
+    """
+    named = admissions.filter("admitted").select(
+        "conn_id", "username", F.col("open_ts").alias("since")
+    )
+    changes = in_pages(presence_changes(admissions), "ts", size)
+    told = lookup_join(changes, named, ["conn_id"])
+    starts = changes.groupBy("page").agg(F.min("ts").alias("start"))
+    # Held just before an instant: opened before it, and not closed before it.
+    tick = F.expr("INTERVAL 1 MICROSECOND")
+    held = _holders(admissions).filter("open_ts < close_ts").select(
+        "user_conn",
+        "username",
+        F.col("open_ts").alias("since"),
+        (F.col("open_ts") + tick).alias("held_from"),
+        (F.col("close_ts") + tick).alias("held_to"),
+    )
+    frames = stab(starts, held, "start", "held_from", "held_to").select(
+        "page",
+        F.col("start").alias("ts"),
+        F.lit("online").alias("kind"),
+        F.col("user_conn").alias("conn_id"),
+        "username",
+        "since",
+    )
+    return told.select("page", "ts", "kind", "conn_id", "username", "since").unionByName(frames)
+
+
+def lists_of_log(log: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """User list and its size after each change in the log, or after those `wanted`
+    (page, ts, conn_id, kind).
+
+    A list needs the rows of its page only, whose number is bounded, so pages are spread
+    evenly whatever share of the changes a name or a day has.
+    """
+    if wanted is None:
+        wanted = log.filter("kind <> 'online'").select("page", "ts", "conn_id", "kind")
+    # One row per name of a page: from its join, or the page's start, to its close.
+    spans = (
+        log.filter(F.col("username").isNotNull())
+        .groupBy("page", "conn_id")
+        .agg(
+            F.max(F.when(F.col("kind") == "join", F.col("ts"))).alias("joined"),
+            F.max(F.when(F.col("kind") == "close", F.col("ts"))).alias("closed"),
+            F.first("username").alias("username"),
+            F.first("since").alias("since"),
+        )
+        .withColumnRenamed("conn_id", "user_conn")
+    )
+    there = F.expr(
+        "c.page = s.page AND (s.joined IS NULL OR s.joined <= c.ts)"
+        " AND (s.closed IS NULL OR c.ts < s.closed)"
+    )
+    pairs = wanted.alias("c").join(spans.alias("s"), there, "left")
+    member = F.when(F.col("s.username").isNotNull(), F.struct("s.since", "s.user_conn", "s.username"))
+    lists = pairs.groupBy("c.page", "c.ts", "c.conn_id", "c.kind").agg(
+        F.sort_array(F.collect_list(member)).alias("_members")
+    )
+    return lists.select(
+        "ts",
+        "conn_id",
+        "kind",
+        F.transform("_members", lambda m: m["username"]).alias("users"),
+        F.size("_members").alias("online"),
+    )
+
+
 def online_counts(admissions: DataFrame) -> DataFrame:
     """Number of users online from each instant at which it may change."""
     counts = open_counts(_holders(admissions), "open_ts", "close_ts")
@@ -323,3 +402,29 @@ def delivery_counts(frames: DataFrame, admissions: DataFrame) -> DataFrame:
     return count_open(
         sent, "ts", open_connections(admissions), "open_ts", "close_ts", "recipients", times=frames
     ).select("frame_id", "recipients")
+
+
+def fan_out_versions(frames: DataFrame, admissions: DataFrame) -> DataFrame:
+    """Who gets which message, in as many rows as there are messages and changes.
+
+    (kind, id, version): each instant at which the recipients change begins the next
+    version. A message names the version it is sent to; a connection gets the messages
+    from the version of its `open` on and before that of its `close`. Version 0 has
+    no recipients.
+    """
+    real = open_connections(admissions).filter("open_ts < close_ts")
+    steps = F.array(
+        F.struct(F.lit("open").alias("kind"), F.col("open_ts").alias("ts")),
+        F.struct(F.lit("close").alias("kind"), F.col("close_ts").alias("ts")),
+    )
+    changes = real.select(F.col("recipient_conn").alias("id"), F.explode(steps).alias("_s")).select(
+        "_s.kind", "id", "_s.ts"
+    )
+    sent = sent_messages(frames, admissions).select(
+        F.lit("message").alias("kind"), F.col("frame_id").alias("id"), "ts"
+    )
+    # The version at a time is the number of instants up to it, as if each stayed open.
+    instants = changes.select(F.col("ts").alias("begun")).distinct()
+    instants = instants.withColumn("ended", F.lit(END_OF_TIME).cast("timestamp_ntz"))
+    placed = count_open(sent.unionByName(changes), "ts", instants, "begun", "ended", "version")
+    return placed.select("kind", "id", "version")

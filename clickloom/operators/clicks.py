@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions.rules import first_present, normalize_url, present, utc_second
 from clickloom.plans.skew import first_per_key, key_counts, lookup_join
+from clickloom.sources.buckets import Buckets
 
 
 def _targets(links: DataFrame) -> DataFrame:
@@ -76,19 +77,28 @@ def build_clicks(hits: DataFrame, links: DataFrame, geo: DataFrame, how: str = "
     )
 
 
-def clicks_for(clicks: DataFrame, codes: DataFrame) -> DataFrame:
-    """All click rows of the given codes."""
+def clicks_for(clicks: DataFrame | Buckets, codes: DataFrame) -> DataFrame:
+    """All click rows of the given codes; clicks stored in buckets of the code stay there."""
+    if isinstance(clicks, Buckets):
+        return clicks.with_keys(codes)
     wanted = codes.select("shorturl").distinct()
     return lookup_join(clicks, wanted, ["shorturl"], "left_semi")
 
 
-def analytics_outcome(requests: DataFrame, clicks: DataFrame, links: DataFrame) -> DataFrame:
+def analytics_outcome(
+    requests: DataFrame, clicks: DataFrame | Buckets, links: DataFrame
+) -> DataFrame:
     """Per request: 400 blank, 200 with clicks, 201 link without clicks, 404 neither.
 
-    Clicks are looked at first, so clicks whose link is gone still give 200.
+    Clicks are looked at first, so clicks whose link is gone still give 200. Of clicks
+    stored in buckets of the code only that column is read, and no row of it is moved.
     """
     asked = requests.select("shorturl").filter(present(F.col("shorturl"))).distinct()
-    clicked = clicks.select("shorturl").distinct().withColumn("_clicked", F.lit(True))
+    if isinstance(clicks, Buckets):
+        codes = clicks.keys_in_use(asked)
+    else:
+        codes = clicks.select("shorturl").distinct()
+    clicked = codes.withColumn("_clicked", F.lit(True))
     linked = links.select("shorturl").distinct().withColumn("_linked", F.lit(True))
     per_code = (
         asked.join(clicked, "shorturl", "left")

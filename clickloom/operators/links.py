@@ -14,6 +14,7 @@ from clickloom.functions.rules import (
 )
 from clickloom.plans.numbering import sequence_number
 from clickloom.plans.skew import first_per_key, lookup_join
+from clickloom.sources.buckets import Buckets
 
 
 def resolve_owner(requests: DataFrame, users: DataFrame) -> DataFrame:
@@ -132,13 +133,13 @@ def add_links(
 
 
 def remove_links(
-    requests: DataFrame, links: DataFrame, clicks: DataFrame
+    requests: DataFrame, links: DataFrame, clicks: DataFrame | Buckets
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Outcome of each removal, and the links and clicks that stay.
 
     The owner of a code removes every link and click row with that code. Within
     a batch the lowest permitted `request_id` does it; a later request for the
-    code finds nothing any more.
+    code finds nothing any more. Clicks stored in buckets of the code are not moved.
     """
     blank = F.when(~present(F.coalesce("shorturl", F.lit(""))), F.lit("code missing")).when(
         ~present(F.coalesce("token", F.lit(""))), F.lit("token missing")
@@ -167,7 +168,9 @@ def remove_links(
     return (
         outcomes,
         lookup_join(links, removed, ["shorturl"], "left_anti"),
-        lookup_join(clicks, removed, ["shorturl"], "left_anti"),
+        clicks.without_keys(removed)
+        if isinstance(clicks, Buckets)
+        else lookup_join(clicks, removed, ["shorturl"], "left_anti"),
     )
 
 

@@ -66,6 +66,12 @@ WITH RECURSIVE o AS (SELECT request_id, ip, ts, row_number() OVER (PARTITION BY
 f AS (SELECT request_id, ip, rn, ts AS opened, 1 AS n FROM o WHERE rn = 1
  UNION ALL SELECT o.request_id, o.ip, o.rn, CASE WHEN o.ts >= f.opened + INTERVAL '1' DAY THEN o.ts ELSE f.opened END, CASE WHEN o.ts >= f.opened + INTERVAL '1' DAY THEN 1 ELSE f.n + 1 END FROM f JOIN o ON o.ip = f.ip AND o.rn = f.rn + 1)
 SELECT request_id, ip, n > 2 AS limited FROM f""",
+    "paged_changes": "SELECT *, CAST(floor((rank() OVER (ORDER BY ts) - 1) / 500) AS BIGINT) AS page FROM chat_changes",
+    "page_starts": "SELECT page, min(ts) AS start FROM paged_changes GROUP BY page",
+    "recipient_changes": """
+SELECT 'open' AS kind, conn_id AS id, open_ts AS ts FROM chat_recipients WHERE open_ts < close_ts
+ UNION ALL SELECT 'close' AS kind, conn_id AS id, close_ts AS ts FROM chat_recipients WHERE open_ts < close_ts""",
+    "recipient_versions": "SELECT ts, row_number() OVER (ORDER BY ts) AS version FROM (SELECT DISTINCT ts FROM recipient_changes)",
     "clean_clicks": "SELECT * REPLACE (CAST(timestamp AS TIMESTAMP) AS timestamp) FROM clicks",
 }
 
@@ -163,6 +169,12 @@ SELECT probe_id, CASE WHEN COALESCE(url_param,'') = '' THEN 400 WHEN regexp_matc
 SELECT t.ts, count(h.conn_id) AS online FROM (SELECT open_ts AS ts FROM chat_holders WHERE open_ts < close_ts UNION SELECT close_ts AS ts FROM chat_holders WHERE open_ts < close_ts) t
  LEFT JOIN chat_holders h ON h.open_ts <= t.ts AND t.ts < h.close_ts GROUP BY t.ts""",
     "check_frame": "SELECT frame_id, status, CASE status WHEN 'accepted' THEN message WHEN 'error' THEN 'Invalid message format.' END AS message FROM chat_checked_frames",
+    "presence_log": """
+SELECT c.page, c.ts, c.kind, c.conn_id, h.username, h.open_ts AS since FROM paged_changes c LEFT JOIN chat_holders h ON h.conn_id = c.conn_id
+ UNION ALL SELECT p.page, p.start AS ts, 'online' AS kind, h.conn_id, h.username, h.open_ts AS since FROM page_starts p JOIN chat_holders h ON h.open_ts < p.start AND p.start <= h.close_ts""",
+    "fan_out_versions": """
+SELECT 'message' AS kind, s.frame_id AS id, COALESCE(n.version, 0) AS version FROM chat_sent s ASOF LEFT JOIN recipient_versions n ON s.ts >= n.ts
+ UNION ALL SELECT c.kind, c.id, n.version FROM recipient_changes c JOIN recipient_versions n ON n.ts = c.ts""",
     "fan_out": "SELECT s.frame_id, h.conn_id AS recipient_conn FROM chat_sent s JOIN chat_recipients h ON h.open_ts <= s.ts AND s.ts < h.close_ts",
     "delivery_counts": "SELECT s.frame_id, count(*) AS recipients FROM chat_sent s JOIN chat_recipients h ON h.open_ts <= s.ts AND s.ts < h.close_ts GROUP BY s.frame_id",
     "normalize_url": f"SELECT id, {_URL.format(c='redirecturl')} AS url FROM shorturls",
@@ -209,6 +221,7 @@ CHECKS |= {
     "stream_rate_limit_anchored": CHECKS["rate_limit_anchored"],
     "stream_unlocks": CHECKS["apply_unlocks"],
     "stream_admissions": CHECKS["admit"],
+    "presence_from_log": CHECKS["presence"],
     "stream_presence": CHECKS["presence"],
     "stream_fan_out": CHECKS["fan_out"],
     "stream_delivery_counts": CHECKS["delivery_counts"],

@@ -15,8 +15,9 @@ from clickloom.fixtures import VIEWS, base_table, direct_views, reads, run, view
 from clickloom.functions import rules
 from clickloom.operators import accounts, chat, clicks, links, payloads, traffic
 from clickloom.sources import tables, text
+from clickloom.sources.buckets import Buckets
 from clickloom.sources.snapshots import Snapshot
-from clickloom.storage import new_folder, stage, staged
+from clickloom.storage import new_folder, stage, staged, work_folder
 from clickloom.streaming import chat as live_chat
 from clickloom.streaming import clicks as live_clicks
 from clickloom.streaming import runner
@@ -37,6 +38,10 @@ FILES_PER_BATCH = 4
 LATE_SECONDS = 86_400
 DELAY = "1 day"
 FAR_TIME = "2262-01-01 00:00:00"
+# Changes of a page of the presence log; the given tables have too few for the usual size.
+PRESENCE_PAGE = 500
+# Buckets of the clicks stored by code.
+CLICK_BUCKETS = 16
 # Ids of a range of the live clicks; the given tables have too few for the usual width.
 CLICK_RANGE = 10_000
 # The longest time a chat connection stays open.
@@ -44,6 +49,7 @@ LONGEST = "1 DAY"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+_BUCKETED: dict[tuple[str, str], str] = {}
 
 
 class _Views:
@@ -159,6 +165,20 @@ class _Views:
         used = {name: getattr(self, name) for name in VIEWS if reads(query, name)}
         return run(self.spark, self.sf_dir, query, tables=used)
 
+    @property
+    def bucketed_clicks(self) -> DataFrame | Buckets:
+        """Clicks in buckets of the code, stored once per session; without a work folder
+        the clicks as they are."""
+        if work_folder(self.spark) is None:
+            return self.clicks
+        slot = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if slot not in _BUCKETED:
+            folder = new_folder(self.spark, "clicks-by-code")
+            name = f"clicks_{folder[-32:]}"
+            Buckets(self.spark, name, "shorturl").write(self.clicks, folder, CLICK_BUCKETS)
+            _BUCKETED[slot] = name
+        return Buckets(self.spark, _BUCKETED[slot], "shorturl")
+
     @property
     def words(self) -> DataFrame:
         return text.clean_words(self.filter_lines)
@@ -321,7 +341,7 @@ def links_after_removal(v):
 
 @query
 def clicks_after_removal(v):
-    return v.removed()[2]
+    return links.remove_links(v.remove_requests, v.shorturls, v.bucketed_clicks)[2]
 
 
 @query
@@ -403,7 +423,7 @@ def build_located_clicks(v):
 
 @query
 def clicks_for(v):
-    return clicks.clicks_for(v.clicks, v.click_requests)
+    return clicks.clicks_for(v.bucketed_clicks, v.click_requests)
 
 
 @query
@@ -421,7 +441,7 @@ def analytics_outcome(v):
         "SELECT id AS request_id, CASE WHEN id % 50 = 7 THEN '' ELSE shorturl END AS shorturl"
         " FROM link_hits UNION ALL SELECT -id - 1 AS request_id, shorturl FROM shorturls"
     )
-    return clicks.analytics_outcome(requests, v.clicks, v.shorturls)
+    return clicks.analytics_outcome(requests, v.bucketed_clicks, v.shorturls)
 
 
 @query
@@ -539,6 +559,18 @@ def online_counts(v):
     return chat.online_counts(v.admissions)
 
 
+@query
+def presence_log(v):
+    return chat.presence_log(v.admissions, PRESENCE_PAGE)
+
+
+@query
+def presence_from_log(v):
+    """The lists of `presence`, each from one page of the log."""
+    log = v.stored("presence-log", lambda: chat.presence_log(v.admissions, PRESENCE_PAGE))
+    return chat.lists_of_log(log).withColumn("users", F.array_join("users", ","))
+
+
 @query
 def check_frame(v):
     return chat.check_frame(v.chat_frames).select("frame_id", "status", "message")
@@ -549,6 +581,11 @@ def fan_out(v):
     return chat.fan_out(v.chat_frames, v.admissions)
 
 
+@query
+def fan_out_versions(v):
+    return chat.fan_out_versions(v.chat_frames, v.admissions)
+
+
 @query
 def delivery_counts(v):
     return chat.delivery_counts(v.chat_frames, v.admissions)
@@ -754,7 +791,7 @@ def stream_first_code(v):
 
 
 def stored_views(spark: SparkSession, sf_dir: str, names: list[str]) -> None:
-    """Store fixture views ahead of the queries that read them."""
+    """Store fixture views, and the clicks by code, ahead of the queries that read them."""
     views = _Views(spark, sf_dir)
-    for name in names:
+    for name in [*names, "bucketed_clicks"]:
         getattr(views, name)

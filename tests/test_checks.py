@@ -32,6 +32,9 @@ SPREAD = [
     "presence",
     "fan_out",
     "delivery_counts",
+    "presence_log",
+    "presence_from_log",
+    "fan_out_versions",
 ]
 
 
