@@ -147,15 +147,16 @@ def with_admission(checked: DataFrame, chosen: DataFrame) -> DataFrame:
     )
 
 
-def admit(conns: DataFrame, slices: int = SLICES) -> DataFrame:
+def admit(conns: DataFrame, slices: int = SLICES, checked: DataFrame | None = None) -> DataFrame:
     """Add `username`, `admitted` and `error`.
 
     A name is refused while another admitted connection holds it. Connections
     are taken in order of (`open_ts`, `conn_id`); a holder frees its name at
     `close_ts`; a refused connection never holds one, nor does one without a name,
-    which is not admitted and has no error.
+    which is not admitted and has no error. The first frames are read several times;
+    `checked` may give what `check_join` makes of the connections, stored beforehand.
     """
-    checked = check_join(conns)
+    checked = check_join(conns) if checked is None else checked
     named = checked.filter(F.col("username").isNotNull()).select(
         "conn_id",
         "username",
@@ -368,16 +369,25 @@ def check_frame(frames: DataFrame) -> DataFrame:
 
 
 def sent_messages(frames: DataFrame, admissions: DataFrame) -> DataFrame:
-    """Accepted frames sent by an admitted connection while it is open."""
-    senders = admissions.filter("admitted").select("conn_id", "username", "open_ts", "close_ts")
-    accepted = check_frame(frames).filter("status = 'accepted'")
-    return lookup_join(
-        accepted.select("frame_id", "conn_id", "ts", "message", "frame"),
+    """Accepted frames sent by an admitted connection while it is open.
+
+    Frames meet the connections first, so that only those of an open one are parsed.
+    """
+    senders = admissions.filter("admitted").select(
+        "conn_id", "username", "open_ts", "close_ts", F.col("admitted").alias("_open")
+    )
+    sent = lookup_join(
+        frames.select("frame_id", "conn_id", "ts", "frame"),
         senders,
         ["conn_id"],
         "inner",
         where="d.open_ts <= f.ts AND f.ts < d.close_ts",
-    ).select("frame_id", "conn_id", "ts", "username", "message", "frame")
+    )
+    # Both sides have a part in what is judged, else Spark would judge below the join.
+    judged = sent.select("*", frame_rules(F.when(F.col("_open"), F.col("frame"))).alias("_f"))
+    return judged.filter("_f.status = 'accepted'").select(
+        "frame_id", "conn_id", "ts", "username", "_f.message", "frame"
+    )
 
 
 def fan_out(
@@ -426,5 +436,8 @@ def fan_out_versions(frames: DataFrame, admissions: DataFrame) -> DataFrame:
     # The version at a time is the number of instants up to it, as if each stayed open.
     instants = changes.select(F.col("ts").alias("begun")).distinct()
     instants = instants.withColumn("ended", F.lit(END_OF_TIME).cast("timestamp_ntz"))
-    placed = count_open(sent.unionByName(changes), "ts", instants, "begun", "ended", "version")
+    times = frames.select("ts").unionByName(changes.select("ts"))
+    placed = count_open(
+        sent.unionByName(changes), "ts", instants, "begun", "ended", "version", times=times
+    )
     return placed.select("kind", "id", "version")

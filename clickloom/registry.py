@@ -47,6 +47,9 @@ CLICK_RANGE = 10_000
 # The longest time a chat connection stays open.
 LONGEST = "1 DAY"
 
+# Views whose rows cost much to judge are stored in a file per core.
+SPREAD = ["chat_conns", "chat_frames", "http_requests"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 _BUCKETED: dict[tuple[str, str], str] = {}
@@ -61,7 +64,11 @@ class _Views:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             raise AttributeError(name)
-        return self.stored(name, lambda: view(self.spark, self.sf_dir, name, self._inputs(name)))
+        return self.stored(name, lambda: self._built(name))
+
+    def _built(self, name: str) -> DataFrame:
+        built = view(self.spark, self.sf_dir, name, self._inputs(name))
+        return self.spread(built) if name in SPREAD else built
 
     def _inputs(self, name: str) -> dict[str, DataFrame]:
         """The stored fixture views that a view reads directly."""
@@ -70,6 +77,10 @@ class _Views:
     def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         return stage(self.spark, self.sf_dir, name, build)
 
+    def spread(self, rows: DataFrame) -> DataFrame:
+        """Rows in a part per core: what is read of a few large row groups would be as few tasks."""
+        return rows.repartition(self.spark.sparkContext.defaultParallelism)
+
     def stored_by_day(self, name: str) -> tuple[str, StructType]:
         """Folder and layout of a view kept in one folder per day."""
         rows = getattr(self, name)
@@ -80,9 +91,9 @@ class _Views:
     def stream(self, name: str) -> DataFrame:
         """The files of a stored view as a stream."""
         build = (
-            (lambda: chat.admit(self.chat_conns))
+            self._admitted
             if name == "admissions"
-            else (lambda: view(self.spark, self.sf_dir, name, self._inputs(name)))
+            else (lambda: self._built(name))
         )
         path, schema = staged(self.spark, self.sf_dir, name, build)
         return runner.read_stream(self.spark, path, schema, FILES_PER_BATCH)
@@ -115,16 +126,18 @@ class _Views:
         arrival = rules.micros(F.col("ts")) + late
         first, last = rows.agg(F.min(arrival), F.max(arrival)).first()
         folder = new_folder(self.spark, slot)
+        # A micro-batch is read by as many tasks as it has files.
+        files = max(FILES_PER_BATCH, self.spark.sparkContext.defaultParallelism)
         if first is not None:
             place = F.floor((arrival - F.lit(first)) / F.lit((last - first) // MICRO_BATCHES + 1))
             for k in range(MICRO_BATCHES):
-                part = rows.filter(place == k).repartition(FILES_PER_BATCH)
+                part = rows.filter(place == k).repartition(files)
                 part.write.mode("append").parquet(folder)
         values = {"ts": f"timestamp_ntz'{FAR_TIME}'"} | (tick or {})
         kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
         far = [f"CAST({values.get(n, 'NULL')} AS {kind}) AS {n}" for n, kind in kinds.items()]
         self.spark.range(1).selectExpr(*far).write.mode("append").parquet(folder)
-        return runner.read_stream(self.spark, folder, rows.schema, FILES_PER_BATCH)
+        return runner.read_stream(self.spark, folder, rows.schema, files)
 
     def connection_log(self) -> DataFrame:
         """What the live connections wrote."""
@@ -185,7 +198,11 @@ class _Views:
 
     @property
     def admissions(self) -> DataFrame:
-        return self.stored("admissions", lambda: chat.admit(self.chat_conns))
+        return self.stored("admissions", self._admitted)
+
+    def _admitted(self) -> DataFrame:
+        checked = self.stored("checked_conns", lambda: chat.check_join(self.chat_conns))
+        return chat.admit(self.chat_conns, checked=checked)
 
     def added(self) -> tuple[DataFrame, DataFrame]:
         return links.add_links(

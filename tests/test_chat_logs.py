@@ -52,3 +52,27 @@ def test_recipients_from_versions(spark):
     expected = {tuple(r) for r in chat.fan_out(v.chat_frames, v.admissions).collect()}
     assert pairs == expected and expected
     assert len(found) == len(messages) + 2 * len(spans)
+
+
+def test_frames_meet_connections_before_they_are_parsed(spark):
+    v = registry._Views(spark, SF_DIR)
+    sent = chat.sent_messages(v.chat_frames, v.admissions)
+    plan = sent._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join Inner") :].split("\n", 1)[1]
+    assert "RLIKE" in plan.upper() and "RLIKE" not in below.upper()
+    admitted = {r.conn_id: r for r in v.admissions.filter("admitted").collect()}
+    frames = chat.check_frame(v.chat_frames).filter("status = 'accepted'").collect()
+    expected = {
+        (f.frame_id, f.message)
+        for f in frames
+        if (c := admitted.get(f.conn_id)) and c.open_ts <= f.ts < c.close_ts
+    }
+    assert {(r.frame_id, r.message) for r in sent.collect()} == expected and expected
+
+
+def test_first_frames_are_checked_once(spark):
+    v = registry._Views(spark, SF_DIR)
+    given = v.stored("checked_conns", lambda: chat.check_join(v.chat_conns))
+    found = chat.admit(v.chat_conns, checked=given)
+    assert "rlike" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, chat.admit(v.chat_conns).collect()))
