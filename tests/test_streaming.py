@@ -129,6 +129,28 @@ def test_anchored_rate_limit_in_any_order(spark, views, in_parts, run):
     assert rows(written, *columns) == rows(batch, *columns)
 
 
+def test_waiting_events_are_few_rows_of_state(spark, in_parts, tmp_path):
+    """Many keys with several hits each wait in a few rows per group; a hit without a key counts too."""
+    hits = spark.range(12_000).selectExpr(
+        "id AS request_id",
+        "IF(id % 3000 = 7, NULL, CONCAT('k', id % 3000)) AS ip",
+        "CAST(timestamp_seconds(1600000000 + id div 3000) AS timestamp_ntz) AS ts",
+    )
+    far = spark.sql("SELECT CAST(NULL AS BIGINT), 'k1', timestamp_ntz'2200-01-01 00:00:00'")
+    requests = in_parts(hits.union(far), "ts", parts=3)
+    with runner.state_partitions(spark, 2):
+        query = live_traffic.stream_rate_limit_anchored(
+            requests, str(tmp_path / "out"), str(tmp_path / "c"), delay="1 day", window_seconds=60, max_hits=3
+        )
+        runner.finish(query)
+    state = [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+    assert 0 < max(state) < 3000
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert written.count() == 12_000 and written.filter("limited").count() == 3000
+    assert written.filter("limited AND request_id < 9000").count() == 0
+    assert written.filter("ip IS NULL").count() == 4
+
+
 def test_unlocks(views, in_parts, run, skewed):
     attempts = in_parts(views.unlock_attempts, "click_id")
     written = run(
@@ -219,3 +241,14 @@ def test_a_batch_that_runs_again_replaces_its_rows(spark, in_parts, tmp_path):
     runner.finish(query)
     assert len(written) == 2
     assert spark.read.parquet(out).count() == 30
+
+
+def test_costly_rows_are_read_in_parallel(spark, tmp_path, monkeypatch):
+    """What is parsed row by row is stored in a file per core, and live batches are too."""
+    v = registry._Views(spark, "/root/testdata/sf0.01")
+    cores = spark.sparkContext.defaultParallelism
+    assert len(v.chat_conns.inputFiles()) >= cores and len(v.chat_frames.inputFiles()) >= cores
+    monkeypatch.setattr(registry, "new_folder", lambda _, name: str(tmp_path / name))
+    v.stream_out_of_order("chat_frames", lambda: v.chat_frames, ["frame_id"])
+    files = spark.read.parquet(str(tmp_path / "chat_frames-arriving")).inputFiles()
+    assert len(files) > registry.MICRO_BATCHES * cores
