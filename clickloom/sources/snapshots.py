@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,21 @@ from pyspark.sql.types import StructType
 from clickloom.plans.numbering import ID_RANGE
 
 
+LISTERS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def few_listers(spark: SparkSession) -> Iterator[None]:
+    """Have many folders listed by a task per core. By default each is a task of its own,
+    whose report to the driver is much larger than what it has found."""
+    before = spark.conf.get(LISTERS)
+    spark.conf.set(LISTERS, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(LISTERS, before)
+
+
 @dataclass(frozen=True)
 class Snapshot:
     """A table with a unique integer `id`, kept under `folder` in ranges of `width` ids.
@@ -39,7 +56,8 @@ class Snapshot:
         placed = rows.filter("id IS NOT NULL").withColumn("range", self.range_of(F.col("id")))
         placed.repartition("range").write.mode("overwrite").partitionBy("range").parquet(data)
         layout = StructType([*self.schema.fields]).add("range", "long")
-        written = self.spark.read.schema(layout).parquet(data).select("range").distinct()
+        with few_listers(self.spark):
+            written = self.spark.read.schema(layout).parquet(data).select("range").distinct()
         named = written.withColumn("version", F.lit(version).cast("long"))
         named.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/of={version}")
 
@@ -68,4 +86,5 @@ class Snapshot:
         ]
         if not folders:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*sorted(folders))
+        with few_listers(self.spark):
+            return self.spark.read.schema(self.schema).parquet(*sorted(folders))

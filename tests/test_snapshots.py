@@ -104,3 +104,23 @@ def test_a_time_range_reads_its_days_only(spark):
     days = {f.split("date=")[1].split("/")[0] for f in between.inputFiles()}
     assert between.count() > 0
     assert days and len(days) >= 7
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    """Not by one for each folder, as each task reports to the driver."""
+    schema = spark.createDataFrame([], SCHEMA).schema
+    kept = Snapshot(spark, str(tmp_path / "many"), schema, width=1)
+    kept.write(spark.range(90).selectExpr("id", "CAST(id AS STRING) AS name"), 0)
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    sc = spark.sparkContext
+    sc.setJobGroup("listing", "")
+    try:
+        read = kept.read()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    tasks = [tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)]
+    assert tasks and max(tasks) <= sc.defaultParallelism
+    assert read.count() == 90
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
