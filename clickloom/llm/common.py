@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Iterable, Iterator, Sequence
@@ -25,6 +27,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
+    give_back()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -43,9 +46,22 @@ def worker_cache(name: str) -> dict:
     )
     if getattr(holder, "name", None) != name:
         holder.name, holder.kept = name, {}
+        give_back()
     return holder.kept
 
 
+def give_back() -> None:
+    """Let memory that is no longer used go back to the system.
+
+    A Python worker lives on after its task, beside the executor's own memory, as the
+    driver's Python does beside the driver's.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def column_batch(schema: pa.Schema, columns: Sequence[Iterable]) -> pa.RecordBatch:
     arrays = [
         c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type)
@@ -55,10 +71,15 @@ def column_batch(schema: pa.Schema, columns: Sequence[Iterable]) -> pa.RecordBat
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut to at most `rows` rows, so that memory follows the rows in work."""
+    """Arrow batches cut to at most `rows` rows, so that memory follows the rows in work.
+
+    After the last one, memory that is no longer used is given back.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    batch = None
+    give_back()
 
 
 def text_or_empty(c: str = "text") -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -165,9 +165,25 @@ def _verified(candidates: DataFrame) -> DataFrame:
     return inside.union(across).mapInArrow(compare, "a long, b long")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def _group_links(found: DataFrame, signed: DataFrame) -> DataFrame:
+    """Links a, b of keys that join all rows (by own) of each group (component_id)."""
+    keyed = found.select(F.col("doc_id").alias("own"), "component_id").join(
+        signed.select("own", "key"), "own"
+    )
+    keyed = keyed.select("component_id", "key").distinct()
+    least = keyed.groupBy("component_id").agg(F.min("key").alias("a"), F.max("key").alias("most"))
+    return (
+        keyed.join(least.where("a < most").select("component_id", "a"), "component_id")
+        .select("a", F.col("key").alias("b"))
+        .where("a < b")
+    )
+
+
+def keep_one(docs: DataFrame, method: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row of each group of near copies: of the smallest doc_id, then by a hash of the row.
 
+    `method` may give further groups: of rows (doc_id, text) it tells the component_id, as
+    `simhash.near_duplicates` does; doc_id is then a number for each different row.
     Texts link if the Jaccard similarity of their sets of WORDS-word shingles (case and
     white space folded) is LEAST or more, and groups are what links reach. Rows without a
     doc_id come last; different texts with one doc_id are told apart; of equal rows one
@@ -192,6 +208,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
         near.withColumnRenamed("node", "key"), "key"
     )
     links = _verified(marked.select("own", "text").join(members, "own").dropDuplicates(["key"]))
+    if method:
+        found = method(marked.select(F.col("own").alias("doc_id"), "text"))
+        links = links.union(_group_links(found, signed))
     roots = components(links).select(F.col("node").alias("key"), "root")
     kept = (
         classes.select("key", "first")

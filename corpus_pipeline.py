@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import copies, language, packing, pii
+from clickloom.llm import copies, language, packing, pii, simhash
 from clickloom.llm.common import stored, table
 from clickloom.llm.decontaminate import remove_leaks
 
@@ -32,10 +32,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id.
 
-    Of equal rows one stays; different texts with one doc_id are told apart; a text without
+    Texts link by SimHash, as in `op6_simhash`, or if their sets of shingles are alike, which
+    finds near copies with fingerprints far apart; a group is all that links reach. Of equal rows one stays; different texts with one doc_id are told apart; a text without
     words is a copy of others without; an empty table stays empty.
     """
-    return copies.keep_one(docs.select(*COLUMNS))
+    return copies.keep_one(docs.select(*COLUMNS), simhash.near_duplicates)
 
 
 def clean_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,3 +91,20 @@ def test_near_copies_keep_columns(spark):
     kept = corpus_pipeline.copies.keep_one(df)
     assert kept.columns == df.columns
     assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
+
+
+def test_near_copies_by_simhash(spark):
+    """Texts whose fingerprints are near, though few of their five-word shingles are shared, link."""
+    from clickloom.llm.copies import shingles
+    from clickloom.llm.simhash import fingerprint
+
+    words = [f"w{k % 7}" for k in range(400)]
+    other = [w if k % 30 else f"n{k}" for k, w in enumerate(words)]
+    a, b = " ".join(words), " ".join(other)
+    assert (fingerprint(a) ^ fingerprint(b)).bit_count() <= 3
+    x, y = set(shingles(a).tolist()), set(shingles(b).tolist())
+    assert len(x & y) < 0.8 * len(x | y)
+    rows = [(5, b, "en", "s", 1), (3, a, "en", "s", 1), (None, b, "en", "t", 1), (4, "quite another text", "en", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, df, SF_DIR)
+    assert sorted(tuple(r) for r in kept.collect()) == [rows[1], rows[3]]
