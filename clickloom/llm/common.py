@@ -70,17 +70,39 @@ def column_batch(schema: pa.Schema, columns: Sequence[Iterable]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+def small_batches(
+    batches: Iterator[pa.RecordBatch], rows: int, size: int | None = None
+) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to at most `rows` rows, so that memory follows the rows in work.
 
-    After the last one, memory that is no longer used is given back.
+    With `size`, also to at most so many bytes, or one row. After the last one, memory
+    that is no longer used is given back.
     """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            yield from _halved(batch.slice(at, rows), size)
     batch = None
     give_back()
 
 
+def _halved(batch: pa.RecordBatch, size: int | None) -> Iterator[pa.RecordBatch]:
+    if size is None or batch.num_rows < 2 or batch.nbytes <= size:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from _halved(batch.slice(0, half), size)
+    yield from _halved(batch.slice(half), size)
+
+
+def few_rows(spark: SparkSession, rows: Iterable[tuple], schema: pa.Schema) -> DataFrame:
+    """Rows made on the driver, given to Spark as Arrow.
+
+    Of a list Spark makes an RDD, read by a second kind of Python workers, which then live on
+    beside those of the operators.
+    """
+    columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
+    return spark.createDataFrame(pa.Table.from_batches([column_batch(schema, columns)], schema))
+
+
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -230,8 +230,18 @@ def _automata(benchmark: DataFrame, window: int) -> Iterator[SuffixAutomaton]:
     yield SuffixAutomaton(items, window)
 
 
-def _judged(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """docs, whose second column is the text, with n_words, spans and item_ids at the end."""
+def _judged(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int,
+    finish: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None,
+) -> DataFrame:
+    """docs, whose second column is the text, with n_words, spans and item_ids at the end.
+
+    `finish` may turn these rows back into rows of docs. All passes and it run in one
+    Python worker: nodes in a row would each take a worker of their own per core, and
+    workers live on into the stages that follow.
+    """
     if window < 1:
         raise ValueError("a window has at least one word")
     out = docs.select(
@@ -240,11 +250,16 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
         F.array().cast("array<struct<start:int,end:int,short:boolean>>").alias("spans"),
         F.array().cast("array<string>").alias("item_ids"),
     )
-    kinds = out.schema
-    for automaton in _automata(benchmark, window):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
-        out = out.mapInArrow(_pass(shared), kinds)
-    return out
+    context = docs.sparkSession.sparkContext
+    steps = [_pass(context.broadcast(automaton)) for automaton in _automata(benchmark, window)]
+    steps += [finish] if finish else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        yield from batches
+
+    return out.mapInArrow(run, docs.schema if finish else out.schema)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -332,7 +347,7 @@ def remove_leaks(
             made = pa.RecordBatch.from_arrays(columns, names=names)
             yield made if len(stay) == len(texts) else made.take(pa.array(stay, pa.int64()))
 
-    return _judged(plain, benchmark, window).mapInArrow(run, plain.schema)
+    return _judged(plain, benchmark, window, run)
 
 
 def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import column_batch, kept, small_batches, table, worker_cache
+from clickloom.llm.common import column_batch, few_rows, kept, small_batches, table, worker_cache
 
 UNDETERMINED = "und"
 HELD_OUT = 5
@@ -307,8 +307,10 @@ def train(docs: DataFrame, vocabulary_path: str, sample: int = SAMPLE_DOCUMENTS)
     languages = sorted(sizes)
     if not languages:
         return Model([], lattice, np.zeros((len(lattice.pieces) + 1, 0)))
-    share = spark.createDataFrame(
-        [(k, min(1.0, sample / n)) for k, n in sizes.items()], "lang string, share double"
+    share = few_rows(
+        spark,
+        [(k, min(1.0, sample / n)) for k, n in sizes.items()],
+        pa.schema([("lang", pa.string()), ("share", pa.float64())]),
     )
     draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) / 1_000_000
     chosen = usable.join(F.broadcast(share), "lang").where(draw < F.col("share"))

@@ -22,7 +22,8 @@ END_ID = 2
 CACHED_BYTES, WORD_BYTES = 200_000_000, 180
 #: Marks that may follow a word.
 MARKS = ".,;:!?%$#&*()\""
-ROWS_AT_ONCE = 500
+#: Rows, and bytes of them, whose words are learnt and kept at a time.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 100, 1_000_000
 #: Sequence ids are the task's number shifted by so many bits, plus a running number.
 TASK_SHIFT = 36
 
@@ -245,7 +246,7 @@ def pack_partition(
         rows = packer.rows()
         return column_batch(schema, list(zip(*rows, strict=True)) if rows else [[]] * len(kinds))
 
-    for batch in small_batches(iter(batches), ROWS_AT_ONCE):
+    for batch in small_batches(iter(batches), ROWS_AT_ONCE, BYTES_AT_ONCE):
         ids, texts, prompts = (batch.column(k).to_pylist() for k in range(3))
         for doc_id, found, prompt in zip(ids, encoder.encode(texts), prompts, strict=True):
             packer.add(doc_id, found + end, prompt)

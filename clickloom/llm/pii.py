@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import secrets
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import stored, table
+from clickloom.llm.common import few_rows, stored, table
 
 #: Rounds in which colliding surrogates are drawn anew.
 MAX_ROUNDS = 40
@@ -220,7 +221,11 @@ def registry(things: DataFrame, key: str) -> DataFrame:
     rounds it is an error: some kind has no room for that many surrogates.
     """
     spark = things.sparkSession
-    keys = spark.createDataFrame([(k, f"{key}/{k}") for k in _kinds()], "kind string, key string")
+    keys = few_rows(
+        spark,
+        [(k, f"{key}/{k}") for k in _kinds()],
+        pa.schema([("kind", pa.string()), ("key", pa.string())]),
+    )
     gender = F.col("gender") if "gender" in things.columns else F.lit(None).cast("string")
     real = stored(things.groupBy("kind", "norm").agg(F.min(gender).alias("gender")), "things")
     taken = real.select("kind", F.lower("norm").alias("surrogate"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import column_batch, small_batches, stored, table, text_or_empty
+from clickloom.llm.common import column_batch, few_rows, small_batches, stored, table, text_or_empty
 from clickloom.llm.components import components
 
 WORDS = 3
@@ -128,7 +128,9 @@ def _tiles(values: DataFrame, tile: int) -> DataFrame:
     marked = values.withColumn("part", part)
     counts = {r[0]: r[1] for r in marked.groupBy("part").count().collect()}
     many = {p: -(-n // tile) for p, n in counts.items()}
-    chunks = spark.createDataFrame(list(many.items()), "part int, chunks int")
+    chunks = few_rows(
+        spark, many.items(), pa.schema([("part", pa.int32()), ("chunks", pa.int32())])
+    )
     return (
         marked.join(F.broadcast(chunks), "part")
         .withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))

@@ -11,7 +11,7 @@ from clickloom.llm.decontaminate import remove_leaks
 
 #: A stage's Python workers live on into the next stages, so they keep little: scores of so
 #: many words in the first stage, and so many bytes of words' ids, twice, in the last.
-CACHED_WORDS, CACHED_BYTES = 60_000, 16_000_000
+CACHED_WORDS, CACHED_BYTES = 60_000, 4_000_000
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
