@@ -63,7 +63,7 @@ def stream_rate_limit_anchored(
     """
     judged = in_order(
         requests, F.col(key), micros(F.col(ts)), F.lit(0), F.col(order), delay,
-        WindowCounter(window_seconds * 1_000_000, max_hits), WindowCounter.DDL,
+        WindowCounter(window_seconds * 1_000_000, max_hits),
     ).withColumnsRenamed({"_id": order, "_key": key})
     return per_batch(judged, out, checkpoint, "append", **options)
 

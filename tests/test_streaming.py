@@ -1,7 +1,9 @@
 """Streams over several micro-batches give what the batch operator gives on all rows."""
 
+import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,3 +254,121 @@ def test_costly_rows_are_read_in_parallel(spark, tmp_path, monkeypatch):
     v.stream_out_of_order("chat_frames", lambda: v.chat_frames, ["frame_id"])
     files = spark.read.parquet(str(tmp_path / "chat_frames-arriving")).inputFiles()
     assert len(files) > registry.MICRO_BATCHES * cores
+
+
+def simple_holders(events):
+    """Joins, refusals and closes of one name, gone through event by event."""
+    out, kept, closes = [], None, {(at, i) for at, rank, i in events if not rank}
+    for at, rank, i in events:
+        if rank and kept:
+            out.append((i, "refused", at))
+        elif rank:
+            out += [(i, "join", at), (i, "close", at)] if (at, i) in closes else [(i, "join", at)]
+            kept = None if (at, i) in closes else (i, at)
+        elif kept and kept[0] == i:
+            out.append((i, "close", at))
+            kept = None
+    return out, kept
+
+
+def test_holders_of_many_names():
+    """All names of a group at once, over several rounds, as each name event by event."""
+    draw = random.Random(5)
+    held, simple, rule = {}, {}, ordered.NameHolder()
+
+    def sort_key(e):
+        return (e[0] is not None, e[0] or "", *e[1:])
+
+    for begin in (0, 20, 40):
+        events = sorted(
+            (
+                (draw.choice(["a", "b", "c", None]), begin + draw.randrange(20), draw.randrange(2), draw.randrange(9))
+                for _ in range(300)
+            ),
+            key=sort_key,
+        )
+        shuffled = draw.sample(events, len(events))
+        table = pa.Table.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(zip(*shuffled), ordered.WAITING)], schema=ordered.WAITING
+        )
+        found = rule.judge(table, held)
+        for name in ("a", "b", "c", None):
+            own = [e[1:] for e in events if e[0] == name]
+            before = simple.get(name)
+            # Who holds the name from before stands first.
+            told, now = simple_holders([(-1, 1, before[0]), *own] if before else own)
+            told = told[1:] if before else told
+            simple[name] = (now[0], before[1] if before and now[1] == -1 else now[1]) if now else None
+            mine = found[found["_name"].isna()] if name is None else found[found["_name"] == name]
+            assert list(mine[["_id", "_kind", "_at"]].itertuples(index=False, name=None)) == told
+        assert held == {n: k for n, k in simple.items() if k}
+
+
+def test_connections_are_judged_once(spark, in_parts, tmp_path):
+    """Events are read once, also those without a name, which are never too late."""
+    named = "IF(id % 3 = 0, CONCAT('{\"username\":\"n', id, '\"}'), IF(id % 3 = 1, NULL, 'x')) AS first_frame"
+    conns = spark.range(600).selectExpr(
+        "id AS conn_id", named,
+        "CAST(timestamp_seconds(1600000000 + id * 100) AS timestamp_ntz) AS open_ts",
+        "CAST(timestamp_seconds(1600000050 + id * 100) AS timestamp_ntz) AS close_ts",
+    )
+    far = spark.sql("SELECT CAST(NULL AS BIGINT), CAST(NULL AS STRING), 'tick', timestamp_ntz'2200-01-01 00:00:00'")
+    late = spark.sql("SELECT 1000L, CAST(NULL AS STRING), 'open', timestamp_ntz'1999-01-01 00:00:00'")
+    events = live_chat.connection_events(conns).union(far).union(late)
+    placed = events.selectExpr("*", "IF(kind = 'tick', 500, IF(conn_id = 1000, 1000, conn_id % 7)) AS place")
+    with runner.state_partitions(spark, 2, 100):
+        query = live_chat.stream_connections(
+            in_parts(placed, "place", parts=3), str(tmp_path / "out"), str(tmp_path / "c"), delay="1 day"
+        )
+        runner.finish(query)
+    assert sum(p["numInputRows"] for p in query.recentProgress) == events.count()
+    log = spark.read.parquet(str(tmp_path / "out"))
+    found = {r.kind: r.n for r in log.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert found == {"join": 200, "close": 400, "open": 201, "refused": 200}
+    assert ordered.late_rows(query) == 0
+    told = log.filter("conn_id = 2").collect()
+    assert [(r.kind, r.error, r.username, r.since) for r in told] == [("refused", chat.BAD_USERNAME_FRAME, None, None)]
+
+
+def test_frames_meet_the_intervals_they_lie_in(spark, tmp_path):
+    """Frames and intervals in any order over micro-batches, in a few rows of state."""
+    said = '{"type":"message","message":"hi"}'
+    frames = [
+        [(1, 7, 20, said), (2, 7, 50, said), (3, 7, 51, said), (4, None, 20, said), (5, 9, 20, said), (6, 7, 20, "x")],
+        [(7, 7, 49, said), (8, 8, 30, said)] + [(k, k, 60, said) for k in range(1000, 4000)],
+        [(None, None, 9000, None)],
+        [(9, 7, 30, said)],  # beyond the delay, but not yet left out
+        [(10, 7, 31, said)],  # too late
+    ]
+    log = [
+        [(8, "close", "b", 30, 31), (5, "join", "e", 20, 20)],
+        [(7, "close", "a", 50, 10), (8, "close", None, 40, None), (9, "close", "c", 500, 19), (9, "close", "c", 15, 15)],
+        [(None, "tick", None, 9000, None)],
+        [(9, "close", "d", 9500, 1)],
+    ]
+    time = "CAST(timestamp_seconds({0}) AS timestamp_ntz)".format
+    folders = [str(tmp_path / "frames"), str(tmp_path / "log")]
+    for part in frames:
+        rows_ = spark.createDataFrame(part, "frame_id long, conn_id long, s long, frame string")
+        rows_ = rows_.selectExpr("frame_id", "conn_id", f"{time('s')} AS ts", "frame")
+        rows_.coalesce(1).write.mode("append").parquet(folders[0])
+    for part in log:
+        rows_ = spark.createDataFrame(part, "conn_id long, kind string, username string, s long, f long")
+        rows_ = rows_.selectExpr("conn_id", "username", "kind", f"{time('s')} AS ts", f"{time('f')} AS since")
+        rows_.coalesce(1).write.mode("append").parquet(folders[1])
+    streams = [runner.read_stream(spark, f, spark.read.parquet(f).schema, files_per_batch=1) for f in folders]
+    with runner.state_partitions(spark, 2):
+        query = live_chat.stream_senders(
+            *streams, str(tmp_path / "out"), str(tmp_path / "checkpoint"), "100 seconds", "1000 seconds"
+        )
+        runner.finish(query)
+    written = spark.read.parquet(str(tmp_path / "out")).collect()
+    found = {r.frame_id: (r.conn_id, r.ts.minute * 60 + r.ts.second, r.username, r.message) for r in written}
+    assert len(written) == len(found) == 3008
+    assert {k: v for k, v in found.items() if k < 1000} == {
+        1: (7, 20, "a", "hi"), 2: (7, 50, None, "hi"), 3: (7, 51, None, "hi"), 4: (None, 20, None, "hi"),
+        5: (9, 20, "c", "hi"), 7: (7, 49, "a", "hi"), 8: (8, 30, None, "hi"),
+        9: (7, 30, "a", "hi"),
+    }
+    state = [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+    assert 0 < max(state) <= ordered.GROUPS
